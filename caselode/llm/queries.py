@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash
+from . import exact_dedup, packing, simhash
 
 QUERIES = {
     "op3_simhash_near_dedup": simhash.query,
+    "op7_best_fit_packing": packing.query,
     "op8_exact_dedup": exact_dedup.query,
 }
 ORACLE_SQL = {
