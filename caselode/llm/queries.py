@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, simhash
+from . import exact_dedup, packing, quality, simhash, toxicity
 
 QUERIES = {
+    "op1_quality_crf": quality.query,
+    "op2_toxicity_ftrl": toxicity.query,
     "op3_simhash_near_dedup": simhash.query,
     "op7_best_fit_packing": packing.query,
     "op8_exact_dedup": exact_dedup.query,

@@ -1,23 +1,49 @@
-"""Placeholder order of the corpus pipeline's stages; filled as operators arrive."""
+"""A training corpus from documents: quality, toxicity, exact and near copies, packing.
+
+Each stage works on all rows that the one before it kept, and all but the
+last return the columns of documents. Documents that the quality or the
+toxicity classifier rejects are left out, of equal texts the row of largest
+doc_id stays, of near copies the row of smallest doc_id; what remains is
+packed into sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from caselode.llm import exact_dedup, packing, quality, simhash, toxicity
 from caselode.llm.common import stage_table
-from caselode.llm.exact_dedup import drop_copies
-from caselode.llm.simhash import drop_near_copies
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_copies(docs)
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def toxicity_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_copies(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.drop_near_copies(docs)
+
 
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
 
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_copies(docs)
 
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("toxicity_classifier", toxicity_classifier),
+    ("exact_dedup", exact_copies),
+    ("simhash_near_dedup", near_copies),
+    ("best_fit_packing", best_fit_packing),
+]
 
-STAGES = [("exact_dedup", exact), ("simhash", near)]
+#: The classifiers and the tokenizer have no SQL; tests/llm holds run() against a plain version.
 ORACLE_SQL = None
 
 
