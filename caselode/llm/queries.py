@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, quality, simhash, toxicity
+from . import exact_dedup, packing, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_quality_crf": quality.query,
     "op2_toxicity_ftrl": toxicity.query,
     "op3_simhash_near_dedup": simhash.query,
+    "op5_warc_archive": warc.query,
     "op7_best_fit_packing": packing.query,
     "op8_exact_dedup": exact_dedup.query,
 }
 ORACLE_SQL = {
+    "op5_warc_archive": warc.ORACLE_SQL,
     "op8_exact_dedup": exact_dedup.ORACLE_SQL,
 }
