@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, quality, simhash, toxicity, warc
+from . import ann, exact_dedup, packing, quality, sentencepieces, simhash, toxicity, warc
 
 QUERIES = {
     "op1_quality_crf": quality.query,
@@ -11,6 +11,8 @@ QUERIES = {
     "op5_warc_archive": warc.query,
     "op7_best_fit_packing": packing.query,
     "op8_exact_dedup": exact_dedup.query,
+    "op9_sentencepiece_nbest": sentencepieces.query,
+    "op10_mips_search": ann.query,
 }
 ORACLE_SQL = {
     "op5_warc_archive": warc.ORACLE_SQL,
