@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, packing, quality, sentencepieces, simhash, toxicity, warc
+from . import ann, exact_dedup, katz, packing, quality, sentencepieces, simhash, toxicity, warc
 
 QUERIES = {
     "op1_quality_crf": quality.query,
     "op2_toxicity_ftrl": toxicity.query,
     "op3_simhash_near_dedup": simhash.query,
     "op5_warc_archive": warc.query,
+    "op6_katz_scoring": katz.query,
     "op7_best_fit_packing": packing.query,
     "op8_exact_dedup": exact_dedup.query,
     "op9_sentencepiece_nbest": sentencepieces.query,
