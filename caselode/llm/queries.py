@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, katz, packing, quality, sentencepieces, simhash, toxicity, warc
+from . import ann, exact_dedup, katz, line_dedup, packing, quality, sentencepieces, simhash, toxicity, warc
 
 QUERIES = {
     "op1_quality_crf": quality.query,
     "op2_toxicity_ftrl": toxicity.query,
     "op3_simhash_near_dedup": simhash.query,
+    "op4_line_dedup": line_dedup.query,
     "op5_warc_archive": warc.query,
     "op6_katz_scoring": katz.query,
     "op7_best_fit_packing": packing.query,
@@ -16,6 +17,7 @@ QUERIES = {
     "op10_mips_search": ann.query,
 }
 ORACLE_SQL = {
+    "op4_line_dedup": line_dedup.ORACLE_SQL,
     "op5_warc_archive": warc.ORACLE_SQL,
     "op8_exact_dedup": exact_dedup.ORACLE_SQL,
 }
