@@ -1,4 +1,8 @@
 """All registered queries and their SQL twins, by name."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from . import casework, reading
+
+QUERIES = {**reading.QUERIES, **casework.QUERIES}
+ORACLE_SQL = {**reading.ORACLE_SQL, **casework.ORACLE_SQL}
