@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import casework, reading
+from . import casework, nightly, reading
 
-QUERIES = {**reading.QUERIES, **casework.QUERIES}
-ORACLE_SQL = {**reading.ORACLE_SQL, **casework.ORACLE_SQL}
+QUERIES = {**reading.QUERIES, **casework.QUERIES, **nightly.QUERIES}
+ORACLE_SQL = {**reading.ORACLE_SQL, **casework.ORACLE_SQL, **nightly.ORACLE_SQL}
