@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from caselode.operators import ledger as L
 from caselode.operators import vendors as V
+from caselode.operators.reports import method_strength
 from caselode.sources import fixtures as X
 
 ROLE_RULES = [("engineer", "engineering"), ("developer", "engineering"), ("sales", "commercial"), ("contractor", "external")]
@@ -116,9 +117,8 @@ def tool_ranking(spark, sf_dir):
 
 
 def evidence_strength(spark, sf_dir):
-    """Per method: strong if claimed as proven on a mechanical basis, weak if reported, else moderate."""
-    strong = F.col("claim_status").isin("adjudicated", "admitted") & (F.col("basis") == "mechanically_implied")
-    label = F.when(strong, "strong").when(F.col("claim_status") == "reported", "weak").otherwise("moderate")
+    mechanical = F.col("basis") == "mechanically_implied"
+    label = method_strength(F.col("claim_status"), mechanical, ~mechanical)
     return X.methods(spark, sf_dir).groupBy("technique", label.alias("label")).agg(F.count(F.lit(1)).alias("methods"))
 
 
@@ -187,7 +187,7 @@ ORACLE_SQL = {
     "tool_covered_techniques": f"{_COVER} SELECT tool, technique, cases, how FROM cover",
     "tool_ranking": f"""{_COVER} SELECT tool, CAST(sum(CASE WHEN how <> 'prevent' THEN cases ELSE 0 END) AS BIGINT) AS detects, CAST(sum(CASE WHEN how <> 'detect' THEN cases ELSE 0 END) AS BIGINT) AS prevents,
         CAST(sum(cases) AS BIGINT) AS covers, count(*) AS techniques, round_even(100.0::DOUBLE * sum(cases) / (SELECT sum(cases) FROM counts), 1) AS share FROM cover GROUP BY tool""",
-    "evidence_strength": f"""{_B} SELECT technique, CASE WHEN claim_status IN ('adjudicated', 'admitted') AND basis = 'mechanically_implied' THEN 'strong' WHEN claim_status = 'reported' THEN 'weak' ELSE 'moderate' END AS label,
+    "evidence_strength": f"""{_B} SELECT technique, CASE WHEN claim_status IN ('adjudicated', 'admitted') AND basis = 'mechanically_implied' THEN 'strong' WHEN claim_status IN ('alleged', 'unclear') AND basis <> 'mechanically_implied' THEN 'weak' ELSE 'moderate' END AS label,
         count(*) AS methods FROM methods GROUP BY ALL""",
     "vendor_mentions": f"WITH {_MENTIONS} SELECT category, vendor, count(DISTINCT link) AS total, count(DISTINCT link) FILTER (verdict) AS verdict_true FROM mentions GROUP BY category, vendor",
     "vendor_receipts": f"""WITH {_MENTIONS} SELECT category, vendor, CAST(row_number() OVER w AS INTEGER) AS nth, link, greatest(count(*) OVER (PARTITION BY category, vendor) - 25, 0) AS more_cases FROM mentions

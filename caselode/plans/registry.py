@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import casework, nightly, reading
+from . import casework, nightly, reading, reports
 
-QUERIES = {**reading.QUERIES, **casework.QUERIES, **nightly.QUERIES}
-ORACLE_SQL = {**reading.ORACLE_SQL, **casework.ORACLE_SQL, **nightly.ORACLE_SQL}
+QUERIES = {**reading.QUERIES, **casework.QUERIES, **nightly.QUERIES, **reports.QUERIES}
+ORACLE_SQL = {**reading.ORACLE_SQL, **casework.ORACLE_SQL, **nightly.ORACLE_SQL, **reports.ORACLE_SQL}
