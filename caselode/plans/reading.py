@@ -33,7 +33,7 @@ _UC = ", ".join(
 )
 _TYPE = "CASE " + " ".join(f"WHEN {_any(ps)} OR {_hit(ts)} THEN '{n}'" for n, ps, ts in X.INSIDER_TYPES) + " END"
 SCORED = f"""{HITS}, scored AS (
-  SELECT *, CASE WHEN aligned = 'weak' AND len(use_cases) > 0 AND insider_type IS NOT NULL THEN 'insider' ELSE aligned END AS itm_alignment
+  SELECT *, CASE WHEN aligned = 'weak' AND len(use_cases) > 0 AND insider_type IS NOT NULL THEN 'insider' ELSE aligned END AS alignment
   FROM (SELECT l.*,
     least(round_even({_THEMES} + CASE WHEN ({_FRAMED}) > 0 THEN least(0.08::DOUBLE + ({_FRAMED}) * 0.04::DOUBLE, 0.2::DOUBLE) ELSE 0 END
                      + CASE WHEN length(content) > 80 THEN 0.03::DOUBLE ELSE 0 END, 4), 1.0::DOUBLE) AS relevance_score,
@@ -58,7 +58,7 @@ def scored(spark, sf_dir: str) -> DataFrame:
             "insider_type": M.insider_type(X.INSIDER_TYPES),
         }
     )
-    return found.withColumn("itm_alignment", M.promoted(F.col("aligned"), F.col("use_cases"), F.col("insider_type")))
+    return found.withColumn("alignment", M.promoted(F.col("aligned"), F.col("use_cases"), F.col("insider_type")))
 
 
 def technique_counts(spark, sf_dir):
@@ -76,7 +76,7 @@ def cve_domain_extract(spark, sf_dir):
 
 
 def relevance_score(spark, sf_dir):
-    return scored(spark, sf_dir).select("link", "relevance_score", "itm_alignment")
+    return scored(spark, sf_dir).select("link", "relevance_score", "alignment")
 
 
 def use_case_labels(spark, sf_dir):
@@ -89,7 +89,7 @@ def insider_type(spark, sf_dir):
 
 def article_filters(spark, sf_dir):
     """Channel, score floor with its bypass, alignment and type together."""
-    keep = M.in_channel("all") & M.score_floor(F.col("relevance_score"), 0.2) & (F.coalesce("itm_alignment", F.lit("weak")) == "insider")
+    keep = M.in_channel("all") & M.score_floor(F.col("relevance_score"), 0.2) & (F.coalesce("alignment", F.lit("weak")) == "insider")
     keep = keep & ~M.of_type(F.col("insider_type"), "none") & F.array_contains("use_cases", "staff-conduct") & (F.col("source_id") != "src1")
     return scored(spark, sf_dir).where(keep).select("link", "channel", "relevance_score", "insider_type")
 
@@ -236,11 +236,11 @@ ORACLE_SQL = {
         SELECT link, array_to_string(list_sort(list_distinct(regexp_extract_all(upper(t), 'CVE-[0-9]{{4}}-[0-9]{{4,7}}'))), ',') AS cves,
                array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(t), '\\b(?:[a-z0-9-]+\\.)+(?:com|org|net)\\b')), lambda x: x <> 'example.org')), ',') AS domains FROM b)
         SELECT * FROM f WHERE cves <> '' OR domains <> ''""",
-    "relevance_score": f"WITH {SCORED} SELECT link, relevance_score, itm_alignment FROM scored",
+    "relevance_score": f"WITH {SCORED} SELECT link, relevance_score, alignment FROM scored",
     "use_case_labels": f"WITH {SCORED} SELECT link, array_to_string(use_cases, ',') AS use_cases FROM scored",
     "insider_type": f"WITH {SCORED} SELECT link, insider_type FROM scored",
     "article_filters": f"""WITH {SCORED} SELECT link, channel, relevance_score, insider_type FROM scored
-        WHERE (relevance_score >= 0.2 OR channel = 'publications') AND itm_alignment = 'insider' AND insider_type IS NOT NULL
+        WHERE (relevance_score >= 0.2 OR channel = 'publications') AND alignment = 'insider' AND insider_type IS NOT NULL
           AND list_contains(use_cases, 'staff-conduct') AND source_id <> 'src1'""",
     "technique_filter": f"WITH {HITS} SELECT link, title FROM article WHERE row_ord IN (SELECT row_ord FROM hits WHERE {_has('PR001')} OR {_has('IF001')})",
     "control_filter": f"WITH {HITS} SELECT row_ord, link FROM article WHERE row_ord IN (SELECT row_ord FROM hits WHERE technique IN ('IF001.001', 'IF002') OR starts_with(technique, 'IF002.'))",

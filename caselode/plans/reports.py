@@ -59,7 +59,7 @@ def sentence_clamp(spark, sf_dir):
 
 
 def atom_feed(spark, sf_dir):
-    rows = scored(spark, sf_dir).where("itm_alignment = 'insider'").orderBy(F.desc_nulls_last("published"), "row_ord").limit(50)
+    rows = scored(spark, sf_dir).where("alignment = 'insider'").orderBy(F.desc_nulls_last("published"), "row_ord").limit(50)
     return R.atom_entries(rows)
 
 
@@ -165,7 +165,7 @@ ORACLE_SQL = {
         e AS (SELECT *, {_end(". ")} AS a, {_end("! ")} AS b, {_end("? ")} AS q FROM c)
         SELECT doc_id, sha256(CASE WHEN length(whole) <= 300 THEN whole WHEN a >= 150 THEN substr(cut, 1, a + 1) WHEN b >= 150 THEN substr(cut, 1, b + 1) WHEN q >= 150 THEN substr(cut, 1, q + 1)
                ELSE rtrim(substr(cut, 1, greatest(length(cut) - strpos(reverse(cut), ' '), 0))) || '…' END) AS clamped FROM e""",
-    "atom_feed": f"""WITH {SCORED}, r AS (SELECT * FROM scored WHERE itm_alignment = 'insider' ORDER BY published DESC NULLS LAST, row_ord LIMIT 50)
+    "atom_feed": f"""WITH {SCORED}, r AS (SELECT * FROM scored WHERE alignment = 'insider' ORDER BY published DESC NULLS LAST, row_ord LIMIT 50)
         SELECT link, '<entry><title>' || {_esc("CASE WHEN title <> '' THEN title ELSE link END")} || '</title><link href="' || {_esc("link")} || '"/><id>' || {_esc("link")} || '</id><updated>'
           || strftime(coalesce(published, TIMESTAMP '1970-01-01'), '%Y-%m-%dT%H:%M:%SZ') || '</updated><source><title>' || {_esc("source_name")} || '</title></source>'
           || array_to_string(list_transform(list_append(use_cases, channel), lambda t: '<category term="' || {_esc("t")} || '"/>'), '') || '<summary type="text">' || {_esc("summary")} || '</summary></entry>' AS entry FROM r""",
