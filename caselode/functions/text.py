@@ -81,3 +81,53 @@ def head_tail(text: Column, cap: int, marker: str = "\n[...]\n") -> Column:
     return F.when(F.length(text) <= cap, text).otherwise(
         F.concat(F.substring(text, 1, cap - tail), F.lit(marker), F.substring(text, -tail, tail))
     )
+
+
+def first_wins(items: Column) -> Column:
+    """Array without blanks and without items that equal an earlier one in lower case; order kept."""
+    plain = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+    return F.aggregate(
+        plain,
+        F.array().cast("array<string>"),
+        lambda out, x: F.when(F.exists(out, lambda y: F.lower(y) == F.lower(x)), out).otherwise(F.array_append(out, x)),
+    )
+
+
+def operator_terms(framing: Column, aliases: Column, cve: Column, domain: Column) -> Column:
+    """Framing, aliases, CVEs and domains in that order: 3 to 80 characters, no technique ids, first of equals."""
+    terms = first_wins(F.concat(framing, aliases, cve, domain))
+    return F.filter(terms, lambda t: F.length(t).between(3, 80) & ~t.rlike(r"^[A-Z]{2}\d{3}(\.\d{3})?$"))
+
+
+def is_entity_term(term: Column) -> Column:
+    """An address, a company suffix, or at least 60 % capitalised words among two or more."""
+    words = F.filter(F.split(F.trim(term), r"\s+"), lambda w: w != "")
+    capital = F.size(F.filter(words, lambda w: w.rlike("^[A-Z]")))
+    suffix = F.lower(term).rlike(r"\b(inc|llc|ltd|corp|gmbh)\.?$")
+    return F.contains(term, F.lit("@")) | suffix | ((F.size(words) >= 2) & (capital / F.size(words) >= 0.6))
+
+
+def labelled_line(text: Column, label: str) -> Column:
+    """What follows `label:` on a line of its own; null if there is no such line."""
+    found = F.regexp_extract(text, rf"(?m)^{re.escape(label)}:\s*(.+?)\s*$", 1)
+    return F.when(found != "", found)
+
+
+def number_in_path(url: Column, part: str) -> Column:
+    """The number after /part/ in a URL."""
+    return F.regexp_extract(url, rf"/{re.escape(part)}/(\d+)", 1).try_cast("long")
+
+
+def handle(name: Column) -> Column:
+    """A social handle without @, URL and capitals."""
+    return F.lower(F.regexp_replace(F.regexp_replace(F.trim(name), r"^https?://[^/]+/", ""), r"^@|[/?].*$", ""))
+
+
+def slug(name: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+
+
+def wait_seconds(error: Column, most: int = 3600) -> Column:
+    """Seconds that a throttling message asks to wait, at most `most`; null if it names none."""
+    asked = F.regexp_extract(error, r"(?i)(?:in|after) (\d+) seconds?", 1).try_cast("int")
+    return F.when(asked.isNotNull(), F.least(asked, F.lit(most)))

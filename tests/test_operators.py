@@ -133,3 +133,15 @@ def test_plans(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
     strong = L.case_strength(fixtures.cases(spark, SF), fixtures.methods(spark, SF))._jdf.queryExecution().toString()
     assert "CartesianProduct" not in strong and "o_orderstatus" in strong.split("PushedFilters")[1]
+
+
+def test_small_text_functions(spark):
+    df = spark.createDataFrame([(["Alpha", " alpha ", "x", "IF001", "Beta"], "Court: C\nDocket: 1:23 \nx", "https://h/docket/77/a/", " @Some_One ", "Hello, World! ", "Expected available in 5000 seconds.")], "a array<string>, t string, u string, h string, s string, e string")
+    none = F.array().cast("array<string>")
+    got = df.select(
+        X.operator_terms(F.col("a"), none, none, none), X.labelled_line(F.col("t"), "Docket"), X.labelled_line(F.col("t"), "Cause"), X.number_in_path(F.col("u"), "docket"),
+        X.handle(F.col("h")), X.slug(F.col("s")), X.wait_seconds(F.col("e")),
+    ).first()
+    assert tuple(got) == (["Alpha", "Beta"], "1:23", None, 77, "some_one", "hello-world", 3600)
+    terms = spark.createDataFrame([("a@b",), ("Acme Inc.",), ("John Smith",), ("copied files",)], "t string")
+    assert [r[0] for r in terms.select(X.is_entity_term(F.col("t"))).collect()] == [True, True, True, False]
