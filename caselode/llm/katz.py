@@ -48,29 +48,29 @@ class Chunk:
     def __init__(self, texts: list[str], held_out: np.ndarray):
         ids: dict[bytes, int] = defaultdict(count().__next__)
         end = ids[END]
-        parts, lengths = [np.array([end])], []
+        parts, lengths = [np.array([end], np.int32)], []
         for t in texts:
             words = t.encode("utf-8", "replace").lower().split()  # lower() of bytes changes A-Z only
-            parts.append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
-            parts.append(np.array([end]))
+            parts.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
+            parts.append(parts[0])
             lengths.append(len(words) + 1)
         tokens = np.concatenate(parts)
         del parts
         self.lengths = np.array(lengths, np.int64)
-        self.doc = np.repeat(np.arange(len(texts)), self.lengths)
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), self.lengths)
         learn = ~held_out[self.doc]
         h = np.fromiter((xxhash.xxh64_intdigest(w, 1) for w in ids), np.uint64, len(ids))
         order = np.argsort(h)
-        place = np.empty(len(h), np.int64)
+        place = np.empty(len(h), np.int32)
         place[order] = np.arange(len(h))
         self.words, tokens = h[order], place[tokens]
         self.token, self.before = tokens[1:], tokens[:-1]
         self.word_counts = np.bincount(self.token[learn], minlength=len(h)).astype(np.uint32)
-        pairs, where = np.unique(self.before * len(h) + self.token, return_inverse=True)
+        pairs, where = np.unique(self.before * np.int64(len(h)) + self.token, return_inverse=True)
         a, b = pairs // len(h), pairs % len(h)
         keys = (self.words[a] * _MIX[0] ^ (self.words[b] >> _MIX[2])) * _MIX[1] ^ self.words[b] * _MIX[0]
         order = np.argsort(keys)
-        place = np.empty(len(keys), np.int64)
+        place = np.empty(len(keys), np.int32)
         place[order] = np.arange(len(keys))
         self.pairs, self.pair = keys[order], place[where]
         self.first, self.second = a[order], b[order]
@@ -95,7 +95,7 @@ def _split(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
         yield int(buckets[s]), s, e
 
 
-def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_mod: int = 10, chunk_bytes: int = 16 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_mod: int = 10, chunk_bytes: int = 6 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text.
 
     A Katz model of word pairs, learned from the documents whose crc32(doc_id)
@@ -204,7 +204,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         known = word_n[chunk.token]
         base = np.log10((known + 0.1) / (n_train + 0.1 * (n_types + 1)))
         open_ = ~seen[chunk.pair] & ~alone[chunk.before] & (word_n[chunk.before] > 0)
-        at, times = np.unique(chunk.doc[open_] * len(chunk.words) + chunk.before[open_], return_counts=True)
+        at, times = np.unique(chunk.doc[open_] * np.int64(len(chunk.words)) + chunk.before[open_], return_counts=True)
         give = np.flatnonzero(~alone & (np.bincount(chunk.first[own], minlength=len(chunk.words)) > 0))
         words = chunk.words.view(np.int64)
         sizes = (n_docs, len(at), len(give))
