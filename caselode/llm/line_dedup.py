@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import stage_table
 
 
+#: Words are cut at blanks, for min_words.
+WORD = "[^ \\t\\r\\f\\n]+"
+
+
 def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, doc_id, text): doc numbers the rows, so that rows may repeat and ids may be null."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -68,44 +72,75 @@ def suffix_ranks(lines: DataFrame, upto: int | None = None) -> DataFrame:
     return ranked
 
 
-def later_copies(rows: DataFrame, min_lines: int = 2) -> DataFrame:
-    """(doc, pos, first_doc, first_pos): suffixes that share min_lines lines or more with an earlier one, and the earliest.
+def long_runs(rows: DataFrame, n: int, min_words: int) -> DataFrame:
+    """(doc, pos, line): runs of n lines that have at least min_words words; line is the hash of the run."""
+    lines = F.split("text", "\n", -1)
+    found = rows.select("doc", F.posexplode(lines).alias("pos", "text"))
+    if n > 1:
+        whole = F.slice(lines, F.col("i") + 1, n)
+        found = rows.select("doc", "text", F.explode(F.sequence(F.lit(0), F.size(lines) - 1)).alias("i"))
+        found = found.select("doc", F.col("i").alias("pos"), F.array_join(whole, "\n").alias("text"), F.size(whole).alias("n")).where(F.col("n") == n)
+    found = found.where(F.length("text") >= 2 * min_words - 1)  # so many words can't be shorter
+    found = found.where(F.regexp_count("text", F.lit(WORD)) >= min_words)
+    return found.select("doc", F.col("pos").cast("long").alias("pos"), F.unhex(F.md5("text")).alias("line"))
+
+
+def _later(members: DataFrame, rows: DataFrame, by: str, span: int) -> DataFrame:
+    """All but the earliest of the members (doc, pos) that share `by`."""
+    members = members.join(rows.select("doc", "doc_id"), "doc")
+    members = members.select(by, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc", "pos").alias("at"))
+    members = stage_table(members, "intervals")
+    first = members.groupBy(by).agg(F.min("at").alias("first"))
+    later = members.join(first, by).where("at.doc <> first.doc or at.pos <> first.pos")
+    at = [F.col("at.doc"), F.col("at.pos"), F.lit(span).alias("span")]
+    return later.select(*at, F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
+
+
+def later_copies(rows: DataFrame, min_lines: int = 2, min_words: int | None = 50) -> DataFrame:
+    """(doc, pos, span, first_doc, first_pos): runs of `span` lines that share all of them with an earlier one, and the earliest.
 
-    Suffixes with the same rank by min_lines lines are an interval of the
-    suffix array whose longest common prefix is at least that long. Earlier
-    means in a row of smaller doc_id (nulls last), or further up in the same row.
+    span is min_lines, or less where the run has at least min_words words
+    (None: never less). Suffixes with the same rank by min_lines lines are an
+    interval of the suffix array whose longest common prefix is at least that
+    long. Earlier means in a row of smaller doc_id (nulls last), or further up
+    in the same row. Longer copies are made of these, so they add no line.
     """
     ranked = suffix_ranks(line_ids(rows), min_lines).where(F.col("left") >= min_lines).where("n > 1")
-    members = ranked.join(rows.select("doc", "doc_id"), "doc")
-    members = members.select("rank", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc", "pos").alias("at"))
-    members = stage_table(members, "intervals")
-    first = members.groupBy("rank").agg(F.min("at").alias("first"))
-    later = members.join(first, "rank").where("at.doc <> first.doc or at.pos <> first.pos")
-    return later.select("at.doc", "at.pos", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
+    found = _later(ranked, rows, "rank", min_lines)
+    for n in range(1, min_lines if min_words else 0):
+        runs = long_runs(rows, n, min_words)
+        again = runs.groupBy("line").count().where("count > 1").select("line")
+        found = found.unionByName(_later(runs.join(again, "line"), rows, "line", n))
+    return found
 
 
-def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
+def repeated_runs(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, min_words: int | None = 50
+) -> DataFrame:
     """doc_id, start, n_lines, first_doc_id, first_start: maximal runs of lines that repeat an earlier run.
 
     Neighbouring suffixes whose earliest copies are neighbours too make one run.
     """
     rows = numbered(docs, id_col, text_col)
     run = Window.partitionBy("doc", "first_doc", F.col("pos") - F.col("first_pos")).orderBy("pos")
-    copies = later_copies(rows, min_lines).withColumn("shift", F.col("pos") - F.col("first_pos"))
+    copies = later_copies(rows, min_lines, min_words).withColumn("shift", F.col("pos") - F.col("first_pos"))
+    copies = copies.groupBy("doc", "pos", "first_doc", "first_pos", "shift").agg(F.max("span").alias("span"))
     copies = copies.withColumn("island", F.col("pos") - F.row_number().over(run))
-    runs = copies.groupBy("doc", "first_doc", "shift", "island").agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("n"))
+    n_lines = F.max(F.col("pos") + F.col("span")) - F.min("pos")
+    runs = copies.groupBy("doc", "first_doc", "shift", "island").agg(F.min("pos").alias("start"), n_lines.alias("n_lines"))
     names = rows.select("doc", "doc_id")
     runs = runs.join(names, "doc").join(names.select(F.col("doc").alias("first_doc"), F.col("doc_id").alias("first_doc_id")), "first_doc")
-    return runs.select(
-        "doc_id", "start", (F.col("n") + min_lines - 1).alias("n_lines"), "first_doc_id", (F.col("start") - F.col("shift")).alias("first_start")
-    )
+    return runs.select("doc_id", "start", "n_lines", "first_doc_id", (F.col("start") - F.col("shift")).alias("first_start"))
 
 
-def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
+def drop_repeated_lines(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, min_words: int | None = 50
+) -> DataFrame:
     """doc_id, text, n_lines, n_deleted, n_runs: every text without the lines of later copies.
 
-    A line goes if it lies in a run of at least min_lines lines that occurs
-    earlier (see later_copies), overlapping runs of one text included. What
+    A line goes if it lies in a run that occurs earlier (see later_copies) and
+    has at least min_lines lines or min_words words, so a long line goes on
+    its own; overlapping runs of one text are included. What
     goes has a copy that stays: its earliest. n_runs is the number of gaps.
     Every step is a DataFrame operation.
 
@@ -115,7 +150,8 @@ def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     are ignored; an empty table gives an empty result.
     """
     rows = numbered(docs, id_col, text_col)
-    gone = later_copies(rows, min_lines).select("doc", F.explode(F.sequence("pos", F.col("pos") + min_lines - 1)).alias("pos")).distinct()
+    copies = later_copies(rows, min_lines, min_words)
+    gone = copies.select("doc", F.explode(F.sequence("pos", F.col("pos") + F.col("span") - 1)).alias("pos")).distinct()
     gone = gone.groupBy("doc").agg(F.array_sort(F.collect_list("pos")).alias("gone"))  # at most a text's own lines
     starts = F.filter("gone", lambda p, i: (i == 0) | (F.get("gone", F.greatest(i - 1, F.lit(0))) != p - 1))
     gone = gone.withColumn("n_runs", F.size(starts))
@@ -136,11 +172,20 @@ def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     )
 
 
-def query(spark, sf_dir: str) -> DataFrame:
-    found = drop_repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def _digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_deleted", "n_runs", F.sha2("text", 256).alias("text_sha256"))
 
 
+def query(spark, sf_dir: str) -> DataFrame:
+    """Runs of two lines or more, the rule of ORACLE_SQL."""
+    return _digests(drop_repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), min_words=None))
+
+
+def passages(spark, sf_dir: str) -> DataFrame:
+    """Runs of two lines or more, and single lines of 50 words or more."""
+    return _digests(drop_repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
 ORACLE_SQL = """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -161,3 +206,26 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_deleted, count(*
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS text_sha256
 FROM gaps GROUP BY doc_id
 """
+
+PASSAGES_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents
+), pairs AS (
+  SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS following FROM lines
+), marked AS (
+  SELECT *, following IS NOT NULL
+            AND row_number() OVER (PARTITION BY line, following ORDER BY doc_id, pos) > 1 AS later,
+         len(regexp_extract_all(line, '[^ \t\r\f]+')) >= 50
+            AND row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) > 1 AS alone
+  FROM pairs
+), judged AS (
+  SELECT *, later OR alone OR coalesce(lag(later) OVER (PARTITION BY doc_id ORDER BY pos), false) AS gone FROM marked
+), gaps AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM judged
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_deleted, count(*) FILTER (opens) AS n_runs,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS text_sha256
+FROM gaps GROUP BY doc_id
+"""

@@ -9,6 +9,7 @@ QUERIES = {
     "op2_toxicity_ftrl": toxicity.query,
     "op3_simhash_near_dedup": simhash.query,
     "op4_line_dedup": line_dedup.query,
+    "op4_line_dedup_passages": line_dedup.passages,
     "op5_warc_archive": warc.query,
     "op6_katz_scoring": katz.query,
     "op7_best_fit_packing": packing.query,
@@ -18,6 +19,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op4_line_dedup": line_dedup.ORACLE_SQL,
+    "op4_line_dedup_passages": line_dedup.PASSAGES_SQL,
     "op5_warc_archive": warc.ORACLE_SQL,
     "op8_exact_dedup": exact_dedup.ORACLE_SQL,
 }
