@@ -100,6 +100,33 @@ def pair_tables(query: np.ndarray, books: np.ndarray) -> np.ndarray:
 # -------------------------------------------------------------------------- search
 
 
+def _coded(x: np.ndarray, books: np.ndarray, eta: float) -> tuple[np.ndarray, np.ndarray]:
+    """Packed codes, and a radius: |query| times it bounds the error of a table scan, its rounding included."""
+    codes = encode(x, books, eta)
+    near = books[np.arange(len(books)), codes].reshape(len(x), -1)[:, : x.shape[1]]
+    rounding = 2.4e-7 * (len(books) + 4) * np.linalg.norm(near, axis=1)
+    radius = (np.linalg.norm(x - near, axis=1) * (1 + 1e-6) + rounding).astype(np.float32)
+    return pack_codes(codes), np.nextafter(radius, np.float32(np.inf))
+
+
+def best_of(
+    query: np.ndarray, reps: np.ndarray, vecs: np.ndarray, packed: np.ndarray, radius: np.ndarray, books: np.ndarray, k: int, candidates: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """(places, inner products) of the k vectors of largest inner product, best first; of equals the smaller rep."""
+    approximate = np.zeros(len(reps), np.float32)
+    for table, column in zip(pair_tables(query, books), packed, strict=True):
+        approximate += table[column]
+    first = min(max(candidates, k), len(reps))
+    floor = -np.inf
+    if first < len(reps):
+        likely = np.argpartition(-approximate, first - 1)[:first]
+        floor = np.partition((vecs[likely] * query).sum(axis=1), first - k)[first - k]
+    left = np.flatnonzero(~(approximate + np.linalg.norm(query) * radius.astype(np.float64) < floor))
+    score = (vecs[left] * query).sum(axis=1)
+    best = np.lexsort((reps[left], -score))[:k]
+    return left[best], score[best]
+
+
 def _vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, key, vec) of the rows that take part: id not null, all components finite, not all zero.
 
@@ -140,10 +167,14 @@ def search(
 
     Equal vectors are one class, searched once. Code words are fitted on at
     most `sample` classes (those of smallest hash); every class is encoded and
-    scanned. Codes of `row_block` classes are one row, and each block of
-    queries meets each block of codes once; a scan by four-bit tables leaves
-    `candidates` classes a query, whose inner products are computed in double
-    precision from the original vectors.
+    scanned. About `row_block` classes make a block, which goes to one task
+    with its codes, residual norms and vectors, followed by all queries.
+
+    The result is exact. In each block, a scan by four-bit tables finds the
+    `candidates` classes of best approximate score; the k-th of their inner
+    products in double precision is a floor, and every class whose approximate
+    score plus |query| |residual| reaches it is scored exactly too. So
+    `candidates` moves work only, at any number of rows.
 
     Defined cases: vectors that are null, empty, zero, or hold null or
     non-finite components, vectors of another length than most, and rows of
@@ -168,64 +199,60 @@ def search(
     got = chosen.groupBy().applyInArrow(learn, "books binary, parts long, width long, eta double").first()
     books, eta = np.frombuffer(got["books"]).reshape(got["parts"], 16, got["width"]), got["eta"]
 
-    def blocked(key: str, size: int, n: int):
-        return F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // size)))).cast("int")
+    width = lengths[0]["n"] // 8
 
     def code(table: pa.Table) -> pa.Table:
         order = np.argsort(table["rep"].to_numpy())
         x = _matrix(table["vec"])[order]
-        packed = np.concatenate([pack_codes(encode(x[i : i + 2048], books, eta)) for i in range(0, len(x), 2048)])
-        keys = b"".join(k for k in np.array(table["key"].to_pylist(), object)[order])
-        reps = table["rep"].to_numpy()[order].astype(np.int64).tobytes()
-        return pa.table({"block": table["block"][:1], "reps": pa.array([reps], pa.binary()), "keys": pa.array([keys], pa.binary()), "codes": pa.array([packed.T.tobytes()], pa.binary())})
+        packed, radius = zip(*(_coded(x[i : i + 2048], books, eta) for i in range(0, len(x), 2048)), strict=True)
+        single = x.astype(np.float32)
+        found = {
+            "reps": table["rep"].to_numpy()[order].astype(np.int64).tobytes(),
+            "keys": b"".join(np.array(table["key"].to_pylist(), object)[order]),
+            "codes": np.concatenate(packed).T.tobytes(),
+            "radius": np.concatenate(radius).tobytes(),
+            "vecs": (single if (single == x).all() else x).tobytes(),
+        }
+        return pa.table({"block": table["block"][:1], **{k: pa.array([v], pa.binary()) for k, v in found.items()}})
 
     n_classes = classes.count()
-    n_blocks = max(1, -(-n_classes // row_block))
-    codes = classes.withColumn("block", blocked("key", row_block, n_classes)).groupBy("block").applyInArrow(
-        code, "block int, reps binary, keys binary, codes binary"
-    )
-    codes = stage_table(codes, "codes")
+    n_blocks = max(1, -(-n_classes // row_block), min(12, n_classes // 4096))
+    packed = "block int, reps binary, keys binary, codes binary, radius binary, vecs binary"
+    block = F.pmod(F.xxhash64("key"), F.lit(n_blocks)).cast("int")
+    codes = classes.withColumn("block", block).groupBy("block").applyInArrow(code, packed)
 
     asked = vectors.where(queries(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), F.col("key").alias("qkey"), F.col("vec").alias("qvec"))
     asked = stage_table(asked, "queries")
     asking = asked.groupBy("qkey").agg(F.first("qvec").alias("qvec"))
-    n_asked = asked.count()
-    asking = asking.withColumn("part", blocked("qkey", query_block, n_asked))
-    asking = asking.groupBy("part").agg(F.collect_list(F.struct("qkey", "qvec")).alias("asked"))  # about query_block each
-    meet = asking.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(codes, "block")
+    asking = asking.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    meet = codes.unionByName(asking, allowMissingColumns=True).repartition(n_blocks, "block")
+    meet = meet.sortWithinPartitions("block", F.col("qkey").isNotNull())  # a block, then its queries
+    kinds = (pa.binary(), pa.binary(), pa.int64(), pa.float64())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = -1, None
         for b in batches:
-            for r in b.to_pylist():
-                reps = np.frombuffer(r["reps"], np.int64)
-                packed = np.frombuffer(r["codes"], np.uint8).reshape(-1, len(reps))
-                qkeys, keys, scores = [], [], []
-                for q in r["asked"]:
-                    tables = pair_tables(np.frombuffer(q["qvec"]), books)
-                    score = np.zeros(len(reps), np.float32)
-                    for table, column in zip(tables, packed, strict=True):
-                        score += table[column]
-                    most = min(candidates, len(reps))
-                    best = np.argpartition(-score, most - 1)[:most]
-                    qkeys += [q["qkey"]] * most
-                    keys += [r["keys"][16 * i : 16 * i + 16] for i in best.tolist()]
-                    scores.append(score[best])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(qkeys, pa.binary()), pa.array(keys, pa.binary()), pa.array(np.concatenate(scores))], ["qkey", "key", "approximate"]
-                )
-
-    found = meet.repartition("part", "block").mapInArrow(scan, "qkey binary, key binary, approximate float")
+            out: dict[str, list] = {n: [] for n in ("qkey", "key", "rep", "score")}
+            for i in range(b.num_rows):
+                r = {n: b.column(n)[i].as_py() for n in b.schema.names}
+                if r["qkey"] is None:
+                    number, reps = r["block"], np.frombuffer(r["reps"], np.int64)
+                    vecs = np.frombuffer(r["vecs"], np.float32 if len(r["vecs"]) == len(reps) * width * 4 else np.float64)
+                    held = (vecs.reshape(len(reps), width), np.frombuffer(r["codes"], np.uint8).reshape(-1, len(reps)), np.frombuffer(r["radius"], np.float32))
+                    keys = r["keys"]
+                elif number == r["block"]:  # a block may have no classes
+                    best, score = best_of(np.frombuffer(r["qvec"]), reps, *held, books, k + 1, candidates)
+                    out["qkey"] += [r["qkey"]] * len(best)
+                    out["key"] += [keys[16 * j : 16 * j + 16] for j in best.tolist()]
+                    out["rep"] += reps[best].tolist()
+                    out["score"] += score.tolist()
+                    if i % query_block == 0:
+                        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
+                        out = {n: [] for n in out}
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
+
+    scored = meet.mapInArrow(scan, "qkey binary, key binary, rep long, score double")
     by_query = Window.partitionBy("qkey")
-    found = found.withColumn("n", F.row_number().over(by_query.orderBy(F.desc("approximate"), "key"))).where(F.col("n") <= candidates)
-    pairs = found.select("qkey", "key").join(classes, "key").join(asked.select("qkey", "qvec").dropDuplicates(["qkey"]), "qkey")
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                score = (_matrix(b.column(3)) * _matrix(b.column(4))).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(score)], ["qkey", "key", "rep", "score"])
-
-    scored = pairs.select("qkey", "key", "rep", "vec", "qvec").mapInArrow(exact, "qkey binary, key binary, rep long, score double")
     best_first = by_query.orderBy(F.desc("score"), "rep")
     top = scored.withColumn("n", F.row_number().over(best_first)).where(F.col("n") <= k + 1).select("qkey", "key", "score")
     members = vectors.select("key", "vec_id").withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("vec_id")))
