@@ -8,6 +8,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -148,8 +149,13 @@ class Pieces:
 
     def encode(self, text: str) -> tuple[bytes, list[tuple[float, int]]]:
         """(ids of the best segmentation as bytes, [(score, number of ids)] of the n_best)."""
+        found = self.encode_all(text)
+        return found[0][1], [(score, len(ids) // 4) for score, ids in found]
+
+    def encode_all(self, text: str) -> list[tuple[float, bytes]]:
+        """[(score, ids as bytes)] of the n_best segmentations, best first."""
         if not text:
-            return b"", [(0.0, 0)]
+            return [(0.0, b"")]
         if "  " in text or text[0] == " " or text[-1] == " " or SPACE in text:
             words = re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", SPACE + text.replace(" ", SPACE))
         else:
@@ -162,6 +168,8 @@ class Pieces:
                 known[w] = self._word(w)
         scores, parts, losses, _ = zip(*map(known.__getitem__, words), strict=True)
         ids, best = b"".join(parts), sum(scores)
+        if self.n_best == 1:
+            return [(best, ids)]
         # only the n_best - 1 words with the least losses can differ from the best segmentation
         worst = sorted(losses)[: self.n_best - 1][-1]
         order = sorted((loss, i) for i, loss in enumerate(losses) if loss <= worst)[: self.n_best - 1]
@@ -171,12 +179,19 @@ class Pieces:
             if s not in self.lists:
                 self.lists[s] = self.n_best_of(s)
             top = self.lists[s]
-            options.append([(top[0][0] - score, len(x) - len(top[0][1])) for score, x in top])
-        totals = [(0.0, 0)]
+            options.append([(top[0][0] - score, len(x) - len(top[0][1]), ((i, n),) if n else ()) for n, (score, x) in enumerate(top)])
+        totals: list[tuple[float, int, tuple]] = [(0.0, 0, ())]
         for o in options:
-            totals = heapq.nsmallest(self.n_best, ((a + c, b + d) for a, b in totals for c, d in o))
-        n = len(ids) // 4
-        return ids, [(best - loss, n + more) for loss, more in totals]
+            totals = heapq.nsmallest(self.n_best, ((a + c, b + d, p + q) for a, b, p in totals for c, d, q in o))
+        starts = [0, *accumulate(map(len, parts))]
+        out = []
+        for loss, _, changes in totals:
+            pieces, at = [], 0
+            for i, n in sorted(changes):
+                pieces += [ids[at : starts[i]], array("I", self.lists[words[i]][n][1]).tobytes()]
+                at = starts[i + 1]
+            out.append((best - loss, b"".join((*pieces, ids[at:])) if changes else ids))
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: pieces and bytes put together, without the space before the first word."""
@@ -191,10 +206,10 @@ def _pieces(path: str, n_best: int) -> Pieces:
 
 
 def segment(docs: DataFrame, *, model: str | None = None, n_best: int = 5, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32, n_best (array of score and n_tokens, best first), round_trip.
+    """doc_id, n_tokens, ids_crc32, n_best (array of score, n_tokens and ids_crc32, best first), round_trip.
 
-    with_ids adds the ids of the best segmentation. round_trip says that they
-    decode to the text. Defined cases: a null text counts as empty, an empty
+    with_ids adds the ids of the best segmentation, and to n_best the ids of
+    each. round_trip says that those of the best decode to the text. Defined cases: a null text counts as empty, an empty
     text has no ids and the one score 0; equal scores are ordered by number of
     ids in n_best; a U+2581 in a text decodes as a space; repeated rows are
     encoded again; other columns are ignored; an empty table gives an empty
@@ -205,7 +220,8 @@ def segment(docs: DataFrame, *, model: str | None = None, n_best: int = 5, id_co
 
         model = public_tokenizers.path("piece_bpe_32k.model")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = pa.list_(pa.struct([("score", pa.float64()), ("n_tokens", pa.int64())]))
+    fields = [("score", pa.float64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
+    kind = pa.list_(pa.struct(fields + [("ids", pa.list_(pa.int32()))] * with_ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(model, n_best)
@@ -213,22 +229,46 @@ def segment(docs: DataFrame, *, model: str | None = None, n_best: int = 5, id_co
             n, crc, best, same, kept = [], [], [], [], []
             for t in b.column(1):
                 text = t.as_py()
-                ids, top = pieces.encode(text)
+                top = pieces.encode_all(text)
+                ids = top[0][1]
                 n.append(len(ids) // 4)
                 crc.append(zlib.crc32(ids))
-                best.append([{"score": s, "n_tokens": k} for s, k in top])
+                best.append([{"score": s, "n_tokens": len(x) // 4, "ids_crc32": zlib.crc32(x)} for s, x in top])
                 same.append(pieces.decode(ids) == text)
                 if with_ids:
                     kept.append(array("I", ids).tolist())
+                    for made, (_, x) in zip(best[-1], top, strict=True):
+                        made["ids"] = array("I", x).tolist()
             arrays = [b.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(best, kind), pa.array(same, pa.bool_())]
             names = ["doc_id", "n_tokens", "ids_crc32", "n_best", "round_trip"]
             if with_ids:
                 arrays, names = [*arrays, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    schema = "doc_id long, n_tokens long, ids_crc32 long, n_best array<struct<score:double,n_tokens:long>>, round_trip boolean"
+    each = "score:double,n_tokens:long,ids_crc32:long" + ",ids:array<int>" * with_ids
+    schema = f"doc_id long, n_tokens long, ids_crc32 long, n_best array<struct<{each}>>, round_trip boolean"
     return rows.mapInArrow(run, schema + ", ids array<int>" * with_ids)
 
 
+def decode(rows: DataFrame, *, model: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """doc_id, text: the text that each row's ids stand for; null ids give a null text, no ids an empty one.
+
+    Ids outside the vocabulary or null are an error. Repeated rows are decoded again.
+    """
+    if model is None:
+        import public_tokenizers
+
+        model = public_tokenizers.path("piece_bpe_32k.model")
+    found = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _pieces(model, 5)
+        for b in batches:
+            texts = [None if x is None else pieces.decode(array("I", x).tobytes()) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return found.mapInArrow(run, "doc_id long, text string")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return segment(spark.read.parquet(f"{sf_dir}/documents.parquet"))
