@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,157 +46,182 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
     return plan
 
 
-def _exact_few(arr: np.ndarray, counts: dict[int, int], room: int) -> list[tuple[int, ...]]:
-    """A filling of two or three lengths without waste, if there is one: the one with the largest lengths."""
-    there = np.zeros(room + 1, bool)
-    there[arr] = True
-    for third in (0, *arr[::-1][:64].tolist()):
-        rest = room - third
-        x = arr[(arr <= rest) & (2 * arr >= rest) & ((arr <= third) | (third == 0))]
-        for first in x[there[rest - x]][::-1].tolist():
-            items = tuple(sorted((v for v in (third, first, rest - first) if v), reverse=True))
-            if rest - first and all(items.count(v) <= counts[v] for v in items):
-                return [items]
-    return []
+class Fillings:
+    """The fillings of a room by lengths of a histogram, by subset sums.
 
-
-def completions(counts: dict[int, int], room: int, limit: int = 12, tries: int = 4000, spent: list[int] | None = None, in_bulk: bool = False) -> list[tuple[int, ...]]:
-    """Undominated fillings of `room`, least waste first.
-
-    A filling dominates another when the other's items fit into its items'
-    places; so each filling's last item is the largest that fits, a filling is
-    of use only if it holds more than what fewer items can hold, and a single
-    item that fills the room dominates all else.
+    reach[i] has bit t set if the i smallest lengths, each at most as often as
+    it is there, can add up to t; so a search for a total never runs into a
+    dead end.
     """
-    sizes = sorted((s for s in counts if s <= room), reverse=True)
-    if not sizes:
-        return [()]
-    if sizes[0] == room:
-        return [(room,)]
-    arr = np.array(sizes[::-1])
-    if in_bulk and (exact := _exact_few(arr, counts, room)):
-        return exact
-    found: dict[tuple[int, ...], int] = {(sizes[0],): sizes[0]}
-    best_by_count = {1: sizes[0]}
-    budget = tries
-
-    def fit(size_room: int, used: dict[int, int]) -> int:
-        at = int(np.searchsorted(arr, size_room, "right")) - 1
-        while at >= 0 and used.get(int(arr[at]), 0) >= counts[int(arr[at])]:
-            at -= 1
-        return int(arr[at]) if at >= 0 else 0
-
-    for depth in range(2, 9):
-        if depth * sizes[-1] > room or budget <= 0:
-            break
-        stack: list[tuple[tuple[int, ...], int]] = [((), room)]
-        floor = max(best_by_count.values())
-        while stack and budget > 0:
-            budget -= 1
-            if spent:
-                spent[0] += 1
-            items, rest = stack.pop()
-            used: dict[int, int] = {}
-            for s in items:
-                used[s] = used.get(s, 0) + 1
-            todo = depth - len(items)
-            if todo == 1:
-                s = fit(min(rest, items[-1]), used)
-                if s and room - rest + s > floor:
-                    found[(*items, s)] = room - rest + s
-                    if rest == s:
-                        stack.clear()
+
+    def __init__(self, counts: dict[int, int], room: int):
+        self.counts, self.room = counts, room
+        self.sizes = sorted(s for s, n in counts.items() if n and s <= room)
+        mask, sums, self.reach = (1 << (room + 1)) - 1, 1, [1]
+        for s in self.sizes:
+            n, take = min(counts[s], room // s), 1
+            while n:  # n copies as runs of 1, 2, 4, ... and the rest
+                take = min(take, n)
+                sums |= sums << (take * s) & mask
+                n -= take
+                take *= 2
+            self.reach.append(sums)
+
+    def totals(self, least: int) -> Iterator[int]:
+        """All totals that can be reached and are at least `least`, largest first."""
+        left = self.reach[-1]
+        while left and (t := left.bit_length() - 1) >= least:
+            yield t
+            left ^= 1 << t
+
+    def of(self, total: int) -> Iterator[tuple[int, ...]]:
+        """All fillings of exactly this total, those with larger lengths first."""
+        stack: list[tuple[tuple[int, ...], int, int]] = [((), total, len(self.sizes))]
+        while stack:
+            items, rest, i = stack.pop()
+            if not rest:
+                yield items
                 continue
-            top = min(rest - (todo - 1) * sizes[-1], items[-1] if items else rest)
-            hi = int(np.searchsorted(arr, top, "right"))
-            # an item below the share that the floor asks for can't lead to more than the floor
-            low = int(np.searchsorted(arr, (floor - (room - rest)) / todo, "left"))
-            options = [int(s) for s in arr[low:hi] if used.get(int(s), 0) < counts[int(s)]][-40:]
-            stack += [((*items, s), rest - s) for s in options]
-        best_by_count[depth] = max((v for k, v in found.items() if len(k) == depth), default=0)
-        if max(found.values()) == room:
-            break
-    ranked = sorted(found, key=lambda k: (-found[k], len(k), [-x for x in k]))
-    return ranked[:limit]
+            # the largest length of the rest that takes part, and how often: least good choices first on the stack
+            choices = []
+            for k in range(min(i, bisect_right(self.sizes, rest)), 0, -1):
+                if not self.reach[k] >> rest & 1:
+                    break
+                s = self.sizes[k - 1]
+                for n in range(min(self.counts[s], rest // s), 0, -1):
+                    if self.reach[k - 1] >> (rest - n * s) & 1:
+                        choices.append((items + (s,) * n, rest - n * s, k - 1))
+                if len(choices) >= 64:  # the others wait below on the stack
+                    choices.append((items, rest, k - 1))
+                    break
+            stack += reversed(choices)
+
+    def dominated(self, items: tuple[int, ...]) -> bool:
+        """Whether a length that is left over has room still, or could stand for some of the items and fill the room at least as well.
+
+        Then those items fit in the places that are left elsewhere, and the
+        filling with the larger length is never worse.
+        """
+        slack, used = self.room - sum(items), Counter(items)
+        one, more = 0, 0  # sums of one item, of several
+        for s in items:
+            more |= (more | one) << s
+            one |= 1 << s
+        for x in self.sizes:
+            if used[x] < self.counts[x]:
+                low = max(0, x - slack)
+                if x <= slack or more >> low & ((1 << (x - low + 1)) - 1) or (x > low and one >> low & ((1 << (x - low)) - 1)):
+                    return True
+        return False
+
+    def undominated(self, least: int) -> Iterator[tuple[int, ...]]:
+        """Undominated fillings of at least this total, least waste first."""
+        for total in self.totals(least):
+            for items in self.of(total):
+                if not self.dominated(items):
+                    yield items
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """Martello and Toth's L2: the total, or the large items plus what their waste can't hold."""
-    total = sum(s * n for s, n in counts.items())
-    bound = -(-total // capacity)
-    for k in {s for s in counts if s <= capacity // 2} | {0}:
-        over = sum(n for s, n in counts.items() if s > capacity - k)
-        mid = [(s, n) for s, n in counts.items() if capacity // 2 < s <= capacity - k]
-        n_mid = sum(n for _, n in mid)
-        free = n_mid * capacity - sum(s * n for s, n in mid)
-        small = sum(s * n for s, n in counts.items() if k <= s <= capacity // 2)
-        bound = max(bound, over + n_mid + max(0, -(-(small - free) // capacity)))
-    return bound
-
-
-def complete_bins(counts: dict[int, int], capacity: int, effort: int = 60_000, exact_below: int = 60) -> list[tuple[tuple[int, ...], int]]:
+    size = np.array(sorted(s for s, n in counts.items() if n), np.int64)
+    n = np.array([counts[s] for s in size.tolist()], np.int64)
+    number, volume = (np.concatenate(([0], np.cumsum(x))) for x in (n, size * n))
+    half = int(np.searchsorted(size, capacity // 2, "right"))
+    k = np.concatenate(([0], size[:half]))  # items below k are left out
+    over = np.searchsorted(size, capacity - k, "right")  # items from here on share a bin with none of at least k
+    small = volume[half] - volume[np.searchsorted(size, k, "left")]
+    free = (number[over] - number[half]) * capacity - (volume[over] - volume[half])
+    needed = number[-1] - number[half] + np.maximum(0, -((free - small) // capacity))
+    return int(max(-(-volume[-1] // capacity), needed.max()))
+
+
+def _take(left: dict[int, int], need: dict[int, int], times: int) -> dict[int, int]:
+    out = dict(left)
+    for s, n in need.items():
+        out[s] -= n * times
+        if not out[s]:
+            del out[s]
+    return out
+
+
+def fullest(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """A plan that fills each bin around the largest length left as full as can be, with the largest lengths that do."""
+    left, plan = dict(counts), []
+    while left:
+        top = max(left)
+        fill = Fillings(_take(left, {top: 1}, 1), capacity - top)
+        items = (top, *next(fill.of(next(fill.totals(0)))))
+        need = Counter(items)
+        plan.append((items, min(left[s] // n for s, n in need.items())))
+        left = _take(left, need, plan[-1][1])
+    return plan
+
+
+def complete_bins(counts: dict[int, int], capacity: int, effort: int = 3000) -> list[tuple[tuple[int, ...], int]]:
     """Bin completion by branch and bound: [(lengths in a bin, number of such bins)].
 
     Each level takes the largest length left and branches over its undominated
-    completions. A branch ends when the waste so far is more than the bins
-    below the incumbent allow. The first incumbent is best-fit decreasing. In
-    histograms of more than `exact_below` bins a completion is used as often
-    as the counts allow, so the depth is bounded by the number of distinct
-    lengths, not by the number of documents. The search ends at the lower bound,
-    after `effort` steps, or when no branch is left (then the result is optimal
-    for few bins).
+    completions, least waste first, and over how many bins get it: as many as
+    the counts allow, then fewer. So the depth is bounded by the number of
+    distinct lengths, not by that of documents. A branch ends when the waste
+    so far is more than the bins below the incumbent allow, or when the lower
+    bound of what is left shows it. Incumbents are best-fit decreasing, and
+    the plan that fills each bin as full as can be. The search ends at the
+    lower bound, when no branch is left (then the result is optimal), or after
+    `effort` nodes; the number of bins may then be above the optimum.
     """
     counts = {s: n for s, n in counts.items() if n}
     if not counts:
         return []
+    size = lambda plan: sum(n for _, n in plan)
+    bound, total = lower_bound(counts, capacity), sum(s * n for s, n in counts.items())
     best = best_fit(counts, capacity)
-    n_best, bound = sum(n for _, n in best), lower_bound(counts, capacity)
-    total = sum(s * n for s, n in counts.items())
-    in_bulk, spent = n_best > exact_below, [1]
+    if size(best) > bound:
+        best = min(best, fullest(counts, capacity), key=size)
+    n_best = size(best)
 
-    def branches(left: dict[int, int]) -> list[tuple[tuple[int, ...], int]]:
+    def children(left: dict[int, int], waste: int) -> Iterator[tuple[tuple[int, ...], int]]:
         top = max(left)
-        rest = dict(left)
-        rest[top] -= 1
-        if not rest[top]:
-            del rest[top]
-        out = []
-        few = 100 if in_bulk else 4000
-        for fill in completions(rest, capacity - top, 3 if in_bulk else 12, few, spent, in_bulk):
-            items = (top, *fill)
-            need: dict[int, int] = {}
-            for s in items:
-                need[s] = need.get(s, 0) + 1
-            out.append((items, min(left[s] // n for s, n in need.items()) if in_bulk else 1))
-        return out
-
-    def apply(left: dict[int, int], items: tuple[int, ...], times: int) -> dict[int, int]:
-        out = dict(left)
-        for s in items:
-            out[s] -= times
-            if not out[s]:
-                del out[s]
-        return out
-
-    # depth first: (histogram left, plan so far, bins so far, waste so far)
-    stack = [(counts, None, 0, 0)]
-    while stack and n_best > bound and spent[0] < effort:
-        left, plan, bins, waste = stack.pop()
-        spent[0] += 5
-        if not left:
-            if bins < n_best:
+        room = capacity - top
+        fill = Fillings(_take(left, {top: 1}, 1), room)
+        for items in fill.undominated(room - ((n_best - 1) * capacity - total - waste)):
+            need = Counter((top, *items))
+            for times in range(min(left[s] // n for s, n in need.items()), 0, -1):
+                yield (top, *items), times
+
+    # Depth first, in rounds: round d takes a branch that is not the first of its level only d times on a path.
+    spread, cut = 0, True
+    while cut and n_best > bound and effort > 0:
+        cut = False
+        # (histogram left, its branches still to try, their number so far, plan so far, bins so far, waste so far, turns left)
+        stack = [[counts, children(counts, 0), 0, None, 0, 0, spread]]
+        while stack and n_best > bound and effort > 0:
+            left, branches, tried, plan, bins, waste, turns = stack[-1]
+            if tried > 0 and not turns:
+                cut = cut or next(branches, None) is not None
+                stack.pop()
+                continue
+            step = next(branches, None)
+            if step is None:
+                stack.pop()
+                continue
+            effort -= 1
+            stack[-1][2] += 1
+            items, times = step
+            bins, waste = bins + times, waste + times * (capacity - sum(items))
+            if waste > (n_best - 1) * capacity - total:
+                continue
+            after, plan = _take(left, Counter(items), times), (plan, items, times)
+            if after:
+                if bins + lower_bound(after, capacity) < n_best:
+                    stack.append([after, children(after, waste), 0, plan, bins, waste, turns - (tried > 0)])
+            elif bins < n_best:
                 n_best, best = bins, []
                 while plan:
                     plan, items, times = plan
                     best.append((items, times))
-            continue
-        allowed = (n_best - 1) * capacity - total
-        if waste > allowed:
-            continue
-        for items, times in reversed(branches(left)):
-            more = waste + times * (capacity - sum(items))
-            if more <= allowed:
-                stack.append((apply(left, items, times), (plan, items, times), bins + times, more))
+        spread += 1
     return best
 
 
@@ -213,53 +242,117 @@ def _tokenizer(path: str):
 
 
 class WordIds:
-    """Ids of texts, as little-endian unsigned 32-bit bytes.
+    """Ids of texts, as arrays of unsigned 32-bit numbers.
 
     The tokenizer drops white space and never joins across it, so the runs
     between spaces and line ends are encoded once each and looked up after
     that; the tables are emptied when they are full. It also lower-cases, and
-    splits letters from the punctuation after them, so a Latin word is encoded
-    once for all its capitals and closing marks.
+    splits letters from the marks after them, so a word of Latin letters is
+    encoded once for all its capitals and closing marks. That is done only for
+    letters of ASCII and Latin-1, each of which is one letter in lower case
+    too, so the cut lies where the tokenizer cuts.
     """
 
     marks = ".,!?;:|#$%&*"
-
-    def __init__(self, path: str, most: int = 600_000):
-        self.tokenizer, self.most = _tokenizer(path), most
-        self.known: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> None:
-        cores = self.cores
-        for at in range(0, len(words), 10_000):
-            part = words[at : at + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+    space = re.compile(r"[ \n]")
+
+    def __init__(self, path: str, most: int = 800_000, block: int = 6 << 20):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.most, self.block = _tokenizer(path), most, block
+        # the same model for runs of lower-case letters between spaces, which need no other preparation
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # pieces that end a word
+        self.last[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.cores: dict[str, bytes] = {"": b""}
+        self.ids, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def _encode(self, words: list[str], joined: bool) -> None:
+        """Learn words; joined: each is one run of letters, so its ids end at the first that ends a word."""
+        cores, step = self.cores, 200
+        if joined:
+            made = self.letters.encode_batch_fast([" ".join(words[i : i + step]) for i in range(0, len(words), step)], add_special_tokens=False)
+            for i, e in enumerate(made):
+                ids = np.array(e.ids, np.uint32)
+                ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+                raw = ids.tobytes()
+                for w, a, b in zip(words[i * step : (i + 1) * step], [0, *ends], ends, strict=False):
+                    cores[w] = raw[a:b]
+        else:
+            for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
                 cores[w] = array("I", e.ids).tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        split = []
+        cores, marks, parts, letters, others = self.cores, self.marks, [], set(), set()
         for w in words:
-            core = w.rstrip(self.marks)
-            # below U+0250 lower() maps letter by letter, as the tokenizer does
-            if core and core[-1].isalpha() and max(core) < "\u0250":
-                split.append((core.lower(), w[len(core) :]))
+            core = w.rstrip(marks)
+            if core.isalpha() and (core.isascii() or max(core) < "\u0100"):
+                low = core.lower()
+                parts.append((low, w[len(core) :]))
+                letters.add(low)
             else:
-                split.append((w, ""))
-        cores = self.cores
-        self._encode([x for x in dict.fromkeys(y for pair in split for y in pair) if x not in cores])
-        self.known.update((w, cores[a] + cores[b]) for w, (a, b) in zip(words, split, strict=True))
-
-    def __call__(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) + len(new) > self.most:
-                known.clear()
-                self.cores.clear()
-                new = list(dict.fromkeys(words))
+                parts.append((w, ""))
+                others.add(w)
+        others.update({b for _, b in parts})
+        self._encode([w for w in letters if w not in cores], True)
+        self._encode([w for w in others if w not in cores], False)
+        raw = [cores[a] + cores[b] for a, b in parts]
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(raw), np.uint32)))
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw))) // 4
+        self.starts = np.concatenate((self.starts, self.starts[-1] + ends))
+
+    def _block(self, texts: pa.Array) -> list[np.ndarray]:
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        rows = list(map(self.known.get, distinct))
+        if None in rows:
+            new = [w for w, r in zip(distinct, rows, strict=True) if r is None]
+            if len(self.known) + len(new) > self.most:
+                self._clear()
+                new, rows = distinct, [None] * len(distinct)
+            numbers = iter(range(len(self.known), len(self.known) + len(new)))
             self._learn(new)
-        return b"".join(map(known.__getitem__, words))
+            rows = [next(numbers) if r is None else r for r in rows]
+        rows = np.array(rows, np.int64)
+        first, n = self.starts[rows], np.diff(self.starts)[rows]
+        at = coded.indices.to_numpy()
+        n = n[at]
+        ends = np.cumsum(n)
+        ids = self.ids[np.repeat(first[at] - ends + n, n) + np.arange(ends[-1])]
+        return np.split(ids, ends[np.cumsum(pc.list_value_length(words).to_numpy())[:-1] - 1])
+
+    def _cut(self, text: str) -> Iterator[str]:
+        """The text in blocks, cut at spaces and line ends."""
+        at = 0
+        while len(text) - at > self.block and (m := self.space.search(text, at + self.block)):
+            yield text[at : m.start()]
+            at = m.end()
+        yield text[at:]
+
+    def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, about a block of bytes at a time."""
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        first, size = 0, 0
+        for i, n in enumerate(sizes.tolist()):
+            if first < i and size + n > self.block:
+                yield from self._block(texts[first:i])
+                first, size = i, 0
+            if n > self.block:
+                yield np.concatenate([self._block(pa.array([part]))[0] for part in self._cut(texts[i].as_py())])
+                first, size = i + 1, 0
+            else:
+                size += n
+        if first < len(texts):
+            yield from self._block(texts[first:])
 
 
 @lru_cache
@@ -271,14 +364,14 @@ def _word_ids(path: str) -> WordIds:
 def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, and the task and number within task and length that wrote it."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    tail = int(end_id).to_bytes(4, "little")
+    tail = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, task, seen = _word_ids(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in batches:
             out: list[list] = [[] for _ in range(6)]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                raw = ids(text.as_py()) + tail
+            for doc, found in zip(b.column(0).to_pylist(), ids(b.column(1)), strict=True):
+                raw = np.concatenate((found, tail)).astype("<u4", copy=False).tobytes()
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     cut = raw[at : at + 4 * capacity]
                     n = len(cut) // 4
@@ -321,7 +414,7 @@ def pack(
     text_col: str = "text",
     capacity: int = 2048,
     end_id: int = 0,
-    effort: int = 60_000,
+    effort: int = 3000,
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece of each document.
 
