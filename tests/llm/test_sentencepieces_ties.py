@@ -20,7 +20,7 @@ def test_long_runs_of_one_mark(pieces, mark):
     text = "a " + mark * 10_000 + " b"
     start = time.time()
     top = pieces.encode_all(text)
-    assert time.time() - start < 5 and (len(top) == 5 or mark == "1")  # no piece holds two digits
+    assert time.time() - start < 5 and (len(top) == 5 or mark in "1\n")  # no piece holds two digits or two line ends
     assert all(pieces.decode(ids) == text for _, ids in top) and len({ids for _, ids in top}) == len(top)
     assert [s for s, _ in top] == sorted((s for s, _ in top), reverse=True)
 
