@@ -16,11 +16,14 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """A folder that driver and executors share.
 
-    It is spark.checkpoint.dir when the session has it; otherwise (tests on one
-    machine) a temporary folder that is made once and set for the session.
+    It is spark.checkpoint.dir when the session has it. Otherwise a local
+    session (tests on one machine) gets a temporary folder, which is made once
+    and set for the session, and a session on a cluster is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="caselode-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -46,3 +49,22 @@ def crc32_mod(col: Column, mod: int) -> Column:
 
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], count: str, by: list[str], parts: int = 1000) -> DataFrame:
+    """left joined with right (one row a key) on equal keys, with keys that many rows share dealt over several tasks.
+
+    `count` names right's number of left rows with the key; `right` is read
+    twice, so it should be a table. A key with more than 1/parts of all rows
+    (and more than 1,000) is hot: there are fewer than `parts` of them, so the
+    list that is broadcast is bounded. Rows of a hot key get one of several
+    salts by the hash of their columns `by`, and right's row is repeated for each.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    limit = max(1000, total // parts)
+    salts = F.ceil(F.col(count) / limit).cast("int")
+    hot = right.where(F.col(count) > limit).select(*on, salts.alias("__salts"))
+    dealt = left.join(F.broadcast(hot), on, "left")
+    dealt = dealt.withColumn("__salt", F.when(F.col("__salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*by), "__salts").cast("int"))).drop("__salts")
+    each = right.withColumn("__salt", F.explode(F.when(F.col(count) > limit, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0)))))
+    return dealt.join(each, [*on, "__salt"]).drop("__salt")

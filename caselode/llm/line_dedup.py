@@ -2,27 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage_table
-
+from .common import spread_join, stage_table
 
 #: Words are cut at blanks, for min_words.
 WORD = "[^ \\t\\r\\f\\n]+"
 
 
 def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, doc_id, text): doc numbers the rows, so that rows may repeat and ids may be null."""
+    """(doc, doc_id, text, n_lines): doc numbers the rows, so that rows may repeat and ids may be null."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return stage_table(rows.withColumn("doc", F.monotonically_increasing_id()), "numbered")
+    rows = rows.withColumns({"doc": F.monotonically_increasing_id(), "n_lines": F.size(F.split("text", "\n", -1))})
+    return stage_table(rows, "numbered")
 
 
-def line_ids(rows: DataFrame) -> DataFrame:
-    """(doc, pos, left, line): line is the 128-bit hash of a line, left the number of lines from it to the end."""
-    lines = F.split("text", "\n", -1)
-    found = rows.select("doc", F.size(lines).alias("n"), F.posexplode(lines).alias("pos", "text"))
-    return found.select("doc", F.col("pos").cast("long").alias("pos"), (F.col("n") - F.col("pos")).alias("left"), F.unhex(F.md5("text")).alias("line"))
+def line_ids(rows: DataFrame, min_words: int | None = None) -> DataFrame:
+    """(doc, doc_id, pos, left, long, line): line is the 128-bit hash of a line, left the number of lines from it to the end.
+
+    long says whether the line has min_words words.
+    """
+    found = rows.select("doc", "doc_id", "n_lines", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
+    long = F.lit(False)
+    if min_words:  # so many words can't be shorter
+        long = (F.length("text") >= 2 * min_words - 1) & (F.regexp_count("text", F.lit(WORD)) >= min_words)
+    return found.select(
+        "doc", "doc_id", F.col("pos").cast("long").alias("pos"), (F.col("n_lines") - F.col("pos")).cast("long").alias("left"),
+        long.alias("long"), F.unhex(F.md5("text")).alias("line"),
+    )
 
 
 def _smaller(keys: DataFrame, by: list[str]) -> DataFrame:
@@ -73,44 +81,70 @@ def suffix_ranks(lines: DataFrame, upto: int | None = None) -> DataFrame:
 
 
 def long_runs(rows: DataFrame, n: int, min_words: int) -> DataFrame:
-    """(doc, pos, line): runs of n lines that have at least min_words words; line is the hash of the run."""
+    """(doc, doc_id, pos, line): runs of n lines that have at least min_words words; line is the hash of the run."""
     lines = F.split("text", "\n", -1)
-    found = rows.select("doc", F.posexplode(lines).alias("pos", "text"))
-    if n > 1:
-        whole = F.slice(lines, F.col("i") + 1, n)
-        found = rows.select("doc", "text", F.explode(F.sequence(F.lit(0), F.size(lines) - 1)).alias("i"))
-        found = found.select("doc", F.col("i").alias("pos"), F.array_join(whole, "\n").alias("text"), F.size(whole).alias("n")).where(F.col("n") == n)
-    found = found.where(F.length("text") >= 2 * min_words - 1)  # so many words can't be shorter
-    found = found.where(F.regexp_count("text", F.lit(WORD)) >= min_words)
-    return found.select("doc", F.col("pos").cast("long").alias("pos"), F.unhex(F.md5("text")).alias("line"))
-
-
-def _later(members: DataFrame, rows: DataFrame, by: str, span: int) -> DataFrame:
-    """All but the earliest of the members (doc, pos) that share `by`."""
-    members = members.join(rows.select("doc", "doc_id"), "doc")
-    members = members.select(by, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc", "pos").alias("at"))
-    members = stage_table(members, "intervals")
-    first = members.groupBy(by).agg(F.min("at").alias("first"))
-    later = members.join(first, by).where("at.doc <> first.doc or at.pos <> first.pos")
-    at = [F.col("at.doc"), F.col("at.pos"), F.lit(span).alias("span")]
-    return later.select(*at, F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
+    whole = F.slice(lines, F.col("i") + 1, n)
+    found = rows.where(F.col("n_lines") >= n).select("doc", "doc_id", "text", F.explode(F.sequence(F.lit(0), F.col("n_lines") - n)).alias("i"))
+    found = found.select("doc", "doc_id", F.col("i").alias("pos"), F.array_join(whole, "\n").alias("text"))
+    found = found.where(F.length("text") >= 2 * min_words - 1).where(F.regexp_count("text", F.lit(WORD)) >= min_words)
+    return found.select("doc", "doc_id", F.col("pos").cast("long").alias("pos"), F.unhex(F.md5("text")).alias("line"))
 
 
-def later_copies(rows: DataFrame, min_lines: int = 2, min_words: int | None = 50) -> DataFrame:
-    """(doc, pos, span, first_doc, first_pos): runs of `span` lines that share all of them with an earlier one, and the earliest.
+def _at() -> Column:
+    """Where a suffix stands: rows of smaller doc_id (nulls last) are earlier, and lines further up in a row."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc", "pos")
+
+
+def _members(suffixes: DataFrame, by: list[str], keep: list[str]) -> DataFrame:
+    """The suffixes that share `by` with others: their columns `keep`, their interval's rank, its size n and its first suffix.
+
+    rank is the number of shared suffixes that sort before.
+    """
+    keys = suffixes.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(_at()).alias("first")).where("n > 1")
+    keys = stage_table(_smaller(keys, by).withColumnRenamed("less", "new"), "intervals")
+    found = spread_join(suffixes, keys, by, "n", ["doc", "pos"])
+    return stage_table(found.select(*keep, F.col("new").alias("rank"), "n", "first"), "members")
 
-    span is min_lines, or less where the run has at least min_words words
-    (None: never less). Suffixes with the same rank by min_lines lines are an
-    interval of the suffix array whose longest common prefix is at least that
-    long. Earlier means in a row of smaller doc_id (nulls last), or further up
-    in the same row. Longer copies are made of these, so they add no line.
+
+def _later(members: DataFrame, span: Column) -> DataFrame:
+    """All but the earliest suffix of each interval, and the earliest."""
+    later = members.where("doc <> first.doc or pos <> first.pos")
+    first = [F.col(f"first.{c}").alias(f"first_{c}") for c in ("doc_id", "doc", "pos")]
+    return later.select("doc", "doc_id", "pos", span.cast("long").alias("span"), *first)
+
+
+def later_copies(rows: DataFrame, min_lines: int = 2, min_words: int | None = 50) -> DataFrame:
+    """(doc, doc_id, pos, span, first_doc_id, first_doc, first_pos): suffixes that share `span` lines with an earlier one, and the earliest.
+
+    Prefix doubling over the suffixes of line ids. An interval is a set of two
+    or more suffixes whose longest common prefix has at least k lines, or ends
+    with the texts. From the intervals of k lines those of 2k lines follow by
+    the pair of a suffix's interval and that of the suffix k lines on (-1 past
+    the end). A suffix that has nothing in common with another any more drops
+    out; the doubling goes on until no interval is left that could be longer.
+    k is 1, 2, 4, ..., min_lines, 2 min_lines, 4 min_lines, ...
+
+    Each suffix is given with each k from min_lines on, or the lines left if
+    fewer. Single lines, and runs of less than min_lines lines, count if they
+    have at least min_words words (None: never).
     """
-    ranked = suffix_ranks(line_ids(rows), min_lines).where(F.col("left") >= min_lines).where("n > 1")
-    found = _later(ranked, rows, "rank", min_lines)
-    for n in range(1, min_lines if min_words else 0):
-        runs = long_runs(rows, n, min_words)
-        again = runs.groupBy("line").count().where("count > 1").select("line")
-        found = found.unionByName(_later(runs.join(again, "line"), rows, "line", n))
+    keep = ["doc", "doc_id", "pos", "left", "long"]
+    now = _members(line_ids(rows, min_words), ["line"], keep)
+    k, ended = 1, None
+    found = _later(now if min_lines == 1 else now.where("long"), F.lit(1))
+    for n in range(2, min_lines if min_words else 0):
+        found = found.unionByName(_later(_members(long_runs(rows, n, min_words), ["line"], ["doc", "doc_id", "pos"]), F.lit(n)))
+    while now.where(F.col("left") > k).limit(1).count():
+        step = min(k, min_lines - k) if k < min_lines else k
+        over = now.where(F.col("left") <= k)  # whole suffixes: these intervals stay as they are
+        ended = over if ended is None else ended.unionByName(over)
+        on = now.where(F.col("left") > k).unionByName(ended).select("doc", (F.col("pos") - step).alias("pos"), F.col("rank").alias("next"))
+        pairs = now.where(F.col("left") > k).join(on, ["doc", "pos"], "left")
+        pairs = pairs.withColumn("next", F.coalesce("next", F.when(F.col("left") <= step, F.lit(-1)))).where("next is not null")
+        k += step
+        now = _members(stage_table(pairs.select(*keep, "rank", "next"), "pairs"), ["rank", "next"], keep)
+        if k >= min_lines:
+            found = found.unionByName(_later(now.where(F.col("left") >= min_lines), F.least(F.lit(k), F.col("left"))))
     return found
 
 
@@ -119,18 +153,23 @@ def repeated_runs(
 ) -> DataFrame:
     """doc_id, start, n_lines, first_doc_id, first_start: maximal runs of lines that repeat an earlier run.
 
-    Neighbouring suffixes whose earliest copies are neighbours too make one run.
+    Each suffix counts with its longest common prefix; neighbouring suffixes
+    whose earliest copies are neighbours too make one run, and runs that lie
+    inside another of the same text are left out.
     """
     rows = numbered(docs, id_col, text_col)
-    run = Window.partitionBy("doc", "first_doc", F.col("pos") - F.col("first_pos")).orderBy("pos")
-    copies = later_copies(rows, min_lines, min_words).withColumn("shift", F.col("pos") - F.col("first_pos"))
-    copies = copies.groupBy("doc", "pos", "first_doc", "first_pos", "shift").agg(F.max("span").alias("span"))
+    copies = later_copies(rows, min_lines, min_words)
+    best = F.max(F.struct("span", F.struct(-F.col("first_doc"), -F.col("first_pos")), "first_doc_id", "first_doc", "first_pos"))
+    copies = copies.groupBy("doc", "doc_id", "pos").agg(best.alias("b")).select("doc", "doc_id", "pos", "b.span", "b.first_doc_id", "b.first_doc", "b.first_pos")
+    copies = copies.withColumn("shift", F.col("pos") - F.col("first_pos"))
+    run = Window.partitionBy("doc", "first_doc", "shift").orderBy("pos")
     copies = copies.withColumn("island", F.col("pos") - F.row_number().over(run))
-    n_lines = F.max(F.col("pos") + F.col("span")) - F.min("pos")
-    runs = copies.groupBy("doc", "first_doc", "shift", "island").agg(F.min("pos").alias("start"), n_lines.alias("n_lines"))
-    names = rows.select("doc", "doc_id")
-    runs = runs.join(names, "doc").join(names.select(F.col("doc").alias("first_doc"), F.col("doc_id").alias("first_doc_id")), "first_doc")
-    return runs.select("doc_id", "start", "n_lines", "first_doc_id", (F.col("start") - F.col("shift")).alias("first_start"))
+    runs = copies.groupBy("doc", "doc_id", "first_doc", "first_doc_id", "shift", "island").agg(
+        F.min("pos").alias("start"), F.max(F.col("pos") + F.col("span")).alias("end")
+    )
+    before = Window.partitionBy("doc").orderBy("start", F.desc("end"), "first_doc", "shift").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("inside", F.coalesce(F.max("end").over(before) >= F.col("end"), F.lit(False))).where("not inside")
+    return runs.select("doc_id", "start", (F.col("end") - F.col("start")).alias("n_lines"), "first_doc_id", (F.col("start") - F.col("shift")).alias("first_start"))
 
 
 def drop_repeated_lines(
@@ -150,25 +189,31 @@ def drop_repeated_lines(
     are ignored; an empty table gives an empty result.
     """
     rows = numbered(docs, id_col, text_col)
-    copies = later_copies(rows, min_lines, min_words)
-    gone = copies.select("doc", F.explode(F.sequence("pos", F.col("pos") + F.col("span") - 1)).alias("pos")).distinct()
-    gone = gone.groupBy("doc").agg(F.array_sort(F.collect_list("pos")).alias("gone"))  # at most a text's own lines
-    starts = F.filter("gone", lambda p, i: (i == 0) | (F.get("gone", F.greatest(i - 1, F.lit(0))) != p - 1))
-    gone = gone.withColumn("n_runs", F.size(starts))
-    # the lines between two deleted ones: from after the one to before the other
+    copies = later_copies(rows, min_lines, min_words).groupBy("doc", "pos").agg(F.max(F.col("pos") + F.col("span")).alias("end"))
+    order = Window.partitionBy("doc").orderBy("pos")  # at most a text's own lines
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    copies = copies.withColumn("opens", F.coalesce(F.col("pos") > reached, F.lit(True)).cast("int"))
+    copies = copies.withColumn("gap", F.sum("opens").over(order))
+    gaps = copies.groupBy("doc", "gap").agg(F.min("pos").alias("start"), F.max("end").alias("end"))
+    gone = gaps.groupBy("doc").agg(
+        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gaps"), F.sum(F.col("end") - F.col("start")).alias("n_deleted")
+    )
+    # the lines between two gaps: from the end of the one to the start of the other
     lines = F.split("text", "\n", -1)
-    edges = F.concat(F.array(F.lit(-1).cast("long")), F.coalesce("gone", F.array().cast("array<long>")), F.array(F.size(lines).cast("long")))
-    spans = F.transform(
-        F.slice(edges, 2, F.size(edges) - 1),
-        lambda e, i: F.slice(lines, (F.get(edges, i) + 2).cast("int"), (e - F.get(edges, i) - 1).cast("int")),
+    edge = lambda at: F.array(F.struct(at.cast("long").alias("start"), at.cast("long").alias("end")))
+    edges = F.concat(edge(F.lit(0)), "gaps", edge(F.col("n_lines")))
+    spans = F.zip_with(
+        F.slice("edges", F.lit(1), F.size("edges") - 1),
+        F.slice("edges", F.lit(2), F.size("edges") - 1),
+        lambda a, b: F.slice(F.col("lines"), (a["end"] + 1).cast("int"), (b["start"] - a["end"]).cast("int")),
     )
-    whole = rows.join(gone, "doc", "left")
+    whole = rows.join(gone, "doc", "left").withColumns({"edges": F.when(F.col("gaps").isNotNull(), edges), "lines": F.when(F.col("gaps").isNotNull(), lines)})
     return whole.select(
         "doc_id",
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(spans), "\n")).alias("text"),
-        F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_deleted"),
-        F.coalesce("n_runs", F.lit(0)).cast("long").alias("n_runs"),
+        F.when(F.col("gaps").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(spans), "\n")).alias("text"),
+        F.col("n_lines").cast("long").alias("n_lines"),
+        F.coalesce("n_deleted", F.lit(0)).cast("long").alias("n_deleted"),
+        F.coalesce(F.size("gaps"), F.lit(0)).cast("long").alias("n_runs"),
     )
 
 

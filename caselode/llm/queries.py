@@ -8,8 +8,9 @@ QUERIES = {
     "op1_quality_crf": quality.query,
     "op2_toxicity_ftrl": toxicity.query,
     "op3_simhash_near_dedup": simhash.query,
-    "op4_line_dedup": line_dedup.query,
+    "op4_line_dedup": line_dedup.passages,
     "op4_line_dedup_passages": line_dedup.passages,
+    "op4_line_dedup_runs": line_dedup.query,
     "op5_warc_archive": warc.query,
     "op6_katz_scoring": katz.query,
     "op7_best_fit_packing": packing.query,
@@ -18,8 +19,9 @@ QUERIES = {
     "op10_mips_search": ann.query,
 }
 ORACLE_SQL = {
-    "op4_line_dedup": line_dedup.ORACLE_SQL,
+    "op4_line_dedup": line_dedup.PASSAGES_SQL,
     "op4_line_dedup_passages": line_dedup.PASSAGES_SQL,
+    "op4_line_dedup_runs": line_dedup.ORACLE_SQL,
     "op5_warc_archive": warc.ORACLE_SQL,
     "op8_exact_dedup": exact_dedup.ORACLE_SQL,
 }
