@@ -98,10 +98,20 @@ def _at() -> Column:
 def _members(suffixes: DataFrame, by: list[str], keep: list[str]) -> DataFrame:
     """The suffixes that share `by` with others: their columns `keep`, their interval's rank, its size n and its first suffix.
 
-    rank is the number of shared suffixes that sort before.
+    rank is the interval's place in the suffix array of the shared suffixes:
+    an interval of rank r and size n that is divided (by = rank, next) gives
+    parts within r to r + n, after the members that ended or dropped out.
     """
-    keys = suffixes.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(_at()).alias("first")).where("n > 1")
-    keys = stage_table(_smaller(keys, by).withColumnRenamed("less", "new"), "intervals")
+    sizes = [F.count(F.lit(1)).alias("n"), F.min(_at()).alias("first")] + [F.max("n").alias("whole")] * ("rank" in by)
+    keys = _smaller(suffixes.groupBy(*by).agg(*sizes).where("n > 1"), by)
+    if "rank" in by:
+        parts = keys.groupBy("rank").agg(F.min("less").alias("least"), F.sum("n").alias("rest"))
+        place = F.col("rank") + F.col("whole") - F.col("rest") + F.col("less") - F.col("least")
+        keys = keys.join(parts, "rank").select(*by, "n", "first", place.alias("new"))
+    else:
+        keys = keys.withColumnRenamed("less", "new")
+    keys = stage_table(keys, "intervals")
+    suffixes = suffixes.select(*dict.fromkeys([*keep, *by]))
     found = spread_join(suffixes, keys, by, "n", ["doc", "pos"])
     return stage_table(found.select(*keep, F.col("new").alias("rank"), "n", "first"), "members")
 
@@ -142,7 +152,7 @@ def later_copies(rows: DataFrame, min_lines: int = 2, min_words: int | None = 50
         pairs = now.where(F.col("left") > k).join(on, ["doc", "pos"], "left")
         pairs = pairs.withColumn("next", F.coalesce("next", F.when(F.col("left") <= step, F.lit(-1)))).where("next is not null")
         k += step
-        now = _members(stage_table(pairs.select(*keep, "rank", "next"), "pairs"), ["rank", "next"], keep)
+        now = _members(stage_table(pairs.select(*keep, "rank", "n", "next"), "pairs"), ["rank", "next"], keep)
         if k >= min_lines:
             found = found.unionByName(_later(now.where(F.col("left") >= min_lines), F.least(F.lit(k), F.col("left"))))
     return found
@@ -151,11 +161,13 @@ def later_copies(rows: DataFrame, min_lines: int = 2, min_words: int | None = 50
 def repeated_runs(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, min_words: int | None = 50
 ) -> DataFrame:
-    """doc_id, start, n_lines, first_doc_id, first_start: maximal runs of lines that repeat an earlier run.
+    """doc_id, start, n_lines, first_doc_id, first_start: runs of lines that repeat an earlier run.
 
-    Each suffix counts with its longest common prefix; neighbouring suffixes
-    whose earliest copies are neighbours too make one run, and runs that lie
-    inside another of the same text are left out.
+    Each suffix counts with its longest interval, whose common prefix is known
+    to the last doubling; neighbouring suffixes whose earliest copies are
+    neighbours too make one run, and runs that lie inside another of the same
+    text are left out. So a run is as long as its one source allows, and all
+    runs together are what drop_repeated_lines deletes.
     """
     rows = numbered(docs, id_col, text_col)
     copies = later_copies(rows, min_lines, min_words)

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from caselode.llm import line_dedup as ld
 
@@ -22,18 +23,21 @@ def longest_previous(texts, m):
 
 
 @pytest.mark.parametrize(("seed", "m"), [(0, 2), (1, 3)])
-def test_maximal_runs_against_enumeration(spark, seed, m):
+def test_runs_against_enumeration(spark, seed, m):
     rnd = random.Random(seed)
     texts = [[rnd.choice("abc") for _ in range(rnd.randint(1, 7))] for _ in range(14)]
     texts += [texts[3] + texts[5], ["z"] + texts[3] + ["y"] + texts[5][:3]]
     docs = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
     longest = longest_previous(texts, m)
-    ends = {}
-    for (d, p), n in longest.items():
-        ends.setdefault(d, []).append((p, p + n))
-    want = {(d, s, e) for d, runs in ends.items() for s, e in runs if not any((a <= s and e <= b) and (a, b) != (s, e) for a, b in runs)}
+    want = {(d, q) for (d, p), n in longest.items() for q in range(p, p + n)}
     got = ld.repeated_runs(docs, min_lines=m, min_words=None).collect()
-    assert {(r.doc_id, r.start, r.start + r.n_lines) for r in got} == want
+    assert {(r.doc_id, q) for r in got for q in range(r.start, r.start + r.n_lines)} == want
     for r in got:
         assert texts[r.doc_id][r.start : r.start + r.n_lines] == texts[r.first_doc_id][r.first_start : r.first_start + r.n_lines]
         assert (r.first_doc_id, r.first_start) < (r.doc_id, r.start)
+        others = [(x.start, x.start + x.n_lines) for x in got if x.doc_id == r.doc_id and x != r]
+        assert not any(a <= r.start and r.start + r.n_lines <= b for a, b in others)
+    copies = {(r.doc_id, r.pos): r.span for r in ld.later_copies(ld.numbered(docs), m, None).groupBy("doc_id", "pos").agg(F.max("span").alias("span")).collect()}
+    assert copies.keys() == longest.keys()
+    for at, n in longest.items():  # known to the last doubling, or whole where the text ends
+        assert copies[at] <= n < 2 * max(copies[at], m)
