@@ -15,27 +15,33 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, stage_table
+from .common import fresh_path, spread_join, stage_table
 
 INDEX = "page_id long, url string, file string, offset long, length long, digest string, payload_bytes long, record_type string"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
-def _urn(page_id: int | None) -> str:
-    return f"<urn:page:{'none' if page_id is None else page_id}>"
+def _urn(*of: object) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, repr(of))}>"
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, first: int | None, kind: str, date: str) -> tuple[bytes, str]:
-    """One record as a gzip member, and the payload's digest in base32."""
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, first: int | None, kind: str, date: str, place: str) -> tuple[bytes, str]:
+    """One record as a gzip member, and the payload's digest in base32.
+
+    A response's id follows from its page and payload, so that revisits can
+    name it before it is written; a revisit's id follows from its own place.
+    """
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     block = _HTTP + (payload if kind == "response" else b"")
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(page_id)}", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(page_id, digest) if kind == 'response' else _urn(place)}"]
+    head += [f"WARC-Date: {date}"] + [f"X-Page-ID: {page_id}"] * (page_id is not None)
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f%]", lambda m: f"%{ord(m[0]):02X}", url))
     head += [f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_urn(first)}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_urn(first, digest)}"]
+        head += [f"X-Refers-To-Page: {first}"] * (first is not None)
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     member = zlib.compressobj(1, zlib.DEFLATED, 31)
     raw = "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -49,7 +55,7 @@ def parse_record(member: bytes) -> dict:
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     block = rest[: int(fields["Content-Length"])]
     payload = block.partition(b"\r\n\r\n")[2] if fields["WARC-Type"] == "response" else None
-    number = lambda urn: None if urn in (None, "<urn:page:none>") else int(urn[10:-1])
+    number = lambda text: None if text is None else int(text)
     digest, length = fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["X-Payload-Length"])
     if payload is not None:
         found = base64.b32encode(hashlib.sha1(payload).digest()).decode()
@@ -58,10 +64,10 @@ def parse_record(member: bytes) -> dict:
         length = len(payload)
     url = fields.get("WARC-Target-URI")
     return {
-        "page_id": number(fields["WARC-Record-ID"]),
+        "page_id": number(fields.get("X-Page-ID")),
         "url": None if url is None else re.sub(r"%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), url),
         "record_type": fields["WARC-Type"],
-        "refers_to": number(fields.get("WARC-Refers-To")),
+        "refers_to": number(fields.get("X-Refers-To-Page")),
         "payload_bytes": length,
         "payload_digest": digest,
         "payload": payload,
@@ -72,17 +78,17 @@ def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = 0, file_by
     """Write a record for each row of (page_id, url, html) and return the index.
 
     Rows are grouped by the payload's SHA-256 to find the smallest page_id of
-    equal payloads (pre-aggregated; adaptive execution splits the join at hot
-    payloads). Each task writes its own files, under names no other attempt
+    equal payloads (pre-aggregated; the join deals payloads that very many rows
+    share over several tasks). Each task writes its own files, under names no other attempt
     uses, and its index rows count only if the task commits, so a lost
     executor leaves at most an orphan file that no index row points to.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")
     ).withColumn("k", F.unhex(F.sha2("payload", 256)))
-    firsts = rows.groupBy("k").agg(F.min("page_id").alias("first"))
+    firsts = stage_table(rows.groupBy("k").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")), "warc-firsts")
     kind = F.when((F.length("payload") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first")), "revisit").otherwise("response")
-    rows = rows.join(firsts, "k").select("page_id", "url", "payload", "first", kind.alias("kind"))
+    rows = spread_join(rows, firsts, ["k"], "n", ["page_id", "url"]).select("page_id", "url", "payload", "first", kind.alias("kind"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = FileSystem.from_uri(folder)
@@ -94,7 +100,7 @@ def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = 0, file_by
                     fs.create_dir(root, recursive=True)
                     name, at = f"pages-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz", 0
                     out = fs.open_output_stream(f"{root}/{name}", compression=None)
-                member, digest = record_bytes(page_id, url, payload, first, k, date)
+                member, digest = record_bytes(page_id, url, payload, first, k, date, f"{name} {at}")
                 out.write(member)
                 index.append((page_id, url, name, at, len(member), digest, len(payload), k))
                 at += len(member)
@@ -112,10 +118,12 @@ _TYPES = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 _INDEX_ARROW, _RECORD_ARROW = (pa.schema([(x.split()[0], _TYPES[x.split()[1]]) for x in s.split(", ")]) for s in (INDEX, RECORD))
 
 
-def read_records(index: DataFrame, folder: str, *, gap: int = 64 << 10, most: int = 4 << 20) -> DataFrame:
+def read_records(index: DataFrame, folder: str, *, gap: int = 64 << 10, most: int = 4 << 20, task_bytes: int = 128 << 20) -> DataFrame:
     """The records that the rows of `index` point to, payloads included.
 
-    Index rows are dealt out and sorted by file and offset; ranges that follow
+    Index rows are dealt out and sorted by file and offset, to so many tasks
+    that each has about `task_bytes` of records to read, or less where that
+    leaves cores without work; ranges that follow
     each other within `gap` bytes are fetched as one read of up to about
     `most` bytes.
     """
@@ -147,7 +155,9 @@ def read_records(index: DataFrame, folder: str, *, gap: int = 64 << 10, most: in
         if opened[1] is not None:
             opened[1].close()
 
-    wanted = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    n_tasks = max(1, -(-total // task_bytes), min(-(-total // most), 2 * index.sparkSession.sparkContext.defaultParallelism))
+    wanted = index.select("file", "offset", "length").repartitionByRange(n_tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return wanted.mapInArrow(run, RECORD)
 
 
