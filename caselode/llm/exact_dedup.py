@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import spread_join, stage_table
+
 
 def _md5(text: Column) -> Column:
     return F.unhex(F.md5(text))
@@ -26,9 +28,10 @@ def exact_dedup(
     shuffled, pre-aggregated in each task). A hash that one row has needs no
     more work. Rows of the other hashes are regrouped by (hash, text), where
     the comparison of the grouping key is the comparison of bytes, so texts
-    that collide end in groups of their own. Copies are combined before the
-    shuffle, and the join back to the rows is a plain equi-join, which
-    adaptive execution splits when one group of copies is very large.
+    that collide end in groups of their own. Where a hash has one text only,
+    rows find their group by the hash, else by hash and text. Copies are
+    combined before the shuffle, and the joins with the rows deal groups of
+    very many copies over several tasks.
 
     Defined cases: a null text counts as empty; null ids never win over
     others, and a group of null ids only keeps one row (keep_id null); of
@@ -49,11 +52,20 @@ def exact_dedup(
         F.lit(True).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
-    shared = rows.join(groups.where("n > 1").select("h"), "h", "left_semi")
+    many = stage_table(groups.where("n > 1").select("h", F.col("n").alias("n_rows")), "hashes")
+    shared = spread_join(rows, many, ["h"], "n_rows", ["doc_id"])
     texts = shared.groupBy("h", "text").agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-    members = shared.join(texts, ["h", "text"]).select(
-        "doc_id", "keep_id", F.col("n").alias("group_size"), F.sha2("text", 256).alias("text_sha256")
+    digests = texts.select("h", "keep_id", "n", F.sha2("text", 256).alias("text_sha256"))
+    by_hash = stage_table(digests, "groups").groupBy("h").agg(
+        F.count(F.lit(1)).alias("texts"), F.max("keep_id").alias("keep_id"), F.sum("n").alias("n"), F.max("text_sha256").alias("text_sha256")
     )
+    by_hash = stage_table(by_hash, "hash-groups")
+    columns = ["doc_id", "keep_id", F.col("n").alias("group_size"), "text_sha256"]
+    members = spread_join(rows.select("doc_id", "h"), by_hash.where("texts = 1"), ["h"], "n", ["doc_id"]).select(*columns)
+    if by_hash.where("texts > 1").limit(1).count():  # collisions
+        collided = shared.join(by_hash.where("texts > 1").select("h"), "h", "left_semi")
+        each = collided.groupBy("h", "text").agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+        members = members.unionByName(collided.join(each, ["h", "text"]).withColumn("text_sha256", F.sha2("text", 256)).select(*columns))
     # The window's key holds the id, so its groups are rows that repeat one id: of these one is kept.
     nth = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy("keep_id"))
     members = members.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (nth == 1))
