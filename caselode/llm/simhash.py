@@ -10,8 +10,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import stage_table
+from .common import spread_join, stage_table
 from .components import connected_components
 
 # ---------------------------------------------------------------- fingerprints
@@ -209,6 +210,13 @@ def links(distinct: DataFrame, *, bits: int = 3, blocks: int = 1, hot: int = 1 <
     return grouped.mapInArrow(compare, "a long, b long")
 
 
+def _rooted(classes: DataFrame, bits: int) -> DataFrame:
+    """classes (one row a fingerprint fp, in a table) with root, the same for all fingerprints that links connect."""
+    edges = stage_table(links(classes, bits=bits, blocks=blocks_for(classes.count())), "links")
+    roots = connected_components(edges)
+    return classes.join(roots, classes.fp == roots.node, "left").select(*classes.columns, F.coalesce("component", "fp").alias("root"))
+
+
 def near_dedup(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3
 ) -> DataFrame:
@@ -223,23 +231,38 @@ def near_dedup(
     empty table gives an empty result.
     """
     fps = stage_table(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
-    classes = stage_table(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    edges = stage_table(links(classes, bits=bits, blocks=blocks_for(classes.count())), "links")
-    roots = connected_components(edges)
-    rooted = classes.join(roots, classes.fp == roots.node, "left")
-    rooted = rooted.select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
+    classes = stage_table(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "classes")
+    rooted = _rooted(classes, bits)
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    known = rooted.join(smallest, "root").select("fp", "component_id")
-    return fps.join(known, "fp").select(
+    known = stage_table(rooted.join(smallest, "root").select("fp", "component_id", "n"), "known")
+    return spread_join(fps, known, ["fp"], "n", ["doc_id"]).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is their component's smallest; rows of null id stay, as nothing tells them apart."""
-    found = near_dedup(docs, id_col=id_col, text_col=text_col)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3) -> DataFrame:
+    """One row of docs for each component of near_dedup, with all its columns: that of smallest id.
+
+    Defined cases: rows are told apart by their place, so a repeated id stands
+    for as many rows; of rows that share the smallest id one stays; null ids
+    come last; null and empty texts are one component, of which one row stays;
+    an empty table gives an empty result; columns keep their names, whatever
+    they are.
+    """
+    schema = T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])
+    text = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(text)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], [*b.schema.names, "__fp"])
+
+    rows = stage_table(docs.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()), "rows")
+    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
+    fps = rows.select(F.col("__fp").alias("fp"), place.alias("at"))
+    rooted = _rooted(stage_table(fps.groupBy("fp").agg(F.min("at").alias("at")), "classes"), bits)
+    stay = rooted.groupBy("root").agg(F.min("at").alias("at")).select(F.col("at.row").alias("__stays"))
+    return rows.join(stay, rows["__row"] == stay["__stays"], "left_semi").select(*[rows[c] for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
