@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc32_mod, stage_table
@@ -61,6 +61,7 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     space = _SPACE[buf]
     first = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
     k = len(CLASSES) + 1
+    own[:, k + 1] = 1  # of lines without words, also where no line has any
     if len(first):
         last = np.flatnonzero(~space & np.concatenate((space[1:], [True])))
         line_of = np.searchsorted(starts, first, "right") - 1
@@ -208,7 +209,7 @@ def _blocks(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[st
         yield first, run
 
 
-def fit(labelled: DataFrame, *, rounds: int = 40, l2: float = 1.0, parts: int = 6) -> dict:
+def fit(labelled: DataFrame, *, rounds: int = 40, l2: float = 1.0, parts: int = 12) -> dict:
     """Weights from (text, label) rows; each line takes its document's label.
 
     Features stay in the shared folder; each step of L-BFGS is a Spark job in
@@ -216,7 +217,8 @@ def fit(labelled: DataFrame, *, rounds: int = 40, l2: float = 1.0, parts: int =
     vector a task. Without rows of both labels all weights are zero.
     """
     spark = labelled.sparkSession
-    sample = labelled.where("label in (0, 1)").select("text", F.col("label").cast("int").alias("label"))
+    deal = [F.xxhash64(*[c for c in labelled.columns if c in ("doc_id", "text")])]  # by id and text
+    sample = labelled.where("label in (0, 1)").repartition(parts, *deal).select("text", F.col("label").cast("int").alias("label"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -228,7 +230,7 @@ def fit(labelled: DataFrame, *, rounds: int = 40, l2: float = 1.0, parts: int =
                     [pa.array([v.tobytes()], pa.binary()) for v in (per_text.astype(np.int64), x, y)], ["per_text", "x", "y"]
                 )
 
-    blocks = stage_table(sample.repartition(parts, F.xxhash64("text")).mapInArrow(extract, "per_text binary, x binary, y binary"), "crf")
+    blocks = stage_table(sample.mapInArrow(extract, "per_text binary, x binary, y binary"), "crf")
 
     def totals(run, width: int) -> np.ndarray:
         def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +296,13 @@ def score(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, max_docs: int = 8000) -> DataFrame:
-    """The rows of docs, with all columns, that classify would predict 1; no row is moved."""
+    """The rows of docs, with all columns, that classify would predict 1; no row is moved.
+
+    Defined cases: a null or empty text is one empty line and is judged by its
+    score like any other; a score equal to the threshold is kept; repeated
+    rows are judged alike; without usable labels every score is 0.5; an empty
+    table gives an empty result; columns keep their names, whatever they are.
+    """
     scorer = _scorer(fit(labelled_texts(docs, labels, "quality", lambda i: crc32_mod(i, 5) != 0, max_docs)))
     text = docs.columns.index("text")
 
@@ -305,18 +313,25 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, max
     return docs.mapInArrow(run, docs.schema)
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, learn, max_docs: int) -> DataFrame:
-    """(doc_id, text, label) of at most max_docs labelled documents for which learn(doc_id) holds.
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, learn, max_docs: int, max_bytes: int = 256 << 20) -> DataFrame:
+    """(doc_id, text, label) of at most max_docs labelled documents for which learn(doc_id) holds, of at most max_bytes in all.
 
     The labelled ids of smallest hash are taken before the join, so what is
-    broadcast has at most max_docs rows of two numbers, and no text is moved.
-    Ids with conflicting labels are left out.
+    broadcast has at most max_docs rows of two numbers, and no other text is
+    moved. Of rows that repeat an id one teaches, that of smallest text hash;
+    ids with conflicting labels are left out. Texts that pass max_bytes, in
+    hash order of the ids, are left out too.
     """
     marks = labels.groupBy(F.col("doc_id").alias("marked")).agg(F.min(label).alias("label"), F.max(label).alias("most"))
     marks = marks.where((F.col("label") == F.col("most")) & F.col("label").isin(0, 1)).where(learn(F.col("marked"))).drop("most")
     marks = marks.orderBy(F.xxhash64("marked"), "marked").limit(max_docs)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.join(F.broadcast(marks), rows.doc_id == marks.marked).select("doc_id", "text", F.col("label").cast("int").alias("label"))
+    rows = rows.join(F.broadcast(marks), rows.doc_id == marks.marked)
+    rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    rows = stage_table(rows.select("doc_id", F.col("t.text").alias("text"), F.col("label").cast("int").alias("label")), "labelled")
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # at most max_docs numbers
+    fit_in = rows.select("doc_id", so_far.alias("so_far")).where(F.col("so_far") <= max_bytes).select("doc_id")
+    return rows.join(F.broadcast(fit_in), "doc_id", "left_semi")
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, max_docs: int = 8000) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc32_mod, stage_table
@@ -74,8 +74,8 @@ def fit(
     """(indices, weights, intercept) from (text, label) rows.
 
     FTRL-proximal is an online algorithm: one task passes `epochs` times over
-    the rows in hash order, so the caller bounds their number (labelled_texts
-    does). Features of fewer than `least` rows are left out, and toxic rows
+    the rows in hash order, so the caller bounds their number and bytes
+    (labelled_texts does). Features of fewer than `least` rows are left out, and toxic rows
     count `weight` times. What L1 leaves are at most 2**bits weights, usually
     a few thousand.
     """
@@ -112,11 +112,12 @@ def fit(
     return at[:-1], w[:-1], float(w[-1])
 
 
-def _scorer(model: tuple[np.ndarray, np.ndarray, float], bits: int = 20):
-    """Makes, in a task, a function from a column of texts to probabilities."""
+def _scorer(spark: SparkSession, model: tuple[np.ndarray, np.ndarray, float], bits: int = 20):
+    """Makes, in a task, a function from a column of texts to probabilities; the weights, 2**bits at most, are broadcast."""
+    shared = spark.sparkContext.broadcast(model)
 
     def make():
-        features, (at, w, bias) = Features(bits), model
+        features, (at, w, bias) = Features(bits), shared.value
         dense = np.zeros(1 << bits)
         dense[at] = w
 
@@ -132,7 +133,7 @@ def _scorer(model: tuple[np.ndarray, np.ndarray, float], bits: int = 20):
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score): the probability that a text is toxic."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    make = _scorer(model)
+    make = _scorer(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = make()
@@ -143,8 +144,14 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], *, id_co
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, max_docs: int = 24_000) -> DataFrame:
-    """The rows of docs, with all columns, that classify would predict 0; no row is moved."""
-    make = _scorer(fit(labelled_texts(docs, labels, "toxic", lambda i: crc32_mod(i, 3) != 1, max_docs)))
+    """The rows of docs, with all columns, that classify would predict 0; no row is moved.
+
+    Defined cases: a null or empty text has no features and gets the
+    intercept's probability; a score equal to the threshold goes; repeated
+    rows are judged alike; without usable labels every score is 0.5; an empty
+    table gives an empty result; columns keep their names, whatever they are.
+    """
+    make = _scorer(docs.sparkSession, fit(labelled_texts(docs, labels, "toxic", lambda i: crc32_mod(i, 3) != 1, max_docs)))
     text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
