@@ -19,7 +19,8 @@ def has_alias(lowered: Column, alias: str) -> Column:
     alias = alias.lower()
     if " " in alias or len(alias) >= 8:
         return lowered.contains(alias)
-    return lowered.rlike(f"(?<![a-z0-9]){re.escape(alias)}(?![a-z0-9])")
+    # the plain search is cheap, and most texts don't hold the alias at all
+    return lowered.contains(alias) & lowered.rlike(f"(?<![a-z0-9]){re.escape(alias)}(?![a-z0-9])")
 
 
 def has_alias_sql(lowered: str, alias: str) -> str:
@@ -55,17 +56,25 @@ def domains(text: Column, top_level: list[str], skip: list[str]) -> Column:
     return F.array_sort(F.array_except(F.array_distinct(found), F.array(*map(F.lit, skip)).cast("array<string>")))
 
 
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def normalise_title(title: Column) -> Column:
-    """Lower case, up to two trailing source suffixes off, other characters to spaces, collapsed."""
-    t = F.lower(F.trim(title))
+    """Lower case, up to two trailing source suffixes off, other characters to spaces, collapsed.
+
+    A suffix is what follows a bar, a dash (hyphen, en or em) and holds no bar.
+    """
+    t = _strip(F.lower(_strip(title)))
     for _ in range(2):
-        t = F.regexp_replace(t, r"\s+[-|]\s+[a-z0-9 .]{2,40}$", "")
+        t = _strip(F.regexp_replace(t, r"\s*[|\u2013\u2014-]\s*[^|]+$", ""))
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"[^a-z0-9\s]", " "), r"\s+", " "))
 
 
-def story_key(title: Column, published: Column) -> Column:
-    """First 16 hex digits of the SHA-1 of normalised title and day; undated articles have their own day."""
-    day = F.coalesce(F.date_format(published, "yyyy-MM-dd"), F.lit("undated"))
+def story_key(title: Column, published: Column, fallback: Column | None = None) -> Column:
+    """First 16 hex digits of the SHA-1 of normalised title and day; without a date the day is that of the fallback, or "undated"."""
+    stamp = published if fallback is None else F.coalesce(published, fallback)
+    day = F.coalesce(F.date_format(stamp, "yyyy-MM-dd"), F.lit("undated"))
     return F.substring(F.sha1(F.concat_ws("|", normalise_title(title), day)), 1, 16)
 
 
@@ -99,12 +108,19 @@ def operator_terms(framing: Column, aliases: Column, cve: Column, domain: Column
     return F.filter(terms, lambda t: F.length(t).between(3, 80) & ~t.rlike(r"^[A-Z]{2}\d{3}(\.\d{3})?$"))
 
 
+#: Endings of names of companies.
+COMPANY_WORDS = ["llc", "inc", "ltd", "corp", "corporation", "company", "group", "holdings", "partners", "studios", "logistics", "resources"]
+
+
 def is_entity_term(term: Column) -> Column:
-    """An address, a company suffix, or at least 60 % capitalised words among two or more."""
-    words = F.filter(F.split(F.trim(term), r"\s+"), lambda w: w != "")
-    capital = F.size(F.filter(words, lambda w: w.rlike("^[A-Z]")))
-    suffix = F.lower(term).rlike(r"\b(inc|llc|ltd|corp|gmbh)\.?$")
-    return F.contains(term, F.lit("@")) | suffix | ((F.size(words) >= 2) & (capital / F.size(words) >= 0.6))
+    """Names rather than indicators: blank terms, addresses, a company word after another word,
+    or two words and more of which at least 60 % of those that begin with a letter have a capital."""
+    words = F.filter(F.split(_strip(term), r"\s+"), lambda w: w != "")
+    letters = F.filter(words, lambda w: w.rlike(r"^\p{L}"))
+    capital = F.size(F.filter(letters, lambda w: w.rlike(r"^\p{Lu}")))
+    company = F.lower(_strip(term)).rlike(rf" ({'|'.join(COMPANY_WORDS)})( |$)") | F.lower(_strip(term)).rlike(rf"^({'|'.join(COMPANY_WORDS)}) ")
+    names = (F.size(words) >= 2) & (F.size(letters) > 0) & (capital >= 0.6 * F.size(letters))
+    return (F.size(words) == 0) | F.contains(term, F.lit("@")) | company | names
 
 
 def labelled_line(text: Column, label: str) -> Column:
@@ -131,3 +147,9 @@ def wait_seconds(error: Column, most: int = 3600) -> Column:
     """Seconds that a throttling message asks to wait, at most `most`; null if it names none."""
     asked = F.regexp_extract(error, r"(?i)(?:in|after) (\d+) seconds?", 1).try_cast("int")
     return F.when(asked.isNotNull(), F.least(asked, F.lit(most)))
+
+
+def filing_story_key(court: Column, docket: Column) -> Column:
+    """First 16 hex digits of the SHA-1 of a filing's court and docket number: one case on all days."""
+    plain = [F.regexp_replace(F.lower(_strip(F.coalesce(c, F.lit("")))), r"\s+", " ") for c in (court, docket)]
+    return F.substring(F.sha1(F.concat_ws("|", F.lit("docket"), *plain)), 1, 16)

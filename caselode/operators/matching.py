@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from caselode.functions.text import has_alias, has_any
 
 
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with more columns, each computed once a row however often it is used later.
+
+    The optimiser writes a column's expression out wherever it is used; it
+    doesn't look behind an explode, here of one row into itself. Filters on
+    the columns of df still move below.
+    """
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_made")
+    return df.select("*", made).select(*[F.col(f"`{c}`") for c in df.columns], "_made.*")
+
+
 def technique_hits(articles: DataFrame, taxonomy: list[tuple], stop: frozenset = frozenset()) -> DataFrame:
     """articles with `hits`: array of (theme, technique, title, alias), sorted.
 
@@ -23,7 +34,7 @@ def technique_hits(articles: DataFrame, taxonomy: list[tuple], stop: frozenset =
             alias = F.coalesce(*[F.when(has_alias(F.col("_low"), a), a) for a in usable])
             options.append(F.struct(F.lit(theme).alias("theme"), F.lit(technique).alias("technique"), F.lit(title).alias("title"), alias.alias("alias")))
     hits = F.array_sort(F.filter(F.array(*options), lambda h: h["alias"].isNotNull()))
-    return articles.withColumn("_low", low).withColumn("hits", hits).drop("_low")
+    return computed(computed(articles, {"_low": low}), {"hits": hits}).drop("_low")
 
 
 def technique_counts(matched: DataFrame, taxonomy: DataFrame) -> DataFrame:
@@ -41,40 +52,64 @@ def has_technique(technique: str) -> Column:
     return F.exists("hits", lambda h: (h["technique"] == technique) | h["technique"].startswith(technique + "."))
 
 
-def alignment(framing: list[str]) -> Column:
-    """insider if there are hits and framing or a motive, weak otherwise."""
+def has_theme(theme: str) -> Column:
+    """Any hit of the theme, whatever its case; a blank theme passes everything."""
+    wanted = (theme or "").strip().lower()
+    return F.exists("hits", lambda h: F.lower(h["theme"]) == wanted) if wanted else F.lit(True)
+
+
+def has_topic(title: str, aliases: list[str]) -> Column:
+    """Whether title, summary or content hold a technique's title or alias of three characters or more."""
+    phrases = [p.strip().lower() for p in [title, *aliases] if len(p.strip()) >= 3]
+    return has_any(F.lower(F.concat_ws(" ", "title", "summary", "content")), phrases)
+
+
+def terms_found(low: Column, terms: list[str]) -> Column:
+    """How many of the terms a lower-case text holds."""
+    return sum((has_alias(low, f).cast("int") for f in terms), F.lit(0))
+
+
+def alignment(framed: Column) -> Column:
+    """insider if there are hits and framing terms or a motive, weak otherwise."""
     motive = F.exists("hits", lambda h: h["theme"] == "motive")
-    return F.when((F.size("hits") > 0) & (has_any(F.lower("content"), framing) | motive), "insider").otherwise("weak")
+    return F.when((F.size("hits") > 0) & ((framed > 0) | motive), "insider").otherwise("weak")
 
 
 def _hits_of(theme: str) -> Column:
     return F.size(F.filter("hits", lambda h: h["theme"] == theme))
 
 
-def relevance(theme_weights: list[tuple], framing: list[str]) -> Column:
-    """Capped sum of theme weights in fixed order, framing terms and length; four places, half to even, at most 1."""
+def relevance(theme_weights: list[tuple], framed: Column, n_cves: Column | None = None, n_domains: Column | None = None, weak: Column | None = None) -> Column:
+    """Capped sum of CVEs, theme weights in fixed order, framing terms, domains and length; four places, half to even, at most 1.
+
+    A CVE counts less where the article is weak.
+    """
     total = F.lit(0.0)
+    if n_cves is not None:
+        few = F.least(n_cves * F.lit(0.03), F.lit(0.06))
+        total = total + F.when(weak, few).otherwise(F.least(n_cves * F.lit(0.15), F.lit(0.3)))
     for theme, weight, cap in theme_weights:
         total = total + F.least(_hits_of(theme) * F.lit(weight), F.lit(cap))
-    terms = sum((has_alias(F.lower("content"), f).cast("int") for f in framing), F.lit(0))
-    total = total + F.when(terms > 0, F.least(F.lit(0.08) + terms * F.lit(0.04), F.lit(0.2))).otherwise(F.lit(0.0))
+    total = total + F.when(framed > 0, F.least(F.lit(0.08) + framed * F.lit(0.04), F.lit(0.2))).otherwise(F.lit(0.0))
+    if n_domains is not None:
+        total = total + F.least(n_domains * F.lit(0.02), F.lit(0.06))
     total = total + F.when(F.length("content") > 80, F.lit(0.03)).otherwise(F.lit(0.0))
     return F.least(F.bround(total, 4), F.lit(1.0))
 
 
-def use_cases(registry: list[tuple]) -> Column:
-    """Names, in registry order, with a technique hit, one strong phrase or two weak ones."""
-    low, ids, found = F.lower("content"), F.transform("hits", lambda h: h["technique"]), []
+def use_cases(low: Column, registry: list[tuple]) -> Column:
+    """Names, in registry order, with a technique hit, one strong phrase or two weak ones in the lower-case text."""
+    ids, found = F.transform("hits", lambda h: h["technique"]), []
     for name, techniques, strong, weak in registry:
         hit = F.arrays_overlap(ids, F.array(*map(F.lit, techniques)).cast("array<string>"))
-        two = sum((has_alias(low, p).cast("int") for p in weak), F.lit(0)) >= 2
+        two = terms_found(low, weak) >= 2
         found.append(F.when(hit | has_any(low, strong) | two, name))
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
-def insider_type(rules: list[tuple]) -> Column:
-    """First type, in order, with a phrase or a technique; null if none."""
-    low, ids, out = F.lower("content"), F.transform("hits", lambda h: h["technique"]), []
+def insider_type(low: Column, rules: list[tuple]) -> Column:
+    """First type, in order, with a phrase in the lower-case text or a technique; null if none."""
+    ids, out = F.transform("hits", lambda h: h["technique"]), []
     for name, phrases, techniques in rules:
         out.append(F.when(has_any(low, phrases) | F.arrays_overlap(ids, F.array(*map(F.lit, techniques)).cast("array<string>")), name))
     return F.coalesce(*out)

@@ -3,69 +3,109 @@
 from __future__ import annotations
 
 import hashlib
-import math
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caselode.functions.text import tokens
+from caselode.functions.text import any_of, tokens
+from caselode.operators.matching import computed
 
 
 def _query_tokens(query: str) -> list[str]:
-    import re
-
     return sorted(set(re.findall(r"[a-z0-9][a-z0-9+._-]{1,}", query.lower())))
 
 
-def keyword_score(query: str) -> Column:
-    """Share of query tokens found, 0.15 more for one in the title, at most 1.
+def keyword_score(query: str, found: Column, in_title: Column, named: Column | None = None) -> Column:
+    """Share of query tokens among the article's, 0.15 more for one in the title, 0.2 for a CVE, 0.1 for a technique's id, at most 1.
 
-    Without any token found, 0.4 if the text holds the sorted query tokens as a string.
+    found and in_title: the article's and the title's query tokens; named: ids
+    of its techniques. Without any token found, 0.4 if title and content hold
+    the sorted query tokens as a string.
     """
     asked = _query_tokens(query)
-    q = F.array(*map(F.lit, asked))
+    more = F.when(F.size(in_title) > 0, 0.15).otherwise(0.0) + F.when(F.exists(found, lambda t: t.startswith("cve")), 0.2).otherwise(0.0)
+    if named is not None:
+        ids = F.transform(named, lambda i: F.lower(i))
+        more = more + F.when(F.arrays_overlap(found, ids), 0.1).otherwise(0.0)
+    score = F.least(F.size(found) / F.lit(float(len(asked))) + more, F.lit(1.0))
+    whole = F.lower(F.concat_ws(" ", "title", "content")).contains(" ".join(asked))
+    return F.when(F.size(found) > 0, score).when(whole, 0.4).otherwise(0.0)
+
+
+def with_keyword_score(articles: DataFrame, query: str, named: Column | None = None) -> DataFrame:
+    """articles with `keyword`, their score for a query; each text is cut into tokens once, and only if it holds a query token as a string."""
+    q = F.array(*map(F.lit, _query_tokens(query))).cast("array<string>")
     blob = F.concat_ws(" ", "title", "summary", "content")
-    found = F.size(F.array_intersect(tokens(blob), q))
-    in_title = F.size(F.array_intersect(tokens(F.col("title")), q)) > 0
-    score = F.least(found / F.lit(float(len(asked))) + F.when(in_title, 0.15).otherwise(0.0), F.lit(1.0))
-    return F.when(found > 0, score).when(F.lower(blob).contains(" ".join(asked)), 0.4).otherwise(0.0)
+    some = any_of([F.lower(blob).contains(t) for t in _query_tokens(query)])
+    rows = computed(articles, {"_found": F.when(some, F.array_intersect(tokens(blob), q)).otherwise(F.array().cast("array<string>"))})
+    rows = computed(rows, {"keyword": keyword_score(query, F.col("_found"), F.array_intersect(tokens(F.col("title")), q), named)})
+    return rows.drop("_found")
 
 
-def keyword_top(articles: DataFrame, query: str, k: int) -> DataFrame:
+def keyword_top(articles: DataFrame, query: str, k: int, named: Column | None = None) -> DataFrame:
     """The k best articles, ties in corpus order; a query without tokens finds nothing."""
     if not _query_tokens(query):
         return articles.limit(0).select("link", F.lit(0.0).alias("score"))
-    scored = articles.withColumn("s", keyword_score(query)).where("s > 0")
-    return scored.orderBy(F.desc("s"), "row_ord").limit(k).select("link", F.bround("s", 4).alias("score"))
+    found = with_keyword_score(articles, query, named).where("keyword > 0")
+    return found.select("link", "row_ord", "keyword").orderBy(F.desc("keyword"), "row_ord").limit(k).select("link", F.bround("keyword", 4).alias("score"))
 
 
-def embed(text: str, dims: int = 256) -> list[float]:
+class Embedder:
     """Hashing embedder: each token adds a sign at an index from its 8-byte BLAKE2b; unit length."""
-    import re
 
-    v = [0.0] * dims
-    for t in re.findall(r"[a-z0-9][a-z0-9+._-]{1,}", (text or "").lower()):
-        h = hashlib.blake2b(t.encode(), digest_size=8).digest()
-        v[int.from_bytes(h[:4], "little") % dims] += 1.0 if h[4] % 2 == 0 else -1.0
-    norm = math.sqrt(sum(x * x for x in v))
-    return [x / norm for x in v] if norm else v
+    def __init__(self, dims: int = 256, most: int = 200_000):
+        self.dims, self.most, self.known = dims, most, {}
+
+    def places(self, text: str) -> np.ndarray:
+        """One number a token: its index, or index + dims where its sign is minus."""
+        words = re.findall(r"[a-z0-9][a-z0-9+._-]{1,}", (text or "").lower())
+        new = set(words) - self.known.keys()
+        if len(self.known) + len(new) > self.most:
+            self.known.clear()
+            new = set(words)
+        for w in new:
+            h = hashlib.blake2b(w.encode(), digest_size=8).digest()
+            self.known[w] = int.from_bytes(h[:4], "little") % self.dims + self.dims * (h[4] % 2)
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        found = [self.places(t) for t in texts]
+        row = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+        flat = np.bincount(row * 2 * self.dims + np.concatenate([np.empty(0, np.int64), *found]), minlength=len(texts) * 2 * self.dims)
+        plus, minus = flat.reshape(len(texts), 2, self.dims).transpose(1, 0, 2)
+        v = (plus - minus).astype(float)
+        norm = np.linalg.norm(v, axis=1, keepdims=True)
+        return np.divide(v, norm, out=v, where=norm > 0)
 
 
-def hybrid_top(articles: DataFrame, query: str, k: int, weights: tuple[float, float, float] = (0.55, 0.35, 0.10)) -> DataFrame:
-    """Semantic, keyword and relevance parts blended; the embedder runs in Arrow batches."""
-    asked = embed(query)
+def embed(text: str, dims: int = 256) -> list[float]:
+    return Embedder(dims)([text])[0].tolist()
+
+
+def similar_to(query: str) -> Callable[[Column], Column]:
+    """A function of a text column: cosine with the query, in Arrow batches."""
+    asked = np.array(embed(query))
 
     @F.pandas_udf("double")
     def similarity(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        embedder = Embedder()
         for t in texts:
-            yield t.map(lambda x: sum(a * b for a, b in zip(asked, embed(x), strict=True)))
+            yield pd.Series(embedder(t.tolist()) @ asked)
+
+    return similarity
 
+
+def hybrid_top(articles: DataFrame, query: str, k: int, weights: tuple[float, float, float] = (0.55, 0.35, 0.10)) -> DataFrame:
+    """Keyword, semantic and relevance parts (relevance_score) blended; ties in corpus order."""
     blob = F.concat_ws(" ", "title", "summary", "content")
-    semantic = F.greatest((similarity(blob) + 1) / 2, F.lit(0.0))
-    score = weights[0] * semantic + weights[1] * keyword_score(query) + weights[2] * F.when(F.length("content") > 80, 1.0).otherwise(0.0)
-    return articles.withColumn("s", score).orderBy(F.desc("s"), "row_ord").limit(k).select("link", F.bround("s", 4).alias("score"))
+    semantic = F.greatest((similar_to(query)(blob) + 1) / 2, F.lit(0.0))
+    rows = with_keyword_score(articles, query).withColumn("_semantic", semantic)
+    score = weights[0] * F.col("keyword") + weights[1] * F.col("_semantic") + weights[2] * F.col("relevance_score")
+    return rows.select("link", "row_ord", score.alias("s")).orderBy(F.desc("s"), "row_ord").limit(k).select("link", F.bround("s", 4).alias("score"))
 
 
 def dot(a: Column, b: Column) -> Column:

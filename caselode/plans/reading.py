@@ -32,14 +32,18 @@ _UC = ", ".join(
     for n, ts, strong, weak in X.USE_CASES
 )
 _TYPE = "CASE " + " ".join(f"WHEN {_any(ps)} OR {_hit(ts)} THEN '{n}'" for n, ps, ts in X.INSIDER_TYPES) + " END"
+_CVES = "len(list_distinct(regexp_extract_all(upper(summary || ' ' || content), 'CVE-[0-9]{4}-[0-9]{4,7}')))"
+_DOMAINS = f"""len(list_filter(list_distinct(regexp_extract_all(lower(summary || ' ' || content), '\\b(?:[a-z0-9-]+\\.)+(?:{"|".join(X.TOP_LEVEL)})\\b')), lambda x: x <> '{X.SKIPPED[0]}'))"""
+_INSIDER = f"""(EXISTS (SELECT 1 FROM hits h WHERE h.row_ord = l.row_ord)
+              AND (({_FRAMED}) > 0 OR EXISTS (SELECT 1 FROM hits h WHERE h.row_ord = l.row_ord AND theme = 'motive')))"""
 SCORED = f"""{HITS}, scored AS (
   SELECT *, CASE WHEN aligned = 'weak' AND len(use_cases) > 0 AND insider_type IS NOT NULL THEN 'insider' ELSE aligned END AS alignment
   FROM (SELECT l.*,
-    least(round_even({_THEMES} + CASE WHEN ({_FRAMED}) > 0 THEN least(0.08::DOUBLE + ({_FRAMED}) * 0.04::DOUBLE, 0.2::DOUBLE) ELSE 0 END
+    least(round_even(CASE WHEN {_INSIDER} THEN least({_CVES} * 0.15::DOUBLE, 0.3::DOUBLE) ELSE least({_CVES} * 0.03::DOUBLE, 0.06::DOUBLE) END + {_THEMES}
+                     + CASE WHEN ({_FRAMED}) > 0 THEN least(0.08::DOUBLE + ({_FRAMED}) * 0.04::DOUBLE, 0.2::DOUBLE) ELSE 0 END
+                     + least({_DOMAINS} * 0.02::DOUBLE, 0.06::DOUBLE)
                      + CASE WHEN length(content) > 80 THEN 0.03::DOUBLE ELSE 0 END, 4), 1.0::DOUBLE) AS relevance_score,
-    CASE WHEN EXISTS (SELECT 1 FROM hits h WHERE h.row_ord = l.row_ord)
-              AND (({_FRAMED}) > 0 OR EXISTS (SELECT 1 FROM hits h WHERE h.row_ord = l.row_ord AND theme = 'motive'))
-         THEN 'insider' ELSE 'weak' END AS aligned,
+    CASE WHEN {_INSIDER} THEN 'insider' ELSE 'weak' END AS aligned,
     list_filter([{_UC}], lambda x: x IS NOT NULL) AS use_cases, {_TYPE} AS insider_type
     FROM low l))"""
 
@@ -48,19 +52,28 @@ def matched(spark, sf_dir: str) -> DataFrame:
     return M.technique_hits(X.articles(spark, sf_dir), X.TAXONOMY)
 
 
-def scored(spark, sf_dir: str) -> DataFrame:
-    """The processing chain: match, score, align, classify, promote, in one select chain."""
-    found = matched(spark, sf_dir).withColumns(
-        {
-            "relevance_score": M.relevance(X.THEME_WEIGHTS, X.FRAMING),
-            "aligned": M.alignment(X.FRAMING),
-            "use_cases": M.use_cases(X.USE_CASES),
-            "insider_type": M.insider_type(X.INSIDER_TYPES),
-        }
-    )
+def processed(articles: DataFrame) -> DataFrame:
+    """The processing chain: match, score, align, classify, promote. Each step's columns are computed once a row."""
+    both = F.concat_ws(" ", "summary", "content")
+    found = M.computed(M.technique_hits(articles, X.TAXONOMY), {"low": F.lower("content")})
+    parts = {
+        "framed": M.terms_found(F.col("low"), X.FRAMING),
+        "use_cases": M.use_cases(F.col("low"), X.USE_CASES),
+        "insider_type": M.insider_type(F.col("low"), X.INSIDER_TYPES),
+        "n_cves": F.size(T.cves(both)),
+        "n_domains": F.size(T.domains(both, X.TOP_LEVEL, X.SKIPPED)),
+    }
+    found = M.computed(found, parts).drop("low")
+    aligned = M.alignment(F.col("framed"))
+    score = M.relevance(X.THEME_WEIGHTS, F.col("framed"), F.col("n_cves"), F.col("n_domains"), aligned == "weak")
+    found = M.computed(found, {"relevance_score": score, "aligned": aligned}).drop("framed", "n_cves", "n_domains")
     return found.withColumn("alignment", M.promoted(F.col("aligned"), F.col("use_cases"), F.col("insider_type")))
 
 
+def scored(spark, sf_dir: str) -> DataFrame:
+    return processed(X.articles(spark, sf_dir))
+
+
 def technique_counts(spark, sf_dir):
     return M.technique_counts(matched(spark, sf_dir), X.taxonomy(spark)).orderBy(F.desc("articles"), "technique")
 
@@ -71,7 +84,7 @@ def technique_hits(spark, sf_dir):
 
 def cve_domain_extract(spark, sf_dir):
     both = F.concat_ws(" ", "summary", "content")
-    found = X.articles(spark, sf_dir).select("link", F.array_join(T.cves(both), ",").alias("cves"), F.array_join(T.domains(both, ["com", "org", "net"], ["example.org"]), ",").alias("domains"))
+    found = X.articles(spark, sf_dir).select("link", F.array_join(T.cves(both), ",").alias("cves"), F.array_join(T.domains(both, X.TOP_LEVEL, X.SKIPPED), ",").alias("domains"))
     return found.where("cves <> '' or domains <> ''")
 
 
@@ -134,12 +147,22 @@ def source_counts_merged(spark, sf_dir):
 QUERY = "thing the license under"
 
 
+BOOSTED = "cve-2024 pr001 thing the license"
+
+
 def keyword_search_topk(spark, sf_dir):
     return S.keyword_top(X.articles(spark, sf_dir), QUERY, 20)
 
 
+def keyword_search_boosted(spark, sf_dir):
+    """A query that names a technique, which counts where an article has a hit of it, and the start of a CVE."""
+    named = F.concat_ws(" ", "summary", F.transform("hits", lambda h: h["technique"]))
+    rows = matched(spark, sf_dir).withColumn("summary", named)
+    return S.keyword_top(rows, BOOSTED, 20, F.transform("hits", lambda h: h["technique"]))
+
+
 def hybrid_search_topk(spark, sf_dir):
-    return S.hybrid_top(X.articles(spark, sf_dir), QUERY, 20)
+    return S.hybrid_top(scored(spark, sf_dir), QUERY, 20)
 
 
 def article_stream(spark, sf_dir):
@@ -148,31 +171,71 @@ def article_stream(spark, sf_dir):
     return rows.select("link", "title", F.unix_timestamp("published").alias("published_s"))
 
 
-def _stories(spark, sf_dir):
-    return X.articles(spark, sf_dir).withColumn("day", F.lit("any")).withColumn(
-        "story", F.substring(F.sha1(F.concat_ws("|", T.normalise_title(F.col("title")), "day")), 1, 16)
-    )
+def has_note(row_ord):
+    """The test tables hold no analyst notes: every seventh article stands for one that has a note."""
+    return row_ord % 7 == 0
+
+
+def _keyed(articles: DataFrame) -> DataFrame:
+    key = T.story_key(F.col("title"), F.col("published"), F.col("processed_at"))
+    return M.computed(articles, {"story": key, "norm": T.normalise_title(F.col("title"))})
 
 
 def story_clusters(spark, sf_dir):
-    """Articles of one channel and story; the primary is the newest, and of equals the first in the corpus."""
+    """Articles of one channel and story; the primary has a note, the best score, the newest date, no social source, in this order."""
+    rows = scored(spark, sf_dir).select("row_ord", "link", "title", "channel", "source_id", "source_name", "published", "processed_at", "relevance_score")
+    return clusters(_keyed(rows))
+
+
+def clusters(rows: DataFrame) -> DataFrame:
     ts = F.coalesce(F.unix_timestamp("published"), F.lit(0))
-    best = F.struct(ts.alias("ts"), (-F.col("row_ord")).alias("first"), F.col("link"))
-    by = _stories(spark, sf_dir).groupBy("channel", "story").agg(
-        F.count(F.lit(1)).alias("members"), F.max(best).alias("best"), F.count_distinct("source_id").alias("sources")
-    )
-    return by.select("channel", "story", F.col("best.link").alias("primary_link"), F.col("best.ts").alias("newest"), "members", "sources")
+    direct = ~F.lower("source_id").rlike("^(reddit-|tip-)")
+    best = F.struct(has_note(F.col("row_ord")).alias("note"), "relevance_score", ts.alias("ts"), direct.alias("direct"), (-F.col("row_ord")).alias("first"), "link")
+    other = F.struct(F.lower("source_name").alias("name"), "link")
+    by = rows.groupBy("channel", "story").agg(F.count(F.lit(1)).alias("members"), F.max(best).alias("best"), F.array_sort(F.collect_list(other)).alias("all"))
+    siblings = F.filter(F.transform("all", lambda o: o["link"]), lambda x: x != F.col("best.link"))
+    return by.select(
+        "channel",
+        "story",
+        F.col("best.link").alias("primary_link"),
+        F.col("best.ts").alias("newest"),
+        F.col("best.relevance_score").alias("score"),
+        "members",
+        F.array_join(siblings, ",").alias("siblings"),
+        F.col("best.first").alias("first"),
+    ).drop("first")
+
+
+def cluster_page(spark, sf_dir):
+    """The first 25 clusters: newest primary first, then the better score."""
+    return story_clusters(spark, sf_dir).orderBy(F.desc("newest"), F.desc("score"), "story", "channel").limit(25).select("story", "channel", "primary_link")
 
 
 def syndication_representative(spark, sf_dir):
     """One article for each story: filings first, then the newest; blank titles never stand for each other."""
-    order = [F.desc(F.col("channel") == "filings"), F.desc_nulls_last("published"), "row_ord"]
-    nth = F.row_number().over(Window.partitionBy("story", F.when(T.normalise_title(F.col("title")) == "", F.col("row_ord"))).orderBy(*order))
-    return _stories(spark, sf_dir).withColumn("nth", nth).where("nth = 1").select("story", "link")
+    rows = _keyed(X.articles(spark, sf_dir).select("row_ord", "link", "title", "channel", "published", "processed_at"))
+    alone = F.when(F.col("norm") == "", F.col("row_ord"))
+    best = F.struct((F.col("channel") == "filings").alias("filing"), F.col("published").isNotNull().alias("dated"), "published", (-F.col("row_ord")).alias("first"), "link")
+    return rows.groupBy("story", alone.alias("alone")).agg(F.max(best)["link"].alias("link")).select("story", "link")
+
 
+def uncovered_stories(spark, sf_dir):
+    """Articles whose story no article with a note covers yet: an anti-join on the story; blank titles are always left."""
+    rows = _keyed(X.articles(spark, sf_dir).select("row_ord", "link", "title", "published", "processed_at"))
+    covered = rows.where(has_note(F.col("row_ord")) & (F.col("norm") != "")).select("story").distinct()
+    return rows.where(~has_note(F.col("row_ord"))).join(covered, "story", "left_anti").select("link", "story")
 
-_NT = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(title)), '\\s+[-|]\\s+[a-z0-9 .]{2,40}$', ''), '\\s+[-|]\\s+[a-z0-9 .]{2,40}$', ''), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
-STORY = f"{A}, story AS (SELECT *, {_NT} AS norm, substr(sha1({_NT} || '|any'), 1, 16) AS story FROM article)"
+
+_STRIPPED = lambda t: f"regexp_replace({t}, '^\\s+|\\s+$', '', 'g')"
+_CUT = lambda t: _STRIPPED(f"regexp_replace({t}, '\\s*[|\u2013\u2014-]\\s*[^|]+$', '')")
+_NT = f"trim(regexp_replace(regexp_replace({_CUT(_CUT(_STRIPPED('lower(title)')))}, '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+STORY_OF = f"{_NT} AS norm, substr(sha1({_NT} || '|' || strftime(coalesce(published, processed_at), '%Y-%m-%d')), 1, 16) AS story"
+STORY = f"{A}, story AS (SELECT *, {STORY_OF} FROM article)"
+_CLUSTERS = f"""{SCORED}, story AS (SELECT *, {STORY_OF} FROM scored), clusters AS (
+    SELECT channel, story, arg_max(link, (row_ord % 7 = 0, relevance_score, coalesce(epoch(published), 0), NOT regexp_matches(lower(source_id), '^(reddit-|tip-)'), -row_ord)) AS primary_link,
+           count(*) AS members, list(link ORDER BY lower(source_name), link) AS links FROM story GROUP BY channel, story), found AS (
+    SELECT c.channel, c.story, primary_link, CAST(coalesce(epoch(s.published), 0) AS BIGINT) AS newest, s.relevance_score AS score, members,
+           array_to_string(list_filter(links, lambda x: x <> primary_link), ',') AS siblings FROM clusters c JOIN scored s ON s.link = primary_link)"""
 
 
 def vector_topk(spark, sf_dir):
@@ -211,7 +274,7 @@ def technique_union(spark, sf_dir):
 
 def lane_union(spark, sf_dir):
     """Two lanes into one store: the first to bring a link keeps it; what both bring, and what one alone."""
-    a, b = (X.articles(spark, sf_dir).where(c).select("link") for c in ("row_ord % 3 = 0", "row_ord % 5 = 0"))
+    a, b = (X.articles(spark, sf_dir).where(c).select("link") for c in ("row_ord % 3 <> 0", "row_ord % 3 <> 1"))
     tag = lambda df, t: df.select("link", F.lit(t).alias("part"))
     return tag(a.intersect(b), "both").unionByName(tag(a.exceptAll(b), "first")).unionByName(tag(b.exceptAll(a), "second"))
 
@@ -226,7 +289,20 @@ def trending_topics(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (technique_counts, technique_hits, cve_domain_extract, relevance_score, use_case_labels, insider_type, article_filters, technique_filter, control_filter, article_controls, source_counts, source_counts_merged, keyword_search_topk, hybrid_search_topk, article_stream, story_clusters, syndication_representative, vector_topk, label_centroid_argmax, rail_counts, links_found, links_missing, technique_union, lane_union, trending_topics)}
+QUERIES = {f.__name__: f for f in (technique_counts, technique_hits, cve_domain_extract, relevance_score, use_case_labels, insider_type, article_filters, technique_filter, control_filter, article_controls, source_counts, source_counts_merged, keyword_search_topk, keyword_search_boosted, hybrid_search_topk, article_stream, story_clusters, cluster_page, uncovered_stories, syndication_representative, vector_topk, label_centroid_argmax, rail_counts, links_found, links_missing, technique_union, lane_union, trending_topics)}
+
+
+
+def _keyword_sql(with_: str, table: str, query: str, blob: str, ids: str) -> str:
+    found = lambda t: f"list_distinct(regexp_extract_all(lower({t}), '[a-z0-9][a-z0-9+._-]+'))"
+    return f"""WITH {with_}, q AS (SELECT {found(f"'{query}'")} AS q), s AS (
+        SELECT row_ord, link, list_intersect(q, {found(blob)}) AS hit, len(q) AS m, len(list_intersect(q, {found("title")})) AS in_title,
+               {ids} AS named, contains(lower(title || ' ' || content), array_to_string(list_sort(q), ' ')) AS whole FROM {table}, q), r AS (
+        SELECT row_ord, link, CASE WHEN len(hit) > 0 THEN least(len(hit)::DOUBLE / m + CASE WHEN in_title > 0 THEN 0.15::DOUBLE ELSE 0 END
+            + CASE WHEN len(list_filter(hit, lambda x: starts_with(x, 'cve'))) > 0 THEN 0.2::DOUBLE ELSE 0 END
+            + CASE WHEN len(list_intersect(hit, named)) > 0 THEN 0.1::DOUBLE ELSE 0 END, 1.0::DOUBLE) WHEN whole THEN 0.4::DOUBLE ELSE 0 END AS s FROM s)
+        SELECT link, round_even(s, 4) AS score FROM r WHERE s > 0 ORDER BY s DESC, row_ord LIMIT 20"""
+
 
 _has = lambda t: f"(technique = '{t}' OR starts_with(technique, '{t}.'))"
 ORACLE_SQL = {
@@ -251,14 +327,15 @@ ORACLE_SQL = {
     "source_counts": f"WITH {A} SELECT source_id, count(*) AS articles, arg_max(source_name, row_ord) FILTER (source_name <> '') AS name FROM article GROUP BY source_id",
     "source_counts_merged": f"""WITH {A}, {X.values_sql("conf", "source_id, configured", REGISTRY)}, n AS (SELECT source_id, count(*) AS articles, arg_max(source_name, row_ord) FILTER (source_name <> '') AS name FROM article GROUP BY source_id)
         SELECT source_id, coalesce(configured, name, source_id) AS name, coalesce(articles, 0) AS articles FROM n FULL OUTER JOIN conf USING (source_id)""",
-    "keyword_search_topk": f"""WITH {A}, q AS (SELECT list_distinct(regexp_extract_all('{QUERY}', '[a-z0-9][a-z0-9+._-]+')) AS q), s AS (
-        SELECT row_ord, link, len(list_intersect(q, list_distinct(regexp_extract_all(lower(title || ' ' || summary || ' ' || content), '[a-z0-9][a-z0-9+._-]+')))) AS n, len(q) AS m,
-               len(list_intersect(q, list_distinct(regexp_extract_all(lower(title), '[a-z0-9][a-z0-9+._-]+')))) AS in_title FROM article, q), r AS (
-        SELECT row_ord, link, CASE WHEN n > 0 THEN least(n::DOUBLE / m + CASE WHEN in_title > 0 THEN 0.15::DOUBLE ELSE 0 END, 1.0::DOUBLE) ELSE 0 END AS s FROM s)
-        SELECT link, round_even(s, 4) AS score FROM r WHERE s > 0 ORDER BY s DESC, row_ord LIMIT 20""",
+    "keyword_search_topk": _keyword_sql(A, "article", QUERY, "title || ' ' || summary || ' ' || content", "[]"),
+    "keyword_search_boosted": _keyword_sql(
+        f"{HITS}, named AS (SELECT row_ord, list(technique) AS ids FROM hits GROUP BY row_ord), asked AS (SELECT a.*, coalesce(ids, []) AS ids FROM article a LEFT JOIN named USING (row_ord))",
+        "asked", BOOSTED, "title || ' ' || concat_ws(' ', summary, nullif(array_to_string(ids, ' '), '')) || ' ' || content", "list_transform(ids, lambda x: lower(x))",
+    ),
     "article_stream": f"WITH {A} SELECT link, title, CAST(epoch(published) AS BIGINT) AS published_s FROM article WHERE channel = 'news' ORDER BY published DESC NULLS LAST, row_ord LIMIT 50",
-    "story_clusters": f"""WITH {STORY} SELECT channel, story, arg_max(link, (coalesce(epoch(published), 0), -row_ord)) AS primary_link, CAST(max(coalesce(epoch(published), 0)) AS BIGINT) AS newest,
-        count(*) AS members, count(DISTINCT source_id) AS sources FROM story GROUP BY channel, story""",
+    "story_clusters": f"WITH {_CLUSTERS} SELECT * FROM found",
+    "cluster_page": f"WITH {_CLUSTERS} SELECT story, channel, primary_link FROM found ORDER BY newest DESC, score DESC, story, channel LIMIT 25",
+    "uncovered_stories": f"WITH {STORY} SELECT link, story FROM story WHERE row_ord % 7 <> 0 AND story NOT IN (SELECT story FROM story WHERE row_ord % 7 = 0 AND norm <> '')",
     "syndication_representative": f"""WITH {STORY} SELECT story, link FROM story QUALIFY row_number() OVER (PARTITION BY story, CASE WHEN norm = '' THEN row_ord END
         ORDER BY channel = 'filings' DESC, published DESC NULLS LAST, row_ord) = 1""",
     "vector_topk": """WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), s AS (
@@ -274,7 +351,8 @@ ORACLE_SQL = {
     "links_missing": f"WITH {A}, {X.values_sql('asked', 'ask, link', list(enumerate(LINKS)))} SELECT ask, link FROM asked WHERE link NOT IN (SELECT link FROM article)",
     "technique_union": f"""WITH {HITS}, f AS (SELECT link, CASE WHEN {_has("PR001")} THEN 0 WHEN {_has("IF001")} THEN 1 WHEN {_has("MT002")} THEN 2 END AS nth FROM hits)
         SELECT link, ['PR001', 'IF001', 'MT002'][min(nth) + 1] AS technique FROM f WHERE nth IS NOT NULL GROUP BY link""",
-    "lane_union": f"WITH {A} SELECT link, CASE WHEN row_ord % 15 = 0 THEN 'both' WHEN row_ord % 3 = 0 THEN 'first' ELSE 'second' END AS part FROM article WHERE row_ord % 3 = 0 OR row_ord % 5 = 0",
+    "lane_union": f"""WITH {A}, l AS (SELECT link, row_ord % 3 <> 0 AS a, row_ord % 3 <> 1 AS b FROM article)
+        SELECT link, CASE WHEN a AND b THEN 'both' WHEN a THEN 'first' ELSE 'second' END AS part FROM l WHERE a OR b""",
     "trending_topics": """WITH e AS (SELECT event_type AS key, user_id AS story, ts AS stamp, json_extract_string(props, '$.k') AS channel, event_id AS row_ord FROM events),
         a AS (SELECT max(stamp) AS anchor FROM e), w AS (SELECT *, stamp > anchor - INTERVAL 7 DAY AS recent, stamp <= anchor - INTERVAL 7 DAY AND stamp > anchor - INTERVAL 14 DAY AS prior FROM e, a),
         m AS (SELECT key, channel FROM (SELECT key, channel, count(*) AS n, min(row_ord) AS first FROM w GROUP BY key, channel) QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, first) = 1),

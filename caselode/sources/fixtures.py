@@ -44,14 +44,16 @@ USE_CASES = [
 #: (type, phrases, techniques), in order of precedence.
 INSIDER_TYPES = [("malicious", ["stupid", "loser"], []), ("negligent", ["oned", "with the"], ["MT002"]), ("unintentional", ["that"], ["MT001"])]
 FRAMING = ["was", "with", "they", "from the", "about"]
-#: (theme, weight of a hit, cap), in the order in which the score is added up.
+#: (theme, weight of a hit, cap), in the order in which the score is added up. Fixed values.
 THEME_WEIGHTS = [
-    ("motive", 0.14, 0.35),
-    ("means", 0.11, 0.35),
-    ("preparation", 0.11, 0.25),
-    ("infringement", 0.08, 0.25),
-    ("anti-forensics", 0.05, 0.25),
+    ("anti-forensics", 0.11, 0.35),
+    ("infringement", 0.14, 0.35),
+    ("means", 0.08, 0.25),
+    ("motive", 0.05, 0.25),
+    ("preparation", 0.11, 0.35),
 ]
+#: Top-level names that make a domain, and domains that are passed over.
+TOP_LEVEL, SKIPPED = ["com", "org", "net"], ["example.org"]
 CHANNELS = ["news", "filings", "tips", "social", "publications"]
 
 
