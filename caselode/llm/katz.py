@@ -38,14 +38,31 @@ def discounts(n_r: list[int]) -> np.ndarray:
     return d
 
 
+class Grams:
+    """The distinct n-grams of one length in a chunk, in the order of their hashes.
+
+    of: the n-gram that ends at each token, -1 where the text has too few words
+    before it. prefix and suffix: each n-gram's context (all but the last word) and
+    end (all but the first), as places among the n-grams one shorter.
+    """
+
+    def __init__(self, keys: np.ndarray, of: np.ndarray, prefix: np.ndarray | None, suffix: np.ndarray | None, learn: np.ndarray):
+        order = np.argsort(keys)
+        place = np.empty(len(keys) + 1, np.int32)
+        place[order], place[-1] = np.arange(len(keys)), -1
+        self.keys, self.of = keys[order], place[of]
+        self.prefix, self.suffix = (None, None) if prefix is None else (prefix[order], suffix[order])
+        self.counts = np.bincount(self.of[learn & (self.of >= 0)], minlength=len(keys)).astype(np.uint32)
+
+
 class Chunk:
-    """The tokens of a chunk of documents, and its distinct words and word pairs in the order of their hashes.
+    """The tokens of a chunk of documents, and its distinct n-grams of 1 to `order` words.
 
     Everything depends on the rows' texts alone, so two passes over the same
     rows, in whatever order, give the same lists of hashes.
     """
 
-    def __init__(self, texts: list[str], held_out: np.ndarray):
+    def __init__(self, texts: list[str], held_out: np.ndarray, order: int):
         ids: dict[bytes, int] = defaultdict(count().__next__)
         end = ids[END]
         parts, lengths = [np.array([end], np.int32)], []
@@ -60,21 +77,23 @@ class Chunk:
         self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), self.lengths)
         learn = ~held_out[self.doc]
         h = np.fromiter((xxhash.xxh64_intdigest(w, 1) for w in ids), np.uint64, len(ids))
-        order = np.argsort(h)
-        place = np.empty(len(h), np.int32)
-        place[order] = np.arange(len(h))
-        self.words, tokens = h[order], place[tokens]
-        self.token, self.before = tokens[1:], tokens[:-1]
-        self.word_counts = np.bincount(self.token[learn], minlength=len(h)).astype(np.uint32)
-        pairs, where = np.unique(self.before * np.int64(len(h)) + self.token, return_inverse=True)
-        a, b = pairs // len(h), pairs % len(h)
-        keys = (self.words[a] * _MIX[0] ^ (self.words[b] >> _MIX[2])) * _MIX[1] ^ self.words[b] * _MIX[0]
-        order = np.argsort(keys)
-        place = np.empty(len(keys), np.int32)
-        place[order] = np.arange(len(keys))
-        self.pairs, self.pair = keys[order], place[where]
-        self.first, self.second = a[order], b[order]
-        self.pair_counts = np.bincount(self.pair[learn], minlength=len(keys)).astype(np.uint32)
+        words = Grams(h, tokens[1:].astype(np.int64), None, None, learn)
+        self.grams = [words]
+        place = np.arange(len(self.doc)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        end = int(words.of[-1])  # every text has one
+        for n in range(2, order + 1):
+            short = self.grams[-1]
+            # the context of a token: the n-gram one shorter that ends before it; the end token stands before a text
+            before = np.concatenate(([end if n == 2 else -1], short.of[:-1])).astype(np.int64)
+            has = np.flatnonzero((place >= n - 2) & (before >= 0))
+            pairs, where = np.unique(before[has] * np.int64(len(h)) + words.of[has], return_inverse=True)
+            first, last = pairs // len(h), pairs % len(h)
+            suffix = np.empty(len(pairs), np.int64)
+            suffix[where] = short.of[has]
+            of = np.full(len(self.doc), -1, np.int64)
+            of[has] = where
+            keys = (short.keys[first] * _MIX[0] ^ (words.keys[last] >> _MIX[2])) * _MIX[1] ^ words.keys[last] * _MIX[0]
+            self.grams.append(Grams(keys, of, first, suffix, learn))
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -95,24 +114,28 @@ def _split(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
         yield int(buckets[s]), s, e
 
 
-def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_mod: int = 10, chunk_bytes: int = 6 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_mod: int = 10, order: int = 2, chunk_bytes: int = 6 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text.
 
-    A Katz model of word pairs, learned from the documents whose crc32(doc_id)
-    modulo held_mod is not 0. A pair seen r times after a word seen c times
-    has probability d[r] r / c; other words get the weight that is left,
-    times their own probability over that of all words not seen there:
-    p(w | h) = a(h) p(w), so each context sums to one. Words seen r times have
-    d[r] r / N, and what is left is the probability of one unknown word.
+    A Katz model of n-grams of up to `order` words, learned from the documents
+    whose crc32(doc_id) modulo held_mod is not 0. An n-gram seen r times whose
+    context (its first n - 1 words) was seen c times has probability
+    d[r] r / c, with discounts d of its own length; other words get the weight
+    that is left, times their probability after the context without its first
+    word: p(w | h) = a(h) p(w | h'), and so on down to single words. a(h) is
+    such that each context sums to one; a context never seen has a(h) = 1.
+    Words seen r times have d[r] r / N, and what is left is the probability of
+    one unknown word. The end of a text stands before its first word.
 
     Documents are dealt into chunks of about `chunk_bytes`. A chunk sends the
-    64-bit hashes of its distinct words and pairs, with their counts, to the
+    64-bit hashes of its distinct n-grams, with their counts, to the
     count tables, which are partitioned by the hashes' leading bits, packed so
     that a row holds a run of them; it gets back the totals in the same order,
-    so a pair's count is moved once for each chunk that holds it and not for
-    each occurrence. Backoff weights are sums over the pairs of a context,
+    so a count is moved once for each chunk that holds it and not for
+    each occurrence, and there are never more rows than counts. Backoff weights
+    are sums over the n-grams of a context,
     each counted by the one chunk that the table names its owner, and go to
-    the texts by a join on the context. Words that one chunk alone holds need no exchange.
+    the texts by a join on the context. Contexts that one chunk alone holds need no exchange.
 
     Defined cases: a null or empty text is its end token alone; a null id is
     hashed as empty text; repeated rows are learned and scored again; other
@@ -123,22 +146,24 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.withColumn("held_out", crc32_mod(F.col("doc_id"), held_mod) == 0)
+    if order < 2:
+        raise ValueError("order must be 2 or more")
     size = rows.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     n_chunks = max(1, -(-size // chunk_bytes))
     bits = max(0, int(n_chunks - 1).bit_length())
     chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int"))
 
     def read(table: pa.Table) -> Chunk:
-        return Chunk(table["text"].to_pylist(), table["held_out"].to_numpy())
+        return Chunk(table["text"].to_pylist(), table["held_out"].to_numpy(), order)
 
     def send(table: pa.Table) -> pa.Table:
         chunk = read(table)
         number = table["chunk"][0].as_py()
         out: dict[str, list] = {k: [] for k in ("chunk", "order", "bucket", "keys", "counts")}
-        for order, keys, counts in ((1, chunk.words, chunk.word_counts), (2, chunk.pairs, chunk.pair_counts)):
-            for bucket, s, e in _split(keys, bits):
-                own = keys[s:e]
-                for k, v in zip(out, (number, order, bucket, _planes(np.diff(own, prepend=np.uint64(0))), _planes(counts[s:e])), strict=True):
+        for n, grams in enumerate(chunk.grams, 1):
+            for bucket, s, e in _split(grams.keys, bits):
+                own = grams.keys[s:e]
+                for k, v in zip(out, (number, n, bucket, _planes(np.diff(own, prepend=np.uint64(0))), _planes(grams.counts[s:e])), strict=True):
                     out[k].append(v)
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
@@ -172,43 +197,62 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     )
     tables = stage_table(tables, "ngrams")
     sums = tables.where("stats is not null").groupBy("order").agg(*[F.sum(F.col("stats")[i]) for i in range(K + 3)])
-    stats = {r[0]: r[1:] for r in sums.collect()}  # two rows
-    d1, d2 = (discounts(list(stats[o][: K + 1])) if o in stats else np.zeros(K + 2) for o in (1, 2))
+    stats = {r[0]: r[1:] for r in sums.collect()}  # one row for each length
+    d = [discounts(list(stats[o][: K + 1])) if o in stats else np.zeros(K + 2) for o in range(1, order + 1)]
     n_train, n_types = (stats[1][K + 1], stats[1][K + 2]) if 1 in stats else (0, 0)
-    taken = sum((1 - d1[r]) * r * stats[1][r - 1] for r in range(1, K + 1)) / n_train if n_train else 1.0
+    taken = sum((1 - d[0][r]) * r * stats[1][r - 1] for r in range(1, K + 1)) / n_train if n_train else 1.0
     scale, unknown = (1.0, taken) if taken > 0 else (n_train / (n_train + 1), 1 / (n_train + 1))
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = read(left)
-        got: dict[int, list] = {1: [], 2: []}
-        order = right["order"].to_numpy()
-        for i in np.lexsort((right["bucket"].to_numpy(), order)):
+        got: list[list] = [[] for _ in range(order)]
+        orders = right["order"].to_numpy()
+        for i in np.lexsort((right["bucket"].to_numpy(), orders)):
             totals = _unplanes(right["totals"][i].as_py(), np.uint32)
             state = np.unpackbits(np.frombuffer(right["state"][i].as_py(), np.uint8))[: 2 * len(totals)].reshape(2, -1)
-            got[order[i]].append((totals, state))
-        (word_n, word_s), (pair_n, pair_s) = (
-            (np.concatenate([t for t, _ in got[o]]).astype(np.int64), np.concatenate([s for _, s in got[o]], axis=1)) for o in (1, 2)
-        )
-        if len(word_n) != len(chunk.words) or len(pair_n) != len(chunk.pairs):
+            got[orders[i] - 1].append((totals, state))
+        total = [np.concatenate([t for t, _ in g] or [np.empty(0, np.uint32)]).astype(np.int64) for g in got]
+        state = [np.concatenate([s for _, s in g] or [np.empty((2, 0), np.uint8)], axis=1) for g in got]
+        if [len(t) for t in total] != [len(g.keys) for g in chunk.grams]:
             raise ValueError("the documents changed between two passes")
-        p1 = np.where(word_n > 0, scale * d1[np.minimum(word_n, K + 1)] * word_n / max(n_train, 1), unknown)
-        context = word_n[chunk.first]
-        p2 = d2[np.minimum(pair_n, K + 1)] * pair_n / np.maximum(context, 1)
-        seen = pair_n > 0
-        own = seen & (pair_s[0] == 1)
-        sum2, sum1 = (np.bincount(chunk.first[own], x[own], len(chunk.words)) for x in (p2, p1[chunk.second]))
-        alone = word_s[1] == 1
-        weight = np.where(alone & (word_n > 0), np.log10(np.maximum(1 - sum2, 1e-300)) - np.log10(np.maximum(1 - sum1, 1e-300)), 0.0)
-        value = np.where(seen, np.log10(np.where(seen, p2, 1)), np.log10(p1)[chunk.second] + weight[chunk.first])
-        n_docs = len(chunk.lengths)
-        known = word_n[chunk.token]
+        # probability of each n-gram that was seen, and log10 of each n-gram's by the weights that are known here
+        p = np.where(total[0] > 0, scale * d[0][np.minimum(total[0], K + 1)] * total[0] / max(n_train, 1), unknown)
+        values, asked, giving = [np.log10(p)], [None], []
+        for n in range(1, order):
+            grams, context, short = chunk.grams[n], total[n - 1][chunk.grams[n].prefix], chunk.grams[n - 1]
+            seen, size_ = total[n] > 0, len(short.keys)
+            own, alone = seen & (state[n][0] == 1), state[n - 1][1] == 1
+            longer = d[n][np.minimum(total[n], K + 1)] * total[n] / np.maximum(context, 1)
+            top, low = (np.bincount(grams.prefix[own], x[own], size_) for x in (longer, p[grams.suffix]))
+            here = alone & (total[n - 1] > 0)
+            weight = np.where(here, np.log10(np.maximum(1 - top, 1e-300)) - np.log10(np.maximum(1 - low, 1e-300)), 0.0)
+            asked.append(~seen & ~alone[grams.prefix] & (context > 0))
+            p = longer
+            values.append(np.where(seen, np.log10(np.where(seen, longer, 1)), values[-1][grams.suffix] + weight[grams.prefix]))
+            give = np.flatnonzero(~alone & (np.bincount(grams.prefix[own], minlength=size_) > 0))
+            giving.append((short.keys[give], top[give], low[give]))
+        n_docs, known = len(chunk.lengths), total[0][chunk.grams[0].of]
         base = np.log10((known + 0.1) / (n_train + 0.1 * (n_types + 1)))
-        open_ = ~seen[chunk.pair] & ~alone[chunk.before] & (word_n[chunk.before] > 0)
-        at, times = np.unique(chunk.doc[open_] * np.int64(len(chunk.words)) + chunk.before[open_], return_counts=True)
-        give = np.flatnonzero(~alone & (np.bincount(chunk.first[own], minlength=len(chunk.words)) > 0))
-        words = chunk.words.view(np.int64)
-        sizes = (n_docs, len(at), len(give))
-        total = sum(sizes)
+        # a token's score is that of the longest n-gram that ends there; where it was not seen, it holds weights of
+        # contexts that several chunks share, and those of the shorter n-grams that follow
+        score, todo, opened, done = np.zeros(len(chunk.doc)), [], [], np.zeros(len(chunk.doc), bool)
+        following = np.empty(0, np.int64)
+        for n in range(order - 1, 0, -1):
+            grams = chunk.grams[n]
+            longest = np.flatnonzero(~done & (grams.of >= 0))
+            score[longest], done[longest] = values[n][grams.of[longest]], True
+            todo = np.concatenate((following, longest))
+            g = grams.of[todo]
+            ask = asked[n][g]
+            opened.append((chunk.doc[todo[ask]], chunk.grams[n - 1].keys[grams.prefix[g[ask]]]))
+            following = todo[total[n][g] == 0]
+        docs_of, contexts = (np.concatenate(x) for x in zip(*opened, strict=True))
+        distinct, which = np.unique(contexts, return_inverse=True)
+        pairs, times = np.unique(docs_of * np.int64(max(len(distinct), 1)) + which, return_counts=True)
+        at, words = pairs // max(len(distinct), 1), distinct[pairs % max(len(distinct), 1)]
+        give = [np.concatenate(x) for x in zip(*giving, strict=True)]
+        sizes = (n_docs, len(at), len(give[0]))
+        n_rows = sum(sizes)
 
         def column(kind: pa.DataType, *parts) -> pa.Array:
             """doc rows, open pairs and context sums below each other; None leaves a part null."""
@@ -217,15 +261,15 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         return pa.table(
             {
                 "kind": pa.array(np.repeat(np.arange(3, dtype=np.int32), sizes)),
-                "chunk": pa.array(np.full(total, left["chunk"][0].as_py(), np.int32)),
-                "nth": column(pa.int64(), np.arange(n_docs), at // len(words), None),
+                "chunk": pa.array(np.full(n_rows, left["chunk"][0].as_py(), np.int32)),
+                "nth": column(pa.int64(), np.arange(n_docs), at, None),
                 "doc_id": column(pa.int64(), left["doc_id"].combine_chunks(), None, None),
                 "held_out": column(pa.bool_(), left["held_out"].combine_chunks(), None, None),
                 "n": column(pa.int64(), chunk.lengths, times, None),
                 "n_known": column(pa.int64(), np.bincount(chunk.doc, known > 0, n_docs).astype(np.int64), None, None),
-                "context": column(pa.int64(), None, words[at % len(words)], words[give]),
-                "x": column(pa.float64(), np.bincount(chunk.doc, base, n_docs), None, sum2[give]),
-                "y": column(pa.float64(), np.bincount(chunk.doc, value[chunk.pair], n_docs), None, sum1[give]),
+                "context": column(pa.int64(), None, words.view(np.int64), give[0].view(np.int64)),
+                "x": column(pa.float64(), np.bincount(chunk.doc, base, n_docs), None, give[1]),
+                "y": column(pa.float64(), np.bincount(chunk.doc, score, n_docs), None, give[2]),
             }
         )
 
@@ -254,4 +298,4 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), order=3, chunk_bytes=4 << 20)
