@@ -78,10 +78,14 @@ def story_key(title: Column, published: Column, fallback: Column | None = None)
     return F.substring(F.sha1(F.concat_ws("|", normalise_title(title), day)), 1, 16)
 
 
+def plain_quote(text: Column) -> Column:
+    """Lower case, plain quotation marks and dashes, white space collapsed."""
+    return collapse(F.translate(F.lower(text), "‘’“”–—", "''\"\"--"))
+
+
 def quote_is_verbatim(quote: Column, body: Column) -> Column:
     """True or false by whether the normalised quote is in the normalised text, null where it is blank."""
-    plain = lambda c: collapse(F.translate(F.lower(c), "‘’“”–—", "''\"\"--"))
-    return F.when(plain(quote) != "", F.contains(plain(F.coalesce(body, F.lit(""))), plain(quote)))
+    return F.when(plain_quote(quote) != "", F.contains(plain_quote(F.coalesce(body, F.lit(""))), plain_quote(quote)))
 
 
 def head_tail(text: Column, cap: int, marker: str = "\n[...]\n") -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,27 +17,33 @@ def last_wins(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return kept.select(key, "last.*", F.col(f"first.{order[0]}").alias("first_place"))
 
 
-def append_new(store: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Rows whose key the store doesn't know, the first of each."""
+def append_new(store: DataFrame, rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Rows whose key the store doesn't know, the first of each by `order`."""
     new = rows.join(store.select(key), key, "left_anti")
-    return new.dropDuplicates([key])
+    others = F.struct(*[c for c in rows.columns if c != key])
+    return new.groupBy(key).agg(F.min_by(others, F.struct(*order)).alias("_first")).select(key, "_first.*").select(*rows.columns)
 
 
 def fingerprint(title: Column, summary: Column) -> Column:
     return F.sha1(F.concat(F.coalesce(title, F.lit("")), F.lit("\x1f"), F.coalesce(summary, F.lit(""))))
 
 
-def merge_refresh(store: DataFrame, incoming: DataFrame) -> DataFrame:
-    """link, action, content after a merge: new links are inserted; known ones are
-    replaced if title or summary changed or a body appears, and kept otherwise."""
-    s = store.select("link", *[F.col(c).alias(f"old_{c}") for c in ("title", "summary", "content")])
+def merge_refresh(store: DataFrame, incoming: DataFrame, force: bool = False, derived: tuple[str, ...] = ()) -> DataFrame:
+    """link, action, content and the derived columns after a merge: new links are inserted; known ones are
+    replaced if title or summary changed, a body appears, or force is set, and kept otherwise.
+
+    What is replaced loses the columns that were derived from the old text.
+    """
+    s = store.select("link", *[F.col(c).alias(f"old_{c}") for c in ("title", "summary", "content")], *derived)
     changed = fingerprint(F.col("title"), F.col("summary")) != fingerprint(F.col("old_title"), F.col("old_summary"))
     body = (F.coalesce("old_content", F.lit("")) == "") & (F.coalesce("content", F.lit("")) != "")
-    both = incoming.join(s.withColumn("known", F.lit(True)), "link", "full_outer")
-    action = (
-        F.when(F.col("title").isNull(), "kept").when(F.col("known").isNull(), "inserted").when(changed | body, "replaced").otherwise("kept")
+    new = incoming.select("link", "title", "summary", "content").withColumn("came", F.lit(True))
+    both = new.join(s.withColumn("known", F.lit(True)), "link", "full_outer")
+    action = F.when(F.col("came").isNull(), "kept").when(F.col("known").isNull(), "inserted").when(changed | body | F.lit(force), "replaced").otherwise("kept")
+    kept = F.col("action") == "kept"
+    return both.withColumn("action", action).select(
+        "link", "action", F.when(kept, F.col("old_content")).otherwise(F.col("content")).alias("content"), *[F.when(kept, F.col(c)).alias(c) for c in derived]
     )
-    return both.withColumn("action", action).select("link", "action", F.when(F.col("action") == "kept", F.col("old_content")).otherwise(F.col("content")).alias("content"))
 
 
 def stale_rows(raw: DataFrame, done: DataFrame) -> DataFrame:
@@ -122,43 +132,58 @@ def admitted(rows: DataFrame, key: str, limit: int, window_seconds: int) -> Data
     """Requests that a sliding window admits; denied ones don't count against it.
 
     Whether a request passes depends on the verdicts before it, so each key's
-    requests are read in order. A key's memory is the stamps it admitted last, at most `limit`.
+    requests are read in order, batch by batch. All that is kept is the stamps
+    that the key at hand admitted last, at most `limit`.
     """
-
-    def run(pdf):
-        pdf = pdf.sort_values(["t", "event_id"])
-        recent, keep = [], []
-        for t in pdf["t"]:
-            recent = [x for x in recent if t - x < window_seconds * 1_000_000]
-            keep.append(len(recent) < limit)
-            if keep[-1]:
-                recent.append(t)
-        return pdf.assign(admitted=keep)
-
-    small = rows.select(key, "event_id", F.unix_micros("ts").alias("t"))
-    return small.groupBy(key).applyInPandas(run, f"{key} long, event_id long, t long, admitted boolean").drop("t")
+    span = window_seconds * 1_000_000
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, recent = object(), []
+        for pdf in batches:
+            keep = []
+            for k, t in zip(pdf[key], pdf["t"], strict=True):
+                if k != current:
+                    current, recent = k, []
+                recent = [x for x in recent if t - x < span]
+                keep.append(len(recent) < limit)
+                if keep[-1]:
+                    recent.append(t)
+            yield pdf.assign(admitted=keep)[[key, "event_id", "admitted"]]
+
+    small = rows.select(key, "event_id", F.unix_micros("ts").alias("t")).where(F.col(key).isNotNull())
+    ordered = small.repartition(key).sortWithinPartitions(key, "t", "event_id")
+    return ordered.mapInPandas(run, f"{key} long, event_id long, admitted boolean")
 
 
 def leader_clusters(vectors: DataFrame, threshold: float, bucket: Column) -> DataFrame:
     """Greedy leader clustering inside each bucket, in id order: a vector joins the
-    nearest centroid of cosine >= threshold (ties to the later), else founds a cluster."""
-    import numpy as np
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
-        sums, names = [], []
-        for x in pdf["embedding"]:
-            x = np.asarray(x, float)
-            x = x / (np.linalg.norm(x) or 1)
-            cos = np.array([s @ x / (np.linalg.norm(s) or 1) for s in sums])
-            at = len(cos) - 1 - int(cos[::-1].argmax()) if len(cos) and cos.max() >= threshold else len(sums)
-            if at == len(sums):
-                sums.append(x)
-            else:
-                sums[at] = sums[at] + x
-            names.append(at)
-        return pdf[["bucket", "vec_id"]].assign(cluster=names)
+    nearest centroid of cosine >= threshold (ties to the later), else founds a cluster.
+
+    The result depends on the order, so a bucket is read in one task, batch by
+    batch; what is kept of it are its centroids.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, sums, units, n = None, np.empty((0, 0)), np.empty((0, 0)), 0
+        for pdf in batches:
+            names = []
+            for b, x in zip(pdf["bucket"], pdf["embedding"], strict=True):
+                x = np.asarray(x, float)
+                x = x / (np.linalg.norm(x) or 1)
+                if b != current:
+                    current, n = b, 0
+                    sums, units = np.zeros((16, len(x))), np.zeros((16, len(x)))
+                cos = units[:n] @ x
+                at = n - 1 - int(cos[::-1].argmax()) if n and cos.max() >= threshold else n
+                if at == n:
+                    n += 1
+                    if n > len(sums):
+                        sums, units = (np.concatenate((m, np.zeros_like(m))) for m in (sums, units))
+                sums[at] += x
+                units[at] = sums[at] / (np.linalg.norm(sums[at]) or 1)
+                names.append(at)
+            yield pdf[["bucket", "vec_id"]].assign(cluster=names)
 
     rows = vectors.select(bucket.cast("long").alias("bucket"), "vec_id", "embedding")
-    return rows.groupBy("bucket").applyInPandas(run, "bucket long, vec_id long, cluster long")
+    ordered = rows.repartition("bucket").sortWithinPartitions("bucket", "vec_id")
+    return ordered.mapInPandas(run, "bucket long, vec_id long, cluster long")

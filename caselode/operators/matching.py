@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caselode.functions.text import has_alias, has_any
+from caselode.functions.text import has_alias, has_any, plain_quote
 
 
 def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -135,3 +135,23 @@ def of_type(column: Column, kind: str | None) -> Column:
     if not kind:
         return F.lit(True)
     return column.isNull() if kind in ("none", "unclassified") else column == kind
+
+
+def quotes_found(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(doc_id, item_id) of the quotes (item_id, text) that stand verbatim, after plain_quote, in the documents (doc_id, text).
+
+    A quote may begin and end inside a word of the document, but its inner
+    words must be whole words there: candidates come from an equi-join of its
+    longest inner word with each document's distinct words, and only they are
+    compared in full. Quotes of fewer than three words have no inner word and
+    are left out. Null texts hold nothing.
+    """
+    words = lambda c: F.split(c, " ")
+    wanted = quotes.select("item_id", plain_quote(F.coalesce("text", F.lit(""))).alias("quote")).where(F.size(words("quote")) >= 3)
+    inner = F.slice(words("quote"), F.lit(2), F.size(words("quote")) - 2)
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    wanted = wanted.select("item_id", "quote", longest.alias("w"))
+    bodies = computed(docs.select("doc_id", "text"), {"body": plain_quote(F.coalesce("text", F.lit("")))}).select("doc_id", "body")
+    seen = bodies.select("doc_id", F.explode(F.array_distinct(words("body"))).alias("w"))
+    pairs = seen.join(wanted, "w").select("doc_id", "item_id", "quote")
+    return pairs.join(bodies, "doc_id").where(F.contains("body", F.col("quote"))).select("doc_id", "item_id").distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from caselode.functions import text as T
 from caselode.operators import incremental as I
+from caselode.operators import matching as M
 from caselode.plans.reading import HITS, SCORED, scored
 from caselode.sources import fixtures as X
 from caselode.sources import parsing as P
@@ -29,7 +30,7 @@ def last_wins(spark, sf_dir):
 def _stores(spark, sf_dir):
     a = X.articles(spark, sf_dir).select("row_ord", "link", "title", "summary", "content")
     store = a.where("row_ord % 3 <> 0").withColumn("content", F.when(F.col("row_ord") % 7 != 0, F.col("content")).otherwise(""))
-    new = a.where("row_ord % 2 = 0").withColumn("title", F.when(F.col("row_ord") % 10 == 0, F.concat("title", F.lit("!"))).otherwise(F.col("title")))
+    new = a.where("row_ord % 2 = 0 or row_ord % 3 = 0").withColumn("title", F.when(F.col("row_ord") % 10 == 0, F.concat("title", F.lit("!"))).otherwise(F.col("title")))
     return store, new
 
 
@@ -40,7 +41,7 @@ def merge_refresh(spark, sf_dir):
 
 def append_new(spark, sf_dir):
     store, new = _stores(spark, sf_dir)
-    return I.append_new(store, new, "link").select("link", "title")
+    return I.append_new(store, new, "link", ["row_ord"]).select("link", "title")
 
 
 def incremental_worklist(spark, sf_dir):
@@ -169,10 +170,15 @@ def quarterly_spend(spark, sf_dir):
 
 
 def quote_verbatim(spark, sf_dir):
-    """A benchmark passage as the quote of each document: verbatim, not, or blank."""
-    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.col("text").alias("quote"))
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.pmod("doc_id", F.lit(40)).alias("item_id"))
-    return docs.join(bench, "item_id").select("doc_id", T.quote_is_verbatim(F.col("quote"), F.col("text")).alias("verbatim"))
+    """Every benchmark passage that stands verbatim in a document."""
+    return M.quotes_found(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def quote_stamps(spark, sf_dir):
+    """The title of the article before as a quote of each article: verbatim, not, or blank."""
+    a = X.articles(spark, sf_dir)
+    quote = a.select((F.col("row_ord") + 1).alias("row_ord"), F.substring("title", 1, 12).alias("quote"))
+    return a.select("row_ord", "content").join(quote, "row_ord").select("row_ord", T.quote_is_verbatim(F.col("quote"), F.col("content")).alias("verbatim"))
 
 
 def tumbling(spark, sf_dir):
@@ -234,10 +240,11 @@ def stream_tumbling(spark, sf_dir):
     return done.select(F.unix_timestamp("window.start").alias("start_s"), "event_type", "n")
 
 
-QUERIES = {f.__name__: f for f in (last_wins, merge_refresh, append_new, incremental_worklist, export_rows, select_best_generation, append_dedupe, budget_prefix, char_budget_concat, goldset_sample, goldset_strata, ab_metrics, corpus_audit, verdict_crosstab, lane_health, lane_summary, quarterly_spend, quote_verbatim, tumbling, sliding, session_windows, json_props, needs_full_text, admit_limiter, novel_clusters, html_title, html_links, plain_text, stream_tumbling)}
+QUERIES = {f.__name__: f for f in (last_wins, merge_refresh, append_new, incremental_worklist, export_rows, select_best_generation, append_dedupe, budget_prefix, char_budget_concat, goldset_sample, goldset_strata, ab_metrics, corpus_audit, verdict_crosstab, lane_health, lane_summary, quarterly_spend, quote_verbatim, quote_stamps, tumbling, sliding, session_windows, json_props, needs_full_text, admit_limiter, novel_clusters, html_title, html_links, plain_text, stream_tumbling)}
 
 _STORES = f"""{A}, store AS (SELECT link, title, summary, CASE WHEN row_ord % 7 <> 0 THEN content ELSE '' END AS content FROM article WHERE row_ord % 3 <> 0),
-fresh AS (SELECT link, CASE WHEN row_ord % 10 = 0 THEN title || '!' ELSE title END AS title, summary, content FROM article WHERE row_ord % 2 = 0)"""
+fresh AS (SELECT link, CASE WHEN row_ord % 10 = 0 THEN title || '!' ELSE title END AS title, summary, content FROM article WHERE row_ord % 2 = 0 OR row_ord % 3 = 0)"""
+_PLAIN = lambda t: f"trim(regexp_replace(translate(lower({t}), '‘’“”–—', '\'\'\'\'\"\"--'), '\\s+', ' ', 'g'))"
 _SIZE = lambda n: f"CASE WHEN {n} < 1000 THEN 'short' WHEN {n} >= 3000 THEN 'long' ELSE 'mid' END"
 _CYCLES = f"""{EVENTS}, c AS (SELECT user_id % 7 AS lane, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS cycle, count(*) AS fetched,
   CASE WHEN count(*) FILTER (event_type = 'purchase') > 0 THEN 'ok' WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'failed' ELSE 'skipped' END AS outcome FROM e GROUP BY 1, 2)"""
@@ -270,8 +277,10 @@ ORACLE_SQL = {
         f AS (SELECT *, CAST(sum(CASE WHEN outcome = 'failed' THEN 1 ELSE 0 END) OVER (PARTITION BY lane, island ORDER BY cycle) AS BIGINT) AS failures FROM i) SELECT lane, cycle, outcome, failures, failures >= 3 AS broken FROM f""",
     "lane_summary": f"WITH {_CYCLES} SELECT lane, outcome, count(*) AS cycles, CAST(sum(fetched) AS BIGINT) AS fetched FROM c GROUP BY lane, outcome",
     "quarterly_spend": "SELECT year(o_orderdate) || '-Q' || quarter(o_orderdate) AS quarter, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders GROUP BY 1",
-    "quote_verbatim": """WITH d AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(d.text, '')), '\\s+', ' ', 'g')) AS body, trim(regexp_replace(lower(b.text), '\\s+', ' ', 'g')) AS quote FROM documents d JOIN benchmark b ON item_id = doc_id % 40)
-        SELECT doc_id, CASE WHEN quote <> '' THEN contains(body, quote) END AS verbatim FROM d""",
+    "quote_verbatim": f"""WITH d AS (SELECT doc_id, {_PLAIN("coalesce(text, '')")} AS body FROM documents), b AS (SELECT item_id, {_PLAIN("coalesce(text, '')")} AS quote FROM benchmark)
+        SELECT doc_id, item_id FROM d JOIN b ON contains(body, quote) WHERE len(string_split(quote, ' ')) >= 3""",
+    "quote_stamps": f"""WITH {A}, q AS (SELECT row_ord + 1 AS row_ord, {_PLAIN("substr(title, 1, 12)")} AS quote FROM article)
+        SELECT row_ord, CASE WHEN quote <> '' THEN contains({_PLAIN("content")}, quote) END AS verbatim FROM article JOIN q USING (row_ord)""",
     "tumbling": f"WITH {EVENTS} SELECT CAST(epoch(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01')) AS BIGINT) AS start_s, event_type, count(*) AS n, round_even(sum(value), 2) AS total FROM e GROUP BY 1, 2",
     "sliding": f"""WITH {EVENTS}, s AS (SELECT epoch(time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2024-01-01')) - 43200 * unnest([0, 1]) AS s, user_id FROM e)
         SELECT CAST(s AS BIGINT) AS start_s, count(*) AS n, count(DISTINCT user_id) AS users FROM s GROUP BY 1""",

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 from caselode.operators import ledger as L
 from caselode.operators import reports as R
 from caselode.operators.incremental import richness
-from caselode.operators.search import embed
+from caselode.operators.search import Embedder
 from caselode.plans import casework as C
 from caselode.plans.nightly import HISTORY, _history
 from caselode.plans.reading import A, HITS, SCORED, matched, scored
@@ -43,14 +45,19 @@ def llm_ref_merge(spark, sf_dir):
 
 def technique_shortlist(spark, sf_dir):
     """Lexical techniques, filled up to five by similarity of the hashed embeddings; vectors in Arrow batches."""
-    known = [(t[0], embed(f"{t[1]} {' '.join(t[3])}")) for t in X.TAXONOMY]
+    names = [t[0] for t in X.TAXONOMY]
+    known = Embedder()([f"{t[1]} {' '.join(t[3])}" for t in X.TAXONOMY])
 
-    @F.pandas_udf("array<struct<s:double,technique:string>>")
-    def similar(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: [{"s": sum(a * b for a, b in zip(v, k, strict=True)), "technique": t} for v in [embed(x)] for t, k in known])
+    @F.pandas_udf("array<double>")
+    def similar(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        embedder = Embedder()
+        for t in texts:
+            yield pd.Series(list(embedder(t.tolist()) @ known.T))
 
     lexical = F.transform("hits", lambda h: h["technique"])
-    return matched(spark, sf_dir).select("link", F.array_join(R.shortlist(lexical, similar("content"), 5), ",").alias("shortlist"))
+    scores = F.zip_with("_near", F.array(*map(F.lit, names)), lambda s, t: F.struct(s.alias("s"), t.alias("technique")))
+    rows = matched(spark, sf_dir).withColumn("_near", similar("content"))
+    return rows.select("link", F.array_join(R.shortlist(lexical, scores, 5), ",").alias("shortlist"))
 
 
 def sentence_clamp(spark, sf_dir):

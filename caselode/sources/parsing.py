@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import UTC, datetime
+from email.utils import parsedate_to_datetime
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
@@ -12,13 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _SKIP = {"script", "style", "noscript", "template", "head"}
-_DATES = ("article:published_time", "datepublished", "date", "dc.date", "og:updated_time")
+#: Names of meta elements, in order of precedence.
+_DATES = ("article:published_time", "og:published_time", "pubdate", "publish-date", "date", "dc.date.issued")
+_TITLES, _ABOUT = ("og:title", "twitter:title"), ("og:description", "description", "twitter:description")
 
 
 class _Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.title, self.meta, self.links, self.text = "", {}, [], []
+        self.title, self.meta, self.links, self.text, self.times = "", {}, [], [], []
         self._hidden, self._in_title = [], False
 
     def handle_starttag(self, tag, attrs):
@@ -27,9 +31,16 @@ class _Page(HTMLParser):
             self._in_title = True
         elif tag == "meta":
             name = (named.get("property") or named.get("name") or named.get("itemprop") or "").lower()
-            self.meta.setdefault(name, named.get("content", ""))
+            if named.get("content", "").strip():
+                self.meta.setdefault(name, named["content"])
+            if (named.get("name") or "").lower() == "citation_pdf_url" and named.get("content"):
+                self.links.append((0, named["content"]))
+        elif tag == "time" and named.get("datetime"):
+            self.times.append(named["datetime"])
         elif tag == "a" and named.get("href"):
-            self.links.append(named["href"])
+            self.links.append((2, named["href"]))
+        elif tag == "link" and named.get("href") and named.get("type", "").lower() == "application/pdf":
+            self.links.append((1, named["href"]))
         if tag in _SKIP:
             self._hidden.append(tag)
 
@@ -54,6 +65,18 @@ def _parse(html: str | None) -> _Page:
     return page
 
 
+def _date(text: str | None) -> str | None:
+    """An ISO or RFC 2822 date as ISO text in UTC; without a zone it is UTC; null if it is neither."""
+    text = (text or "").strip()
+    for read in (lambda t: datetime.fromisoformat(t.replace("Z", "+00:00")), parsedate_to_datetime):
+        try:
+            found = read(text)
+            return (found if found.tzinfo else found.replace(tzinfo=UTC)).astimezone(UTC).isoformat()
+        except (TypeError, ValueError, IndexError, OverflowError):
+            continue
+    return None
+
+
 def _plain(text: str) -> str:
     return " ".join(text.split())
 
@@ -64,14 +87,15 @@ _PARTS = T.StructType([T.StructField(c, _TEXT) for c in ("title", "description",
 
 @F.pandas_udf(_PARTS)
 def page_parts(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Title (og over title), description, first date there is, visible text, and hrefs in page order."""
+    """Title (og and twitter over title), description, first date that can be read, visible text, and hrefs in page order."""
     for series in pages:
         rows = []
         for html in series:
             p = _parse(html)
-            published = next((p.meta[d] for d in _DATES if p.meta.get(d)), None)
-            about = p.meta.get("og:description") or p.meta.get("description") or None
-            rows.append((_plain(p.meta.get("og:title") or p.title), about, published, _plain(" ".join(p.text)), p.links))
+            published = next((d for d in map(_date, [*map(p.meta.get, _DATES), *p.times]) if d), None)
+            about = _plain(next((p.meta[k] for k in _ABOUT if k in p.meta), "")) or None
+            title = _plain(next((p.meta[k] for k in _TITLES if k in p.meta), p.title))
+            rows.append((title, about, published, _plain(" ".join(p.text)), [h for rank, h in p.links if rank == 2]))
         yield pd.DataFrame(rows, columns=["title", "description", "published", "text", "links"])
 
 
@@ -88,7 +112,9 @@ class SameSiteLinks:
     def eval(self, url: str, html: str):
         base = urlsplit(url or "")
         parent, seen = base.path.rpartition("/")[0] + "/", set()
-        for href in _parse(html).links:
+        for rank, href in _parse(html).links:
+            if rank < 2:
+                continue
             full = urljoin(url or "", href)
             at = urlsplit(full)
             if at.netloc == base.netloc and at.path.startswith(parent) and full not in seen:
@@ -96,6 +122,17 @@ class SameSiteLinks:
                 yield len(seen), full
 
 
+@F.udtf(returnType=T.StructType([T.StructField("nth", T.IntegerType()), T.StructField("url", _TEXT)]))
+class PdfLinks:
+    """PDF links of a page, each once: those its citation names, then those typed as PDF, then links that end in .pdf."""
+
+    def eval(self, url: str, html: str):
+        found = [(rank, urljoin(url or "", href)) for rank, href in _parse(html).links]
+        found = [(rank, full) for rank, full in found if rank < 2 or urlsplit(full).path.lower().endswith(".pdf")]
+        for nth, full in enumerate(dict.fromkeys(full for _, full in sorted(found, key=lambda x: x[0])), 1):
+            yield nth, full
+
+
 def jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Lines of JSON; blank and corrupt lines are left out."""
     whole = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
@@ -104,15 +141,24 @@ def jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def feed_items(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
-    """RSS or Atom entries with title and link; dates in RFC 2822 or ISO form."""
-    schema = "title string, link string, description string, pubDate string, updated string"
-    rows = spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
+    """RSS or Atom entries with title and a link over HTTP, one for each link of a file; dates in RFC 2822 or ISO form.
+
+    An Atom entry's link is its first of relation "alternate" or none.
+    """
+    link = "array<struct<_VALUE string, _href string, _rel string>>"
+    schema = f"title string, link {link}, description string, summary string, pubDate string, published string, updated string"
+    rows = spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path).withColumn("file", F.input_file_name())
+    urls = F.transform("link", lambda x: F.when(F.trim(x["_VALUE"]) != "", F.trim(x["_VALUE"])).when(F.coalesce(x["_rel"], F.lit("alternate")) == "alternate", F.trim(x["_href"])))
+    rows = rows.withColumn("link", F.get(F.filter(urls, lambda u: u.rlike("^https?://")), F.lit(0)))
     stamp = F.coalesce(
         F.try_to_timestamp(F.regexp_replace("pubDate", r"^\s*[A-Za-z]{3},\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z")),
+        F.try_to_timestamp("published"),
         F.try_to_timestamp("updated"),
         F.try_to_timestamp("pubDate"),
     )
-    return rows.where("trim(title) <> '' and trim(link) <> ''").select("title", "link", F.col("description").alias("summary"), stamp.alias("published"))
+    found = rows.where("trim(title) <> '' and link is not null")
+    found = found.select("file", F.trim("title").alias("title"), "link", F.coalesce("description", "summary").alias("summary"), stamp.alias("published"))
+    return found.dropDuplicates(["file", "link"]).drop("file")
 
 
 def tweets(payload: Column) -> Column:

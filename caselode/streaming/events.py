@@ -59,17 +59,15 @@ def admit(rows: DataFrame, limit: int, window_seconds: int) -> DataFrame:
     """The sliding admit limiter with state: each user's last admitted stamps, at most `limit`."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent = list(state.get[0]) if state.exists else []
-        for pdf in batches:
-            pdf = pdf.sort_values(["t", "event_id"])
-            keep = []
-            for t in pdf["t"]:
-                recent = [x for x in recent if t - x < window_seconds * 1_000_000]
-                keep.append(len(recent) < limit)
-                if keep[-1]:
-                    recent.append(t)
-            yield pd.DataFrame({"user_id": pdf["user_id"], "event_id": pdf["event_id"], "admitted": keep})
+        recent, keep = list(state.get[0]) if state.exists else [], []
+        pdf = pd.concat(batches).sort_values(["t", "event_id"])  # a key's rows of one micro-batch, whatever Arrow batches they come in
+        for t in pdf["t"]:
+            recent = [x for x in recent if t - x < window_seconds * 1_000_000]
+            keep.append(len(recent) < limit)
+            if keep[-1]:
+                recent.append(t)
         state.update((recent,))
+        yield pd.DataFrame({"user_id": pdf["user_id"], "event_id": pdf["event_id"], "admitted": keep})
 
     small = rows.select("user_id", "event_id", F.unix_micros("ts").alias("t"))
     return small.groupBy("user_id").applyInPandasWithState(
@@ -82,12 +80,36 @@ def failure_counts(cycles: DataFrame) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (run,) = state.get if state.exists else (0,)
-        for pdf in batches:
-            pdf, out = pdf.sort_values("cycle"), []
-            for outcome in pdf["outcome"]:
-                run = 0 if outcome == "ok" else run + (outcome == "failed")
-                out.append(run)
-            yield pd.DataFrame({"lane": pdf["lane"], "cycle": pdf["cycle"], "failures": out})
+        pdf, out = pd.concat(batches).sort_values("cycle"), []
+        for outcome in pdf["outcome"]:
+            run = 0 if outcome == "ok" else run + (outcome == "failed")
+            out.append(run)
         state.update((run,))
+        yield pd.DataFrame({"lane": pdf["lane"], "cycle": pdf["cycle"], "failures": out})
 
     return cycles.groupBy("lane").applyInPandasWithState(step, "lane long, cycle long, failures long", "run long", "append", GroupStateTimeout.NoTimeout)
+
+
+def due_checks(asks: DataFrame, every_seconds: int) -> DataFrame:
+    """Keyed clocks: (link, t, genuine, ended) to the same with `due`, whether the link is to be checked at t (seconds).
+
+    A link is due when its last genuine check is at least `every_seconds` old;
+    a check that was not genuine (a throttled one) starts no clock, and a
+    link that ended is never due again.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, over = state.get if state.exists else (None, False)
+        pdf, due = pd.concat(batches).sort_values("t"), []
+        for t, genuine, ended in zip(pdf["t"], pdf["genuine"], pdf["ended"], strict=True):
+            due.append(not over and (last is None or t - last >= every_seconds))
+            if due[-1] and genuine:
+                last = int(t)
+            over = over or bool(due[-1] and ended)
+        state.update((last, over))
+        yield pdf.assign(due=due)[["link", "t", "due"]]
+
+    rows = asks.select("link", "t", "genuine", "ended")
+    return rows.groupBy("link").applyInPandasWithState(
+        step, "link string, t long, due boolean", "last long, over boolean", "append", GroupStateTimeout.NoTimeout
+    )
