@@ -87,12 +87,12 @@ _PARTS = T.StructType([T.StructField(c, _TEXT) for c in ("title", "description",
 
 @F.pandas_udf(_PARTS)
 def page_parts(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Title (og and twitter over title), description, first date that can be read, visible text, and hrefs in page order."""
+    """Title (og and twitter over title), description, first date that can be read (as it stands there), visible text, and hrefs in page order."""
     for series in pages:
         rows = []
         for html in series:
             p = _parse(html)
-            published = next((d for d in map(_date, [*map(p.meta.get, _DATES), *p.times]) if d), None)
+            published = next((d.strip() for d in [*map(p.meta.get, _DATES), *p.times] if _date(d)), None)
             about = _plain(next((p.meta[k] for k in _ABOUT if k in p.meta), "")) or None
             title = _plain(next((p.meta[k] for k in _TITLES if k in p.meta), p.title))
             rows.append((title, about, published, _plain(" ".join(p.text)), [h for rank, h in p.links if rank == 2]))
