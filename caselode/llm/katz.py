@@ -9,6 +9,8 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,12 +64,12 @@ class Chunk:
     rows, in whatever order, give the same lists of hashes.
     """
 
-    def __init__(self, texts: list[str], held_out: np.ndarray, order: int):
+    def __init__(self, texts: list[bytes], held_out: np.ndarray, order: int):
         ids: dict[bytes, int] = defaultdict(count().__next__)
         end = ids[END]
         parts, lengths = [np.array([end], np.int32)], []
         for t in texts:
-            words = t.encode("utf-8", "replace").lower().split()  # lower() of bytes changes A-Z only
+            words = t.lower().split()  # lower() of bytes changes A-Z only
             parts.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
             parts.append(parts[0])
             lengths.append(len(words) + 1)
@@ -114,6 +116,28 @@ def _split(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
         yield int(buckets[s]), s, e
 
 
+def _pack(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, held_out) as chunks of about `most` bytes, one row each: ids, sizes, flags and compressed texts."""
+    task, nth = TaskContext.get().partitionId(), 0
+
+    def done(docs: list, texts: list[bytes], held: list[bool]) -> pa.RecordBatch:
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)).tobytes()
+        values = [(task << 32) + nth], [docs], [sizes], [np.array(held, bool).tobytes()], [zstandard.compress(b"".join(texts), 6)]
+        kinds = pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["chunk", "docs", "sizes", "held", "texts"])
+
+    docs, texts, held, size = [], [], [], 0
+    for b in batches:
+        for doc, text, flag in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
+            if docs and size + len(text) > most:
+                yield done(docs, texts, held)
+                docs, texts, held, size, nth = [], [], [], 0, nth + 1
+            docs.append(doc), texts.append(text), held.append(flag)
+            size += len(text) + 8
+    if docs:
+        yield done(docs, texts, held)
+
+
 def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_mod: int = 10, order: int = 2, chunk_bytes: int = 6 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text.
 
@@ -127,7 +151,8 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Words seen r times have d[r] r / N, and what is left is the probability of
     one unknown word. The end of a text stands before its first word.
 
-    Documents are dealt into chunks of about `chunk_bytes`. A chunk sends the
+    Documents are dealt, as they are read, into chunks of about `chunk_bytes`,
+    which are kept packed as one row each. A chunk sends the
     64-bit hashes of its distinct n-grams, with their counts, to the
     count tables, which are partitioned by the hashes' leading bits, packed so
     that a row holds a run of them; it gets back the totals in the same order,
@@ -148,25 +173,31 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.withColumn("held_out", crc32_mod(F.col("doc_id"), held_mod) == 0)
     if order < 2:
         raise ValueError("order must be 2 or more")
-    size = rows.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
-    n_chunks = max(1, -(-size // chunk_bytes))
-    bits = max(0, int(n_chunks - 1).bit_length())
-    chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int"))
-
-    def read(table: pa.Table) -> Chunk:
-        return Chunk(table["text"].to_pylist(), table["held_out"].to_numpy(), order)
-
-    def send(table: pa.Table) -> pa.Table:
-        chunk = read(table)
-        number = table["chunk"][0].as_py()
+    packed = stage_table(rows.mapInArrow(lambda b: _pack(b, chunk_bytes), "chunk long, docs array<long>, sizes binary, held binary, texts binary"), "chunks")
+    bits = max(0, int(max(packed.count(), 1) - 1).bit_length())
+
+    def read(row: dict) -> Chunk:
+        sizes, raw = np.frombuffer(row["sizes"], np.int64), zstandard.decompress(row["texts"])
+        ends = np.cumsum(sizes)
+        texts = [raw[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+        del raw
+        return Chunk(texts, np.frombuffer(row["held"], bool), order)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                yield messages({n: b.column(n)[i].as_py() for n in b.schema.names if n != "docs"})
+
+    def messages(row: dict) -> pa.RecordBatch:
+        chunk, number = read(row), row["chunk"]
         out: dict[str, list] = {k: [] for k in ("chunk", "order", "bucket", "keys", "counts")}
         for n, grams in enumerate(chunk.grams, 1):
             for bucket, s, e in _split(grams.keys, bits):
                 own = grams.keys[s:e]
                 for k, v in zip(out, (number, n, bucket, _planes(np.diff(own, prepend=np.uint64(0))), _planes(grams.counts[s:e])), strict=True):
                     out[k].append(v)
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-        return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
 
     def add(table: pa.Table) -> pa.Table:
         keys = [np.cumsum(_unplanes(x.as_py(), np.uint64), dtype=np.uint64) for x in table["keys"]]
@@ -191,9 +222,9 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             }
         )
 
-    sent = chunked.groupBy("chunk").applyInArrow(send, "chunk int, order int, bucket long, keys binary, counts binary")
+    sent = packed.mapInArrow(send, "chunk long, order int, bucket long, keys binary, counts binary")
     tables = sent.groupBy("order", "bucket").applyInArrow(
-        add, "chunk int, order int, bucket long, totals binary, state binary, stats array<long>"
+        add, "chunk long, order int, bucket long, totals binary, state binary, stats array<long>"
     )
     tables = stage_table(tables, "ngrams")
     sums = tables.where("stats is not null").groupBy("order").agg(*[F.sum(F.col("stats")[i]) for i in range(K + 3)])
@@ -204,7 +235,8 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     scale, unknown = (1.0, taken) if taken > 0 else (n_train / (n_train + 1), 1 / (n_train + 1))
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
-        chunk = read(left)
+        row = left.to_pylist()[0]
+        chunk = read(row)
         got: list[list] = [[] for _ in range(order)]
         orders = right["order"].to_numpy()
         for i in np.lexsort((right["bucket"].to_numpy(), orders)):
@@ -261,10 +293,10 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         return pa.table(
             {
                 "kind": pa.array(np.repeat(np.arange(3, dtype=np.int32), sizes)),
-                "chunk": pa.array(np.full(n_rows, left["chunk"][0].as_py(), np.int32)),
+                "chunk": pa.array(np.full(n_rows, row["chunk"], np.int64)),
                 "nth": column(pa.int64(), np.arange(n_docs), at, None),
-                "doc_id": column(pa.int64(), left["doc_id"].combine_chunks(), None, None),
-                "held_out": column(pa.bool_(), left["held_out"].combine_chunks(), None, None),
+                "doc_id": column(pa.int64(), pa.array(row["docs"], pa.int64()), None, None),
+                "held_out": column(pa.bool_(), np.frombuffer(row["held"], bool), None, None),
                 "n": column(pa.int64(), chunk.lengths, times, None),
                 "n_known": column(pa.int64(), np.bincount(chunk.doc, known > 0, n_docs).astype(np.int64), None, None),
                 "context": column(pa.int64(), None, words.view(np.int64), give[0].view(np.int64)),
@@ -273,8 +305,8 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             }
         )
 
-    judged = chunked.groupBy("chunk").cogroup(tables.drop("stats").groupBy("chunk")).applyInArrow(
-        judge, "kind int, chunk int, nth long, doc_id long, held_out boolean, n long, n_known long, context long, x double, y double"
+    judged = packed.groupBy("chunk").cogroup(tables.drop("stats").groupBy("chunk")).applyInArrow(
+        judge, "kind int, chunk long, nth long, doc_id long, held_out boolean, n long, n_known long, context long, x double, y double"
     )
     judged = stage_table(judged, "judged")
     backoff = judged.where("kind = 2").groupBy("context").agg(F.sum("x").alias("p2"), F.sum("y").alias("p1"))
@@ -298,4 +330,4 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), order=2)
+    return score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), order=3, chunk_bytes=4 << 20)
