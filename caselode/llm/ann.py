@@ -160,7 +160,7 @@ def search(
     k: int = 20,
     candidates: int = 150,
     sample: int = 8192,
-    row_block: int = 1 << 16,
+    row_block: int | None = None,
     query_block: int = 256,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of largest inner product for each query row.
@@ -216,6 +216,7 @@ def search(
         return pa.table({"block": table["block"][:1], **{k: pa.array([v], pa.binary()) for k, v in found.items()}})
 
     n_classes = classes.count()
+    row_block = row_block or max(1, (16 << 20) // width)
     n_blocks = max(1, -(-n_classes // row_block), min(12, n_classes // 4096))
     packed = "block int, reps binary, keys binary, codes binary, radius binary, vecs binary"
     block = F.pmod(F.xxhash64("key"), F.lit(n_blocks)).cast("int")
