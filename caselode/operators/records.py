@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from caselode.functions.text import story_key
@@ -230,3 +230,62 @@ def tool_table(directory: DataFrame, needle: str, court_only: bool) -> DataFrame
         rows = rows.where("total > 0")
     order = [F.desc(F.col("total") > 0), F.desc("verdict_true"), F.desc("total"), F.lower("vendor")]
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("category").orderBy(*order)).cast("long"))
+
+
+def watch_queries(companies: DataFrame, topics: DataFrame, scope: str) -> DataFrame:
+    """(query): the topics, and two queries a company (its quoted name with the scope, and alone), each once."""
+    name = F.concat(F.lit('"'), F.trim("company"), F.lit('"'))
+    both = companies.where(F.trim("company") != "").select(F.explode(F.array(F.concat(name, F.lit(f" ({scope})")), name)).alias("query"))
+    return topics.select(F.trim("query").alias("query")).where("query <> ''").unionByName(both).distinct()
+
+
+def example_picks(hits: DataFrame, n: int = 3) -> DataFrame:
+    """The n links of highest rank: 1,000 a hit and the score; of rows that repeat a link the best counts, ties by link."""
+    rank = F.size("hits") * 1000 + F.col("relevance_score")
+    return hits.groupBy("link").agg(F.max(rank).alias("rank")).orderBy(F.desc("rank"), "link").limit(n)
+
+
+def unfinished(links: DataFrame, done: DataFrame, seed: str) -> DataFrame:
+    """(link, first_arm): links for which not both arms are recorded; which arm goes first follows from a hash of the link."""
+    both = done.groupBy("link").agg(F.count_distinct("arm").alias("arms")).where("arms = 2")
+    last = F.conv(F.right(F.sha2(F.concat(F.lit(f"{seed}:"), "link"), 256), F.lit(1)), 16, 10).cast("int")
+    return links.join(both, "link", "left_anti").select("link", F.when(last % 2 == 0, "on").otherwise("off").alias("first_arm"))
+
+
+def text_upgrade(old: Column, new: Column, least: int = 5000, times: int = 2) -> Column:
+    """Whether a new text of at least `least` characters is `times` as long as the old one."""
+    n = F.length(F.coalesce(new, F.lit("")))
+    return (n >= least) & (n >= times * F.length(F.coalesce(old, F.lit(""))))
+
+
+def rescued_json(text: Column) -> Column:
+    """The JSON value between the first and the last brace of a chatty text; null where there is none that parses."""
+    return F.try_parse_json(F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit("")))
+
+
+def picked_packs(observed: DataFrame, packs: DataFrame) -> DataFrame:
+    """(link, pack) of packs with a technique among an article's, or a hint in its lower-case title.
+
+    observed: (link, title, ids); packs: (pack, anchors, hints), a small table.
+    """
+    by_id = observed.select("link", F.explode(F.array_distinct("ids")).alias("id")).join(F.broadcast(packs.select("pack", F.explode("anchors").alias("id"))), "id")
+    rows = [(r["pack"], r["hints"]) for r in packs.collect()]  # a parameter, not data
+    named = [F.when(F.exists(F.array(*map(F.lit, hints)).cast("array<string>"), lambda h: F.contains(F.lower("title"), h)), pack) for pack, hints in rows]
+    by_hint = observed.select("link", F.explode(F.filter(F.array(*named), lambda p: p.isNotNull())).alias("pack"))
+    return by_id.select("link", "pack").unionByName(by_hint).distinct()
+
+
+def export_package(rows: DataFrame, candidates: DataFrame, path: str) -> dict[str, int]:
+    """Write rows and candidates as lines of JSON and a manifest with their numbers, counted as they are written."""
+    counts = {}
+    for name, df in (("rows", rows), ("candidates", candidates)):
+        seen = Observation(name)
+        df.observe(seen, F.count(F.lit(1)).alias("n")).select(F.to_json(F.struct(*df.columns))).write.text(f"{path}/{name}")
+        counts[name] = seen.get["n"]
+    rows.sparkSession.createDataFrame([tuple(counts.values())], "rows long, candidates long").coalesce(1).write.json(f"{path}/manifest")
+    return counts
+
+
+def state_of(text: Column) -> Column:
+    """A key-value state from its JSON text; what is no JSON object is an empty state."""
+    return F.coalesce(F.from_json(text, "map<string,string>"), F.create_map().cast("map<string,string>"))

@@ -140,16 +140,16 @@ def lookup(articles: DataFrame, links: list[str]) -> tuple[DataFrame, DataFrame]
     return articles.join(F.broadcast(asked), "link"), asked.join(articles.select("link"), "link", "left_anti").select("ask", "link")
 
 
-def trending(rows: DataFrame, *, days: int, floor: int) -> DataFrame:
-    """Distinct stories per key in total, in the last `days` before the newest stamp, and in those before.
+def trending(rows: DataFrame, *, days: int, floor: int | Column, anchor: DataFrame | None = None) -> DataFrame:
+    """Distinct stories per key in total, in the last `days` before the anchor (by default the newest stamp), and in those before.
 
     channel is the most frequent one, of equals the first seen. Keys of fewer
     than `floor` stories are left out. The recent window has no upper bound.
     """
-    anchor = rows.agg(F.max("stamp").alias("anchor"))
+    anchor = rows.agg(F.max("stamp").alias("anchor")) if anchor is None else anchor
     gap = F.expr(f"interval {days} days")
-    w = rows.crossJoin(F.broadcast(anchor)).withColumn("recent", F.col("stamp") > F.col("anchor") - gap)  # one row
-    w = w.withColumn("prior", ~F.col("recent") & (F.col("stamp") > F.col("anchor") - gap - gap))
+    w = rows.crossJoin(F.broadcast(anchor)).withColumn("recent", F.col("stamp") >= F.col("anchor") - gap)  # one row
+    w = w.withColumn("prior", ~F.col("recent") & (F.col("stamp") >= F.col("anchor") - gap - gap))
     totals = w.groupBy("key").agg(
         F.count_distinct("story").alias("stories"),
         F.count_distinct(F.when(F.col("recent"), F.col("story"))).alias("recent"),

@@ -289,7 +289,33 @@ def trending_topics(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (technique_counts, technique_hits, cve_domain_extract, relevance_score, use_case_labels, insider_type, article_filters, technique_filter, control_filter, article_controls, source_counts, source_counts_merged, keyword_search_topk, keyword_search_boosted, hybrid_search_topk, article_stream, story_clusters, cluster_page, uncovered_stories, syndication_representative, vector_topk, label_centroid_argmax, rail_counts, links_found, links_missing, technique_union, lane_union, trending_topics)}
+def _topics(spark, sf_dir):
+    """(kind, key) of each article: use cases, parent techniques, and matched aliases and framing terms of three characters or more."""
+    rows = M.computed(scored(spark, sf_dir), {"low": F.lower("content")})
+    terms = F.filter(F.array(*[F.when(T.has_alias(F.col("low"), t), F.lit(t.lower())) for t in X.FRAMING]), lambda t: t.isNotNull())
+    rows = M.computed(rows, {"said": F.concat(terms, F.transform("hits", lambda h: F.lower(h["alias"]))), "story": T.story_key(F.col("title"), F.col("published"), F.col("processed_at"))})
+    known = F.array(*[F.lit(x.lower()) for x in [t[1] for t in X.TAXONOMY] + [u[0] for u in X.USE_CASES]])
+    parents = F.transform("hits", lambda h: F.split_part(h["technique"], F.lit("."), F.lit(1)))
+    of = lambda kind, keys: F.transform(F.array_distinct(keys), lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
+    said = F.filter("said", lambda t: (F.length(t) >= 3) & ~F.array_contains(known, t))
+    keys = F.concat(of("use_case", F.col("use_cases")), of("technique", parents), of("term", said))
+    return rows.select("row_ord", "story", "channel", F.coalesce("published", "processed_at").alias("stamp"), F.explode(keys).alias("key"))
+
+
+def topics_trending(spark, sf_dir):
+    """Stories of each use case, technique and term, recent against prior; two at least, for terms three."""
+    anchor = X.articles(spark, sf_dir).agg(F.max("processed_at").alias("anchor"))
+    found = S.trending(_topics(spark, sf_dir), days=7, floor=F.when(F.col("key.kind") == "term", 3).otherwise(2), anchor=anchor)
+    return found.select("key.kind", "key.key", *[c for c in found.columns if c != "key"])
+
+
+def trending_page(spark, sf_dir):
+    """The first eight topics: most recent stories, most stories, name."""
+    page = topics_trending(spark, sf_dir).orderBy(F.desc("recent"), F.desc("stories"), "key", "kind").limit(8)
+    return page.select("kind", "key", "stories", "recent")
+
+
+QUERIES = {f.__name__: f for f in (technique_counts, technique_hits, cve_domain_extract, relevance_score, use_case_labels, insider_type, article_filters, technique_filter, control_filter, article_controls, source_counts, source_counts_merged, keyword_search_topk, keyword_search_boosted, hybrid_search_topk, article_stream, story_clusters, cluster_page, uncovered_stories, syndication_representative, vector_topk, label_centroid_argmax, rail_counts, links_found, links_missing, technique_union, lane_union, trending_topics, topics_trending, trending_page)}
 
 
 
@@ -304,6 +330,19 @@ def _keyword_sql(with_: str, table: str, query: str, blob: str, ids: str) -> str
         SELECT link, round_even(s, 4) AS score FROM r WHERE s > 0 ORDER BY s DESC, row_ord LIMIT 20"""
 
 
+_FRAMES = ", ".join(f"CASE WHEN {T.has_alias_sql('low', t)} THEN '{t.lower()}' END" for t in X.FRAMING)
+_KNOWN = ", ".join("'" + x.lower() + "'" for x in [t[1] for t in X.TAXONOMY] + [u[0] for u in X.USE_CASES])
+_TOPICS = f"""{SCORED}, base AS (SELECT *, {STORY_OF}, coalesce(published, processed_at) AS stamp FROM scored),
+  said AS (SELECT row_ord, unnest([{_FRAMES}]) AS key FROM low UNION SELECT row_ord, lower(alias) FROM hits),
+  keys AS (SELECT row_ord, 'use_case' AS kind, unnest(use_cases) AS key FROM base UNION SELECT row_ord, 'technique', split_part(technique, '.', 1) FROM hits
+    UNION SELECT row_ord, 'term', key FROM said WHERE length(key) >= 3 AND key NOT IN ({_KNOWN})),
+  w AS (SELECT kind, key, row_ord, story, channel, stamp >= anchor - INTERVAL 7 DAY AS recent, stamp < anchor - INTERVAL 7 DAY AND stamp >= anchor - INTERVAL 14 DAY AS prior
+    FROM keys JOIN base USING (row_ord), (SELECT max(processed_at) AS anchor FROM article)),
+  m AS (SELECT kind, key, channel FROM (SELECT kind, key, channel, count(*) AS n, min(row_ord) AS first FROM w GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY kind, key ORDER BY n DESC, first) = 1),
+  t AS (SELECT kind, key, count(DISTINCT story) AS stories, count(DISTINCT story) FILTER (recent) AS recent, count(DISTINCT story) FILTER (prior) AS prior FROM w GROUP BY kind, key),
+  topics AS (SELECT kind, key, stories, recent, prior, channel, CASE WHEN prior > 0 THEN round_even((recent - prior) * 100.0::DOUBLE / prior, 1) END AS delta_pct,
+      CASE WHEN prior = 0 AND recent > 0 THEN 'new' WHEN recent > prior THEN 'up' WHEN recent < prior THEN 'down' ELSE 'flat' END AS direction
+    FROM t JOIN m USING (kind, key) WHERE stories >= CASE WHEN kind = 'term' THEN 3 ELSE 2 END)"""
 _has = lambda t: f"(technique = '{t}' OR starts_with(technique, '{t}.'))"
 ORACLE_SQL = {
     "technique_counts": f"WITH {HITS}, {TAX}, ids AS (SELECT DISTINCT row_ord, technique FROM hits UNION SELECT row_ord, split_part(technique, '.', 1) FROM hits) SELECT t.technique, t.title, t.theme, count(i.row_ord) AS articles FROM taxonomy t LEFT JOIN ids i USING (technique) GROUP BY ALL",
@@ -353,8 +392,10 @@ ORACLE_SQL = {
         SELECT link, ['PR001', 'IF001', 'MT002'][min(nth) + 1] AS technique FROM f WHERE nth IS NOT NULL GROUP BY link""",
     "lane_union": f"""WITH {A}, l AS (SELECT link, row_ord % 3 <> 0 AS a, row_ord % 3 <> 1 AS b FROM article)
         SELECT link, CASE WHEN a AND b THEN 'both' WHEN a THEN 'first' ELSE 'second' END AS part FROM l WHERE a OR b""",
+    "topics_trending": f"WITH {_TOPICS} SELECT * FROM topics",
+    "trending_page": f"WITH {_TOPICS} SELECT kind, key, stories, recent FROM topics ORDER BY recent DESC, stories DESC, key, kind LIMIT 8",
     "trending_topics": """WITH e AS (SELECT event_type AS key, user_id AS story, ts AS stamp, json_extract_string(props, '$.k') AS channel, event_id AS row_ord FROM events),
-        a AS (SELECT max(stamp) AS anchor FROM e), w AS (SELECT *, stamp > anchor - INTERVAL 7 DAY AS recent, stamp <= anchor - INTERVAL 7 DAY AND stamp > anchor - INTERVAL 14 DAY AS prior FROM e, a),
+        a AS (SELECT max(stamp) AS anchor FROM e), w AS (SELECT *, stamp >= anchor - INTERVAL 7 DAY AS recent, stamp < anchor - INTERVAL 7 DAY AND stamp >= anchor - INTERVAL 14 DAY AS prior FROM e, a),
         m AS (SELECT key, channel FROM (SELECT key, channel, count(*) AS n, min(row_ord) AS first FROM w GROUP BY key, channel) QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, first) = 1),
         t AS (SELECT key, count(DISTINCT story) AS stories, count(DISTINCT story) FILTER (recent) AS recent, count(DISTINCT story) FILTER (prior) AS prior FROM w GROUP BY key)
         SELECT key, stories, recent, prior, channel, CASE WHEN prior > 0 THEN round_even((recent - prior) * 100.0::DOUBLE / prior, 1) END AS delta_pct,

@@ -8,6 +8,7 @@ from caselode.functions import text as T
 from caselode.operators import ledger as L
 from caselode.operators import matching as M
 from caselode.operators import records as R
+from caselode.operators import vendors as V
 from caselode.plans import casework as C
 from caselode.plans import reading as G
 from caselode.plans.nightly import EVENTS
@@ -176,7 +177,93 @@ def hunt_map(spark, sf_dir):
 
 
 def tool_table(spark, sf_dir):
-    return R.tool_table(C.vendor_directory(spark, sf_dir), "m", True)
+    """Vendors of the categories that the text "m" finds, court cases only, in the order of the table."""
+    counts = V.mention_counts(V.mentions(C._parts(spark, sf_dir), C.VENDORS))
+    return R.tool_table(counts, "m", True).select("category", "vendor", "total", "verdict_true", "place")
+
+
+def context_stories(spark, sf_dir):
+    """Stories all of whose articles are weak: context, not cases."""
+    rows = G._keyed(G.scored(spark, sf_dir).select("link", "title", "published", "processed_at", "alignment"))
+    by = rows.groupBy("story").agg(F.every(F.col("alignment") == "weak").alias("context"), F.count(F.lit(1)).alias("members"))
+    return by.where("context").select("story", "members")
+
+
+def observed_detections(spark, sf_dir):
+    """All detections of the techniques that articles have, each once."""
+    ids = G.matched(spark, sf_dir).select(F.explode("hits").alias("h")).select(F.col("h.technique").alias("technique")).distinct()
+    return ids.join(F.broadcast(X.controls(spark).where("kind = 'detection'")), "technique").select("control").distinct()
+
+
+def technique_hit_counts(spark, sf_dir):
+    """Hits of each technique without roll-up, with the last title that is not blank."""
+    hits = G.matched(spark, sf_dir).select("row_ord", F.inline("hits"))
+    named = F.when(F.trim("title") != "", F.struct("row_ord", "title"))
+    return hits.groupBy("technique").agg(F.count(F.lit(1)).alias("hits"), F.max(named)["title"].alias("title"))
+
+
+def watch_queries(spark, sf_dir):
+    companies = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_name").alias("company"))
+    topics = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("query"))
+    return R.watch_queries(companies, topics, "employee AND data")
+
+
+def example_picks(spark, sf_dir):
+    return R.example_picks(G.scored(spark, sf_dir)).select("link")
+
+
+def share_bars(spark, sf_dir):
+    """The share of adjudicated uses of each technique, half to even."""
+    counts = L.technique_strength(C._uses(spark, sf_dir))
+    return counts.select("technique", F.bround(100.0 * F.col("adjudicated") / F.col("cases"), 0).cast("int").alias("share"))
+
+
+def unfinished_pairs(spark, sf_dir):
+    links = X.articles(spark, sf_dir).select("link", "row_ord")
+    done = links.where("row_ord % 3 = 0").select("link", F.lit("on").alias("arm")).unionByName(links.where("row_ord % 6 = 0").select("link", F.lit("off").alias("arm")))
+    return R.unfinished(links.select("link"), done, "7")
+
+
+def text_upgrades(spark, sf_dir):
+    """Articles whose content may replace a stored text of a third, or of two thirds, of it."""
+    part = F.when(F.col("row_ord") % 2 == 0, 3).otherwise(1.5)
+    old = F.left("content", (F.length("content") / part).cast("int"))
+    return X.articles(spark, sf_dir).where(R.text_upgrade(old, F.col("content"))).select("link")
+
+
+def json_rescue(spark, sf_dir):
+    """The properties of events, found again in a chatty text."""
+    text = F.concat(F.lit("Sure, here it is: "), "props", F.lit(" - done."))
+    k = F.try_variant_get(R.rescued_json(text), "$.k", "int")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(k.alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+PACKS = [("licence", ["IF001", "IF001.001"], ["license"]), ("prepare", ["PR001"], []), ("media", ["AF002"], ["usb", "the"])]
+
+
+def picked_packs(spark, sf_dir):
+    packs = spark.createDataFrame(PACKS, "pack string, anchors array<string>, hints array<string>")
+    rows = G.matched(spark, sf_dir).select("link", "title", F.transform("hits", lambda h: h["technique"]).alias("ids"))
+    return R.picked_packs(rows, packs)
+
+
+def preview_trim(spark, sf_dir):
+    """The newest 40 articles with at most 200 characters of text."""
+    rows = X.articles(spark, sf_dir).orderBy(F.desc_nulls_last("published"), "row_ord").limit(40)
+    return rows.select("link", F.left("content", F.lit(200)).alias("content"))
+
+
+def due_lanes(spark, sf_dir):
+    """Lanes whose last event is at least 12 hours before the newest of all."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 50).alias("lane"), F.col("ts").cast("timestamp").alias("ts"))
+    last, now = e.groupBy("lane").agg(F.max("ts").alias("last")), e.agg(F.max("ts").alias("now"))
+    return last.crossJoin(F.broadcast(now)).where(F.col("now") - F.col("last") >= F.expr("interval 12 hours")).select("lane")  # one row
+
+
+def page_urls(spark, sf_dir):
+    """Public addresses of techniques by their ids."""
+    ids = G.matched(spark, sf_dir).select(F.explode("hits").alias("h")).select(F.col("h.technique").alias("technique")).distinct()
+    return ids.select("technique", F.concat(F.lit("https://catalog.example/technique/"), F.lower(F.replace("technique", F.lit("."), F.lit("/")))).alias("url"))
 
 
 QUERIES = {
@@ -184,6 +271,8 @@ QUERIES = {
     for f in (
         article_hits, theme_filter, topic_filter, full_text, spend_gate, purchase_gate, follow_candidates, lane_states, social_sources,
         technique_hunts, technique_terms, technique_detail, trial_metrics, trial_decision, docket_updates, budget_split, hunt_map,
+        tool_table, context_stories, observed_detections, technique_hit_counts, watch_queries, example_picks, share_bars, unfinished_pairs, text_upgrades,
+        json_rescue, picked_packs, preview_trim, due_lanes, page_urls,
     )
 }
 
@@ -260,4 +349,22 @@ ORACLE_SQL = {
         m AS (SELECT technique, title, CASE WHEN lower(technique) = '{_Q}' THEN 100 WHEN named THEN 92 WHEN lower(title) = '{_Q}' THEN 88 WHEN len(part) > 0 THEN 55 + least(list_max(list_transform(part, lambda a: length(a))), 25)
             WHEN contains(lower(title), '{_Q}') OR contains(lower(technique), '{_Q}') THEN 40 ELSE 0 END AS match FROM p)
         SELECT technique, title, CAST(CASE WHEN match > 0 THEN match ELSE 10 + articles END AS BIGINT) AS score, coalesce(articles, 0) AS articles, match > 0 AS from_catalog FROM m LEFT JOIN c USING (technique) WHERE match > 0 OR articles IS NOT NULL""",
+    "tool_table": f"""WITH {C._MENTIONS}, n AS (SELECT category, vendor, count(DISTINCT link) AS total, count(DISTINCT link) FILTER (verdict) AS verdict_true FROM mentions GROUP BY category, vendor)
+        SELECT *, row_number() OVER (PARTITION BY category ORDER BY total > 0 DESC, verdict_true DESC, total DESC, lower(vendor)) AS place FROM n WHERE contains(lower(category), 'm') OR contains(lower(vendor), 'm')""",
+    "context_stories": f"WITH {G.SCORED}, story AS (SELECT *, {G.STORY_OF} FROM scored) SELECT story, count(*) AS members FROM story GROUP BY story HAVING bool_and(alignment = 'weak')",
+    "observed_detections": f"""WITH {G.HITS}, {X.values_sql("controls", "control, kind, technique", [(c, k, t) for c, k, ts in X.CONTROLS for t in ts])}
+        SELECT DISTINCT control FROM hits JOIN controls USING (technique) WHERE kind = 'detection'""",
+    "technique_hit_counts": f"WITH {G.HITS} SELECT technique, count(*) AS hits, any_value(title) AS title FROM hits GROUP BY technique",
+    "watch_queries": """SELECT trim(n_name) AS query FROM nation WHERE trim(n_name) <> '' UNION SELECT '"' || trim(s_name) || '" (employee AND data)' FROM supplier WHERE trim(s_name) <> '' UNION SELECT '"' || trim(s_name) || '"' FROM supplier WHERE trim(s_name) <> ''""",
+    "example_picks": f"WITH {G.SCORED} SELECT link FROM scored s ORDER BY (SELECT count(*) FROM hits h WHERE h.row_ord = s.row_ord) * 1000 + relevance_score DESC, link LIMIT 3",
+    "share_bars": f"{C.STRONG} SELECT technique, CAST(round_even(100.0::DOUBLE * count(*) FILTER (strength = 'adjudicated') / count(*), 0) AS INTEGER) AS share FROM uses GROUP BY technique",
+    "unfinished_pairs": f"""WITH {_A} SELECT link, CASE WHEN strpos('02468ace', right(sha256('7:' || link), 1)) > 0 THEN 'on' ELSE 'off' END AS first_arm FROM article WHERE row_ord % 6 <> 0""",
+    "text_upgrades": f"WITH {_A} SELECT link FROM article WHERE length(content) >= 5000 AND length(content) >= 2 * CAST(floor(length(content) / CASE WHEN row_ord % 2 = 0 THEN 3 ELSE 1.5 END) AS INTEGER)",
+    "json_rescue": """WITH t AS (SELECT regexp_extract('Sure, here it is: ' || props || ' - done.', '(?s)\\{.*\\}') AS j FROM events)
+        SELECT CASE WHEN json_valid(j) THEN CAST(json_extract_string(j, '$.k') AS INTEGER) END AS k, count(*) AS n FROM t GROUP BY 1""",
+    "picked_packs": f"""WITH {G.HITS}, p(pack, technique) AS (VALUES ('licence', 'IF001'), ('licence', 'IF001.001'), ('prepare', 'PR001'), ('media', 'AF002'))
+        SELECT link, pack FROM hits JOIN p USING (technique) UNION SELECT link, 'licence' FROM article WHERE contains(lower(title), 'license') UNION SELECT link, 'media' FROM article WHERE contains(lower(title), 'usb') OR contains(lower(title), 'the')""",
+    "preview_trim": f"WITH {_A} SELECT link, substr(content, 1, 200) AS content FROM article ORDER BY published DESC NULLS LAST, row_ord LIMIT 40",
+    "due_lanes": f"WITH {EVENTS} SELECT user_id % 50 AS lane FROM e GROUP BY 1 HAVING max(ts) <= (SELECT max(ts) FROM e) - INTERVAL 12 HOUR",
+    "page_urls": f"WITH {G.HITS} SELECT DISTINCT technique, 'https://catalog.example/technique/' || lower(replace(technique, '.', '/')) AS url FROM hits",
 }

@@ -182,3 +182,34 @@ def test_passages_in_any_place(spark):
     quotes = spark.createDataFrame([(1, "one two three four"), (2, 'one "two" three'), (3, "two three"), (4, None)], "item_id long, text string")
     assert sorted(map(tuple, M.quotes_found(docs, quotes).collect())) == [(1, 1), (2, 2), (4, 1)]
     assert M.quotes_found(docs.limit(0), quotes).count() == 0
+
+
+def test_stream_entries(spark):
+    import json
+
+    from caselode.sources import payloads
+
+    items = [
+        {"title": " A ", "originId": "tag:1", "alternate": [{"href": "http://x/1"}], "summary": {"content": "<p>one  two</p>"}, "categories": [{"label": "c"}], "keywords": ["k", "c", " "], "published": 1000},
+        {"title": "", "canonicalUrl": "http://x/2"},
+        {"title": "no link", "originId": "tag:2"},
+        {"title": "bare", "canonicalUrl": "https://x/3", "crawled": 2500, "origin": {"title": "O"}},
+    ]
+    rows = spark.createDataFrame([(json.dumps({"items": items}),), ("no json",)], "p string")
+    got = rows.select(payloads.stream_entries(F.col("p"), "feed/http://x y").alias("e")).collect()
+    assert [(e.title, e.link, e.summary, e.source_id, e.source_name) for e in got[0].e] == [
+        ("A", "http://x/1", "one two\n\nLabels: c; k", "reader-feed-http-x-y", "Reader"),
+        ("bare", "https://x/3", None, "reader-feed-http-x-y", "O"),
+    ]
+    assert got[0].e[0].published == datetime(1970, 1, 1, 0, 0, 1) and not got[1].e
+
+
+def test_packages_states_and_pages(spark, tmp_path):
+    rows = spark.range(5).select("id", F.lit("x").alias("t"))
+    assert R.export_package(rows, rows.limit(2), str(tmp_path / "p")) == {"rows": 5, "candidates": 2}
+    assert spark.read.json(str(tmp_path / "p/rows")).count() == 5 and spark.read.json(str(tmp_path / "p/manifest")).first().rows == 5
+    for text, want in [('{"a": "1"}', {"a": "1"}), ("no", {}), ("", {}), ("[1]", {})]:
+        assert one(spark, R.state_of(F.col("s")), s=text) == want
+    text = "body\n=== UPDATES as of 2023-01-01 ===\n- old"
+    assert one(spark, R.docket_updates(F.col("b"), F.col("e"), F.lit("2024-01-01")), b=text, e=["new", "x" * 400]) == "body\n=== UPDATES as of 2024-01-01 ===\n- new\n- " + "x" * 300
+    assert one(spark, R.docket_updates(F.col("b"), F.col("e"), F.lit("2024-01-01")), b=text, e=[]) == "body"
