@@ -22,7 +22,7 @@ class Features:
     Words are lower-cased in A-Z and stripped of punctuation at both ends.
     """
 
-    def __init__(self, bits: int, most: int = 400_000):
+    def __init__(self, bits: int, most: int = 250_000):
         import xxhash
 
         self.digest, self.shift, self.known, self.most = xxhash.xxh64_intdigest, np.uint64(64 - bits), {}, most
