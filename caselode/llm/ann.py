@@ -94,7 +94,7 @@ def pair_tables(query: np.ndarray, books: np.ndarray) -> np.ndarray:
     table = (_parts(query[None], books.shape[2])[0][:, None, :] * books).sum(axis=2)
     if len(table) % 2:
         table = np.vstack((table, np.zeros(16)))
-    return (table[1::2, :, None] + table[::2, None, :]).reshape(len(table) // 2, 256).astype(np.float32)
+    return (table[1::2, :, None] + table[::2, None, :]).reshape(len(table) // 2, 256)
 
 
 # -------------------------------------------------------------------------- search
@@ -105,23 +105,25 @@ def _coded(x: np.ndarray, books: np.ndarray, eta: float) -> tuple[np.ndarray, np
     codes = encode(x, books, eta)
     near = books[np.arange(len(books)), codes].reshape(len(x), -1)[:, : x.shape[1]]
     rounding = 2.4e-7 * (len(books) + 4) * np.linalg.norm(near, axis=1)
-    radius = (np.linalg.norm(x - near, axis=1) * (1 + 1e-6) + rounding).astype(np.float32)
-    return pack_codes(codes), np.nextafter(radius, np.float32(np.inf))
+    return pack_codes(codes), np.linalg.norm(x - near, axis=1) * (1 + 1e-6) + rounding
 
 
 def best_of(
     query: np.ndarray, reps: np.ndarray, vecs: np.ndarray, packed: np.ndarray, radius: np.ndarray, books: np.ndarray, k: int, candidates: int
 ) -> tuple[np.ndarray, np.ndarray]:
     """(places, inner products) of the k vectors of largest inner product, best first; of equals the smaller rep."""
+    tables = pair_tables(query, books)
+    scale = np.abs(tables).max(initial=0.0) or 1.0  # single precision from here on, whatever the size of the numbers
     approximate = np.zeros(len(reps), np.float32)
-    for table, column in zip(pair_tables(query, books), packed, strict=True):
+    for table, column in zip((tables / scale).astype(np.float32), packed, strict=True):
         approximate += table[column]
+    bound = np.linalg.norm(query) * radius + len(tables) * 3e-45 * scale
     first = min(max(candidates, k), len(reps))
     floor = -np.inf
     if first < len(reps):
         likely = np.argpartition(-approximate, first - 1)[:first]
         floor = np.partition((vecs[likely] * query).sum(axis=1), first - k)[first - k]
-    left = np.flatnonzero(~(approximate + np.linalg.norm(query) * radius.astype(np.float64) < floor))
+    left = np.flatnonzero(~(approximate * scale + bound < floor))
     score = (vecs[left] * query).sum(axis=1)
     best = np.lexsort((reps[left], -score))[:k]
     return left[best], score[best]
@@ -239,7 +241,7 @@ def search(
                 if r["qkey"] is None:
                     number, reps = r["block"], np.frombuffer(r["reps"], np.int64)
                     vecs = np.frombuffer(r["vecs"], np.float32 if len(r["vecs"]) == len(reps) * width * 4 else np.float64)
-                    held = (vecs.reshape(len(reps), width), np.frombuffer(r["codes"], np.uint8).reshape(-1, len(reps)), np.frombuffer(r["radius"], np.float32))
+                    held = (vecs.reshape(len(reps), width), np.frombuffer(r["codes"], np.uint8).reshape(-1, len(reps)), np.frombuffer(r["radius"], np.float64))
                     keys = r["keys"]
                 elif number == r["block"]:  # a block may have no classes
                     best, score = best_of(np.frombuffer(r["qvec"]), reps, *held, books, k + 1, candidates)
