@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: bytes.split() without an argument splits on exactly these six bytes.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A folder that driver and executors share.
@@ -35,10 +37,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write df in the shared folder and read it back: lineage ends in files
-    that outlive any executor."""
+    that outlive any executor. The shuffle files that led to the table are
+    freed when it is written."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
+    path, before = fresh_path(spark, name), spark.conf.get(_FREE_SHUFFLES, "false")
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
