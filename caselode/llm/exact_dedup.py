@@ -73,7 +73,13 @@ def exact_dedup(
 
 
 def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns."""
+    """The rows of docs that exact_dedup keeps, with all their columns.
+
+    Defined cases: a null text counts as empty, so of null and empty texts one
+    row stays; null ids never win over others; of rows that repeat the winning
+    id and the text one stays; ids that repeat with different texts stand for
+    as many texts; an empty table gives an empty result; columns keep their names.
+    """
     id_key = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
     kept = exact_dedup(docs, id_col=id_col, text_col=text_col, keep=keep).where("kept")
     kept = kept.select(id_key(F.col("doc_id")).alias("__dedup_id"), F.col("text_sha256").alias("__dedup_sha"))
