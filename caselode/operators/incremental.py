@@ -46,12 +46,25 @@ def merge_refresh(store: DataFrame, incoming: DataFrame, force: bool = False, de
     )
 
 
+def numbered(rows: DataFrame, by: str, order: list[Column]) -> DataFrame:
+    """rows with `nth`, their place among those of the same `by`, without one task for each `by`.
+
+    Rows are dealt out by range of by and order; a place is the place in the
+    range and the sum of the ranges before it, of which there is one row each.
+    """
+    ranges = rows.repartitionByRange(F.col(by), *order).withColumn("_range", F.spark_partition_id())
+    so_far = F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = ranges.groupBy(by, "_range").agg(F.count(F.lit(1)).alias("_n")).select(by, "_range", so_far.alias("_before"))
+    inside = ranges.withColumn("_inside", F.row_number().over(Window.partitionBy(by, "_range").orderBy(*order)))
+    placed = inside.join(before, [by, "_range"]).withColumn("nth", (F.col("_before") + F.col("_inside")).cast("int"))
+    return placed.select(*rows.columns, "nth")
+
+
 def stale_rows(raw: DataFrame, done: DataFrame) -> DataFrame:
     """Raw rows without a processed row, or ingested after it; filings first, newest first."""
     prior = done.select("link", F.col("processed_at").alias("prior_at"))
     todo = raw.join(prior, "link", "left").where(F.col("prior_at").isNull() | (F.col("prior_at") < F.col("ingested_at")))
-    nth = F.row_number().over(Window.partitionBy("channel").orderBy(F.desc_nulls_last("published"), "row_ord"))
-    return todo.withColumn("nth", nth)
+    return numbered(todo, "channel", [F.desc_nulls_last("published"), F.col("row_ord").asc()])
 
 
 def richness() -> Column:
@@ -102,9 +115,10 @@ def round_robin_sample(rows: DataFrame, cell: list[str], verdict: str, key: str,
     h = F.sha2(F.concat(F.lit(f"{seed}:"), key), 256)
     name = F.concat_ws("|", *cell)
     rows = rows.withColumn("h", h).withColumn("cell", name)
-    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("cell", verdict).orderBy("h", key)))
+    # the n first of a cell come before all others of their verdict, so more can't be among the n first
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("cell", verdict).orderBy("h", key))).where(F.col("r") <= n)
     by = Window.partitionBy(verdict).orderBy("r", F.sha2("cell", 256), "cell")
-    return rows.withColumn("k", F.row_number().over(by)).orderBy("k", F.desc(verdict)).limit(n)
+    return rows.withColumn("k", F.row_number().over(by)).where(F.col("k") <= n).orderBy("k", F.desc(verdict)).limit(n)
 
 
 def failure_runs(cycles: DataFrame) -> DataFrame:

@@ -148,7 +148,14 @@ def vendor_directory(spark, sf_dir):
     return V.directory(V.mention_counts(V.mentions(_parts(spark, sf_dir), VENDORS)))
 
 
-QUERIES = {f.__name__: f for f in (ledger_basis, ledger_strength, posture_mix, quote_grounding, role_axes, technique_strength, technique_exemplars, technique_families, theme_rollup, year_technique_top5, channel_coverage, evidence_families, behaviors_capped, detection_corroboration, tool_covered_techniques, tool_ranking, evidence_strength, vendor_mentions, vendor_receipts, vendor_directory)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        ledger_basis, ledger_strength, posture_mix, quote_grounding, role_axes, technique_strength, technique_exemplars, technique_families,
+        theme_rollup, year_technique_top5, channel_coverage, evidence_families, behaviors_capped, detection_corroboration,
+        tool_covered_techniques, tool_ranking, evidence_strength, vendor_mentions, vendor_receipts, vendor_directory,
+    )
+}
 
 _round = lambda a, b: f"CAST(round_even(100.0::DOUBLE * {a} / {b}, 0) AS INTEGER)"
 ORACLE_SQL = {

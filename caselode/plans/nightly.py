@@ -240,7 +240,15 @@ def stream_tumbling(spark, sf_dir):
     return done.select(F.unix_timestamp("window.start").alias("start_s"), "event_type", "n")
 
 
-QUERIES = {f.__name__: f for f in (last_wins, merge_refresh, append_new, incremental_worklist, export_rows, select_best_generation, append_dedupe, budget_prefix, char_budget_concat, goldset_sample, goldset_strata, ab_metrics, corpus_audit, verdict_crosstab, lane_health, lane_summary, quarterly_spend, quote_verbatim, quote_stamps, tumbling, sliding, session_windows, json_props, needs_full_text, admit_limiter, novel_clusters, html_title, html_links, plain_text, stream_tumbling)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        last_wins, merge_refresh, append_new, incremental_worklist, export_rows, select_best_generation, append_dedupe, budget_prefix,
+        char_budget_concat, goldset_sample, goldset_strata, ab_metrics, corpus_audit, verdict_crosstab, lane_health, lane_summary,
+        quarterly_spend, quote_verbatim, quote_stamps, tumbling, sliding, session_windows, json_props, needs_full_text, admit_limiter,
+        novel_clusters, html_title, html_links, plain_text, stream_tumbling,
+    )
+}
 
 _STORES = f"""{A}, store AS (SELECT link, title, summary, CASE WHEN row_ord % 7 <> 0 THEN content ELSE '' END AS content FROM article WHERE row_ord % 3 <> 0),
 fresh AS (SELECT link, CASE WHEN row_ord % 10 = 0 THEN title || '!' ELSE title END AS title, summary, content FROM article WHERE row_ord % 2 = 0 OR row_ord % 3 = 0)"""

@@ -315,7 +315,16 @@ def trending_page(spark, sf_dir):
     return page.select("kind", "key", "stories", "recent")
 
 
-QUERIES = {f.__name__: f for f in (technique_counts, technique_hits, cve_domain_extract, relevance_score, use_case_labels, insider_type, article_filters, technique_filter, control_filter, article_controls, source_counts, source_counts_merged, keyword_search_topk, keyword_search_boosted, hybrid_search_topk, article_stream, story_clusters, cluster_page, uncovered_stories, syndication_representative, vector_topk, label_centroid_argmax, rail_counts, links_found, links_missing, technique_union, lane_union, trending_topics, topics_trending, trending_page)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        technique_counts, technique_hits, cve_domain_extract, relevance_score, use_case_labels, insider_type, article_filters,
+        technique_filter, control_filter, article_controls, source_counts, source_counts_merged, keyword_search_topk,
+        keyword_search_boosted, hybrid_search_topk, article_stream, story_clusters, cluster_page, uncovered_stories,
+        syndication_representative, vector_topk, label_centroid_argmax, rail_counts, links_found, links_missing, technique_union,
+        lane_union, trending_topics, topics_trending, trending_page,
+    )
+}
 
 
 

@@ -149,7 +149,14 @@ def channel_chips(spark, sf_dir):
     return X.articles(spark, sf_dir).groupBy("channel").agg(F.count(F.lit(1)).alias("articles")).orderBy(F.desc("articles"), "channel")
 
 
-QUERIES = {f.__name__: f for f in (novel_candidates, candidate_counts, llm_ref_merge, technique_shortlist, sentence_clamp, atom_feed, boot_snapshot, board_report, hunt_worklist, recovery_merge, stale_enrichments, docket_summary, docket_text, history_windows, proof_labels, technique_tools, observables_by_artifact, channel_chips)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        novel_candidates, candidate_counts, llm_ref_merge, technique_shortlist, sentence_clamp, atom_feed, boot_snapshot, board_report,
+        hunt_worklist, recovery_merge, stale_enrichments, docket_summary, docket_text, history_windows, proof_labels, technique_tools,
+        observables_by_artifact, channel_chips,
+    )
+}
 
 _CAND = """rec AS (SELECT label * 40 + vec_id % 40 AS cluster, vec_id AS id, vec_id % 7 AS story, vec_id % 3 AS domain,
   CASE WHEN label = 4 THEN 0 ELSE vec_id % 3 END AS r, embedding::DOUBLE[] AS v, vec_id % 365 AS seen FROM embeddings WHERE vec_id > 2),
