@@ -55,6 +55,8 @@ class Grams:
         self.keys, self.of = keys[order], place[of]
         self.prefix, self.suffix = (None, None) if prefix is None else (prefix[order], suffix[order])
         self.counts = np.bincount(self.of[learn & (self.of >= 0)], minlength=len(keys)).astype(np.uint32)
+        #: whether the n-gram stands in a held-out text: only there can an n-gram be new, so only such contexts need a weight
+        self.held = np.bincount(self.of[~learn & (self.of >= 0)], minlength=len(keys)) > 0
 
 
 class Chunk:
@@ -95,6 +97,7 @@ class Chunk:
             of = np.full(len(self.doc), -1, np.int64)
             of[has] = where
             keys = (short.keys[first] * _MIX[0] ^ (words.keys[last] >> _MIX[2])) * _MIX[1] ^ words.keys[last] * _MIX[0]
+            keys &= ~np.uint64(0xFF)  # 56 bits: the last byte would be a sixth of what is moved
             self.grams.append(Grams(keys, of, first, suffix, learn))
 
 
@@ -165,8 +168,8 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Defined cases: a null or empty text is its end token alone; a null id is
     hashed as empty text; repeated rows are learned and scored again; other
     columns are ignored; an empty table gives an empty result; without
-    training rows every token is unknown and of probability one. Hashes are
-    64 bits: among 10**8 distinct pairs two share one with probability 0.0003.
+    training rows every token is unknown and of probability one. Words have
+    hashes of 64 bits, longer n-grams of 56: of 10**10 distinct ones about 700 pairs share one.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
@@ -193,21 +196,22 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         out: dict[str, list] = {k: [] for k in ("chunk", "order", "bucket", "keys", "counts")}
         for n, grams in enumerate(chunk.grams, 1):
             for bucket, s, e in _split(grams.keys, bits):
-                own = grams.keys[s:e]
-                for k, v in zip(out, (number, n, bucket, _planes(np.diff(own, prepend=np.uint64(0))), _planes(grams.counts[s:e])), strict=True):
+                own, flagged = grams.keys[s:e], grams.counts[s:e] << 1 | grams.held[s:e]
+                for k, v in zip(out, (number, n, bucket, _planes(np.diff(own, prepend=np.uint64(0))), _planes(flagged.astype(np.uint32))), strict=True):
                     out[k].append(v)
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
 
     def add(table: pa.Table) -> pa.Table:
         keys = [np.cumsum(_unplanes(x.as_py(), np.uint64), dtype=np.uint64) for x in table["keys"]]
-        counts = np.concatenate([_unplanes(x.as_py(), np.uint32) for x in table["counts"]])
+        flagged = np.concatenate([_unplanes(x.as_py(), np.uint32) for x in table["counts"]])
         ends = np.cumsum([len(k) for k in keys])
         _, first, where, chunks = np.unique(np.concatenate(keys), return_index=True, return_inverse=True, return_counts=True)
-        totals = np.bincount(where, counts, len(first)).astype(np.uint32)
+        totals = np.bincount(where, flagged >> 1, len(first)).astype(np.uint32)
+        held = np.bincount(where, flagged & 1, len(first)) > 0
         owner = np.zeros(len(where), np.uint8)
         owner[first] = 1
-        state = owner | (chunks[where] == 1).astype(np.uint8) << 1
+        state = owner | (chunks[where] == 1).astype(np.uint8) << 1 | held[where].astype(np.uint8) << 2
         stats = [*np.bincount(totals[totals <= K + 1], minlength=K + 2)[1:].tolist(), int(totals.sum(dtype=np.int64)), int((totals > 0).sum())]
         spread = [x[s:e] for x in (totals[where], state) for s, e in zip([0, *ends[:-1]], ends, strict=True)]
         n = len(keys)
@@ -217,7 +221,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 "order": table["order"],
                 "bucket": table["bucket"],
                 "totals": pa.array([_planes(x) for x in spread[:n]], pa.binary()),
-                "state": pa.array([np.packbits(np.stack((x & 1, x >> 1))).tobytes() for x in spread[n:]], pa.binary()),
+                "state": pa.array([np.packbits(np.stack((x & 1, x >> 1 & 1, x >> 2))).tobytes() for x in spread[n:]], pa.binary()),
                 "stats": pa.array([stats] + [None] * (n - 1), pa.list_(pa.int64())),
             }
         )
@@ -241,10 +245,10 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         orders = right["order"].to_numpy()
         for i in np.lexsort((right["bucket"].to_numpy(), orders)):
             totals = _unplanes(right["totals"][i].as_py(), np.uint32)
-            state = np.unpackbits(np.frombuffer(right["state"][i].as_py(), np.uint8))[: 2 * len(totals)].reshape(2, -1)
+            state = np.unpackbits(np.frombuffer(right["state"][i].as_py(), np.uint8))[: 3 * len(totals)].reshape(3, -1)
             got[orders[i] - 1].append((totals, state))
         total = [np.concatenate([t for t, _ in g] or [np.empty(0, np.uint32)]).astype(np.int64) for g in got]
-        state = [np.concatenate([s for _, s in g] or [np.empty((2, 0), np.uint8)], axis=1) for g in got]
+        state = [np.concatenate([s for _, s in g] or [np.empty((3, 0), np.uint8)], axis=1) for g in got]
         if [len(t) for t in total] != [len(g.keys) for g in chunk.grams]:
             raise ValueError("the documents changed between two passes")
         # probability of each n-gram that was seen, and log10 of each n-gram's by the weights that are known here
@@ -261,7 +265,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             asked.append(~seen & ~alone[grams.prefix] & (context > 0))
             p = longer
             values.append(np.where(seen, np.log10(np.where(seen, longer, 1)), values[-1][grams.suffix] + weight[grams.prefix]))
-            give = np.flatnonzero(~alone & (np.bincount(grams.prefix[own], minlength=size_) > 0))
+            give = np.flatnonzero(~alone & (state[n - 1][2] == 1) & (np.bincount(grams.prefix[own], minlength=size_) > 0))
             giving.append((short.keys[give], top[give], low[give]))
         n_docs, known = len(chunk.lengths), total[0][chunk.grams[0].of]
         base = np.log10((known + 0.1) / (n_train + 0.1 * (n_types + 1)))
