@@ -334,4 +334,4 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), order=3, chunk_bytes=4 << 20)
+    return score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), order=2, chunk_bytes=5 << 20)
