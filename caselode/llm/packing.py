@@ -46,6 +46,18 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
     return plan
 
 
+class Effort:
+    """What is left of the work that a search may do, in steps."""
+
+    def __init__(self, steps: int):
+        self.left = steps
+
+    def spend(self, steps: int = 1) -> bool:
+        """Take steps off; False once nothing is left."""
+        self.left -= steps
+        return self.left > 0
+
+
 class Fillings:
     """The fillings of a room by lengths of a histogram, by subset sums.
 
@@ -54,8 +66,8 @@ class Fillings:
     dead end.
     """
 
-    def __init__(self, counts: dict[int, int], room: int):
-        self.counts, self.room = counts, room
+    def __init__(self, counts: dict[int, int], room: int, effort: Effort | None = None):
+        self.counts, self.room, self.effort = counts, room, effort or Effort(1 << 62)
         self.sizes = sorted(s for s, n in counts.items() if n and s <= room)
         mask, sums, self.reach = (1 << (room + 1)) - 1, 1, [1]
         for s in self.sizes:
@@ -74,10 +86,16 @@ class Fillings:
             yield t
             left ^= 1 << t
 
-    def of(self, total: int) -> Iterator[tuple[int, ...]]:
-        """All fillings of exactly this total, those with larger lengths first."""
+    def of(self, total: int, every: bool = True) -> Iterator[tuple[int, ...]]:
+        """All fillings of exactly this total, those with larger lengths first, until the effort is spent.
+
+        every=False leaves out a part of a filling, with all that it leads to,
+        as soon as a larger length that is left over could stand for one of
+        its items; so it leaves out dominated fillings only.
+        """
+        slack = self.room - total
         stack: list[tuple[tuple[int, ...], int, int]] = [((), total, len(self.sizes))]
-        while stack:
+        while stack and self.effort.spend():
             items, rest, i = stack.pop()
             if not rest:
                 yield items
@@ -88,6 +106,8 @@ class Fillings:
                 if not self.reach[k] >> rest & 1:
                     break
                 s = self.sizes[k - 1]
+                if not every and slack and self._replaced(s, items, k, slack):
+                    continue
                 for n in range(min(self.counts[s], rest // s), 0, -1):
                     if self.reach[k - 1] >> (rest - n * s) & 1:
                         choices.append((items + (s,) * n, rest - n * s, k - 1))
@@ -96,6 +116,13 @@ class Fillings:
                     break
             stack += reversed(choices)
 
+    def _replaced(self, s: int, items: tuple[int, ...], k: int, slack: int) -> bool:
+        """Whether a length over s, by no more than the slack, is left over; lengths from place k on are decided."""
+        for x in self.sizes[k : bisect_right(self.sizes, s + slack)]:
+            if items.count(x) < self.counts[x]:
+                return True
+        return False
+
     def dominated(self, items: tuple[int, ...]) -> bool:
         """Whether a length that is left over has room still, or could stand for some of the items and fill the room at least as well.
 
@@ -115,9 +142,11 @@ class Fillings:
         return False
 
     def undominated(self, least: int) -> Iterator[tuple[int, ...]]:
-        """Undominated fillings of at least this total, least waste first."""
+        """Undominated fillings of at least this total, least waste first, until the effort is spent."""
         for total in self.totals(least):
-            for items in self.of(total):
+            for items in self.of(total, every=False):
+                if not self.effort.spend(1 + len(self.sizes) // 64):
+                    return
                 if not self.dominated(items):
                     yield items
 
@@ -158,6 +187,10 @@ def fullest(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
     return plan
 
 
+#: Steps that a node of the search counts as: about the time of its lower bound and its table of sums.
+NODE = 16
+
+
 def complete_bins(counts: dict[int, int], capacity: int, effort: int = 3000) -> list[tuple[tuple[int, ...], int]]:
     """Bin completion by branch and bound: [(lengths in a bin, number of such bins)].
 
@@ -167,24 +200,29 @@ def complete_bins(counts: dict[int, int], capacity: int, effort: int = 3000) ->
     distinct lengths, not by that of documents. A branch ends when the waste
     so far is more than the bins below the incumbent allow, or when the lower
     bound of what is left shows it. Incumbents are best-fit decreasing, and
-    the plan that fills each bin as full as can be. The search ends at the
-    lower bound, when no branch is left (then the result is optimal), or after
-    `effort` nodes; the number of bins may then be above the optimum.
+    the plan that fills each bin as full as can be. No bin can hold more than
+    the largest sum of lengths that fits, which is less than the capacity
+    where the lengths have a common factor, say; bounds and waste are taken
+    from that sum. The search ends at the lower bound, when no branch is left
+    (then the result is optimal), or after the work of `effort` nodes, in
+    which every filling looked at counts, dominated or not; the number of bins
+    may then be above the optimum.
     """
     counts = {s: n for s, n in counts.items() if n}
     if not counts:
         return []
+    capacity = next(Fillings(counts, capacity).totals(0))
     size = lambda plan: sum(n for _, n in plan)
     bound, total = lower_bound(counts, capacity), sum(s * n for s, n in counts.items())
     best = best_fit(counts, capacity)
     if size(best) > bound:
         best = min(best, fullest(counts, capacity), key=size)
-    n_best = size(best)
+    n_best, work = size(best), Effort(effort * NODE)
 
     def children(left: dict[int, int], waste: int) -> Iterator[tuple[tuple[int, ...], int]]:
         top = max(left)
         room = capacity - top
-        fill = Fillings(_take(left, {top: 1}, 1), room)
+        fill = Fillings(_take(left, {top: 1}, 1), room, work)
         for items in fill.undominated(room - ((n_best - 1) * capacity - total - waste)):
             need = Counter((top, *items))
             for times in range(min(left[s] // n for s, n in need.items()), 0, -1):
@@ -192,21 +230,21 @@ def complete_bins(counts: dict[int, int], capacity: int, effort: int = 3000) ->
 
     # Depth first, in rounds: round d takes a branch that is not the first of its level only d times on a path.
     spread, cut = 0, True
-    while cut and n_best > bound and effort > 0:
+    while cut and n_best > bound and work.left > 0:
         cut = False
         # (histogram left, its branches still to try, their number so far, plan so far, bins so far, waste so far, turns left)
         stack = [[counts, children(counts, 0), 0, None, 0, 0, spread]]
-        while stack and n_best > bound and effort > 0:
+        while stack and n_best > bound and work.left > 0:
             left, branches, tried, plan, bins, waste, turns = stack[-1]
             if tried > 0 and not turns:
-                cut = cut or next(branches, None) is not None
+                cut = True  # perhaps no branch is left; the next round finds out
                 stack.pop()
                 continue
             step = next(branches, None)
             if step is None:
                 stack.pop()
                 continue
-            effort -= 1
+            work.spend(NODE)
             stack[-1][2] += 1
             items, times = step
             bins, waste = bins + times, waste + times * (capacity - sum(items))

@@ -78,3 +78,44 @@ def test_repeated_ids_and_long_text(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "word " * 60_000)], "doc_id long, text string")
     got = packing.pack(docs).collect()
     assert sum(r.length for r in got) == 2 * 3 + 60_001 and len({(r.sequence_id, r.offset) for r in got}) == len(got)
+
+
+def ends_soon(counts):
+    start = time.time()
+    made = check_plan(packing.complete_bins(counts, 2048), counts, 2048)
+    assert time.time() - start < 5  # about one second alone
+    assert made <= sum(n for _, n in packing.best_fit(counts, 2048))
+    return made
+
+
+@pytest.mark.parametrize("factor", range(2, 17))
+def test_lengths_with_a_common_factor_end(factor):
+    rng = np.random.default_rng(factor)
+    for top in (600, 2000):
+        counts = histogram(factor * rng.integers(1, top // factor + 1, 2500))
+        ends_soon(counts)
+        ends_soon(counts | {1: 3})
+
+
+def test_histograms_that_had_no_end():
+    rng = np.random.default_rng(0)
+    for counts in (histogram(3 * rng.integers(1, 101, 3000)), histogram(10 * rng.integers(1, 61, 2000))):
+        room = 2048 // min(counts) * min(counts)  # no bin holds more than the largest multiple
+        assert ends_soon(counts) == -(-sum(s * n for s, n in counts.items()) // room)
+
+
+def test_pruned_fillings_lose_no_undominated_one():
+    rnd = random.Random(5)
+    for _ in range(200):
+        counts = {rnd.randint(1, 12): rnd.randint(1, 3) for _ in range(5)}
+        fill = packing.Fillings(counts, rnd.randint(5, 30))
+        every = {x for t in fill.totals(0) for x in fill.of(t)}
+        pruned = {x for t in fill.totals(0) for x in fill.of(t, every=False)}
+        assert {x for x in every if not fill.dominated(x)} <= pruned <= every
+        assert {x for x in every if not fill.dominated(x)} == set(fill.undominated(0))
+
+
+def test_effort_bounds_all_work():
+    counts = {s: 2 for s in range(1, 400)}
+    fill = packing.Fillings(counts, 2000, packing.Effort(500))
+    assert sum(1 for _ in fill.undominated(0)) <= 500 and fill.effort.left <= 0
