@@ -35,18 +35,29 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
+def stage_table(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write df in the shared folder and read it back: lineage ends in files
     that outlive any executor. The shuffle files that led to the table are
-    freed when it is written."""
+    freed when it is written. by: a column whose values get folders of their
+    own, so that a filter on it reads only those."""
     spark = df.sparkSession
     path, before = fresh_path(spark, name), spark.conf.get(_FREE_SHUFFLES, "false")
     spark.conf.set(_FREE_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(_FREE_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged_at = path
+    return table
+
+
+def drop_table(table: DataFrame) -> None:
+    """Remove the files of a table of stage_table that nothing reads any more; other DataFrames are left alone."""
+    path, spark = getattr(table, "_staged_at", None), table.sparkSession
+    if path:
+        files = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files.getFileSystem(spark._jsc.hadoopConfiguration()).delete(files, True)
 
 
 def crc32_mod(col: Column, mod: int) -> Column:

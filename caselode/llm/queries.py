@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, katz, line_dedup, packing, quality, sentencepieces, simhash, toxicity, warc
+from . import ann, collocations, exact_dedup, katz, line_dedup, packing, quality, sentencepieces, simhash, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_quality_crf": quality.query,
@@ -17,6 +17,8 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.query,
     "op9_sentencepiece_nbest": sentencepieces.query,
     "op10_mips_search": ann.query,
+    "op11_url_filter": url_filter.query,
+    "op12_collocations": collocations.query,
 }
 ORACLE_SQL = {
     "op4_line_dedup": line_dedup.PASSAGES_SQL,
@@ -24,4 +26,6 @@ ORACLE_SQL = {
     "op4_line_dedup_runs": line_dedup.ORACLE_SQL,
     "op5_warc_archive": warc.ORACLE_SQL,
     "op8_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_url_filter": url_filter.ORACLE_SQL,
+    "op12_collocations": collocations.ORACLE_SQL,
 }
