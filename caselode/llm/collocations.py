@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +43,13 @@ class Activated:
     def __init__(self, cells: np.ndarray, hashes: int = 3):
         self.cells, self.hashes = cells, hashes
 
+    def packed(self) -> bytes:
+        return zstandard.compress(self.cells.tobytes(), 1)
+
+    @classmethod
+    def unpacked(cls, raw: bytes) -> Activated:
+        return cls(np.frombuffer(zstandard.decompress(raw), np.uint8))
+
     def places(self, keys: np.ndarray) -> Iterator[np.ndarray]:
         mask, step = np.uint64(len(self.cells) - 1), keys >> np.uint64(32) | np.uint64(1)
         for i in range(self.hashes):
@@ -138,7 +146,7 @@ def _scan(shard: DataFrame, longest: int, step: int, shards: int, cells, block:
     """(lang, n, phrase, key, c): what this step counts, added up for each block of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        active = Activated(np.frombuffer(cells.value, np.uint8))
+        active = Activated.unpacked(cells.value)
         for lang, texts in _texts(batches, block):
             tokens = Tokens(texts, lang)
             for n, places, keys, times in tokens.counted(longest, step, shards, active):
@@ -209,10 +217,10 @@ def frequent_phrases(
     steps, waiting = [], None
     step, begun = 0, 0  # begun: the last step at which phrases can have begun to be counted, as marks were set before it
     while step < begun + shards:
-        sent = spark.sparkContext.broadcast(marks.tobytes())
+        sent = spark.sparkContext.broadcast(Activated(marks).packed())
         counted = stage_table(_scan(dealt.where(F.col("shard") == step % shards).select("lang", "text"), longest, step, shards, sent, block), "counts")
         steps.append(counted)
-        sent.unpersist()
+        sent.destroy()
         so_far = counted.where(F.col("n") < longest).select("n", "key", "c")
         if waiting is not None:
             so_far = so_far.unionByName(waiting.where(F.col("c") < least))
@@ -225,10 +233,10 @@ def frequent_phrases(
         step += 1
     drop_table(waiting)
     drop_table(dealt)
-    sent = spark.sparkContext.broadcast(marks.tobytes())
+    sent = spark.sparkContext.broadcast(Activated(marks).packed())
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        active = Activated(np.frombuffer(sent.value, np.uint8))
+        active = Activated.unpacked(sent.value)
         for b in batches:
             keys = b.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
             keep = (b.column("n").to_numpy(zero_copy_only=False) == longest) | (active.since(keys) < Activated.NEVER)
@@ -242,7 +250,7 @@ def frequent_phrases(
     words = stage_table(every.where("n = 1").groupBy("lang").agg(F.sum("c").alias("words")), "words")
     for counted in steps:
         drop_table(counted)
-    sent.unpersist()
+    sent.destroy()
     return totals, words
 
 
