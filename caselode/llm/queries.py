@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, collocations, exact_dedup, katz, line_dedup, packing, quality, sentencepieces, simhash, toxicity, url_filter, warc
+from . import ann, collocations, divergence, exact_dedup, katz, line_dedup, packing, quality, sentencepieces, simhash, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_quality_crf": quality.query,
@@ -19,6 +19,7 @@ QUERIES = {
     "op10_mips_search": ann.query,
     "op11_url_filter": url_filter.query,
     "op12_collocations": collocations.query,
+    "op13_source_divergence": divergence.query,
 }
 ORACLE_SQL = {
     "op4_line_dedup": line_dedup.PASSAGES_SQL,
@@ -28,4 +29,5 @@ ORACLE_SQL = {
     "op8_exact_dedup": exact_dedup.ORACLE_SQL,
     "op11_url_filter": url_filter.ORACLE_SQL,
     "op12_collocations": collocations.ORACLE_SQL,
+    "op13_source_divergence": divergence.ORACLE_SQL,
 }
