@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_table, spread_join, stage_table
+from .common import drop_table, planes, spread_join, stage_table, unplanes
 
 #: What ends a piece: . , ; : ! ? and the line ends from \n to \r. Spaces and tabs part words.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -139,45 +139,104 @@ def _texts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str,
     yield from held.items()
 
 
-_ROWS = "lang string, n int, phrase string, key long, c long"
+#: Packed counts: the n-grams of n words whose keys fall into a bucket, sorted, as differences, and their counts.
+_PACKED = "n int, bucket long, old boolean, keys binary, counts binary"
 
 
-def _scan(shard: DataFrame, longest: int, step: int, shards: int, cells, block: int) -> DataFrame:
-    """(lang, n, phrase, key, c): what this step counts, added up for each block of texts."""
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their counts."""
+    keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    counts = np.zeros(len(keys), np.int64)
+    np.add.at(counts, where, np.concatenate([c for _, c in parts]))
+    return keys, counts
+
+
+def _runs(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, from, to) of the runs of sorted keys in one bucket; buckets are ranges of keys."""
+    of = ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+    cut = np.flatnonzero(np.diff(of)) + 1
+    for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(keys)], strict=True):
+        yield int(of[s]), s, e
+
+
+def _packed(n: int, old: bool, keys: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    rows = [(n, at, old, planes(np.diff(keys[s:e], prepend=np.uint64(0))), planes(counts[s:e])) for at, s, e in _runs(keys, buckets)] if len(keys) else []
+    kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+    for i in range(0, len(rows), 256):
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows[i : i + 256], strict=True), kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, ["n", "bucket", "old", "keys", "counts"])
+
+
+def _unpacked(keys: pa.Scalar, counts: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(unplanes(keys.as_py(), np.uint64), dtype=np.uint64), unplanes(counts.as_py(), np.int64)
+
+
+def _scan(shard: DataFrame, longest: int, step: int, shards: int, sent, block: int, buckets: int, most: int = 1 << 21) -> DataFrame:
+    """The packed counts of this step, added up in each task while they are at most about `most` keys a length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        active = Activated.unpacked(cells.value)
+        active, held = Activated.unpacked(sent.value), {n: [] for n in range(1, longest + 1)}
         for lang, texts in _texts(batches, block):
-            tokens = Tokens(texts, lang)
-            for n, places, keys, times in tokens.counted(longest, step, shards, active):
-                for i in range(0, len(places), 1 << 16):
-                    at, k, c = (x[i : i + (1 << 16)] for x in (places, keys, times))
-                    columns = [pa.array([lang] * len(at), pa.string()), pa.array(np.full(len(at), n, np.int32)), tokens.phrases(at, n).cast(pa.string())]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(k.view(np.int64)), pa.array(c.astype(np.int64))], ["lang", "n", "phrase", "key", "c"])
+            for n, _, keys, times in Tokens(texts, lang).counted(longest, step, shards, active):
+                held[n].append((keys, times.astype(np.int64)))
+                if sum(len(k) for k, _ in held[n]) > most:
+                    held[n] = [_added(held[n])]
+                    if len(held[n][0][0]) > most // 2:
+                        yield from _packed(n, False, *held[n].pop(), buckets)
+        for n, parts in held.items():
+            if parts:
+                yield from _packed(n, False, *_added(parts), buckets)
+
+    return shard.mapInArrow(run, _PACKED)
 
-    return shard.mapInArrow(run, _ROWS)
+
+def _merge(so_far: DataFrame) -> DataFrame:
+    """One row for each length and bucket, with the sums of all; `fresh`: the keys' counts before."""
+
+    def add(table: pa.Table) -> pa.Table:
+        parts = [_unpacked(k, c) for k, c in zip(table["keys"], table["counts"], strict=True)]
+        old = table["old"].to_pylist()
+        keys, counts = _added(parts)
+        before = np.zeros(len(keys), np.int64)
+        for (k, c), was in zip(parts, old, strict=True):
+            if was:
+                before[np.searchsorted(keys, k)] = c
+        kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+        row = table["n"][0].as_py(), table["bucket"][0].as_py(), True, planes(np.diff(keys, prepend=np.uint64(0))), planes(counts), planes(before)
+        return pa.table({c: pa.array([v], k) for c, v, k in zip(("n", "bucket", "old", "keys", "counts", "before"), row, kinds, strict=True)})
+
+    return so_far.groupBy("n", "bucket").applyInArrow(add, _PACKED + ", before binary")
 
 
 _GROUP = 1 << 16
 
 
-def _set_cells(reached: DataFrame, cells: np.ndarray, start: int) -> bool:
-    """Set the cells of the reached keys (key) that are not set yet; whether there are any. At most len(cells) / 8 bytes come to the driver."""
+def _set_cells(counted: DataFrame, cells: np.ndarray, least: int, start: int, again: bool = False) -> bool:
+    """Set the cells, not set yet, of the keys that have come to `least` (again: that have it); whether there were any.
+
+    Each task sends bitmaps of the groups of 65,536 cells that it touches, and
+    the driver gets one bitmap a group: at most len(cells) / 8 bytes.
+    """
     n = len(cells)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape = Activated(np.empty(n, np.uint8))
+        shape, bits = Activated(np.empty(n, np.uint8)), np.zeros(n, bool)
         for b in batches:
-            keys = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            at = np.unique(np.concatenate([np.empty(0, np.int64), *shape.places(keys)]))
-            yield pa.RecordBatch.from_arrays([pa.array(at // _GROUP), pa.array(at % _GROUP)], ["part", "cell"])
-
-    def bitmap(table: pa.Table) -> pa.Table:
-        bits = np.zeros(_GROUP, bool)
-        bits[table["cell"].to_numpy()] = True
-        return pa.table({"part": table["part"][:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
-
-    found = reached.select("key").mapInArrow(places, "part long, cell long").distinct().groupBy("part").applyInArrow(bitmap, "part long, bits binary")
+            for raw, new, old in zip(*(b.column(c) for c in ("keys", "counts", "before")), strict=True):
+                keys, counts = _unpacked(raw, new)
+                reached = counts >= least if again else (counts >= least) & (unplanes(old.as_py(), np.int64) < least)
+                for at in shape.places(keys[reached]):
+                    bits[at] = True
+        for part in range(-(-n // _GROUP)):
+            own = bits[part * _GROUP : (part + 1) * _GROUP]
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([np.packbits(own).tobytes()], pa.binary())], ["part", "bits"])
+
+    def either(table: pa.Table) -> pa.Table:
+        bits = np.bitwise_or.reduce([np.frombuffer(x.as_py(), np.uint8) for x in table["bits"]])
+        return pa.table({"part": table["part"][:1], "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    found = counted.select("keys", "counts", "before").mapInArrow(places, "part long, bits binary").groupBy("part").applyInArrow(either, "part long, bits binary")
     new = False
     for r in found.collect():  # at most one row for each 65,536 cells
         own = cells[r["part"] * _GROUP : (r["part"] + 1) * _GROUP]
@@ -187,6 +246,29 @@ def _set_cells(reached: DataFrame, cells: np.ndarray, start: int) -> bool:
     return new
 
 
+_NAMED = "lang string, n int, phrase string, key long, c long"
+
+
+def _named(texts: DataFrame, longest: int, sent, block: int) -> DataFrame:
+    """(lang, n, phrase, key, c) of the phrases whose keys are marked, for each block of texts; n = 0: the number of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = Activated.unpacked(sent.value)
+        for lang, held in _texts(batches, block):
+            tokens = Tokens(held, lang)
+            words = int((tokens.at >= 0).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in ((lang, pa.string()), (0, pa.int32()), ("", pa.string()), (0, pa.int64()), (words, pa.int64()))], ["lang", "n", "phrase", "key", "c"])
+            for n, places, keys, times in tokens.counted(longest, 0, Activated.NEVER - 1, marked):
+                keep = marked.since(keys) < Activated.NEVER
+                places, keys, times = places[keep], keys[keep], times[keep]
+                for i in range(0, len(places), 1 << 16):
+                    at, k, c = (x[i : i + (1 << 16)] for x in (places, keys, times))
+                    columns = [pa.array([lang] * len(at), pa.string()), pa.array(np.full(len(at), n, np.int32)), tokens.phrases(at, n).cast(pa.string())]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(k.view(np.int64)), pa.array(c.astype(np.int64))], ["lang", "n", "phrase", "key", "c"])
+
+    return texts.mapInArrow(run, _NAMED)
+
+
 def frequent_phrases(
     docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", least: int = 10, longest: int = 3, shards: int = 4, cells: int = 1 << 25, block: int = 8 << 20
 ) -> tuple[DataFrame, DataFrame]:
@@ -201,56 +283,60 @@ def frequent_phrases(
     count is exact. So pairs are counted while words still are, and triples
     while pairs are; the scans end when the last phrase has seen its cycle.
 
-    A scan counts in blocks of texts and sends one row for each distinct
-    phrase of a block. Marks travel as a Bloom filter of `cells` bytes, which
-    holds the step of each mark; counts so far that are below the threshold
-    are kept by 64-bit key, as they decide only when counting begins. The
-    final counts are sums by language and phrase.
+    Counts are kept by 64-bit key, packed: a task sends, for each bucket of
+    keys, one row of sorted keys and their counts, and the sums so far are one
+    row a bucket; buckets grow with the texts, so a row has a bounded number
+    of keys. Marks travel as a Bloom filter of `cells` bytes, which holds the
+    step of each mark. When all are counted, one more scan finds the words of
+    the frequent keys. A key that two phrases share (of 10**10 some three
+    pairs do) shows there, and takes the counts of that scan.
     """
     if longest < 2 or shards < 1 or shards * longest > 250:
         raise ValueError("longest must be 2 or more, and shards * longest at most 250")
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = rows.withColumn("shard", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(shards)).cast("int"))
+    dealt = rows.withColumns({"size": F.octet_length("text"), "shard": F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(shards)).cast("int")})
     dealt = stage_table(dealt, "shards", by="shard")
+    size = dealt.agg(F.sum("size")).first()[0] or 0
+    buckets = max(12, -(-size // (32 << 20)))  # 32 MB of texts have some five million phrases of a length at most
     marks = np.full(cells, Activated.NEVER, np.uint8)
-    steps, waiting = [], None
     step, begun = 0, 0  # begun: the last step at which phrases can have begun to be counted, as marks were set before it
+    so_far = None
     while step < begun + shards:
         sent = spark.sparkContext.broadcast(Activated(marks).packed())
-        counted = stage_table(_scan(dealt.where(F.col("shard") == step % shards).select("lang", "text"), longest, step, shards, sent, block), "counts")
-        steps.append(counted)
+        counted = _scan(dealt.where(F.col("shard") == step % shards).select("lang", "text"), longest, step, shards, sent, block, buckets)
+        last = so_far
+        so_far = stage_table(_merge(counted if last is None else counted.unionByName(last.drop("before"))), "counts")
         sent.destroy()
-        so_far = counted.where(F.col("n") < longest).select("n", "key", "c")
-        if waiting is not None:
-            so_far = so_far.unionByName(waiting.where(F.col("c") < least))
-        so_far = stage_table(so_far.groupBy("n", "key").agg(F.sum("c").alias("c")), "so-far")
-        if waiting is not None:
-            drop_table(waiting)
-        waiting = so_far
-        if _set_cells(so_far.where(F.col("c") >= least), marks, step + 1):
+        if last is not None:
+            drop_table(last)
+        if _set_cells(so_far.where(F.col("n") < longest), marks, least, step + 1):
             begun = step + 1
         step += 1
-    drop_table(waiting)
-    drop_table(dealt)
-    sent = spark.sparkContext.broadcast(Activated(marks).packed())
+    found = np.full(cells, Activated.NEVER, np.uint8)
+    _set_cells(so_far, found, least, 0, again=True)
+    sent = spark.sparkContext.broadcast(Activated(found).packed())
+    named = _named(dealt.select("lang", "text"), longest, sent, block).groupBy("lang", "n", "phrase", "key").agg(F.sum("c").alias("c"))
+    named = stage_table(named, "named")
+    sent.destroy()
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        active = Activated.unpacked(sent.value)
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = b.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
-            keep = (b.column("n").to_numpy(zero_copy_only=False) == longest) | (active.since(keys) < Activated.NEVER)
-            yield b.filter(pa.array(keep))
-
-    every = steps[0]
-    for counted in steps[1:]:
-        every = every.unionByName(counted)
-    totals = every.mapInArrow(marked, _ROWS).groupBy("lang", "n", "phrase").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
+            for n, raw, new in zip(*(b.column(c) for c in ("n", "keys", "counts")), strict=True):
+                keys, counts = _unpacked(raw, new)
+                at = np.flatnonzero(counts >= least)
+                for i in range(0, len(at), 1 << 16):
+                    k, c = (x[at[i : i + (1 << 16)]] for x in (keys, counts))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), n.as_py(), np.int32)), pa.array(k.view(np.int64)), pa.array(c)], ["n", "key", "f"])
+
+    counts = so_far.select("n", "keys", "counts").mapInArrow(frequent, "n int, key long, f long")
+    sharing = F.count(F.lit(1)).over(Window.partitionBy("n", "key"))
+    totals = named.where("n > 0").withColumn("sharing", sharing).join(counts, ["n", "key"])
+    totals = totals.select("lang", "n", "phrase", F.when(F.col("sharing") == 1, F.col("f")).otherwise(F.col("c")).alias("f")).where(F.col("f") >= least)
     totals = stage_table(totals, "phrases")
-    words = stage_table(every.where("n = 1").groupBy("lang").agg(F.sum("c").alias("words")), "words")
-    for counted in steps:
-        drop_table(counted)
-    sent.destroy()
+    words = stage_table(named.where("n = 0").groupBy("lang").agg(F.sum("c").alias("words")), "words")
+    for table in (dealt, so_far, named):
+        drop_table(table)
     return totals, words
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +61,15 @@ def drop_table(table: DataFrame) -> None:
         files.getFileSystem(spark._jsc.hadoopConfiguration()).delete(files, True)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """The numbers' bytes, those of equal weight next to each other, which compression makes small."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def unplanes(raw: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def crc32_mod(col: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo mod. A null id counts as empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % mod
