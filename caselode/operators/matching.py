@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caselode.functions.text import has_alias, has_any, plain_quote
+from caselode.functions.text import has_any, plain_quote
+from caselode.operators.lexicon import Lexicon, scan_large
+from caselode.operators.lexicon import hits as lexicon_hits
 
 
 def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -19,22 +21,38 @@ def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("*", made).select(*[F.col(f"`{c}`") for c in df.columns], "_made.*")
 
 
-def technique_hits(articles: DataFrame, taxonomy: list[tuple], stop: frozenset = frozenset()) -> DataFrame:
+_HIT = ["theme", "technique", "title", "alias"]
+
+
+def _entries(taxonomy: list[tuple]) -> list[tuple]:
+    return [(technique, a, theme, technique, title, a) for technique, title, theme, aliases in taxonomy for a in aliases]
+
+
+def technique_hits(articles: DataFrame, taxonomy: list[tuple] | DataFrame, stop: frozenset = frozenset()) -> DataFrame:
     """articles with `hits`: array of (theme, technique, title, alias), sorted.
 
     A technique has one hit, by the longest of its aliases that the text
     holds (the first listed of equal length). Aliases of under three
-    characters and stop words never match. The lexicon becomes one generated
-    expression over the scan: no join and no shuffle.
+    characters and stop words never match. The taxonomy is a list of
+    (technique, title, theme, aliases) or a table with one row an alias
+    (technique, title, theme, alias, nth). One automaton finds all aliases in
+    one pass over each text: no join and no shuffle.
     """
-    low, options = F.lower("content"), []
-    for technique, title, theme, aliases in taxonomy:
-        usable = sorted((a for a in aliases if len(a) >= 3 and a.lower() not in stop), key=len, reverse=True)
-        if usable:
-            alias = F.coalesce(*[F.when(has_alias(F.col("_low"), a), a) for a in usable])
-            options.append(F.struct(F.lit(theme).alias("theme"), F.lit(technique).alias("technique"), F.lit(title).alias("title"), alias.alias("alias")))
-    hits = F.array_sort(F.filter(F.array(*options), lambda h: h["alias"].isNotNull()))
-    return computed(computed(articles, {"_low": low}), {"hits": hits}).drop("_low")
+    if isinstance(taxonomy, list):
+        lexicon = Lexicon.of_list(_entries(taxonomy), _HIT, stop=stop)
+    else:
+        lexicon = Lexicon.of_table(taxonomy, group="technique", alias="alias", nth="nth", payload=_HIT, stop=stop)
+    return articles.withColumn("hits", lexicon_hits(articles, F.lower("content"), lexicon))
+
+
+def hits_and_phrases(articles: DataFrame, taxonomy: list[tuple], phrases: list[str]) -> DataFrame:
+    """articles with `hits`, as technique_hits, and `said`, those of the phrases that the text holds, from one pass over each text."""
+    entries = [("hit " + g, a, "hit", *rest) for g, a, *rest in _entries(taxonomy) if len(a.strip()) >= 3]
+    entries += [("said " + p, p, "said", "", "", "", p) for p in sorted({p.lower() for p in phrases})]
+    found = lexicon_hits(articles, F.lower("content"), Lexicon.of_list(entries, ["kind", *_HIT], least=1))
+    of = lambda kind, take: F.transform(F.filter("_found", lambda h: h["kind"] == kind), take)
+    parts = {"hits": of("hit", lambda h: F.struct(*[h[c].alias(c) for c in _HIT])), "said": of("said", lambda h: h["alias"])}
+    return computed(articles.withColumn("_found", found), parts).drop("_found")
 
 
 def technique_counts(matched: DataFrame, taxonomy: DataFrame) -> DataFrame:
@@ -64,9 +82,27 @@ def has_topic(title: str, aliases: list[str]) -> Column:
     return has_any(F.lower(F.concat_ws(" ", "title", "summary", "content")), phrases)
 
 
-def terms_found(low: Column, terms: list[str]) -> Column:
-    """How many of the terms a lower-case text holds."""
-    return sum((has_alias(low, f).cast("int") for f in terms), F.lit(0))
+def _phrases(phrases: list[str]) -> Column:
+    return F.array(*[F.lit(p.lower()) for p in phrases]).cast("array<string>")
+
+
+def topics_of(articles: DataFrame, taxonomy: list[tuple] | DataFrame) -> DataFrame:
+    """articles with `topics`: the techniques whose title or an alias, of three characters or more, stands in title, summary or content.
+
+    The taxonomy is as for technique_hits; stop words count here.
+    """
+    if isinstance(taxonomy, list):
+        lexicon = Lexicon.of_list([(t, p, t) for t, title, _, aliases in taxonomy for p in [title, *aliases]], ["technique"])
+    else:
+        names = taxonomy.select("technique", F.explode(F.array("title", "alias")).alias("alias")).distinct()
+        lexicon = Lexicon.of_table(names, group="technique", alias="alias", payload=["technique"])
+    low = F.lower(F.concat_ws(" ", "title", "summary", "content"))
+    return articles.withColumn("topics", F.transform(lexicon_hits(articles, low, lexicon), lambda t: t["technique"]))
+
+
+def terms_found(said: Column, terms: list[str]) -> Column:
+    """How many of the terms are among the phrases that a text holds."""
+    return F.size(F.array_intersect(said, _phrases(terms)))
 
 
 def alignment(framed: Column) -> Column:
@@ -97,21 +133,21 @@ def relevance(theme_weights: list[tuple], framed: Column, n_cves: Column | None
     return F.least(F.bround(total, 4), F.lit(1.0))
 
 
-def use_cases(low: Column, registry: list[tuple]) -> Column:
-    """Names, in registry order, with a technique hit, one strong phrase or two weak ones in the lower-case text."""
+def use_cases(said: Column, registry: list[tuple]) -> Column:
+    """Names, in registry order, with a technique hit, one strong phrase or two weak ones among those that the text holds."""
     ids, found = F.transform("hits", lambda h: h["technique"]), []
     for name, techniques, strong, weak in registry:
         hit = F.arrays_overlap(ids, F.array(*map(F.lit, techniques)).cast("array<string>"))
-        two = terms_found(low, weak) >= 2
-        found.append(F.when(hit | has_any(low, strong) | two, name))
+        two = terms_found(said, weak) >= 2
+        found.append(F.when(hit | F.arrays_overlap(said, _phrases(strong)) | two, name))
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
-def insider_type(low: Column, rules: list[tuple]) -> Column:
-    """First type, in order, with a phrase in the lower-case text or a technique; null if none."""
+def insider_type(said: Column, rules: list[tuple]) -> Column:
+    """First type, in order, with a phrase that the text holds or a technique; null if none."""
     ids, out = F.transform("hits", lambda h: h["technique"]), []
     for name, phrases, techniques in rules:
-        out.append(F.when(has_any(low, phrases) | F.arrays_overlap(ids, F.array(*map(F.lit, techniques)).cast("array<string>")), name))
+        out.append(F.when(F.arrays_overlap(said, _phrases(phrases)) | F.arrays_overlap(ids, F.array(*map(F.lit, techniques)).cast("array<string>")), name))
     return F.coalesce(*out)
 
 
@@ -140,18 +176,15 @@ def of_type(column: Column, kind: str | None) -> Column:
 def quotes_found(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     """(doc_id, item_id) of the quotes (item_id, text) that stand verbatim, after plain_quote, in the documents (doc_id, text).
 
-    A quote may begin and end inside a word of the document, but its inner
-    words must be whole words there: candidates come from an equi-join of its
-    longest inner word with each document's distinct words, and only they are
-    compared in full. Quotes of fewer than three words have no inner word and
-    are left out. Null texts hold nothing.
+    A quote of any length may begin and end inside a word. All quotes are one
+    lexicon, whose parts of bounded size each read the texts once; no word is
+    a join key, so none can be hot. Blank quotes are nowhere; null texts hold
+    nothing; rows that repeat give one row.
     """
-    words = lambda c: F.split(c, " ")
-    wanted = quotes.select("item_id", plain_quote(F.coalesce("text", F.lit(""))).alias("quote")).where(F.size(words("quote")) >= 3)
-    inner = F.slice(words("quote"), F.lit(2), F.size(words("quote")) - 2)
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    wanted = wanted.select("item_id", "quote", longest.alias("w"))
-    bodies = computed(docs.select("doc_id", "text"), {"body": plain_quote(F.coalesce("text", F.lit("")))}).select("doc_id", "body")
-    seen = bodies.select("doc_id", F.explode(F.array_distinct(words("body"))).alias("w"))
-    pairs = seen.join(wanted, "w").select("doc_id", "item_id", "quote")
-    return pairs.join(bodies, "doc_id").where(F.contains("body", F.col("quote"))).select("doc_id", "item_id").distinct()
+    wanted = quotes.select("item_id", plain_quote(F.coalesce("text", F.lit(""))).alias("quote"))
+    kind = dict(wanted.dtypes)["item_id"]
+    wanted = wanted.withColumn("id", F.col("item_id").cast("string"))
+    lexicon = Lexicon.of_table(wanted, group="id", alias="quote", payload=["id"], least=1)
+    bodies = docs.select("doc_id", plain_quote(F.coalesce("text", F.lit(""))).alias("body"))
+    found = scan_large(bodies, ["doc_id"], "body", lexicon, bounded_under=0)
+    return found.select("doc_id", F.col("id").cast(kind).alias("item_id")).distinct()

@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caselode.operators.lexicon import Lexicon
+from caselode.operators.lexicon import mentions as lexicon_mentions
+
 
-def mentions(rows: DataFrame, vendors: list[tuple[str, str, list[str]]]) -> DataFrame:
+def mentions(rows: DataFrame, vendors: list[tuple[str, str, list[str]]] | DataFrame) -> DataFrame:
     """rows with (category, vendor) for each vendor that a text names, once a row and home.
 
-    All aliases are one alternation, longest first, between characters other
-    than a-z and 0-9, so each text is scanned once; what a longer alias covers
-    is used up. An alias may belong to vendors of several categories.
+    A text is scanned once, from left to right, for all aliases between
+    characters other than a-z and 0-9, the longest first at each place; what
+    it covers is used up. An alias may belong to vendors of several
+    categories. vendors is a list of (category, vendor, aliases) or a table
+    (category, vendor, alias).
     """
-    aliases = sorted({a.lower() for _, _, al in vendors for a in al}, key=lambda a: (-len(a), a))
-    pattern = rf"(?<![a-z0-9])(?:{'|'.join(map(re.escape, aliases))})(?![a-z0-9])"
-    homes = rows.sparkSession.createDataFrame([(c, v, a.lower()) for c, v, al in vendors for a in al], "category string, vendor string, alias string")
-    found = rows.withColumn("alias", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0)))))
-    named = found.join(F.broadcast(homes), "alias")  # the lexicon
-    return named.drop("alias").dropDuplicates(["category", "vendor", "link"])
+    if isinstance(vendors, list):
+        lexicon = Lexicon.of_list([(f"{c} {v}", " ".join(a.split()), c, v) for c, v, al in vendors for a in al], ["category", "vendor"], least=1)
+    else:
+        plain = F.trim(F.regexp_replace("alias", r"\s+", " ")).alias("alias")
+        homes = vendors.select("category", "vendor", plain, F.concat_ws(" ", "category", "vendor").alias("home")).distinct()
+        lexicon = Lexicon.of_table(homes, group="home", alias="alias", payload=["category", "vendor"], least=1)
+    found = F.array_distinct(lexicon_mentions(rows, F.lower("text"), lexicon))
+    return rows.select("*", F.inline(found)).dropDuplicates(["category", "vendor", "link"])
 
 
 def mention_counts(named: DataFrame) -> DataFrame:

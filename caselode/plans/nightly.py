@@ -286,7 +286,7 @@ ORACLE_SQL = {
     "lane_summary": f"WITH {_CYCLES} SELECT lane, outcome, count(*) AS cycles, CAST(sum(fetched) AS BIGINT) AS fetched FROM c GROUP BY lane, outcome",
     "quarterly_spend": "SELECT year(o_orderdate) || '-Q' || quarter(o_orderdate) AS quarter, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders GROUP BY 1",
     "quote_verbatim": f"""WITH d AS (SELECT doc_id, {_PLAIN("coalesce(text, '')")} AS body FROM documents), b AS (SELECT item_id, {_PLAIN("coalesce(text, '')")} AS quote FROM benchmark)
-        SELECT doc_id, item_id FROM d JOIN b ON contains(body, quote) WHERE len(string_split(quote, ' ')) >= 3""",
+        SELECT doc_id, item_id FROM d JOIN b ON contains(body, quote) WHERE quote <> ''""",
     "quote_stamps": f"""WITH {A}, q AS (SELECT row_ord + 1 AS row_ord, {_PLAIN("substr(title, 1, 12)")} AS quote FROM article)
         SELECT row_ord, CASE WHEN quote <> '' THEN contains({_PLAIN("content")}, quote) END AS verbatim FROM article JOIN q USING (row_ord)""",
     "tumbling": f"WITH {EVENTS} SELECT CAST(epoch(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01')) AS BIGINT) AS start_s, event_type, count(*) AS n, round_even(sum(value), 2) AS total FROM e GROUP BY 1, 2",

@@ -55,15 +55,16 @@ def matched(spark, sf_dir: str) -> DataFrame:
 def processed(articles: DataFrame) -> DataFrame:
     """The processing chain: match, score, align, classify, promote. Each step's columns are computed once a row."""
     both = F.concat_ws(" ", "summary", "content")
-    found = M.computed(M.technique_hits(articles, X.TAXONOMY), {"low": F.lower("content")})
+    phrases = [*X.FRAMING, *[p for _, _, strong, weak in X.USE_CASES for p in strong + weak], *[p for _, ps, _ in X.INSIDER_TYPES for p in ps]]
+    found = M.hits_and_phrases(articles, X.TAXONOMY, phrases)
     parts = {
-        "framed": M.terms_found(F.col("low"), X.FRAMING),
-        "use_cases": M.use_cases(F.col("low"), X.USE_CASES),
-        "insider_type": M.insider_type(F.col("low"), X.INSIDER_TYPES),
+        "framed": M.terms_found(F.col("said"), X.FRAMING),
+        "use_cases": M.use_cases(F.col("said"), X.USE_CASES),
+        "insider_type": M.insider_type(F.col("said"), X.INSIDER_TYPES),
         "n_cves": F.size(T.cves(both)),
         "n_domains": F.size(T.domains(both, X.TOP_LEVEL, X.SKIPPED)),
     }
-    found = M.computed(found, parts).drop("low")
+    found = M.computed(found, parts).drop("said")
     aligned = M.alignment(F.col("framed"))
     score = M.relevance(X.THEME_WEIGHTS, F.col("framed"), F.col("n_cves"), F.col("n_domains"), aligned == "weak")
     found = M.computed(found, {"relevance_score": score, "aligned": aligned}).drop("framed", "n_cves", "n_domains")
@@ -108,8 +109,32 @@ def article_filters(spark, sf_dir):
 
 
 def technique_filter(spark, sf_dir):
-    """Articles with a technique or a child of it, or whose text holds its title's topic."""
-    return matched(spark, sf_dir).where(M.has_technique("PR001") | M.has_technique("IF001")).select("link", "title")
+    """Articles with a technique or a child of it, or whose title, summary or content hold the technique's title or an alias."""
+    topics = M.topics_of(matched(spark, sf_dir), X.TAXONOMY)
+    found = [M.has_technique(t) | F.array_contains("topics", t) for t in ("PR001", "IF001")]
+    return topics.where(found[0] | found[1]).select("link", "title")
+
+
+def technique_topics(spark, sf_dir):
+    """Every article against every technique's topic: its title or an alias in title, summary or content, a hit or not."""
+    return M.topics_of(X.articles(spark, sf_dir), X.TAXONOMY).select("row_ord", F.explode("topics").alias("technique"))
+
+
+def passage_lexicon(spark, sf_dir) -> DataFrame:
+    """A large taxonomy from the benchmark: each passage a technique, its runs of one to three words the aliases."""
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", words.alias("w"))
+    rows = rows.select("item_id", "w", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("n")).where(F.size("w") >= F.col("n"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))
+    rows = rows.select(F.concat(F.lit("B"), "item_id").alias("technique"), F.posexplode(runs).alias("nth", "alias"))
+    first = rows.groupBy("technique", "alias").agg(F.min("nth").alias("nth")).where(F.length("alias") >= 3)
+    return first.select("technique", F.col("technique").alias("title"), F.lit("passage").alias("theme"), "alias", "nth")
+
+
+def lexicon_hits(spark, sf_dir):
+    """The longest alias of each technique in each article, for a lexicon of thousands of aliases that is a table."""
+    rows = M.technique_hits(X.articles(spark, sf_dir), passage_lexicon(spark, sf_dir)).select("row_ord", F.inline("hits"))
+    return rows.select("row_ord", "technique", "alias")
 
 
 def control_filter(spark, sf_dir):
@@ -319,7 +344,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         technique_counts, technique_hits, cve_domain_extract, relevance_score, use_case_labels, insider_type, article_filters,
-        technique_filter, control_filter, article_controls, source_counts, source_counts_merged, keyword_search_topk,
+        technique_filter, technique_topics, lexicon_hits, control_filter, article_controls, source_counts, source_counts_merged, keyword_search_topk,
         keyword_search_boosted, hybrid_search_topk, article_stream, story_clusters, cluster_page, uncovered_stories,
         syndication_representative, vector_topk, label_centroid_argmax, rail_counts, links_found, links_missing, technique_union,
         lane_union, trending_topics, topics_trending, trending_page,
@@ -353,6 +378,8 @@ _TOPICS = f"""{SCORED}, base AS (SELECT *, {STORY_OF}, coalesce(published, proce
       CASE WHEN prior = 0 AND recent > 0 THEN 'new' WHEN recent > prior THEN 'up' WHEN recent < prior THEN 'down' ELSE 'flat' END AS direction
     FROM t JOIN m USING (kind, key) WHERE stories >= CASE WHEN kind = 'term' THEN 3 ELSE 2 END)"""
 _has = lambda t: f"(technique = '{t}' OR starts_with(technique, '{t}.'))"
+_BLOB = "blob AS (SELECT *, lower(title || ' ' || summary || ' ' || content) AS blob FROM article)"
+_topic = lambda t: "(" + " OR ".join(T.has_alias_sql("blob", p.strip()) for p in [t[1], *t[3]] if len(p.strip()) >= 3) + ")"
 ORACLE_SQL = {
     "technique_counts": f"WITH {HITS}, {TAX}, ids AS (SELECT DISTINCT row_ord, technique FROM hits UNION SELECT row_ord, split_part(technique, '.', 1) FROM hits) SELECT t.technique, t.title, t.theme, count(i.row_ord) AS articles FROM taxonomy t LEFT JOIN ids i USING (technique) GROUP BY ALL",
     "technique_hits": f"WITH {HITS} SELECT row_ord, technique, theme, alias FROM hits",
@@ -366,7 +393,16 @@ ORACLE_SQL = {
     "article_filters": f"""WITH {SCORED} SELECT link, channel, relevance_score, insider_type FROM scored
         WHERE (relevance_score >= 0.2 OR channel = 'publications') AND alignment = 'insider' AND insider_type IS NOT NULL
           AND list_contains(use_cases, 'staff-conduct') AND source_id <> 'src1'""",
-    "technique_filter": f"WITH {HITS} SELECT link, title FROM article WHERE row_ord IN (SELECT row_ord FROM hits WHERE {_has('PR001')} OR {_has('IF001')})",
+    "technique_filter": f"""WITH {HITS}, {_BLOB} SELECT link, title FROM blob WHERE row_ord IN (SELECT row_ord FROM hits WHERE {_has('PR001')} OR {_has('IF001')})
+        OR {" OR ".join(_topic(t) for t in X.TAXONOMY if t[0] in ("PR001", "IF001"))}""",
+    "technique_topics": f"WITH {A}, {_BLOB} " + " UNION ALL ".join(f"SELECT row_ord, '{t[0]}' AS technique FROM blob WHERE {_topic(t)}" for t in X.TAXONOMY),
+    "lexicon_hits": f"""WITH {A}, w AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM benchmark),
+        p AS (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+        runs AS (SELECT 'B' || item_id AS technique, array_to_string(w[i:i + n - 1], ' ') AS alias, min(i) AS nth FROM p, (VALUES (1), (2), (3)) t(n) WHERE i + n - 1 <= len(w) GROUP BY 1, 2),
+        names AS (SELECT DISTINCT alias FROM runs WHERE length(alias) >= 3),
+        low AS (SELECT row_ord, lower(content) AS low, ' ' || regexp_replace(lower(content), '[^a-z0-9]', ' ', 'g') || ' ' AS spaced FROM article),
+        found AS (SELECT row_ord, alias FROM low, names WHERE CASE WHEN length(alias) >= 8 OR contains(alias, ' ') THEN contains(low, alias) ELSE contains(spaced, ' ' || alias || ' ') END)
+        SELECT row_ord, technique, arg_max(alias, (length(alias), -nth)) AS alias FROM found JOIN runs USING (alias) GROUP BY row_ord, technique""",
     "control_filter": f"WITH {HITS} SELECT row_ord, link FROM article WHERE row_ord IN (SELECT row_ord FROM hits WHERE technique IN ('IF001.001', 'IF002') OR starts_with(technique, 'IF002.'))",
     "article_controls": f"""WITH {HITS}, {X.values_sql("controls", "control, kind, technique", [(c, k, t) for c, k, ts in X.CONTROLS for t in ts])}
         SELECT link, coalesce(string_agg(DISTINCT control, ',' ORDER BY control) FILTER (kind = 'detection'), '') AS detections,

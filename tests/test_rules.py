@@ -179,8 +179,8 @@ def test_labels_and_gates(spark):
 
 def test_passages_in_any_place(spark):
     docs = spark.createDataFrame([(1, "xxone two three fouryy  and more"), (2, "One “two” three"), (3, None), (4, "one two  three four")], "doc_id long, text string")
-    quotes = spark.createDataFrame([(1, "one two three four"), (2, 'one "two" three'), (3, "two three"), (4, None)], "item_id long, text string")
-    assert sorted(map(tuple, M.quotes_found(docs, quotes).collect())) == [(1, 1), (2, 2), (4, 1)]
+    quotes = spark.createDataFrame([(1, "one two three four"), (2, 'one "two" three'), (3, "two three"), (4, None), (5, "three fou"), (6, "ore"), (7, " ")], "item_id long, text string")
+    assert sorted(map(tuple, M.quotes_found(docs, quotes).collect())) == [(1, 1), (1, 3), (1, 5), (1, 6), (2, 2), (4, 1), (4, 3), (4, 5)]
     assert M.quotes_found(docs.limit(0), quotes).count() == 0
 
 
