@@ -28,7 +28,7 @@ def discounts(n_r: list[int]) -> np.ndarray:
 
     d[r] = (r*/r - x) / (1 - x) with r* = (r + 1) n[r+1] / n[r] and x = (K + 1) n[K+1] / n[1].
     Where that is not strictly between 0 and 1 (small corpora), half an
-    occurrence is taken off instead. Larger counts are not discounted.
+    occurrence is taken off instead. Larger counts have the ratio 1 here; see `kept`.
     """
     n = [0, *n_r]
     d = np.ones(K + 2)
@@ -40,6 +40,16 @@ def discounts(n_r: list[int]) -> np.ndarray:
     return d
 
 
+def kept(r: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """What is left of r occurrences of an n-gram of two words or more.
+
+    Counts up to K keep d[r] r. Larger ones lose half an occurrence, so that a
+    context whose followers are all frequent leaves something for other words
+    too, and its backoff weight is finite.
+    """
+    return np.where(r > K, r - 0.5, d[np.minimum(r, K + 1)] * r)
+
+
 class Grams:
     """The distinct n-grams of one length in a chunk, in the order of their hashes.
 
@@ -147,7 +157,8 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     A Katz model of n-grams of up to `order` words, learned from the documents
     whose crc32(doc_id) modulo held_mod is not 0. An n-gram seen r times whose
     context (its first n - 1 words) was seen c times has probability
-    d[r] r / c, with discounts d of its own length; other words get the weight
+    kept(r) / c: d[r] r / c with discounts d of its own length, or (r - 1/2) / c
+    for r > K; other words get the weight
     that is left, times their probability after the context without its first
     word: p(w | h) = a(h) p(w | h'), and so on down to single words. a(h) is
     such that each context sums to one; a context never seen has a(h) = 1.
@@ -258,15 +269,18 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             grams, context, short = chunk.grams[n], total[n - 1][chunk.grams[n].prefix], chunk.grams[n - 1]
             seen, size_ = total[n] > 0, len(short.keys)
             own, alone = seen & (state[n][0] == 1), state[n - 1][1] == 1
-            longer = d[n][np.minimum(total[n], K + 1)] * total[n] / np.maximum(context, 1)
-            top, low = (np.bincount(grams.prefix[own], x[own], size_) for x in (longer, p[grams.suffix]))
-            here = alone & (total[n - 1] > 0)
-            weight = np.where(here, np.log10(np.maximum(1 - top, 1e-300)) - np.log10(np.maximum(1 - low, 1e-300)), 0.0)
+            stays = kept(total[n], d[n])
+            longer = stays / np.maximum(context, 1)
+            # what the followers of a context leave: a sum of what each loses, and never a difference from one
+            freed = (total[n] - stays) / np.maximum(context, 1)
+            free, low = (np.bincount(grams.prefix[own], x[own], size_) for x in (freed, p[grams.suffix]))
+            here = alone & (total[n - 1] > 0) & (free > 0)
+            weight = np.where(here, np.log10(np.where(here, free, 1)) - np.log10(np.where(here, 1 - low, 1)), 0.0)
             asked.append(~seen & ~alone[grams.prefix] & (context > 0))
             p = longer
             values.append(np.where(seen, np.log10(np.where(seen, longer, 1)), values[-1][grams.suffix] + weight[grams.prefix]))
             give = np.flatnonzero(~alone & (state[n - 1][2] == 1) & (np.bincount(grams.prefix[own], minlength=size_) > 0))
-            giving.append((short.keys[give], top[give], low[give]))
+            giving.append((short.keys[give], free[give], low[give]))
         n_docs, known = len(chunk.lengths), total[0][chunk.grams[0].of]
         base = np.log10((known + 0.1) / (n_train + 0.1 * (n_types + 1)))
         # a token's score is that of the longest n-gram that ends there; where it was not seen, it holds weights of
@@ -313,9 +327,8 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         judge, "kind int, chunk long, nth long, doc_id long, held_out boolean, n long, n_known long, context long, x double, y double"
     )
     judged = stage_table(judged, "judged")
-    backoff = judged.where("kind = 2").groupBy("context").agg(F.sum("x").alias("p2"), F.sum("y").alias("p1"))
-    floor = F.lit(1e-300)
-    backoff = backoff.select("context", (F.log10(F.greatest(1 - F.col("p2"), floor)) - F.log10(F.greatest(1 - F.col("p1"), floor))).alias("weight"))
+    backoff = judged.where("kind = 2").groupBy("context").agg(F.sum("x").alias("free"), F.sum("y").alias("low"))
+    backoff = backoff.select("context", (F.log10("free") - F.log10(1 - F.col("low"))).alias("weight"))
     opened = judged.where("kind = 1").select("chunk", "nth", "context", "n").join(backoff, "context")
     opened = opened.groupBy("chunk", "nth").agg(F.sum(F.col("n") * F.col("weight")).alias("more"))
     return (

@@ -30,7 +30,7 @@ def plain(rows):
         if not one[h]:
             return p1(w)
         if two[h, w]:
-            return d2[min(two[h, w], K + 1)] * two[h, w] / one[h]
+            return (d2[two[h, w]] * two[h, w] if two[h, w] <= K else two[h, w] - 0.5) / one[h]
         seen = after[h]
         return (1 - sum(p(x, h) for x in seen)) / (1 - sum(map(p1, seen))) * p1(w)
 
@@ -70,3 +70,18 @@ def test_fixture(spark):
     for r in got:
         w = want[r.doc_id]
         assert tuple(r)[:5] == w[:5] and r.base_score == pytest.approx(w[5], abs=1e-6) and r.score == pytest.approx(w[6], abs=1e-6)
+
+
+def test_contexts_whose_followers_are_all_frequent(spark):
+    """Contexts of one and of seven followers, each far above K: finite weights, and each context still sums to one (`plain` asserts that)."""
+    held = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 10 == 0)
+    learned = [i for i in range(2000, 4000) if zlib.crc32(str(i).encode()) % 10][:404]
+    rows = [(i, f"xx yy common{k % 7}") for k, i in enumerate(learned[:54])]
+    rows += [(i, f"zz f{k % 7} common{k % 3}") for k, i in enumerate(learned[54:])]
+    rows += [(held, "xx zz common1"), (held, "zz new yy"), (held, "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((r[0], r[2], round(r[6], 6)) for r in plain(rows))
+    for chunk_bytes in (1 << 24, 700, 60):
+        got = score_texts(docs, chunk_bytes=chunk_bytes).collect()
+        assert sorted((r.doc_id, r.n_tokens, round(r.score, 6)) for r in got) == want
+    assert min(s for i, _, s in want if i == held) > -15

@@ -37,7 +37,7 @@ def plain(rows, order):
         if not seen:
             return p(w, h[1:])
         if c:
-            return d[len(h) + 1][min(c, K + 1)] * c / context_count(h)
+            return (d[len(h) + 1][c] * c if c <= K else c - 0.5) / context_count(h)
         return (1 - sum(p(x, h) for x in seen)) / (1 - sum(p(x, h[1:]) for x in seen)) * p(w, h[1:])
 
     vocabulary = [*(w for (w,) in counts[1]), b"never"]
