@@ -134,6 +134,7 @@ def _texts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str,
             if size and size + len(text) > most:
                 yield from held.items()
                 held, size = {}, 0
+                pa.default_memory_pool().release_unused()
             held.setdefault(lang, []).append(text)
             size += len(text) + 1
     yield from held.items()
@@ -171,7 +172,7 @@ def _unpacked(keys: pa.Scalar, counts: pa.Scalar) -> tuple[np.ndarray, np.ndarra
     return np.cumsum(unplanes(keys.as_py(), np.uint64), dtype=np.uint64), unplanes(counts.as_py(), np.int64)
 
 
-def _scan(shard: DataFrame, longest: int, step: int, shards: int, sent, block: int, buckets: int, most: int = 1 << 21) -> DataFrame:
+def _scan(shard: DataFrame, longest: int, step: int, shards: int, sent, block: int, buckets: int, most: int = 1 << 20) -> DataFrame:
     """The packed counts of this step, added up in each task while they are at most about `most` keys a length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +271,7 @@ def _named(texts: DataFrame, longest: int, sent, block: int) -> DataFrame:
 
 
 def frequent_phrases(
-    docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", least: int = 10, longest: int = 3, shards: int = 4, cells: int = 1 << 25, block: int = 8 << 20
+    docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", least: int = 10, longest: int = 3, shards: int = 4, cells: int = 1 << 25, block: int = 3 << 20
 ) -> tuple[DataFrame, DataFrame]:
     """((lang, n, phrase, f) of all phrases of 1 to `longest` words that occur `least` times, (lang, words) with all occurrences of words).
 
@@ -298,7 +299,7 @@ def frequent_phrases(
     dealt = rows.withColumns({"size": F.octet_length("text"), "shard": F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(shards)).cast("int")})
     dealt = stage_table(dealt, "shards", by="shard")
     size = dealt.agg(F.sum("size")).first()[0] or 0
-    buckets = max(12, -(-size // (32 << 20)))  # 32 MB of texts have some five million phrases of a length at most
+    buckets = max(12, -(-size // (16 << 20)))  # 16 MB of texts have some three million phrases of a length at most
     marks = np.full(cells, Activated.NEVER, np.uint8)
     step, begun = 0, 0  # begun: the last step at which phrases can have begun to be counted, as marks were set before it
     so_far = None
