@@ -99,6 +99,9 @@ def pair_tables(query: np.ndarray, books: np.ndarray) -> np.ndarray:
 
 # -------------------------------------------------------------------------- search
 
+#: Levels of norm that the vectors of one length are dealt into.
+LEVELS = 16
+
 
 def _coded(x: np.ndarray, books: np.ndarray, eta: float) -> tuple[np.ndarray, np.ndarray]:
     """Packed codes, and a radius: |query| times it bounds the error of a table scan, its rounding included."""
@@ -109,9 +112,9 @@ def _coded(x: np.ndarray, books: np.ndarray, eta: float) -> tuple[np.ndarray, np
 
 
 def best_of(
-    query: np.ndarray, reps: np.ndarray, vecs: np.ndarray, packed: np.ndarray, radius: np.ndarray, books: np.ndarray, k: int, candidates: int
+    query: np.ndarray, reps: np.ndarray, vecs: np.ndarray, packed: np.ndarray, radius: np.ndarray, books: np.ndarray, k: int, candidates: int, least: float = -np.inf
 ) -> tuple[np.ndarray, np.ndarray]:
-    """(places, inner products) of the k vectors of largest inner product, best first; of equals the smaller rep."""
+    """(places, inner products) of the k vectors of largest inner product, best first; of equals the smaller rep. Those under `least` may be left out."""
     tables = pair_tables(query, books)
     scale = np.abs(tables).max(initial=0.0) or 1.0  # single precision from here on, whatever the size of the numbers
     approximate = np.zeros(len(reps), np.float32)
@@ -119,10 +122,10 @@ def best_of(
         approximate += table[column]
     bound = np.linalg.norm(query) * radius + len(tables) * 3e-45 * scale
     first = min(max(candidates, k), len(reps))
-    floor = -np.inf
+    floor = least
     if first < len(reps):
         likely = np.argpartition(-approximate, first - 1)[:first]
-        floor = np.partition((vecs[likely] * query).sum(axis=1), first - k)[first - k]
+        floor = max(floor, np.partition((vecs[likely] * query).sum(axis=1), first - k)[first - k])
     left = np.flatnonzero(~(approximate * scale + bound < floor))
     score = (vecs[left] * query).sum(axis=1)
     best = np.lexsort((reps[left], -score))[:k]
@@ -130,10 +133,11 @@ def best_of(
 
 
 def _vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, key, vec) of the rows that take part: id not null, all components finite, not all zero.
+    """(vec_id, key, vec, norm, times) of the rows that take part: id not null, all components finite, not all zero.
 
     vec holds the components as doubles; key is a 128-bit hash of them, equal
-    for equal vectors (-0.0 counts as 0.0). Rows that repeat id and vector count once.
+    for equal vectors (-0.0 counts as 0.0). times is the number of rows that
+    repeat id and vector.
     """
     found = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     found = found.where("vec_id is not null and size(v) > 0").where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
@@ -141,12 +145,19 @@ def _vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vecs = [(np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64) + 0.0).tobytes() for v in b.column(1)]
+            x = [np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64) + 0.0 for v in b.column(1)]
+            vecs = [v.tobytes() for v in x]
             keys = [hashlib.blake2b(v, digest_size=16).digest() for v in vecs]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(vecs, pa.binary())], ["vec_id", "key", "vec"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(vecs, pa.binary()), pa.array(list(map(_norm, x)), pa.float64())], ["vec_id", "key", "vec", "norm"])
+
+    made = found.mapInArrow(run, "vec_id long, key binary, vec binary, norm double")
+    return made.groupBy("vec_id", "key").agg(F.first("vec").alias("vec"), F.first("norm").alias("norm"), F.count(F.lit(1)).alias("times"))
 
-    made = found.mapInArrow(run, "vec_id long, key binary, vec binary")
-    return made.groupBy("vec_id", "key").agg(F.first("vec").alias("vec"))
+
+def _norm(x: np.ndarray) -> float:
+    """The norm, also of numbers whose squares are too large or too small; rounded up."""
+    most = np.abs(x).max()
+    return float(most * np.linalg.norm(x / most) * (1 + 1e-12))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -178,35 +189,42 @@ def search(
     score plus |query| |residual| reaches it is scored exactly too. So
     `candidates` moves work only, at any number of rows.
 
+    Blocks hold vectors of one length (inner products of others are not
+    defined) and of similar norms, the largest first. All queries meet the
+    blocks of largest norms; after that a query goes only to blocks whose
+    largest norm, times its own, can reach the worst of its results so far,
+    which is also its first floor there. Where all norms are equal no block
+    can be left out, and comparisons are queries times classes.
+
     Defined cases: vectors that are null, empty, zero, or hold null or
-    non-finite components, vectors of another length than most, and rows of
-    null id take no part; rows that repeat id and vector count once; ties go
-    to the smaller vec_id; a query with fewer than k candidates gets all;
-    other columns are ignored; an empty table gives an empty result.
+    non-finite components, and rows of null id take no part; a vector meets
+    those of its own length; rows that repeat id and vector are rows like any
+    other (each is a query, and a candidate of its copies); ties go to the
+    smaller vec_id; a query with fewer than k candidates gets all; other
+    columns are ignored; an empty table gives an empty result.
     """
     spark = rows.sparkSession
     vectors = stage_table(_vectors(rows, id_col, vector_col), "vectors")
-    lengths = vectors.groupBy(F.length("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    out = "query_id long, rank int, vec_id long, score double"
-    if not lengths:
-        return spark.createDataFrame([], out)
-    vectors = vectors.where(F.length("vec") == lengths[0]["n"])
-    classes = stage_table(vectors.groupBy("key").agg(F.min("vec_id").alias("rep"), F.first("vec").alias("vec")), "vector-classes")
+    first = F.first("vec").alias("vec"), F.first("norm").alias("norm"), F.first(F.length("vec")).alias("bytes")
+    classes = stage_table(vectors.groupBy("key").agg(F.min("vec_id").alias("rep"), *first), "vector-classes")
+    shape = classes.groupBy("bytes").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("norm", [i / LEVELS for i in range(1, LEVELS)], 1000).alias("cuts"))
+    shapes = {r["bytes"]: (r["n"], sorted(set(r["cuts"]), reverse=True)) for r in shape.collect()}  # one row for each length of vectors
+    if not shapes:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
     def learn(table: pa.Table) -> pa.Table:
         books, eta = fit_codebooks(_matrix(table["vec"]))
-        return pa.table({"books": [books.tobytes()], "parts": [books.shape[0]], "width": [books.shape[2]], "eta": [eta]})
+        return pa.table({"bytes": table["bytes"][:1], "books": [books.tobytes()], "parts": [books.shape[0]], "width": [books.shape[2]], "eta": [eta]})
 
-    chosen = classes.orderBy(F.xxhash64("key"), "key").limit(sample)
-    got = chosen.groupBy().applyInArrow(learn, "books binary, parts long, width long, eta double").first()
-    books, eta = np.frombuffer(got["books"]).reshape(got["parts"], 16, got["width"]), got["eta"]
-
-    width = lengths[0]["n"] // 8
+    nth = F.row_number().over(Window.partitionBy("bytes").orderBy(F.xxhash64("key"), "key"))
+    chosen = classes.select("bytes", "key", "vec").withColumn("nth", nth).where(F.col("nth") <= sample).select("bytes", "vec")
+    got = chosen.groupBy("bytes").applyInArrow(learn, "bytes int, books binary, parts long, width long, eta double").collect()
+    books = {r["bytes"]: (np.frombuffer(r["books"]).reshape(r["parts"], 16, r["width"]), r["eta"]) for r in got}
 
     def code(table: pa.Table) -> pa.Table:
         order = np.argsort(table["rep"].to_numpy())
         x = _matrix(table["vec"])[order]
-        packed, radius = zip(*(_coded(x[i : i + 2048], books, eta) for i in range(0, len(x), 2048)), strict=True)
+        packed, radius = zip(*(_coded(x[i : i + 2048], *books[table["bytes"][0].as_py()]) for i in range(0, len(x), 2048)), strict=True)
         single = x.astype(np.float32)
         found = {
             "reps": table["rep"].to_numpy()[order].astype(np.int64).tobytes(),
@@ -215,22 +233,29 @@ def search(
             "radius": np.concatenate(radius).tobytes(),
             "vecs": (single if (single == x).all() else x).tobytes(),
         }
-        return pa.table({"block": table["block"][:1], **{k: pa.array([v], pa.binary()) for k, v in found.items()}})
-
-    n_classes = classes.count()
-    row_block = row_block or max(1, (16 << 20) // width)
-    n_blocks = max(1, -(-n_classes // row_block), min(12, n_classes // 4096))
-    packed = "block int, reps binary, keys binary, codes binary, radius binary, vecs binary"
-    block = F.pmod(F.xxhash64("key"), F.lit(n_blocks)).cast("int")
-    codes = classes.withColumn("block", block).groupBy("block").applyInArrow(code, packed)
-
-    asked = vectors.where(queries(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), F.col("key").alias("qkey"), F.col("vec").alias("qvec"))
+        return pa.table({"block": table["block"][:1], "bytes": table["bytes"][:1], **{k: pa.array([v], pa.binary()) for k, v in found.items()}})
+
+    # Norm levels of each length, and blocks of about row_block classes in each level; the tables have one row a level.
+    cuts = spark.createDataFrame([(b, c) for b, (_, c) in shapes.items()], "bytes int, cuts array<double>")
+    level = F.size(F.filter("cuts", lambda c: c > F.col("norm")))
+    levelled = classes.join(F.broadcast(cuts), "bytes").withColumn("level", level).drop("cuts")
+    counts = levelled.groupBy("bytes", "level").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("most")).collect()
+    table, at = [], 0
+    for r in sorted(counts, key=lambda r: (r["bytes"], r["level"])):
+        most = row_block or max(1, (128 << 20) // r["bytes"])
+        parts = max(1, -(-r["n"] // most), min(12, r["n"] // 4096))
+        table.append((r["bytes"], r["level"], at, parts, r["most"]))
+        at += parts
+    levels = spark.createDataFrame(table, "bytes int, level int, base int, parts int, most double")
+    block = (F.col("base") + F.pmod(F.xxhash64("key"), F.col("parts"))).cast("int")
+    placed = levelled.join(F.broadcast(levels), ["bytes", "level"]).withColumn("block", block)
+    packed = "block int, bytes int, reps binary, keys binary, codes binary, radius binary, vecs binary"
+    codes = stage_table(placed.select("block", "bytes", "rep", "key", "vec").groupBy("block").applyInArrow(code, packed), "vector-codes")
+
+    asked = vectors.where(queries(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), F.col("key").alias("qkey"), F.col("vec").alias("qvec"), F.col("norm").alias("qnorm"), F.col("times").alias("asked"))
     asked = stage_table(asked, "queries")
-    asking = asked.groupBy("qkey").agg(F.first("qvec").alias("qvec"))
-    asking = asking.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    meet = codes.unionByName(asking, allowMissingColumns=True).repartition(n_blocks, "block")
-    meet = meet.sortWithinPartitions("block", F.col("qkey").isNotNull())  # a block, then its queries
-    kinds = (pa.binary(), pa.binary(), pa.int64(), pa.float64())
+    asking = asked.groupBy("qkey").agg(F.first("qvec").alias("qvec"), F.first("qnorm").alias("qnorm"), F.first(F.length("qvec")).alias("bytes"))
+    n_blocks, kinds = at, (pa.binary(), pa.binary(), pa.int64(), pa.float64())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held = -1, None
@@ -239,12 +264,12 @@ def search(
             for i in range(b.num_rows):
                 r = {n: b.column(n)[i].as_py() for n in b.schema.names}
                 if r["qkey"] is None:
-                    number, reps = r["block"], np.frombuffer(r["reps"], np.int64)
+                    number, reps, width = r["block"], np.frombuffer(r["reps"], np.int64), r["bytes"] // 8
                     vecs = np.frombuffer(r["vecs"], np.float32 if len(r["vecs"]) == len(reps) * width * 4 else np.float64)
                     held = (vecs.reshape(len(reps), width), np.frombuffer(r["codes"], np.uint8).reshape(-1, len(reps)), np.frombuffer(r["radius"], np.float64))
-                    keys = r["keys"]
-                elif number == r["block"]:  # a block may have no classes
-                    best, score = best_of(np.frombuffer(r["qvec"]), reps, *held, books, k + 1, candidates)
+                    keys, book = r["keys"], books[r["bytes"]][0]
+                elif number == r["block"]:
+                    best, score = best_of(np.frombuffer(r["qvec"]), reps, *held, book, k + 1, candidates, -np.inf if r["floor"] is None else r["floor"])
                     out["qkey"] += [r["qkey"]] * len(best)
                     out["key"] += [keys[16 * j : 16 * j + 16] for j in best.tolist()]
                     out["rep"] += reps[best].tolist()
@@ -254,17 +279,40 @@ def search(
                         out = {n: [] for n in out}
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
 
-    scored = meet.mapInArrow(scan, "qkey binary, key binary, rep long, score double")
     by_query = Window.partitionBy("qkey")
     best_first = by_query.orderBy(F.desc("score"), "rep")
-    top = scored.withColumn("n", F.row_number().over(best_first)).where(F.col("n") <= k + 1).select("qkey", "key", "score")
-    members = vectors.select("key", "vec_id").withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("vec_id")))
-    top = top.join(members.where(F.col("n") <= k + 1).select("key", "vec_id"), "key")
-    best_first = by_query.orderBy(F.desc("score"), "vec_id")
-    top = top.withColumn("n", F.row_number().over(best_first)).where(F.col("n") <= k + 1).select("qkey", "vec_id", "score")
-    per_query = asked.select("query_id", "qkey").join(top, "qkey").where("query_id <> vec_id")
-    rank = F.row_number().over(Window.partitionBy("query_id", "qkey").orderBy(F.desc("score"), "vec_id"))
-    return per_query.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    top_classes = lambda df: df.withColumn("n", F.row_number().over(best_first)).where(F.col("n") <= k + 1).drop("n")
+
+    def scanned(queries_: DataFrame) -> DataFrame:
+        """The best classes of each query (with block and floor) in each block that it goes to."""
+        meet = codes.unionByName(queries_, allowMissingColumns=True).repartition(n_blocks, "block")
+        meet = meet.sortWithinPartitions("block", F.col("qkey").isNotNull())  # a block, then its queries
+        return meet.mapInArrow(scan, "qkey binary, key binary, rep long, score double")
+
+    top_level = F.broadcast(levels.where("level = 0"))
+    to = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    start = asking.join(top_level, "bytes").select("qkey", "qvec", to.alias("nth"), "base", F.lit(None).cast("double").alias("floor"))
+    start = start.select("qkey", "qvec", "floor", (F.col("base") + F.col("nth")).cast("int").alias("block"))
+    scored = stage_table(top_classes(scanned(start)), "scored")
+    if any(r[1] for r in table):
+        floor = scored.groupBy("qkey").agg(F.when(F.count(F.lit(1)) > k, F.min("score")).alias("floor"))
+        below = [(b, [(lev, base, parts, most) for b2, lev, base, parts, most in table if b2 == b and lev]) for b in shapes]
+        below = spark.createDataFrame(below, "bytes int, below array<struct<level:int,base:int,parts:int,most:double>>")
+        reach = F.filter("below", lambda x: F.col("floor").isNull() | (x["most"] * F.col("qnorm") * (1 + 1e-9) >= F.col("floor")))
+        blocks = F.flatten(F.transform(reach, lambda x: F.sequence(x["base"], x["base"] + x["parts"] - 1)))
+        more = asking.join(floor, "qkey", "left").join(F.broadcast(below), "bytes").select("qkey", "qvec", "floor", F.explode(blocks).alias("block"))
+        scored = top_classes(scored.unionByName(scanned(more)))
+    # Of each class the first rows by id, as many as a result can hold, copies one by one.
+    each = vectors.select("key", "vec_id", F.explode(F.sequence(F.lit(1), F.least("times", F.lit(k + 1)).cast("int"))).alias("copy"))
+    members = each.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("vec_id", "copy"))).where(F.col("n") <= k + 1)
+    top = scored.select("qkey", "key", "score").join(members.select("key", "vec_id", "copy"), "key")
+    # k + 1 and not k, as one of them may be the query itself: the first row of its id and vector
+    top = top.withColumn("n", F.row_number().over(by_query.orderBy(F.desc("score"), "vec_id", "copy"))).where(F.col("n") <= k + 1)
+    own = (F.col("query_id") == F.col("vec_id")) & (F.col("qkey") == F.col("key")) & (F.col("copy") == 1)
+    per_query = asked.select("query_id", "qkey", "asked").join(top.select("qkey", "key", "vec_id", "copy", "score"), "qkey").where(~own)
+    rank = F.row_number().over(Window.partitionBy("query_id", "qkey").orderBy(F.desc("score"), "vec_id", "copy"))
+    ranked = per_query.withColumn("rank", rank).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.col("asked").cast("int")))).drop("col")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
