@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from caselode.functions import text as T
@@ -12,6 +10,7 @@ from caselode.operators import matching as M
 from caselode.plans.reading import HITS, SCORED, scored
 from caselode.sources import fixtures as X
 from caselode.sources import parsing as P
+from caselode.sources import shared
 from caselode.streaming import events as E
 
 A = X.ARTICLE_SQL
@@ -234,9 +233,8 @@ def plain_text(spark, sf_dir):
 
 def stream_tumbling(spark, sf_dir):
     """The tumbling counts from a stream run to its end; windows that the watermark has closed."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     rows = E.tumbling(E.read_events(spark, sf_dir)).select("window", "event_type", "n")
-    done = E.drain(rows, f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}")
+    done = E.drain(rows, shared.fresh_path(spark, "stream"))
     return done.select(F.unix_timestamp("window.start").alias("start_s"), "event_type", "n")
 
 

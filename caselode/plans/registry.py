@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import casework, nightly, reading, records, reports
+from . import casework, flows, nightly, reading, records, reports
 
-QUERIES = {**reading.QUERIES, **casework.QUERIES, **nightly.QUERIES, **reports.QUERIES, **records.QUERIES}
-ORACLE_SQL = {**reading.ORACLE_SQL, **casework.ORACLE_SQL, **nightly.ORACLE_SQL, **reports.ORACLE_SQL, **records.ORACLE_SQL}
+QUERIES = {**reading.QUERIES, **casework.QUERIES, **nightly.QUERIES, **reports.QUERIES, **records.QUERIES, **flows.QUERIES}
+ORACLE_SQL = {**reading.ORACLE_SQL, **casework.ORACLE_SQL, **nightly.ORACLE_SQL, **reports.ORACLE_SQL, **records.ORACLE_SQL, **flows.ORACLE_SQL}

@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from caselode.operators.incremental import last_wins
-
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events.parquet as a file stream, stamps as UTC timestamps."""
@@ -38,23 +36,6 @@ def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def upsert_each_batch(stream: DataFrame, path: str, key: str, order: list[str]) -> None:
-    """Keep the last row of each key in versioned folders: batch n writes version n from version n - 1.
-
-    A batch that is run again after a failure writes the same version again, so the store is exact.
-    """
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if number:
-            rows = spark.read.schema(batch.schema).parquet(f"{path}/v{number - 1}").unionByName(batch)
-        last_wins(rows, key, order).select(batch.columns).write.mode("overwrite").parquet(f"{path}/v{number}")
-
-    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-
-
 def admit(rows: DataFrame, limit: int, window_seconds: int) -> DataFrame:
     """The sliding admit limiter with state: each user's last admitted stamps, at most `limit`."""
 
@@ -88,28 +69,3 @@ def failure_counts(cycles: DataFrame) -> DataFrame:
         yield pd.DataFrame({"lane": pdf["lane"], "cycle": pdf["cycle"], "failures": out})
 
     return cycles.groupBy("lane").applyInPandasWithState(step, "lane long, cycle long, failures long", "run long", "append", GroupStateTimeout.NoTimeout)
-
-
-def due_checks(asks: DataFrame, every_seconds: int) -> DataFrame:
-    """Keyed clocks: (link, t, genuine, ended) to the same with `due`, whether the link is to be checked at t (seconds).
-
-    A link is due when its last genuine check is at least `every_seconds` old;
-    a check that was not genuine (a throttled one) starts no clock, and a
-    link that ended is never due again.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, over = state.get if state.exists else (None, False)
-        pdf, due = pd.concat(batches).sort_values("t"), []
-        for t, genuine, ended in zip(pdf["t"], pdf["genuine"], pdf["ended"], strict=True):
-            due.append(not over and (last is None or t - last >= every_seconds))
-            if due[-1] and genuine:
-                last = int(t)
-            over = over or bool(due[-1] and ended)
-        state.update((last, over))
-        yield pdf.assign(due=due)[["link", "t", "due"]]
-
-    rows = asks.select("link", "t", "genuine", "ended")
-    return rows.groupBy("link").applyInPandasWithState(
-        step, "link string, t long, due boolean", "last long, over boolean", "append", GroupStateTimeout.NoTimeout
-    )

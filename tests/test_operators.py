@@ -16,6 +16,7 @@ from caselode.operators import vendors as V
 from caselode.sources import fixtures
 from caselode.sources import parsing as P
 from caselode.streaming import events as E
+from caselode.streaming import store
 
 SF = "/root/testdata/sf0.001"
 
@@ -121,9 +122,9 @@ def test_streams_equal_batch(spark, tmp_path):
     assert rows and all(want[k] == n for k, n in rows.items()) and len(want) - len(rows) < 12  # the last windows are open
     admitted = E.drain(E.admit(E.read_events(spark, SF), 3, 6 * 3600), f"file://{tmp_path}/admit")
     assert sorted(admitted.collect()) == sorted(I.admitted(batch, "user_id", 3, 6 * 3600).select("user_id", "event_id", "admitted").collect())
-    E.upsert_each_batch(E.read_events(spark, SF).select("user_id", "ts", "event_id"), f"file://{tmp_path}/store", "user_id", ["ts", "event_id"])
-    stored = spark.read.parquet(f"file://{tmp_path}/store/v0")
-    assert {(r.user_id, r.event_id) for r in stored.collect()} == {(r.user_id, r.event_id) for r in I.last_wins(batch.select("user_id", "ts", "event_id"), "user_id", ["ts", "event_id"]).collect()}
+    kept = store.VersionedStore(spark, f"file://{tmp_path}/store", "user_id long, ts timestamp, event_id long", "user_id", ["ts", "event_id"])
+    store.upsert_stream(E.read_events(spark, SF).select("user_id", "ts", "event_id"), kept, f"file://{tmp_path}/state")
+    assert {(r.user_id, r.event_id) for r in kept.read().collect()} == {(r.user_id, r.event_id) for r in I.last_wins(batch.select("user_id", "ts", "event_id"), "user_id", ["ts", "event_id"]).collect()}
 
 
 def test_plans(spark):

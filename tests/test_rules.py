@@ -16,6 +16,7 @@ from caselode.operators import search as S
 from caselode.plans import reading as G
 from caselode.sources import fixtures as X
 from caselode.sources import parsing as P
+from caselode.streaming import clocks as K
 from caselode.streaming import events as E
 
 SF = "/root/testdata/sf0.001"
@@ -120,9 +121,10 @@ def test_streams_read_a_key_in_order(spark, tmp_path):
         got = E.drain(E.failure_counts(stream), str(tmp_path / "co")).orderBy("cycle").collect()
         assert [r.failures for r in got] == [1, 2, 2, 3, 0, 1, 2]
         asks = [("a", t, g, e) for t, g, e in [(0, True, False), (5, True, False), (100, False, False), (101, True, False), (150, True, False), (205, True, True), (400, True, False)]]
-        kind = "link string, t long, genuine boolean, ended boolean"
+        kind = "link string, t long, nth long, genuine boolean, ended boolean"
+        asks = [(link, t, 0, g, e) for link, t, g, e in asks]
         spark.createDataFrame(asks[::-1], kind).coalesce(1).write.parquet(str(tmp_path / "a"))
-        got = E.drain(E.due_checks(spark.readStream.schema(kind).parquet(str(tmp_path / "a")), 100), str(tmp_path / "ao")).orderBy("t").collect()
+        got = E.drain(K.due_checks(spark.readStream.schema(kind).parquet(str(tmp_path / "a")), 100, 10_000), str(tmp_path / "ao")).orderBy("t").collect()
         assert [r.due for r in got] == [True, False, True, True, False, True, False]
         rows = [("x", 1), ("x", 2), ("y", 3)]
         spark.createDataFrame(rows, "link string, s long").select("link", F.timestamp_seconds("s").alias("ts")).write.parquet(str(tmp_path / "f"))
