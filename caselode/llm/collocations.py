@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,26 +65,41 @@ class Activated:
 
 
 class Tokens:
-    """The words of one language's texts, with places where pieces end (-1)."""
+    """The words of texts of one language: distinct words, their hashes, and for each place of a word its number, -1 where a piece ends."""
 
-    def __init__(self, texts: list[bytes], lang: str):
+    def __init__(self, lang: str, words: pa.Array, hashes: np.ndarray, at: np.ndarray):
+        self.lang, self.words, self.hashes, self.at = lang, words, hashes, at
+
+    @classmethod
+    def of(cls, texts: list[bytes], lang: str) -> Tokens:
         joined = b"\n".join(t.translate(_CLEAN) for t in texts).replace(b"\n", b" \n ")
         words = pc.split_pattern(pa.array([joined], pa.large_binary()).view(pa.large_utf8()), " ").flatten()
         coded = words.dictionary_encode()
-        self.words: pa.Array = coded.dictionary
-        distinct = [w.encode() for w in self.words.to_pylist()]
+        distinct = [w.encode() for w in coded.dictionary.to_pylist()]
         at, number = coded.indices.to_numpy(), {w: i for i, w in enumerate(distinct)}
         at = at[at != number.get(b"", -1)]
-        self.at = np.where(at == number.get(b"\n", -1), -1, at).astype(np.int64)
+        at = np.where(at == number.get(b"\n", -1), -1, at)
         of_lang = np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))
-        self.hashes = _mixed(np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct), np.uint64, len(distinct)) ^ of_lang)
+        hashes = _mixed(np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct), np.uint64, len(distinct)) ^ of_lang)
+        return cls(lang, coded.dictionary, hashes, at.astype(np.int64))
+
+    def packed(self) -> tuple:
+        """(lang, words, hashes, at, number of words) as bytes. No word holds a line end; the two entries that are none keep their places."""
+        words = "\n".join(w if w != "\n" else "" for w in self.words.to_pylist())
+        pack = lambda raw: zstandard.compress(raw, 1)
+        return self.lang, pack(words.encode()), self.hashes.tobytes(), pack(planes(self.at.astype(np.int32))), int((self.at >= 0).sum())
+
+    @classmethod
+    def unpacked(cls, lang: str, words: bytes, hashes: bytes, at: bytes) -> Tokens:
+        distinct = pa.array(zstandard.decompress(words).decode().split("\n"), pa.large_utf8())
+        return cls(lang, distinct, np.frombuffer(hashes, np.uint64), unplanes(zstandard.decompress(at), np.int32).astype(np.int64))
 
     def phrases(self, places: np.ndarray, n: int) -> pa.Array:
         parts = [self.words.take(pa.array(self.at[places + i])) for i in range(n)]
         return parts[0] if n == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", self.words.type))
 
-    def counted(self, longest: int, step: int, shards: int, active: Activated) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(n, a place of each phrase, its key, its count) of the phrases whose cycle holds this step."""
+    def counted(self, longest: int, step: int, shards: int, active: Activated) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(n, a place of each phrase, its key, its count, the step it began at) of the phrases whose cycle holds this step."""
         if not len(self.at):
             return
         inside = self.at >= 0
@@ -94,7 +110,7 @@ class Tokens:
             found = np.flatnonzero(times)
             first = np.empty(len(self.words), np.int64)
             first[code[::-1]] = places[::-1]
-            yield 1, first[found], self.hashes[found], times[found]
+            yield 1, first[found], self.hashes[found], times[found], np.zeros(len(found), np.uint8)
         since = active.since(self.hashes)[code]
         for n in range(2, longest + 1):
             # the phrases one shorter that begin at `places`; those that end a word later begin at the next place
@@ -119,7 +135,7 @@ class Tokens:
             now = np.flatnonzero((start <= step) & (step < start + np.int64(shards)))
             if len(now):
                 _, first, times = np.unique(code[now], return_index=True, return_counts=True)
-                yield n, places[now[first]], keys[now[first]], times
+                yield n, places[now[first]], keys[now[first]], times, start[now[first]]
             # a phrase whose mark is older than its own beginning seems to be marked only; longer ones begin no earlier than it
             since = np.maximum(active.since(keys), start) if n < longest else None
 
@@ -134,22 +150,47 @@ def _texts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str,
             if size and size + len(text) > most:
                 yield from held.items()
                 held, size = {}, 0
-                pa.default_memory_pool().release_unused()
             held.setdefault(lang, []).append(text)
             size += len(text) + 1
     yield from held.items()
 
 
-#: Packed counts: the n-grams of n words whose keys fall into a bucket, sorted, as differences, and their counts.
-_PACKED = "n int, bucket long, old boolean, keys binary, counts binary"
+_CODED = "shard int, lang string, words binary, hashes binary, at binary, size long"
 
 
-def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, and the sums of their counts."""
-    keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    counts = np.zeros(len(keys), np.int64)
-    np.add.at(counts, where, np.concatenate([c for _, c in parts]))
-    return keys, counts
+def _encode(rows: DataFrame, shards: int, block: int) -> DataFrame:
+    """The texts (lang, text) as packed Tokens, one row for each block of about `block` bytes and language, dealt over the shards in turn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+        names = ["shard", "lang", "words", "hashes", "at", "size"]
+        for nth, (lang, texts) in enumerate(_texts(batches, block), TaskContext.get().partitionId()):
+            values = (nth % shards, *Tokens.of(texts, lang).packed())
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
+
+    return rows.mapInArrow(run, _CODED)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Tokens]:
+    for b in batches:
+        for row in zip(*(b.column(c) for c in ("lang", "words", "hashes", "at")), strict=True):
+            yield Tokens.unpacked(*(x.as_py() for x in row))
+
+
+#: Packed counts: the n-grams of n words whose keys fall into a bucket: sorted keys as differences, their counts, and the steps they began at.
+_PACKED = "n int, bucket long, old boolean, keys binary, counts binary, begun binary"
+Counts = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _added(parts: list[Counts]) -> Counts:
+    """Distinct keys, sorted, the sums of their counts, and the last step that one of them began at."""
+    keys, counts, begun = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+    if not len(first):
+        return keys, counts, begun
+    return keys[first], np.add.reduceat(counts[order], first), np.maximum.reduceat(begun[order], first)
 
 
 def _runs(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
@@ -160,51 +201,62 @@ def _runs(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
         yield int(of[s]), s, e
 
 
-def _packed(n: int, old: bool, keys: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    rows = [(n, at, old, planes(np.diff(keys[s:e], prepend=np.uint64(0))), planes(counts[s:e])) for at, s, e in _runs(keys, buckets)] if len(keys) else []
-    kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+def _packed(n: int, found: Counts, buckets: int) -> Iterator[pa.RecordBatch]:
+    keys, counts, begun = found
+    rows = [(n, at, False, planes(np.diff(keys[s:e], prepend=np.uint64(0))), planes(counts[s:e]), begun[s:e].tobytes()) for at, s, e in _runs(keys, buckets)] if len(keys) else []
+    kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
     for i in range(0, len(rows), 256):
         columns = [pa.array(c, k) for c, k in zip(zip(*rows[i : i + 256], strict=True), kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays(columns, ["n", "bucket", "old", "keys", "counts"])
+        yield pa.RecordBatch.from_arrays(columns, ["n", "bucket", "old", "keys", "counts", "begun"])
 
 
 def _unpacked(keys: pa.Scalar, counts: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(unplanes(keys.as_py(), np.uint64), dtype=np.uint64), unplanes(counts.as_py(), np.int64)
 
 
-def _scan(shard: DataFrame, longest: int, step: int, shards: int, sent, block: int, buckets: int, most: int = 1 << 20) -> DataFrame:
+def _scan(shard: DataFrame, longest: int, step: int, shards: int, sent, buckets: int, most: int = 1 << 20) -> DataFrame:
     """The packed counts of this step, added up in each task while they are at most about `most` keys a length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         active, held = Activated.unpacked(sent.value), {n: [] for n in range(1, longest + 1)}
-        for lang, texts in _texts(batches, block):
-            for n, _, keys, times in Tokens(texts, lang).counted(longest, step, shards, active):
-                held[n].append((keys, times.astype(np.int64)))
-                if sum(len(k) for k, _ in held[n]) > most:
+        for tokens in _blocks(batches):
+            for n, _, keys, times, start in tokens.counted(longest, step, shards, active):
+                held[n].append((keys, times.astype(np.int64), start.astype(np.uint8)))
+                if sum(len(x[0]) for x in held[n]) > most:
                     held[n] = [_added(held[n])]
                     if len(held[n][0][0]) > most // 2:
-                        yield from _packed(n, False, *held[n].pop(), buckets)
+                        yield from _packed(n, held[n].pop(), buckets)
+            pa.default_memory_pool().release_unused()
         for n, parts in held.items():
             if parts:
-                yield from _packed(n, False, *_added(parts), buckets)
+                yield from _packed(n, _added(parts), buckets)
 
     return shard.mapInArrow(run, _PACKED)
 
 
-def _merge(so_far: DataFrame) -> DataFrame:
-    """One row for each length and bucket, with the sums of all; `fresh`: the keys' counts before."""
+def _merge(so_far: DataFrame, least: int, ended: int) -> DataFrame:
+    """One row for each length and bucket, with the sums of all; `before`: the keys' counts before.
+
+    Keys whose cycle has ended (they began at step `ended` or before) and that
+    did not come to `least` are left out: nothing can be added to them.
+    """
 
     def add(table: pa.Table) -> pa.Table:
-        parts = [_unpacked(k, c) for k, c in zip(table["keys"], table["counts"], strict=True)]
-        old = table["old"].to_pylist()
-        keys, counts = _added(parts)
-        before = np.zeros(len(keys), np.int64)
-        for (k, c), was in zip(parts, old, strict=True):
-            if was:
-                before[np.searchsorted(keys, k)] = c
-        kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
-        row = table["n"][0].as_py(), table["bucket"][0].as_py(), True, planes(np.diff(keys, prepend=np.uint64(0))), planes(counts), planes(before)
-        return pa.table({c: pa.array([v], k) for c, v, k in zip(("n", "bucket", "old", "keys", "counts", "before"), row, kinds, strict=True)})
+        parts, before = [], []
+        for keys, counts, begun, old in zip(table["keys"], table["counts"], table["begun"], table["old"].to_pylist(), strict=True):
+            k, c = _unpacked(keys, counts)
+            parts.append((k, c, np.frombuffer(begun.as_py(), np.uint8)))
+            if old:
+                before.append((k, c))
+        keys, counts, begun = _added(parts)
+        stays = (counts >= least) | (begun.astype(np.int64) > ended)
+        was = np.zeros(len(keys), np.int64)
+        for k, c in before:
+            was[np.searchsorted(keys, k)] = c
+        keys, counts, begun, was = (x[stays] for x in (keys, counts, begun, was))
+        kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        row = table["n"][0].as_py(), table["bucket"][0].as_py(), True, planes(np.diff(keys, prepend=np.uint64(0))), planes(counts), begun.tobytes(), planes(was)
+        return pa.table({c: pa.array([v], k) for c, v, k in zip(("n", "bucket", "old", "keys", "counts", "begun", "before"), row, kinds, strict=True)})
 
     return so_far.groupBy("n", "bucket").applyInArrow(add, _PACKED + ", before binary")
 
@@ -250,24 +302,44 @@ def _set_cells(counted: DataFrame, cells: np.ndarray, least: int, start: int, ag
 _NAMED = "lang string, n int, phrase string, key long, c long"
 
 
-def _named(texts: DataFrame, longest: int, sent, block: int) -> DataFrame:
-    """(lang, n, phrase, key, c) of the phrases whose keys are marked, for each block of texts; n = 0: the number of words."""
+def _named(blocks: DataFrame, longest: int, sent, most: int = 1 << 19) -> DataFrame:
+    """(lang, n, phrase, key, c) of the phrases whose keys are marked, added up in each task while they are at most about `most`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = Activated.unpacked(sent.value)
-        for lang, held in _texts(batches, block):
-            tokens = Tokens(held, lang)
-            words = int((tokens.at >= 0).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in ((lang, pa.string()), (0, pa.int32()), ("", pa.string()), (0, pa.int64()), (words, pa.int64()))], ["lang", "n", "phrase", "key", "c"])
-            for n, places, keys, times in tokens.counted(longest, 0, Activated.NEVER - 1, marked):
-                keep = marked.since(keys) < Activated.NEVER
-                places, keys, times = places[keep], keys[keep], times[keep]
-                for i in range(0, len(places), 1 << 16):
-                    at, k, c = (x[i : i + (1 << 16)] for x in (places, keys, times))
-                    columns = [pa.array([lang] * len(at), pa.string()), pa.array(np.full(len(at), n, np.int32)), tokens.phrases(at, n).cast(pa.string())]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(k.view(np.int64)), pa.array(c.astype(np.int64))], ["lang", "n", "phrase", "key", "c"])
-
-    return texts.mapInArrow(run, _NAMED)
+        marked, held, size = Activated.unpacked(sent.value), [], 0
+        by = ["lang", "n", "phrase", "key"]
+
+        def added() -> pa.Table:
+            table = pa.concat_tables(held).group_by(by, use_threads=False).aggregate([("c", "sum")])
+            return table.rename_columns([*by, "c"])
+
+        for tokens in _blocks(batches):
+            for n, places, keys, times, _ in tokens.counted(longest, 0, Activated.NEVER - 1, marked):
+                keep = np.flatnonzero(marked.since(keys) < Activated.NEVER)
+                phrases, n_rows = tokens.phrases(places[keep], n).cast(pa.string()), len(keep)
+                held.append(
+                    pa.table(
+                        {
+                            "lang": pa.array([tokens.lang] * n_rows, pa.string()),
+                            "n": pa.array(np.full(n_rows, n, np.int32)),
+                            "phrase": phrases,
+                            "key": pa.array(keys[keep].view(np.int64)),
+                            "c": pa.array(times[keep].astype(np.int64)),
+                        }
+                    )
+                )
+                size += n_rows
+            if size > most:
+                held = [added()]
+                size = held[0].num_rows
+                if size > most // 2:
+                    yield from held.pop().to_batches(1 << 16)
+                    size = 0
+            pa.default_memory_pool().release_unused()
+        if held:
+            yield from added().to_batches(1 << 16)
+
+    return blocks.mapInArrow(run, _NAMED)
 
 
 def frequent_phrases(
@@ -284,10 +356,11 @@ def frequent_phrases(
     count is exact. So pairs are counted while words still are, and triples
     while pairs are; the scans end when the last phrase has seen its cycle.
 
+    Texts are cut into words once and kept as numbers of words, in blocks.
     Counts are kept by 64-bit key, packed: a task sends, for each bucket of
     keys, one row of sorted keys and their counts, and the sums so far are one
     row a bucket; buckets grow with the texts, so a row has a bounded number
-    of keys. Marks travel as a Bloom filter of `cells` bytes, which holds the
+    of keys, and keys whose cycle ended below the threshold are dropped. Marks travel as a Bloom filter of `cells` bytes, which holds the
     step of each mark. When all are counted, one more scan finds the words of
     the frequent keys. A key that two phrases share (of 10**10 some three
     pairs do) shows there, and takes the counts of that scan.
@@ -296,18 +369,17 @@ def frequent_phrases(
         raise ValueError("longest must be 2 or more, and shards * longest at most 250")
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = rows.withColumns({"size": F.octet_length("text"), "shard": F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(shards)).cast("int")})
-    dealt = stage_table(dealt, "shards", by="shard")
-    size = dealt.agg(F.sum("size")).first()[0] or 0
-    buckets = max(12, -(-size // (16 << 20)))  # 16 MB of texts have some three million phrases of a length at most
+    dealt = stage_table(_encode(rows, shards, block), "shards", by="shard")
+    n_words = dealt.agg(F.sum("size")).first()[0] or 0
+    buckets = max(12, -(-n_words // 3_000_000))  # a length has at most as many phrases as there are words
     marks = np.full(cells, Activated.NEVER, np.uint8)
     step, begun = 0, 0  # begun: the last step at which phrases can have begun to be counted, as marks were set before it
     so_far = None
     while step < begun + shards:
         sent = spark.sparkContext.broadcast(Activated(marks).packed())
-        counted = _scan(dealt.where(F.col("shard") == step % shards).select("lang", "text"), longest, step, shards, sent, block, buckets)
+        counted = _scan(dealt.where(F.col("shard") == step % shards).drop("shard", "size"), longest, step, shards, sent, buckets)
         last = so_far
-        so_far = stage_table(_merge(counted if last is None else counted.unionByName(last.drop("before"))), "counts")
+        so_far = stage_table(_merge(counted if last is None else counted.unionByName(last.drop("before")), least, step - shards + 1), "counts")
         sent.destroy()
         if last is not None:
             drop_table(last)
@@ -317,7 +389,7 @@ def frequent_phrases(
     found = np.full(cells, Activated.NEVER, np.uint8)
     _set_cells(so_far, found, least, 0, again=True)
     sent = spark.sparkContext.broadcast(Activated(found).packed())
-    named = _named(dealt.select("lang", "text"), longest, sent, block).groupBy("lang", "n", "phrase", "key").agg(F.sum("c").alias("c"))
+    named = _named(dealt.drop("shard", "size"), longest, sent).groupBy("lang", "n", "phrase", "key").agg(F.sum("c").alias("c"))
     named = stage_table(named, "named")
     sent.destroy()
 
@@ -332,10 +404,10 @@ def frequent_phrases(
 
     counts = so_far.select("n", "keys", "counts").mapInArrow(frequent, "n int, key long, f long")
     sharing = F.count(F.lit(1)).over(Window.partitionBy("n", "key"))
-    totals = named.where("n > 0").withColumn("sharing", sharing).join(counts, ["n", "key"])
+    totals = named.withColumn("sharing", sharing).join(counts, ["n", "key"])
     totals = totals.select("lang", "n", "phrase", F.when(F.col("sharing") == 1, F.col("f")).otherwise(F.col("c")).alias("f")).where(F.col("f") >= least)
     totals = stage_table(totals, "phrases")
-    words = stage_table(named.where("n = 0").groupBy("lang").agg(F.sum("c").alias("words")), "words")
+    words = stage_table(dealt.groupBy("lang").agg(F.sum("size").alias("words")), "words")
     for table in (dealt, so_far, named):
         drop_table(table)
     return totals, words

@@ -63,10 +63,12 @@ def drop_table(table: DataFrame) -> None:
 
 def planes(x: np.ndarray) -> bytes:
     """The numbers' bytes, those of equal weight next to each other, which compression makes small."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
 def unplanes(raw: bytes, kind: type) -> np.ndarray:
+    if not raw:
+        return np.empty(0, kind)
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 

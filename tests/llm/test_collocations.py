@@ -91,11 +91,13 @@ def test_pairs_are_counted_while_words_still_are():
     """The first pairs start after one shard of four, and see each shard once."""
     marks = np.full(1 << 12, C.Activated.NEVER, np.uint8)
     active = C.Activated(marks)
-    tokens = C.Tokens([b"a b c. a b"], "en")
+    tokens = C.Tokens.of([b"a b c. a b"], "en")
+    again = C.Tokens.unpacked(*tokens.packed()[:4])
+    assert again.at.tolist() == tokens.at.tolist() == [tokens.words.to_pylist().index(w) if w != "." else -1 for w in "a b c . a b".split()]
     seen = Counter()
     for step in range(10):
-        for n, places, keys, times in tokens.counted(3, step, 4, active):
-            seen.update({(n, p, step): int(c) for p, c in zip(tokens.phrases(places, n).to_pylist(), times, strict=True)})
+        for n, places, keys, times, _ in again.counted(3, step, 4, active):
+            seen.update({(n, p, step): int(c) for p, c in zip(again.phrases(places, n).to_pylist(), times, strict=True)})
             if n < 3 and step == n - 1:
                 for at in active.places(keys):
                     marks[at[marks[at] == C.Activated.NEVER]] = step + 1
