@@ -65,7 +65,7 @@ def due_checks(asks: DataFrame, every: int, forget: int, late: str = "0 seconds"
     old; a check that was not genuine (a throttled one) starts no clock; a
     link that ended is not due again, until it was not asked for in `forget`
     seconds. Asks of one time go in the order of nth. Asks that come later
-    than `late` behind the newest are dropped. A null link is a link.
+    than `late` behind the newest are dropped, and those of t <= 0. A null link is a link.
     """
     asks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     rows = asks.select("link", "t", "nth", "genuine", "ended", F.timestamp_seconds("t").alias("at")).withWatermark("at", late)

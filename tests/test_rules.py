@@ -122,7 +122,7 @@ def test_streams_read_a_key_in_order(spark, tmp_path):
         assert [r.failures for r in got] == [1, 2, 2, 3, 0, 1, 2]
         asks = [("a", t, g, e) for t, g, e in [(0, True, False), (5, True, False), (100, False, False), (101, True, False), (150, True, False), (205, True, True), (400, True, False)]]
         kind = "link string, t long, nth long, genuine boolean, ended boolean"
-        asks = [(link, t, 0, g, e) for link, t, g, e in asks]
+        asks = [(link, 1000 + t, 0, g, e) for link, t, g, e in asks]  # a stamp of 0 would be late: no watermark is 0
         spark.createDataFrame(asks[::-1], kind).coalesce(1).write.parquet(str(tmp_path / "a"))
         got = E.drain(K.due_checks(spark.readStream.schema(kind).parquet(str(tmp_path / "a")), 100, 10_000), str(tmp_path / "ao")).orderBy("t").collect()
         assert [r.due for r in got] == [True, False, True, True, False, True, False]
