@@ -168,6 +168,7 @@ def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.trim(F.coalesce("p_type", F.lit(""))) == "", "unspecified").otherwise(family).alias("family"),
         channel.alias("channel"),
         F.when(F.col("l_linenumber") % 2 == 1, "mechanically_implied").otherwise("analyst_inference").alias("basis"),
+        F.coalesce("p_type", F.lit("")).alias("artifact"),
     )
 
 
@@ -192,5 +193,5 @@ METHODS_SQL = f"""methods AS (
               {" ".join(f"WHEN contains(upper(p_type), '{w}') THEN '{f}'" for w, f in FAMILIES)}
               ELSE lower(substr(p_type, 1, 80)) END AS family,
          CASE WHEN p_size % 9 < 8 THEN {OBSERVED_CHANNELS}[p_size % 9 + 1] END AS channel,
-         CASE WHEN l_linenumber % 2 = 1 THEN 'mechanically_implied' ELSE 'analyst_inference' END AS basis
+         CASE WHEN l_linenumber % 2 = 1 THEN 'mechanically_implied' ELSE 'analyst_inference' END AS basis, coalesce(p_type, '') AS artifact
   FROM lineitem JOIN (SELECT *, CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INTEGER) AS n FROM part) ON l_partkey = p_partkey)"""
