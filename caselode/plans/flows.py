@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caselode.sources import paged, shared
+from caselode.operators import history as H
+from caselode.operators import incremental as I
+from caselode.plans import nightly as N
+from caselode.sources import fixtures as X
+from caselode.sources import paged, shared, sitemaps
 from caselode.streaming import clocks, store, sweep
 from caselode.streaming import events as E
 
@@ -64,7 +68,43 @@ def history_sweep(spark, sf_dir):
     return found.select(day("first_day"), day("last_day"), "slice", "query", "orders")
 
 
-QUERIES = {f.__name__: f for f in (paged_search, versioned_store, recheck_clock, history_sweep)}
+ROOT = "http://site.example/s/0-news.xml"
+WALK = {"hints": ["/en/"], "preferred": ["news"], "skipped": ["video"], "max_sitemaps": 40, "max_urls": 500}
+
+
+def sitemap_walk(spark, sf_dir):
+    """A walk over sitemaps that name each other, ten pages each, news first and without videos: the first English pages."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    n = pages.count() // 10 + 1
+    k = lambda c: F.concat(F.lit("http://site.example/s/"), c, F.when(c % 3 == 0, "-news").otherwise(""), F.when(c % 11 == 5, "-video").otherwise(""), F.lit(".xml"))
+    ids = spark.range(n)
+    children = F.posexplode(F.array((F.col("id") * 7 + 3) % n, F.col("id") * 2 + 2, F.col("id") * 2 + 1)).alias("nth", "to")
+    entries = ids.select(F.col("id"), children).where(F.col("to") < n).select(k(F.col("id")).alias("parent"), "nth", k(F.col("to")).alias("child"))
+    listed = pages.select(k(F.pmod("page_id", F.lit(n))).alias("sitemap"), F.col("page_id").alias("nth"), "url")
+    return sitemaps.walk(entries, listed, ROOT, **WALK)
+
+
+def history_backfill(spark, sf_dir):
+    """Quotes of two generations stamped anew in place; the stamps of each article and whether one is another than before."""
+    a = X.articles(spark, sf_dir).select("row_ord", "link", "title", F.col("content").alias("body"))
+    method = lambda quote, stamp: F.struct(quote.alias("quote"), F.lit(stamp).cast("boolean").alias("verbatim"))
+    old = F.array(method(F.substring("title", 1, 12), None), method(F.lit("never said"), True))
+    new = F.when(F.col("row_ord") % 5 != 0, F.array(method(F.substring("body", 11, 40), True)))
+    generation = lambda model, ms: F.struct(F.lit(model).alias("model"), ms.alias("methods"))
+    rows = a.withColumn("history", F.array(generation("a", old), generation("b", new)))
+    done = H.stamp_history(rows)
+    stamps = F.transform("history", lambda g: F.coalesce(F.array_join(F.transform(g["methods"], lambda m: m["verbatim"].cast("string")), ",", "none"), F.lit("-")))
+    return done.select("link", "changed", F.array_join(stamps, "|").alias("stamps"))
+
+
+def keep_best(spark, sf_dir):
+    """The last even generation of each link after a run, against a snapshot of the last odd one: what was richer before comes back."""
+    history = N._history(spark, sf_dir).withColumn("rich", I.richness())
+    last = lambda odd: history.where(F.col("gen") % 2 == odd).groupBy("link").agg(F.max_by(F.struct("gen", "rich"), "gen").alias("g")).select("link", "g.*")
+    return H.keep_best(last(1), last(0), "link", "rich")
+
+
+QUERIES = {f.__name__: f for f in (paged_search, versioned_store, recheck_clock, history_sweep, sitemap_walk, history_backfill, keep_best)}
 ORACLE_SQL = {
     "paged_search": f"""WITH h AS (SELECT source AS query, unnest(CASE WHEN doc_id % {PAGE} = 0 AND doc_id >= {PAGE} THEN [doc_id // {PAGE} - 1, doc_id // {PAGE}] ELSE [doc_id // {PAGE}] END) AS p,
           'doc:' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS link, strftime(to_timestamp(1704067200 + doc_id * 3600) AT TIME ZONE 'UTC', '%Y-%m-%d') AS filed, length(substr(text, 1, 200)) AS n FROM documents),
@@ -83,4 +123,21 @@ ORACLE_SQL = {
         q AS (SELECT query, CAST(CASE WHEN i < least(2, n) THEN n - least(2, n) + i ELSE i - 2 END // {PER_RUN} AS INTEGER) AS slice FROM p)
         SELECT strftime(first_day, '%Y-%m-%d') AS first_day, strftime(last_day, '%Y-%m-%d') AS last_day, slice, q.query, count(o.day) AS orders
         FROM w, q LEFT JOIN o ON o.query = q.query AND o.day > first_day AND o.day <= last_day GROUP BY ALL""",
+    "sitemap_walk": """WITH RECURSIVE n AS (SELECT count(*) // 10 + 1 AS n FROM pages),
+        s AS (SELECT k, 'http://site.example/s/' || k || CASE WHEN k % 3 = 0 THEN '-news' ELSE '' END || CASE WHEN k % 11 = 5 THEN '-video' ELSE '' END || '.xml' AS url FROM (SELECT unnest(range(n)) AS k FROM n)),
+        e AS (SELECT k, to_, min(nth) AS nth FROM (SELECT k, unnest([(k * 7 + 3) % n, k * 2 + 2, k * 2 + 1]) AS to_, unnest([0, 1, 2]) AS nth FROM s, n) GROUP BY ALL),
+        o AS (SELECT p.url AS parent, list(c.url ORDER BY contains(c.url, 'news') DESC, nth, c.url) AS children FROM e JOIN s p ON p.k = e.k JOIN s c ON c.k = e.to_ WHERE NOT contains(c.url, 'video') AND c.k <> p.k GROUP BY p.url),
+        walk(step, queue, seen) AS (SELECT 0, ['http://site.example/s/0-news.xml'], []::VARCHAR[] UNION ALL
+          SELECT step + 1, list_concat(list_filter(coalesce(o.children, []), lambda c: NOT list_contains(seen, c) AND NOT list_contains(queue, c)), queue[2:]), list_append(seen, queue[1])
+          FROM walk LEFT JOIN o ON o.parent = queue[1] WHERE len(queue) > 0 AND step < 40),
+        r AS (SELECT unnest(seen) AS sitemap, generate_subscripts(seen, 1) AS rank FROM (SELECT seen FROM walk ORDER BY step DESC LIMIT 1))
+        SELECT CAST(row_number() OVER (ORDER BY rank, page_id, p.url) AS INTEGER) AS place, sitemap, p.url FROM r JOIN s ON s.url = sitemap JOIN pages p ON p.page_id % (SELECT n FROM n) = s.k
+        WHERE contains(lower(regexp_extract(p.url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1)), '/en/') QUALIFY place <= 500""",
+    "history_backfill": f"""WITH {X.ARTICLE_SQL}, p AS (SELECT *, {N._PLAIN("content")} AS plain, {N._PLAIN("substr(title, 1, 12)")} AS q1, {N._PLAIN("substr(content, 11, 40)")} AS q2 FROM article),
+        v AS (SELECT *, CASE WHEN q1 <> '' THEN contains(plain, q1) END AS v1, contains(plain, 'never said') AS v2, CASE WHEN q2 <> '' THEN contains(plain, q2) END AS v3 FROM p)
+        SELECT link, v1 IS NOT NULL OR NOT v2 OR (row_ord % 5 <> 0 AND v3 IS DISTINCT FROM true) AS changed,
+               coalesce(CAST(v1 AS VARCHAR), 'none') || ',' || CAST(v2 AS VARCHAR) || '|' || CASE WHEN row_ord % 5 <> 0 THEN coalesce(CAST(v3 AS VARCHAR), 'none') ELSE '-' END AS stamps FROM v""",
+    "keep_best": f"""WITH {N.HISTORY}, l AS (SELECT link, gen, rich FROM rich QUALIFY row_number() OVER (PARTITION BY link, gen % 2 ORDER BY gen DESC) = 1),
+        o AS (SELECT * FROM l WHERE gen % 2 = 1), c AS (SELECT * FROM l WHERE gen % 2 = 0)
+        SELECT c.link, CASE WHEN o.rich > c.rich THEN o.gen ELSE c.gen END AS gen, CASE WHEN o.rich > c.rich THEN o.rich ELSE c.rich END AS rich, coalesce(o.rich > c.rich, false) AS restored FROM c LEFT JOIN o USING (link)""",
 }

@@ -288,6 +288,8 @@ ORACLE_SQL = {
     "quote_stamps": f"""WITH {A}, q AS (SELECT row_ord + 1 AS row_ord, {_PLAIN("substr(title, 1, 12)")} AS quote FROM article)
         SELECT row_ord, CASE WHEN quote <> '' THEN contains({_PLAIN("content")}, quote) END AS verbatim FROM article JOIN q USING (row_ord)""",
     "tumbling": f"WITH {EVENTS} SELECT CAST(epoch(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01')) AS BIGINT) AS start_s, event_type, count(*) AS n, round_even(sum(value), 2) AS total FROM e GROUP BY 1, 2",
+    "stream_tumbling": f"""WITH {EVENTS}, w AS (SELECT CAST(epoch(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01')) AS BIGINT) AS start_s, event_type, count(*) AS n FROM e GROUP BY 1, 2)
+        SELECT start_s, event_type, n FROM w WHERE start_s + 21600 <= (SELECT epoch(max(ts)) - 3600 FROM e)""",
     "sliding": f"""WITH {EVENTS}, s AS (SELECT epoch(time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2024-01-01')) - 43200 * unnest([0, 1]) AS s, user_id FROM e)
         SELECT CAST(s AS BIGINT) AS start_s, count(*) AS n, count(DISTINCT user_id) AS users FROM s GROUP BY 1""",
     "session_windows": f"""WITH {EVENTS}, l AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM e),
