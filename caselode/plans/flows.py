@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from caselode.operators import history as H
 from caselode.operators import incremental as I
+from caselode.operators import similar
 from caselode.plans import nightly as N
 from caselode.sources import fixtures as X
 from caselode.sources import paged, shared, sitemaps
@@ -104,7 +105,19 @@ def keep_best(spark, sf_dir):
     return H.keep_best(last(1), last(0), "link", "rich")
 
 
-QUERIES = {f.__name__: f for f in (paged_search, versioned_store, recheck_clock, history_sweep, sitemap_walk, history_backfill, keep_best)}
+SIMILAR = 0.85
+
+
+def similar_clusters(spark, sf_dir):
+    """Clusters of vectors that lean towards the first of their four, across labels; links of cosine 0.85, each met with probability 0.9999."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    first = rows.select((F.col("vec_id") + 0).alias("lead"), F.col("embedding").alias("towards"))
+    both = rows.withColumn("lead", F.col("vec_id") - F.pmod("vec_id", F.lit(4))).join(first, "lead")
+    leaning = both.select("vec_id", F.zip_with("embedding", "towards", lambda x, y: x.cast("double") + 2 * y.cast("double")).alias("embedding"))
+    return similar.similar_clusters(leaning, SIMILAR, target=0.9999)
+
+
+QUERIES = {f.__name__: f for f in (similar_clusters, paged_search, versioned_store, recheck_clock, history_sweep, sitemap_walk, history_backfill, keep_best)}
 ORACLE_SQL = {
     "paged_search": f"""WITH h AS (SELECT source AS query, unnest(CASE WHEN doc_id % {PAGE} = 0 AND doc_id >= {PAGE} THEN [doc_id // {PAGE} - 1, doc_id // {PAGE}] ELSE [doc_id // {PAGE}] END) AS p,
           'doc:' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS link, strftime(to_timestamp(1704067200 + doc_id * 3600) AT TIME ZONE 'UTC', '%Y-%m-%d') AS filed, length(substr(text, 1, 200)) AS n FROM documents),
@@ -140,4 +153,9 @@ ORACLE_SQL = {
     "keep_best": f"""WITH {N.HISTORY}, l AS (SELECT link, gen, rich FROM rich QUALIFY row_number() OVER (PARTITION BY link, gen % 2 ORDER BY gen DESC) = 1),
         o AS (SELECT * FROM l WHERE gen % 2 = 1), c AS (SELECT * FROM l WHERE gen % 2 = 0)
         SELECT c.link, CASE WHEN o.rich > c.rich THEN o.gen ELSE c.gen END AS gen, CASE WHEN o.rich > c.rich THEN o.rich ELSE c.rich END AS rich, coalesce(o.rich > c.rich, false) AS restored FROM c LEFT JOIN o USING (link)""",
+    "similar_clusters": f"""WITH RECURSIVE v AS (SELECT a.vec_id, list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE + 2 * z[2]::DOUBLE) AS x FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - a.vec_id % 4),
+        u AS (SELECT vec_id, list_transform(x, lambda c: c / sqrt(list_dot_product(x, x))) AS x FROM v),
+        e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_dot_product(a.x, b.x) >= {SIMILAR}),
+        r(a, b) AS (SELECT vec_id, vec_id FROM u UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+        SELECT a AS vec_id, min(b) AS cluster, count(*) AS size FROM r GROUP BY a""",
 }
