@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caselode.sources import shared
+
 
 def last_wins(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last row of each key; its place is that of the key's first row."""
@@ -51,8 +53,13 @@ def numbered(rows: DataFrame, by: str, order: list[Column]) -> DataFrame:
 
     Rows are dealt out by range of by and order; a place is the place in the
     range and the sum of the ranges before it, of which there is one row each.
+    The ranges are written once, as two passes over the rows could cut them
+    in different places.
     """
+    spark, path = rows.sparkSession, shared.fresh_path(rows.sparkSession, "ranges")
     ranges = rows.repartitionByRange(F.col(by), *order).withColumn("_range", F.spark_partition_id())
+    ranges.write.parquet(path)
+    ranges = spark.read.schema(ranges.schema).parquet(path)
     so_far = F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     before = ranges.groupBy(by, "_range").agg(F.count(F.lit(1)).alias("_n")).select(by, "_range", so_far.alias("_before"))
     inside = ranges.withColumn("_inside", F.row_number().over(Window.partitionBy(by, "_range").orderBy(*order)))

@@ -10,7 +10,7 @@ from caselode.operators import similar
 from caselode.plans import nightly as N
 from caselode.sources import fixtures as X
 from caselode.sources import paged, shared, sitemaps
-from caselode.streaming import clocks, store, sweep
+from caselode.streaming import clocks, store, sweep, trends
 from caselode.streaming import events as E
 
 PAGE, MAX_PAGES, FILED_AFTER = 250, 5, "2024-01-03"
@@ -105,6 +105,17 @@ def keep_best(spark, sf_dir):
     return H.keep_best(last(1), last(0), "link", "rich")
 
 
+def rolling_trends(spark, sf_dir):
+    """Users of each type of event in the last seven whole days and in the seven before: counted, and whether the merged sketches of a stream agree within 5 %."""
+    named = lambda df: df.select(F.col("event_type").alias("key"), F.col("user_id").alias("story"), F.col("ts").alias("stamp"))
+    sketches = E.drain(trends.daily_sketches(named(E.read_events(spark, sf_dir))), shared.fresh_path(spark, "sketches"))
+    rows = named(spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")))
+    days = rows.select(F.to_date("stamp").alias("day"), "key", "story").distinct().join(F.broadcast(sketches.select("day").distinct()), "day", "left_semi")  # one row a day
+    guess = trends.rolling(sketches).select("key", F.col("recent").alias("r"), F.col("prior").alias("p"))
+    close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.col(b) * 0.05
+    return trends.rolling_exact(days).join(guess, "key", "left").withColumn("agrees", F.coalesce(close("r", "recent") & close("p", "prior"), F.lit(False))).drop("r", "p")
+
+
 SIMILAR = 0.85
 
 
@@ -117,7 +128,7 @@ def similar_clusters(spark, sf_dir):
     return similar.similar_clusters(leaning, SIMILAR, target=0.9999)
 
 
-QUERIES = {f.__name__: f for f in (similar_clusters, paged_search, versioned_store, recheck_clock, history_sweep, sitemap_walk, history_backfill, keep_best)}
+QUERIES = {f.__name__: f for f in (rolling_trends, similar_clusters, paged_search, versioned_store, recheck_clock, history_sweep, sitemap_walk, history_backfill, keep_best)}
 ORACLE_SQL = {
     "paged_search": f"""WITH h AS (SELECT source AS query, unnest(CASE WHEN doc_id % {PAGE} = 0 AND doc_id >= {PAGE} THEN [doc_id // {PAGE} - 1, doc_id // {PAGE}] ELSE [doc_id // {PAGE}] END) AS p,
           'doc:' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS link, strftime(to_timestamp(1704067200 + doc_id * 3600) AT TIME ZONE 'UTC', '%Y-%m-%d') AS filed, length(substr(text, 1, 200)) AS n FROM documents),
@@ -158,4 +169,8 @@ ORACLE_SQL = {
         e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_dot_product(a.x, b.x) >= {SIMILAR}),
         r(a, b) AS (SELECT vec_id, vec_id FROM u UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
         SELECT a AS vec_id, min(b) AS cluster, count(*) AS size FROM r GROUP BY a""",
+    "rolling_trends": """WITH e AS (SELECT CAST(ts AS DATE) AS day, event_type AS key, user_id AS story FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR),
+        w AS (SELECT *, (SELECT max(day) FROM e) - day AS back FROM e), c AS (SELECT key, count(DISTINCT story) FILTER (back < 7) AS recent, count(DISTINCT story) FILTER (back BETWEEN 7 AND 13) AS prior FROM w WHERE back < 14 GROUP BY key)
+        SELECT key, recent, prior, CASE WHEN prior > 0 THEN round_even((recent - prior) * 100.0::DOUBLE / prior, 1) END AS delta_pct,
+               CASE WHEN prior = 0 AND recent > 0 THEN 'new' WHEN recent > prior THEN 'up' WHEN recent < prior THEN 'down' ELSE 'flat' END AS direction, true AS agrees FROM c""",
 }
