@@ -316,19 +316,24 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, max
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, learn, max_docs: int, max_bytes: int = 256 << 20) -> DataFrame:
     """(doc_id, text, label) of at most max_docs labelled documents for which learn(doc_id) holds, of at most max_bytes in all.
 
-    The labelled ids of smallest hash are taken before the join, so what is
-    broadcast has at most max_docs rows of two numbers, and no other text is
-    moved. Of rows that repeat an id one teaches, that of smallest text hash;
-    ids with conflicting labels are left out. Texts that pass max_bytes, in
-    hash order of the ids, are left out too.
+    Of the labelled ids that have a document those of smallest hash are taken
+    before the join with the texts, so what is broadcast has at most max_docs
+    rows of two numbers, and no other text is moved. Of rows that repeat an id
+    one teaches, that of smallest text hash; ids with conflicting labels are
+    left out. Texts of more than max_bytes teach nothing and take no room;
+    of the others, in hash order of the ids, those that pass max_bytes are
+    left out too.
     """
     marks = labels.groupBy(F.col("doc_id").alias("marked")).agg(F.min(label).alias("label"), F.max(label).alias("most"))
     marks = marks.where((F.col("label") == F.col("most")) & F.col("label").isin(0, 1)).where(learn(F.col("marked"))).drop("most")
+    present = docs.select("doc_id").distinct()
+    marks = marks.join(present, marks.marked == present.doc_id, "left_semi")
     marks = marks.orderBy(F.xxhash64("marked"), "marked").limit(max_docs)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.join(F.broadcast(marks), rows.doc_id == marks.marked)
     rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
     rows = stage_table(rows.select("doc_id", F.col("t.text").alias("text"), F.col("label").cast("int").alias("label")), "labelled")
+    rows = rows.where(F.octet_length("text") <= max_bytes)
     so_far = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # at most max_docs numbers
     fit_in = rows.select("doc_id", so_far.alias("so_far")).where(F.col("so_far") <= max_bytes).select("doc_id")
     return rows.join(F.broadcast(fit_in), "doc_id", "left_semi")

@@ -143,3 +143,12 @@ def test_record_ids_are_unique_and_reads_are_spread(spark, tmp_path):
     assert named <= {i for i, _ in ids}
 
 
+
+
+def test_one_huge_text_does_not_end_the_sample(spark):
+    """Nor do ids without a document take the places of others."""
+    docs = spark.createDataFrame([(i, "x" * (5000 if i % 3 == 0 else 20)) for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    got = quality.labelled_texts(docs, labels, "quality", lambda i: F.lit(True), 1000, max_bytes=1000).collect()
+    assert sorted(r.doc_id for r in got) == [i for i in range(30) if i % 3]
+    assert quality.labelled_texts(docs, labels, "quality", lambda i: F.lit(True), 30).count() == 30
