@@ -19,8 +19,21 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Paths that this driver handed out, for clean_up.
+_handed: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _handed.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _handed[-1]
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Remove what this driver has written in the shared folder so far; how many paths. Only when no result that reads them is still to be written."""
+    n = len(_handed)
+    while _handed:
+        remove(spark, _handed.pop())
+    return n
 
 
 def _on(spark: SparkSession, path: str):

@@ -71,3 +71,13 @@ def test_poorer_rows_do_not_replace_richer_ones(spark):
     now = spark.createDataFrame([("a", "new", 1.0), ("b", "new", 1.0), ("c", "new", None), ("d", "new", None), (None, "y", 0.0), ("e", "new", 0.0)], kind)
     got = sorted(((r.link, r.text, r.restored) for r in H.keep_best(old, now, "link", "rich").collect()), key=repr)
     assert got == sorted([("a", "old", True), ("b", "new", False), ("c", "old", True), ("d", "new", False), (None, "y", False), ("e", "new", False)], key=repr)
+
+
+def test_shared_files(spark, tmp_path, monkeypatch):
+    from caselode.sources import shared
+
+    monkeypatch.setattr(shared, "_handed", [])
+    path = shared.fresh_path(spark, "x")
+    assert shared.create_text(spark, f"{path}/a.txt", "é") and not shared.create_text(spark, f"{path}/a.txt", "b")
+    assert shared.read_text(spark, f"{path}/a.txt") == "é" and shared.names(spark, path) == ["a.txt"]
+    assert shared.clean_up(spark) == 1 and not shared.exists(spark, path) and shared.names(spark, path) == []
