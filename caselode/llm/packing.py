@@ -294,7 +294,7 @@ class WordIds:
     marks = ".,!?;:|#$%&*"
     space = re.compile(r"[ \n]")
 
-    def __init__(self, path: str, most: int = 800_000, block: int = 6 << 20):
+    def __init__(self, path: str, most: int = 300_000, block: int = 4 << 20):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most, self.block = _tokenizer(path), most, block
