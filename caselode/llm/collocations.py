@@ -264,8 +264,23 @@ def _merge(so_far: DataFrame, least: int, ended: int) -> DataFrame:
 _GROUP = 1 << 16
 
 
-def _set_cells(counted: DataFrame, cells: np.ndarray, least: int, start: int, again: bool = False) -> bool:
-    """Set the cells, not set yet, of the keys that have come to `least` (again: that have it); whether there were any.
+def _reached(least: int, fresh: bool):
+    """Makes the keys of a batch of packed sums that have come to `least`; fresh: those that had not before."""
+
+    def keys_of(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for raw, new, old in zip(*(b.column(c) for c in ("keys", "counts", "before")), strict=True):
+            keys, counts = _unpacked(raw, new)
+            yield keys[(counts >= least) & (unplanes(old.as_py(), np.int64) < least) if fresh else counts >= least]
+
+    return keys_of
+
+
+def _listed(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+    yield b.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def _set_cells(rows: DataFrame, cells: np.ndarray, keys_of, start: int) -> bool:
+    """Set the cells, not set yet, of the keys that keys_of takes from batches of rows; whether there were any.
 
     Each task sends bitmaps of the groups of 65,536 cells that it touches, and
     the driver gets one bitmap a group: at most len(cells) / 8 bytes.
@@ -275,10 +290,8 @@ def _set_cells(counted: DataFrame, cells: np.ndarray, least: int, start: int, ag
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape, bits = Activated(np.empty(n, np.uint8)), np.zeros(n, bool)
         for b in batches:
-            for raw, new, old in zip(*(b.column(c) for c in ("keys", "counts", "before")), strict=True):
-                keys, counts = _unpacked(raw, new)
-                reached = counts >= least if again else (counts >= least) & (unplanes(old.as_py(), np.int64) < least)
-                for at in shape.places(keys[reached]):
+            for keys in keys_of(b):
+                for at in shape.places(keys):
                     bits[at] = True
         for part in range(-(-n // _GROUP)):
             own = bits[part * _GROUP : (part + 1) * _GROUP]
@@ -289,7 +302,7 @@ def _set_cells(counted: DataFrame, cells: np.ndarray, least: int, start: int, ag
         bits = np.bitwise_or.reduce([np.frombuffer(x.as_py(), np.uint8) for x in table["bits"]])
         return pa.table({"part": table["part"][:1], "bits": pa.array([bits.tobytes()], pa.binary())})
 
-    found = counted.select("keys", "counts", "before").mapInArrow(places, "part long, bits binary").groupBy("part").applyInArrow(either, "part long, bits binary")
+    found = rows.mapInArrow(places, "part long, bits binary").groupBy("part").applyInArrow(either, "part long, bits binary")
     new = False
     for r in found.collect():  # at most one row for each 65,536 cells
         own = cells[r["part"] * _GROUP : (r["part"] + 1) * _GROUP]
@@ -302,11 +315,11 @@ def _set_cells(counted: DataFrame, cells: np.ndarray, least: int, start: int, ag
 _NAMED = "lang string, n int, phrase string, key long, c long"
 
 
-def _named(blocks: DataFrame, longest: int, sent, most: int = 1 << 19) -> DataFrame:
-    """(lang, n, phrase, key, c) of the phrases whose keys are marked, added up in each task while they are at most about `most`."""
+def _named(blocks: DataFrame, longest: int, sent, wanted, most: int = 1 << 19) -> DataFrame:
+    """(lang, n, phrase, key, c) of the phrases whose keys are wanted, found through those that are marked; added up in each task while they are at most about `most`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked, held, size = Activated.unpacked(sent.value), [], 0
+        marked, asked, held, size = Activated.unpacked(sent.value), Activated.unpacked(wanted.value), [], 0
         by = ["lang", "n", "phrase", "key"]
 
         def added() -> pa.Table:
@@ -315,7 +328,7 @@ def _named(blocks: DataFrame, longest: int, sent, most: int = 1 << 19) -> DataFr
 
         for tokens in _blocks(batches):
             for n, places, keys, times, _ in tokens.counted(longest, 0, Activated.NEVER - 1, marked):
-                keep = np.flatnonzero(marked.since(keys) < Activated.NEVER)
+                keep = np.flatnonzero(asked.since(keys) < Activated.NEVER)
                 phrases, n_rows = tokens.phrases(places[keep], n).cast(pa.string()), len(keep)
                 held.append(
                     pa.table(
@@ -361,9 +374,11 @@ def frequent_phrases(
     keys, one row of sorted keys and their counts, and the sums so far are one
     row a bucket; buckets grow with the texts, so a row has a bounded number
     of keys, and keys whose cycle ended below the threshold are dropped. Marks travel as a Bloom filter of `cells` bytes, which holds the
-    step of each mark. When all are counted, one more scan finds the words of
-    the frequent keys. A key that two phrases share (of 10**10 some three
-    pairs do) shows there, and takes the counts of that scan.
+    step of each mark. When all are counted, the words of
+    the frequent keys are looked for, shard by shard until each has its words.
+    A key that two phrases of those shards share shows there, and one more
+    scan counts both by their words; of 10**10 distinct phrases about three
+    pairs share a key.
     """
     if longest < 2 or shards < 1 or shards * longest > 250:
         raise ValueError("longest must be 2 or more, and shards * longest at most 250")
@@ -383,16 +398,9 @@ def frequent_phrases(
         sent.destroy()
         if last is not None:
             drop_table(last)
-        if _set_cells(so_far.where(F.col("n") < longest), marks, least, step + 1):
+        if _set_cells(so_far.where(F.col("n") < longest).select("keys", "counts", "before"), marks, _reached(least, True), step + 1):
             begun = step + 1
         step += 1
-    found = np.full(cells, Activated.NEVER, np.uint8)
-    _set_cells(so_far, found, least, 0, again=True)
-    sent = spark.sparkContext.broadcast(Activated(found).packed())
-    named = _named(dealt.drop("shard", "size"), longest, sent).groupBy("lang", "n", "phrase", "key").agg(F.sum("c").alias("c"))
-    named = stage_table(named, "named")
-    sent.destroy()
-
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for n, raw, new in zip(*(b.column(c) for c in ("n", "keys", "counts")), strict=True):
@@ -402,13 +410,40 @@ def frequent_phrases(
                     k, c = (x[at[i : i + (1 << 16)]] for x in (keys, counts))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), n.as_py(), np.int32)), pa.array(k.view(np.int64)), pa.array(c)], ["n", "key", "f"])
 
-    counts = so_far.select("n", "keys", "counts").mapInArrow(frequent, "n int, key long, f long")
-    sharing = F.count(F.lit(1)).over(Window.partitionBy("n", "key"))
-    totals = named.withColumn("sharing", sharing).join(counts, ["n", "key"])
-    totals = totals.select("lang", "n", "phrase", F.when(F.col("sharing") == 1, F.col("f")).otherwise(F.col("c")).alias("f")).where(F.col("f") >= least)
-    totals = stage_table(totals, "phrases")
+    counts = stage_table(so_far.select("n", "keys", "counts").mapInArrow(frequent, "n int, key long, f long"), "frequent")
+    found = np.full(cells, Activated.NEVER, np.uint8)
+    _set_cells(counts.select("key"), found, _listed, 0)
+    sent = spark.sparkContext.broadcast(Activated(found).packed())
+
+    def names(blocks: DataFrame, wanted: np.ndarray) -> DataFrame:
+        asked = spark.sparkContext.broadcast(Activated(wanted).packed())
+        made = _named(blocks.select("lang", "words", "hashes", "at"), longest, sent, asked)
+        made = stage_table(made.groupBy("lang", "n", "phrase", "key").agg(F.sum("c").alias("c")), "named")
+        asked.destroy()
+        return made
+
+    # Most phrases are found in the first shard; the next ones are asked only for what is still without words.
+    parts, rest = [], found
+    for shard in range(shards):
+        parts.append(names(dealt.where(F.col("shard") == shard), rest))
+        rest = np.full(cells, Activated.NEVER, np.uint8)
+        known = parts[0]
+        for more in parts[1:]:
+            known = known.unionByName(more)
+        if not _set_cells(counts.join(known.select("n", "key"), ["n", "key"], "left_anti").select("key"), rest, _listed, 0):
+            break
+    known = known.join(counts.select("n", "key"), ["n", "key"], "left_semi").groupBy("lang", "n", "phrase", "key").agg(F.sum("c").alias("c"))
+    known = stage_table(known.withColumn("sharing", F.count(F.lit(1)).over(Window.partitionBy("n", "key"))), "known")
+    single = known.where("sharing = 1").join(counts, ["n", "key"]).select("lang", "n", "phrase", "f")
+    shared = known.where("sharing > 1").select("n", "key").distinct()
+    rest = np.full(cells, Activated.NEVER, np.uint8)
+    if _set_cells(shared.select("key"), rest, _listed, 0):
+        again = names(dealt, rest).join(shared, ["n", "key"], "left_semi")
+        single = single.unionByName(again.select("lang", "n", "phrase", F.col("c").alias("f")))
+    totals = stage_table(single.where(F.col("f") >= least), "phrases")
+    sent.destroy()
     words = stage_table(dealt.groupBy("lang").agg(F.sum("size").alias("words")), "words")
-    for table in (dealt, so_far, named):
+    for table in (dealt, so_far, counts, known, *parts):
         drop_table(table)
     return totals, words
 
