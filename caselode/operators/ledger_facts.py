@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselode.operators.ledger import POSTURE_WEIGHT, PROVEN_POSTURE, STRENGTH, lookup, role_function, role_state
+from caselode.sources import shared
 
 STRONG = ("adjudicated", "admitted")
 #: Rows that a section keeps for each of its first keys, and what decides between equal numbers.
@@ -33,14 +34,18 @@ def whole_cases(cases: DataFrame, methods: DataFrame) -> DataFrame:
 
 
 def facts(whole: DataFrame, rules: list[tuple[str, str]], channels: list[str]) -> DataFrame:
-    """(section, a, b, n, strong, first) summed over all cases; first is the place of the first that counts."""
+    """(section, a, b, n, strong, first) summed over all cases; first is the place of the first that counts.
+
+    A place is one number, row_ord (below 2**47) and the method's place in its
+    case (below 2**16), so that all sums are of fixed width and are added up
+    in hash tables before anything is shuffled.
+    """
     true, nothing = F.col("verdict").eqNullSafe(True), F.lit("")
 
-    def fact(section: str, a: Column, b: Column = nothing, n: Column | None = None, strong: Column | None = None, at: Column | None = None, text: Column | None = None) -> Column:
+    def fact(section: str, a: Column, b: Column = nothing, n: Column | None = None, strong: Column | None = None, at: Column | None = None) -> Column:
         n, strong = F.lit(1) if n is None else n, F.lit(False) if strong is None else strong
-        at, text = F.lit(0) if at is None else at, nothing if text is None else text
-        values = (F.lit(section), a, b, n.cast("long"), strong.cast("long"), at.cast("int"), text)
-        return F.struct(*[v.alias(k) for k, v in zip(("section", "a", "b", "n", "strong", "at", "text"), values, strict=True)])
+        values = (F.lit(section), a, b, n.cast("long"), strong.cast("long"), (F.lit(0) if at is None else at).cast("long"))
+        return F.struct(*[v.alias(k) for k, v in zip(("section", "a", "b", "n", "strong", "at"), values, strict=True)])
 
     ms, contributes = F.col("ms"), F.size("ms") > 0
     each = lambda make: F.transform(ms, make)
@@ -63,27 +68,38 @@ def facts(whole: DataFrame, rules: list[tuple[str, str]], channels: list[str]) -
         F.transform(families, lambda f: fact("family", f, strong=F.exists(ms, lambda m: (m["family"] == f) & claimed(m)))),
         each(lambda m: fact("family_basis", m["family"], F.when(m["basis"] == "mechanically_implied", "mechanical").otherwise("inferred"))),
         F.filter(each(lambda m, i: fact("family_channel", m["family"], F.when(m["channel"].isin(*channels), m["channel"]), at=i)), lambda x: x["b"].isNotNull()),
-        F.filter(each(lambda m, i: fact("family_example", m["family"], F.lower(F.trim(m["artifact"])), at=i, text=F.substring(F.trim(m["artifact"]), 1, 70))), lambda x: x["b"] != ""),
+        F.filter(each(lambda m, i: fact("family_example", m["family"], F.trim(m["artifact"]), at=i)), lambda x: x["b"] != ""),
         F.transform(seen, lambda c: fact("channel", c)),
     ]
     listed = F.flatten(F.array(basis, *[F.when(true, x).otherwise(F.slice(x, 1, 0)) for x in (one, *many)]))
     rows = whole.select("row_ord", F.explode(listed).alias("f")).select("row_ord", "f.*")
-    first = F.min(F.struct("row_ord", "at", "text"))
+    first = F.min(F.coalesce("row_ord", F.lit(0)).cast("long") * (1 << 16) + F.col("at"))
     return rows.groupBy("section", "a", "b").agg(F.sum("n").alias("n"), F.sum("strong").alias("strong"), first.alias("first"))
 
 
+def staged(summed: DataFrame) -> DataFrame:
+    """The sums as a small table in the shared folder, which every section reads, so that they are made once."""
+    path = shared.fresh_path(summed.sparkSession, "ledger-facts")
+    summed.write.parquet(path)
+    return summed.sparkSession.read.schema(summed.schema).parquet(path)
+
+
 def sections(summed: DataFrame, channels: list[str]) -> DataFrame:
     """(section, a, b, n, strong, rank) of all sections: the largest rows of those in TOP, all rows of the others (rank 0), listed channels without cases too."""
     listed = summed.sparkSession.createDataFrame([("channel", c, "") for c in channels], "section string, a string, b string")
     known = summed.where("section <> 'channel'").unionByName(
         listed.join(summed.where("section = 'channel'"), ["section", "a", "b"], "left").select("section", "a", "b", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("strong", F.lit(0)).alias("strong"), "first")
     )
+    # artifacts that differ in capitals only are one example, written as the first of them
+    same = known.where(F.col("section") == "family_example").groupBy("section", "a", F.lower("b").alias("b"))
+    examples = same.agg(F.sum("n").alias("n"), F.sum("strong").alias("strong"), F.min("first").alias("first"), F.substring(F.min_by("b", "first"), 1, 70).alias("text"))
+    known = known.where(F.col("section") != "family_example").withColumn("text", F.lit("")).unionByName(examples)
     out = known.where(~F.col("section").isin(*TOP)).withColumn("rank", F.lit(0))
     for section, (n, tie) in TOP.items():
         own = known.where(F.col("section") == section)
         order = [F.col("first")] if section == "family_example" else [F.desc("n"), F.col(tie)]
         out = out.unionByName(own.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(*order))).where(F.col("rank") <= n))
-    return out.select("section", "a", "b", "n", "strong", "rank", F.col("first.text").alias("text"))
+    return out.select("section", "a", "b", "n", "strong", "rank", "text")
 
 
 def evidence_records(cut: DataFrame) -> DataFrame:

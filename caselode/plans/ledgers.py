@@ -13,7 +13,7 @@ TITLES = [(f"DT{i:02d}", f"Detection {'ABCDEF'[i]}") for i in range(5)]
 
 def cut(spark, sf_dir):
     whole = LF.whole_cases(X.cases(spark, sf_dir), X.methods(spark, sf_dir))
-    return LF.sections(LF.facts(whole, C.ROLE_RULES, X.OBSERVED_CHANNELS), X.OBSERVED_CHANNELS)
+    return LF.sections(LF.staged(LF.facts(whole, C.ROLE_RULES, X.OBSERVED_CHANNELS)), X.OBSERVED_CHANNELS)
 
 
 def ledger_sections(spark, sf_dir):
