@@ -27,6 +27,37 @@ def _ordered(entries: DataFrame, preferred: list[str], skipped: list[str]) -> Da
     return rows.select("parent", "child", first.alias("place"))
 
 
+def _opened(edges: DataFrame, root: str, most: int) -> list[str]:
+    """The first `most` sitemaps that a walk opens, one job after the other over the edges (parent, child, place, names) of what it opened so far.
+
+    A child's path is that of the first opened one that names it, then its
+    place there; the next to open is the child whose path comes first. Only
+    the opened ones come to the driver, what waits stays in the edges. names:
+    whether the child names others; what stands behind one that does is not
+    known before it is open, but a run of children that don't is opened at once.
+    """
+    opened: list[tuple[str, list[int]]] = [(root, [])][:most]
+    while opened and len(opened) < most:
+        urls = [s for s, _ in opened]
+        named = edges.where(F.col("parent").isin(urls) & ~F.col("child").isin(urls))
+        which = F.array_position(F.array(*map(F.lit, urls)), F.col("parent")).cast("int").alias("which")
+        first = named.groupBy("child").agg(F.min(F.struct(which, "place")).alias("first"), F.bool_or("names").alias("names"))
+        paths = F.array(*[F.array(*map(F.lit, p)).cast("array<int>") for _, p in opened])
+        path = F.concat(F.element_at(paths, F.col("first.which")), F.array("first.place")).alias("path")
+        ahead = first.select("child", path, "names").orderBy("path").limit(most - len(opened)).collect()
+        if not ahead:
+            break
+        for r in ahead:
+            opened.append((r["child"], r["path"]))
+            if r["names"]:
+                break
+    return [s for s, _ in opened]
+
+
+#: Walks of at most so many sitemaps open one after the other, longer ones find all paths in rounds.
+STEPS = 1000
+
+
 def visit_order(entries: DataFrame, root: str, *, preferred: list[str] | None = None, skipped: list[str] | None = None, most: int | None = None) -> DataFrame:
     """(sitemap, rank): the order in which a walk opens the sitemaps that root leads to, `most` of them at most.
 
@@ -36,12 +67,20 @@ def visit_order(entries: DataFrame, root: str, *, preferred: list[str] | None =
     the first one that names it, and then its place among that one's
     children: a path of places, and the walk goes by the order of paths.
 
-    Paths are found in rounds of joins over the edges, each of which takes the
-    named path of the parent that comes first so far; a round that changes
-    nothing is the last, so cycles end.
+    A walk of at most STEPS sitemaps reads the edges of those alone. Without
+    such a bound, paths are found in rounds of joins over the edges, each of
+    which takes the named path of the parent that comes first so far; a round
+    that changes nothing is the last, so cycles end. There are as many rounds
+    as the walk is deep.
     """
     spark = entries.sparkSession
-    edges = _stage(_ordered(entries, preferred or [], skipped or []), "sitemap-edges")
+    edges = _ordered(entries, preferred or [], skipped or [])
+    if most is not None and most <= STEPS:
+        naming = edges.select(F.col("parent").alias("child"), F.lit(True).alias("names")).distinct()
+        edges = _stage(edges.join(naming, "child", "left").select("parent", "child", "place", F.coalesce("names", F.lit(False)).alias("names")), "sitemap-edges")
+        ranked = [(s, i) for i, s in enumerate(_opened(edges, root, most), 1)]
+        return spark.createDataFrame(ranked, "sitemap string, rank int")
+    edges = _stage(edges, "sitemap-edges")
     start = spark.createDataFrame([(root, [])], "sitemap string, path array<int>")
     known, before = _stage(start, "sitemap-paths"), None
     while True:

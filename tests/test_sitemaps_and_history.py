@@ -36,6 +36,23 @@ def test_walks_with_cycles(spark, seed):
         assert [r.sitemap for r in S.visit_order(df, names[0], **options).orderBy("rank").collect()] == want
 
 
+@pytest.mark.parametrize("steps", [0, 1000])
+def test_deep_and_wide_walks_end(spark, monkeypatch, steps):
+    """What a bounded walk reads is what it opens, however deep the sitemaps go on; both ways give one order."""
+    monkeypatch.setattr(S, "STEPS", steps)
+    deep = 10**6 if steps else 10
+    wide = [("r", i, f"w{i % 7}") for i in range(20)] + [("w1", 0, "d0"), ("w1", 1, "w5"), ("w1", 2, "w9"), ("d0", 0, "r"), ("d0", 1, "d0")]
+    chain = spark.range(deep).selectExpr("concat('d', id) AS parent", "2 AS nth", "concat('d', id + 1) AS child")
+    df = spark.createDataFrame(wide, "parent string, nth int, child string").unionByName(chain)
+    children = {}
+    for p, _, c in wide:
+        children.setdefault(p, []).append(c)
+    for i in range(10):
+        children.setdefault(f"d{i}", []).append(f"d{i + 1}")
+    got = [r.sitemap for r in S.visit_order(df, "r", most=8).orderBy("rank").collect()]
+    assert got == plain_walk(children, "r", most=8) == ["r", "w0", "w1", "d0", "d1", "d2", "d3", "d4"]
+
+
 def test_pages_of_a_walk(spark):
     entries = spark.createDataFrame([("r", 0, "a"), ("r", 1, "b"), ("a", 0, "r"), ("b", 0, "gone"), ("r", 2, None)], "parent string, nth int, child string")
     pages = spark.createDataFrame([("b", 0, "http://x/En/1"), ("a", 1, "http://x/en/2?q"), ("a", 0, "http://x/de/en"), ("z", 0, "http://x/en/9"), ("a", 2, None)], "sitemap string, nth int, url string")
