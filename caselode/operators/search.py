@@ -63,7 +63,8 @@ class Embedder:
     def places(self, text: str) -> np.ndarray:
         """One number a token: its index, or index + dims where its sign is minus."""
         words = re.findall(r"[a-z0-9][a-z0-9+._-]{1,}", (text or "").lower())
-        new = set(words) - self.known.keys()
+        # looked up word by word: a set less the view of a dict's keys goes over the whole dict
+        new = {w for w in words if w not in self.known}
         if len(self.known) + len(new) > self.most:
             self.known.clear()
             new = set(words)

@@ -215,3 +215,17 @@ def test_packages_states_and_pages(spark, tmp_path):
     text = "body\n=== UPDATES as of 2023-01-01 ===\n- old"
     assert one(spark, R.docket_updates(F.col("b"), F.col("e"), F.lit("2024-01-01")), b=text, e=["new", "x" * 400]) == "body\n=== UPDATES as of 2024-01-01 ===\n- new\n- " + "x" * 300
     assert one(spark, R.docket_updates(F.col("b"), F.col("e"), F.lit("2024-01-01")), b=text, e=[]) == "body"
+
+
+def test_embedder_looks_words_up_one_by_one():
+    """A text costs its own words, not the vocabulary that was seen before it."""
+
+    class Held(dict):
+        def keys(self):
+            raise AssertionError("goes over the whole vocabulary")
+
+    embedder = S.Embedder(most=6)
+    embedder.known = Held()
+    texts = ["one two two", "three four five six", "", None, "one seven", "eight nine ten eleven twelve thirteen"]
+    assert [embedder([t])[0].tolist() for t in texts] == [S.embed(t) for t in texts]
+    assert embedder.known and len(embedder.known) <= 6
