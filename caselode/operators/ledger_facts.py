@@ -15,15 +15,22 @@ from caselode.operators.ledger import POSTURE_WEIGHT, PROVEN_POSTURE, STRENGTH,
 from caselode.sources import shared
 
 STRONG = ("adjudicated", "admitted")
+#: Columns of a method, besides its place, that facts are made of.
+METHOD = ["claim_status", "has_quote", "verbatim", "technique", "family", "channel", "basis", "artifact"]
 #: Rows that a section keeps for each of its first keys, and what decides between equal numbers.
 TOP = {"year_technique": (5, "first"), "technique_family": (5, "b"), "family_channel": (3, "first"), "family_example": (3, "first")}
 
 
 def whole_cases(cases: DataFrame, methods: DataFrame) -> DataFrame:
-    """cases with their methods in order (ms), strength and capped, which are null where the verdict isn't true. One scan of each table."""
-    columns = ["m_pos", *[c for c in methods.columns if c not in ("row_ord", "m_pos")]]
+    """cases with their methods in order (ms), strength and capped, which are null where the verdict isn't true. One scan of each table.
+
+    Methods are dealt by case as plain rows of the columns that facts read, and
+    put in lists afterwards: lists that each task begins hold hardly more than
+    one row a case, and would be sorted and sent as well.
+    """
+    columns = ["m_pos", *METHOD]
     best = F.max(lookup(STRENGTH, F.col("claim_status"))).alias("w")
-    ms = methods.groupBy("row_ord").agg(best, F.sort_array(F.collect_list(F.struct(*columns))).alias("ms"))
+    ms = methods.select("row_ord", *columns).repartition("row_ord").groupBy("row_ord").agg(best, F.sort_array(F.collect_list(F.struct(*columns))).alias("ms"))
     rows = cases.join(ms, "row_ord", "left")
     w, weight = F.coalesce("w", F.lit(1)), lookup(POSTURE_WEIGHT, F.col("posture"))
     held = F.when(weight.isNotNull() & (weight < PROVEN_POSTURE), F.least(w, F.lit(2))).otherwise(w)

@@ -138,12 +138,17 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+def methods(spark: SparkSession, sf_dir: str, true_only: bool = False) -> DataFrame:
     """One row per lineitem: a method with claim status, quote stamp, technique and one observable.
 
-    m_pos orders a case's methods; line numbers repeat, so further columns decide.
+    m_pos orders a case's methods; line numbers repeat, so further columns
+    decide. With true_only, methods of the cases whose verdict is true: the
+    others are left out before anything else is joined.
     """
     item = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    if true_only:
+        true = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus = 'F'").select("o_orderkey")
+        item = item.join(true, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_type", "p_size", "p_name")
     n = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int")
     status = (

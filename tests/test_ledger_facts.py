@@ -49,3 +49,14 @@ def test_empty_tables(spark):
     cut = LF.sections(LF.facts(whole, [], ["email"]), ["email"])
     assert [(r.section, r.a, r.n) for r in cut.collect()] == [("channel", "email", 0)]
     assert ledgers.QUERIES.keys() == ledgers.ORACLE_SQL.keys()
+
+
+def test_only_what_counts_is_dealt_by_case(spark):
+    """Methods of untrue cases and columns that no fact reads are left out before the shuffles; the facts are the same."""
+    made = lambda m: LF.facts(LF.whole_cases(X.cases(spark, SF), m), [], X.OBSERVED_CHANNELS)
+    every, true = X.methods(spark, SF), X.methods(spark, SF, true_only=True)
+    kept = every.join(X.cases(spark, SF).where("verdict"), "row_ord", "left_semi")
+    assert true.count() == kept.count() < every.count() and true.exceptAll(kept).count() == 0
+    plan = made(true)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Project" in line and "p_name" in line for line in plan.splitlines()) and plan.index("collect_list") < plan.index("RepartitionByExpression")
+    assert sorted(made(true).collect()) == sorted(made(every).collect())
