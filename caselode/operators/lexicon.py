@@ -9,6 +9,7 @@ that has, and the plan has one expression a part.
 from __future__ import annotations
 
 import uuid
+from array import array
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
@@ -75,6 +76,7 @@ class Automaton:
 
         self.groups = [e[0] for e in entries]
         self.payloads = [e[3:] for e in entries]
+        self.rows: pa.Array | None = None
         self.made = ahocorasick.Automaton()
         by_alias: dict[str, list[int]] = {}
         for i, e in enumerate(entries):
@@ -96,6 +98,13 @@ class Automaton:
                 cls.held.popitem(last=False)
         return cls.held[name]
 
+    def table(self, payload: list[str], kind: pa.DataType) -> pa.Array:
+        """The payloads as an array, made once."""
+        if self.rows is None:
+            columns = [pa.array([p[k] for p in self.payloads], pa.string()) for k in range(len(payload))]
+            self.rows, self.payloads = pa.StructArray.from_arrays(columns, fields=list(kind)), []
+        return self.rows
+
     def best(self, text: str) -> dict:
         """The first entry, in the part's order, of each group that the text has."""
         found: set[int] = set()
@@ -138,13 +147,15 @@ def _matcher(rows: DataFrame, lexicon: Lexicon, i: int, bounded_under: int | Non
 
     def find(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = Automaton.of(sent, name, bounded_under)
+        entries = automaton.table(payload, kind.value_type)
         for batch in texts:
-            out = []
+            # hits are places in the table of entries, four bytes each: what a batch holds are numbers, not rows
+            ends, hit = array("i", [0]), array("i")
             for text in batch:
                 low = text.as_py() or ""
-                places = automaton.longest_first(low) if whole else automaton.best(low).values()
-                out.append([dict(zip(payload, automaton.payloads[k], strict=True)) for k in sorted(places)])
-            yield pa.array(out, kind)
+                hit.extend(sorted(automaton.longest_first(low) if whole else automaton.best(low).values()))
+                ends.append(len(hit))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries.take(pa.array(hit, pa.int32())))
 
     find.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(find, "array<struct<" + ",".join(f"{p}:string" for p in payload) + ">>")

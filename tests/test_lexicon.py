@@ -2,7 +2,9 @@
 
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +87,17 @@ def test_topics(spark):
     rows = spark.createDataFrame([("Joint use", "s", "nothing"), ("t", None, "from"), (None, None, None)], "title string, summary string, content string")
     taxonomy = [("A", "Joint Use", "x", ["from"]), ("B", "no", "x", ["t"])]
     assert [r.topics for r in M.topics_of(rows, taxonomy).collect()] == [["A"], ["A"], []]
+
+
+def test_a_batch_holds_places_and_not_rows(spark):
+    """The hits of a batch are numbers in Python, however many they are."""
+    entries = [(f"T{i}", f"alias {i:03d}", f"T{i}") for i in range(100)]
+    find = L._matcher(spark.range(1), L.Lexicon.of_list(entries, ["technique"]), 0, 8).func
+    texts = pa.array([" ".join(e[1] for e in entries), None, "alias 007"] * 700)
+    tracemalloc.start()
+    got = next(find(iter([texts])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 2100 and got[3].as_py() == [{"technique": e[2]} for e in entries]
+    assert got[1].as_py() == [] and got[2].as_py() == [{"technique": "T7"}]
+    assert peak < 8 << 20
